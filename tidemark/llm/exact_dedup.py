@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     keys = keyed(docs, id_col, text_col)
     runs = flush(keys)
-    clashes = verify(keys)
+    clashes = spill(verify(keys), "digest-clashes")  # written first: while it is empty, no text moves in the joins below
     clashing = keys.join(clashes, "digest", "left_semi")
     rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     apart = clashing.groupBy("digest", "norm").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
