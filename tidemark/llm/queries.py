@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import similarity_components
 from .license_scan import license_scan
 from .secret_scan import secret_scan
+from .suffix_dedup import remove_repeats
 from .url_filter import judge_urls
 
 
@@ -34,6 +35,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
