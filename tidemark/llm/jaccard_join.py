@@ -79,7 +79,8 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(_encoded(x["text"]), width)
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([set_node(s) for s in sets], dtype="Int64")})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, node long")
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text, null and large ids stay exact in pandas
+    return texts.mapInPandas(run, "doc_id string, n_shingles long, node long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def signatures(docs: DataFrame, width: int, percent: int, remembered: int = 1 << 18) -> DataFrame:

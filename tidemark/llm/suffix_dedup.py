@@ -34,9 +34,9 @@ KEY = "doc_id long, th long"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th, text: a row is named by its identifier and a hash of its text."""
-    text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    """id, doc_id, th, text: a row is named by its identifier (0 for null) and a hash of its text and of being null."""
+    text, own = text_of(text_col), F.col(id_col).cast("long")
+    return docs.select(own.alias("id"), F.coalesce(own, F.lit(0)).alias("doc_id"), F.xxhash64(text, own.isNull()).alias("th"), text.alias("text"))
 
 
 def anchors_of(texts: list[bytes], length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def anchor_table(texts: DataFrame, length: int, seed: int) -> DataFrame:
                     at = pa.array(of + k)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), docs.take(at), th.take(at), pa.array(place.astype(np.int32))], ["h", "c", "doc_id", "th", "p"])
 
-    return texts.mapInArrow(run, f"h long, c long, {KEY}, p int")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, f"h long, c long, {KEY}, p int")
 
 
 def settle(anchors: DataFrame) -> DataFrame:
@@ -193,8 +193,8 @@ def range_minima(common: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.nd
 
 def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) -> DataFrame:
     """h, doc_id, th, p, kind, hot, back, around: the bytes of all windows over an anchor; ``back`` of them precede it."""
-    need = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "p", "kind", "hot")).alias("at")).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    joined = texts.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "at")
+    need = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "p", "kind", "hot")).alias("at"))
+    joined = texts.join(need, ["doc_id", "th"]).select("doc_id", "th", "text", "at")
     back = length - seed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +210,7 @@ def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) ->
                 yield frame(out)
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["h", "doc_id", "th", "p", "kind", "hot", "back", "around"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["h", "doc_id", "th", "p", "kind", "hot", "back", "around"])
 
     return joined.mapInPandas(run, f"h long, {KEY}, p int, kind int, hot boolean, back int, around binary")
 
@@ -232,7 +232,6 @@ def expanded(contexts: DataFrame, length: int, most: int = 40_000) -> DataFrame:
         held: list[pd.DataFrame] = []
         count = 0
         for x in batches:
-            x["doc_id"] = x["doc_id"].astype("Int64")
             held.append(x)
             count += len(x)
             if count >= most:
@@ -275,9 +274,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes): one row for each row of ``docs``."""
     texts = keyed(docs, id_col, text_col)
     runs = repeated_runs(texts, length, seed)
-    per = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("runs")).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    joined = texts.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select(
-        "doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")
+    per = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    joined = texts.join(per, ["doc_id", "th"], "left").select(
+        F.col("id").alias("doc_id"), "text", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
