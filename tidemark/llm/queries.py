@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import similarity_components
 from .license_scan import license_scan
 from .pii import find_pii
+from .quality import quality_scores
 from .secret_scan import secret_scan
 from .suffix_dedup import remove_repeats
 from .url_filter import judge_urls
@@ -29,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
