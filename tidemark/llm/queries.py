@@ -14,6 +14,7 @@ from .license_scan import license_scan
 from .pii import find_pii
 from .quality import quality_scores
 from .secret_scan import secret_scan
+from .sentencepiece_codec import round_trip
 from .suffix_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -54,6 +55,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
