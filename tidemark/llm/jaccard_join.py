@@ -285,7 +285,9 @@ def units(texts: DataFrame, ids: DataFrame, clusters: DataFrame, width: int) ->
                 sets = shingle_sets(_encoded(y["text"]), width)
                 yield pd.DataFrame({"root": y["root"], "block": y["block"], "blocks": y["blocks"], "node": y["node"], "shingles": [s.tobytes() for s in sets]})
 
-    sets = texts.join(dealt, "doc_id").mapInPandas(run, "root long, block int, blocks int, node long, shingles binary")
+    sets = texts.join(dealt.hint("merge"), "doc_id").mapInPandas(  # the same plan at every size
+        run, "root long, block int, blocks int, node long, shingles binary"
+    )
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     sets = sets.withColumn("other", F.explode(others))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
