@@ -250,11 +250,12 @@ def hot_windows(contexts: DataFrame, length: int) -> DataFrame:
     """doc_id, th, start, end for anchors with very many places: each window is a row, and equal ones fold in each task."""
     last = F.least(F.col("back"), F.lit(length))
     depths = F.filter(F.sequence(F.lit(0), last), lambda d: F.octet_length("around") - F.col("back") + d >= length)
-    each = contexts.where("hot").select("doc_id", "th", "p", "kind", "back", "around", F.explode(depths).alias("depth"))
+    each = contexts.where("hot").select("h", "doc_id", "th", "p", "kind", "back", "around", F.explode(depths).alias("depth"))
     window = F.sha2(F.expr(f"substring(around, back - depth + 1, {length})"), 256)
-    each = each.select("doc_id", "th", "kind", (F.col("p") - F.col("depth")).alias("start"), F.unhex(window).alias("w"))
-    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    return each.where("kind = 2").join(often, "w").select("doc_id", "th", "start", (F.col("start") + length).alias("end"))
+    each = each.select("h", "depth", "doc_id", "th", "kind", (F.col("p") - F.col("depth")).alias("start"), F.unhex(window).alias("w"))
+    same = ["h", "depth", "w"]  # one window can hold several anchors: only equal depths at equal anchors are two places
+    often = each.groupBy(same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(same)
+    return each.where("kind = 2").join(often, same).select("doc_id", "th", "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_runs(texts: DataFrame, length: int, seed: int) -> DataFrame:
