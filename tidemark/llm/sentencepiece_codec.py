@@ -41,12 +41,14 @@ class Pieces:
     """The piece table: (piece, score) of each id, and how the model folds."""
 
     kind: int
-    table: dict[str, tuple[float, int]]
+    scores: dict[str, float]
+    ids: dict[str, int]
     byte_ids: tuple[int, ...]
     unknown: int
     written: tuple[bytes, ...]
     longest: int
     prefix: bool
+    name: str
 
 
 def read_pieces(model_path: str = DEFAULT_MODEL) -> Pieces:
@@ -67,36 +69,37 @@ def read_pieces(model_path: str = DEFAULT_MODEL) -> Pieces:
     )
     unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
     byte_ids = tuple(bytes_[b] for b in range(256)) if len(bytes_) == 256 else ()
-    return Pieces(model.trainer_spec.model_type, table, byte_ids, unknown, written, max(map(len, table)), model.normalizer_spec.add_dummy_prefix)
+    scores, ids = {t: s for t, (s, _) in table.items()}, {t: i for t, (_, i) in table.items()}
+    name = hashlib.sha256(model.SerializeToString()).hexdigest()
+    return Pieces(model.trainer_spec.model_type, scores, ids, byte_ids, unknown, written, max(map(len, table)), model.normalizer_spec.add_dummy_prefix, name)
 
 
 def piece_or_bytes(symbol: str, p: Pieces) -> list[int]:
-    known = p.table.get(symbol)
-    if known:
-        return [known[1]]
+    known = p.ids.get(symbol)
+    if known is not None:
+        return [known]
     return [p.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")] if p.byte_ids else [p.unknown]
 
 
+NONE = float("-inf")
+
+
 def merged(unit: str, p: Pieces) -> list[int]:
     """BPE fold: merge the neighbouring edges whose union has the best score, leftmost first, until none has one."""
-    symbols, table = list(unit), p.table
-    if len(symbols) > 64:
+    if len(unit) > 64:
         return heap_merged(unit, p)
-    scores = [table.get(a + b, (None,))[0] for a, b in zip(symbols, symbols[1:])]
-    while True:
-        best, at = None, -1
-        for i, s in enumerate(scores):
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if best is None:
-            break
-        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    symbols, score = list(unit), p.scores.get
+    scores = [score(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+    while scores and (best := max(scores)) != NONE:
+        at = scores.index(best)
+        symbols[at] += symbols.pop(at + 1)
         del scores[at]
         if at:
-            scores[at - 1] = table.get(symbols[at - 1] + symbols[at], (None,))[0]
+            scores[at - 1] = score(symbols[at - 1] + symbols[at], NONE)
         if at < len(scores):
-            scores[at] = table.get(symbols[at] + symbols[at + 1], (None,))[0]
-    return [i for s in symbols for i in piece_or_bytes(s, p)]
+            scores[at] = score(symbols[at] + symbols[at + 1], NONE)
+    ids = list(map(p.ids.get, symbols))
+    return [i for s in symbols for i in piece_or_bytes(s, p)] if None in ids else ids
 
 
 def heap_merged(unit: str, p: Pieces) -> list[int]:
@@ -107,8 +110,8 @@ def heap_merged(unit: str, p: Pieces) -> list[int]:
     heap: list[tuple[float, int, int, str]] = []
 
     def offer(i: int, j: int) -> None:
-        if i >= 0 and j >= 0 and (known := p.table.get(symbols[i] + symbols[j])):
-            heapq.heappush(heap, (-known[0], i, j, symbols[i] + symbols[j]))
+        if i >= 0 and j >= 0 and (known := p.scores.get(symbols[i] + symbols[j])) is not None:
+            heapq.heappush(heap, (-known, i, j, symbols[i] + symbols[j]))
 
     for i in range(n - 1):
         offer(i, i + 1)
@@ -127,11 +130,11 @@ def heap_merged(unit: str, p: Pieces) -> list[int]:
 
 def viterbi(unit: str, p: Pieces) -> list[int]:
     """Unigram fold: the path of edges with the best sum of scores; characters without a piece cost a fixed penalty."""
-    penalty = min(s for s, _ in p.table.values()) - 10
+    penalty = min(p.scores.values()) - 10
     best: list[tuple[float, int]] = [(0.0, -1)]
     for end in range(1, len(unit) + 1):
-        options = [(best[start][0] + p.table[unit[start:end]][0], start) for start in range(max(0, end - p.longest), end) if unit[start:end] in p.table]
-        if unit[end - 1] not in p.table:
+        options = [(best[start][0] + p.scores[unit[start:end]], start) for start in range(max(0, end - p.longest), end) if unit[start:end] in p.scores]
+        if unit[end - 1] not in p.scores:
             options.append((best[end - 1][0] + penalty, end - 1))
         best.append(max(options, key=lambda o: (o[0], -o[1])))
     cuts = [len(unit)]
@@ -146,10 +149,22 @@ def unit_ids(unit: str, p: Pieces) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers at most ``remembered`` units."""
-
-    def __init__(self, pieces: Pieces, remembered: int = 1 << 17):
-        self.pieces, self.remembered, self.known = pieces, remembered, {}
+    """Encodes and decodes texts; remembers at most twice ``remembered`` units, the recent ones longest."""
+
+    def __init__(self, pieces: Pieces, remembered: int = 1 << 18):
+        self.pieces, self.remembered = pieces, remembered
+        self.known: dict[str, array] = {}
+        self.older: dict[str, array] = {}
+
+    def of_unit(self, unit: str) -> array:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = array("i", unit_ids(unit, self.pieces))
+        if len(self.known) >= self.remembered:
+            self.known, self.older = {}, self.known
+        if len(unit) <= 64:
+            self.known[unit] = ids
+        return ids
 
     def encode(self, text: str) -> array:
         escaped = text.replace(" ", SPACE)
@@ -157,12 +172,8 @@ class Codec:
         for unit in UNITS.findall(SPACE + escaped if self.pieces.prefix and text else escaped):
             ids = known.get(unit)
             if ids is None:
-                ids = array("i", unit_ids(unit, self.pieces))
-                if len(known) >= self.remembered:
-                    known.clear()
-                if len(unit) <= 64:
-                    known[unit] = ids
-            out.extend(ids)
+                ids, known = self.of_unit(unit), self.known
+            out += ids
         return out
 
     def decode(self, ids) -> str:
@@ -170,12 +181,23 @@ class Codec:
         return raw[1:] if self.pieces.prefix and raw.startswith(" ") else raw
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(pieces: Pieces) -> Codec:
+    """One codec for each model in a Python worker, so that its memory outlasts a task."""
+    if pieces.name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[pieces.name] = Codec(pieces)
+    return _CODECS[pieces.name]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, ids (array<int>): one row for each row of ``docs``."""
     pieces = read_pieces(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         for x in batches:
             for k in range(0, len(x), 500):
                 y = x.iloc[k : k + 500]
@@ -190,7 +212,7 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     pieces = read_pieces(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "text": [codec.decode(i) if i is not None else "" for i in x["ids"]]})
 
@@ -206,7 +228,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = read_pieces(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         for x in batches:
             out = []
             for text in x["text"]:
@@ -221,7 +243,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame([(t, s, i) for t, (s, i) in pieces.table.items()], "piece string, score double, id int")
+    return spark.createDataFrame([(t, s, i) for t, s in pieces.scores.items() for i in (pieces.ids[t],)], "piece string, score double, id int")
 
 
 def lattice_ids(words: DataFrame, pieces: DataFrame, longest: int, kind: int = BPE) -> DataFrame:
