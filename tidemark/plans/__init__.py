@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("cleaning",)
+AREAS = ("cleaning", "schedule")
 
 
 def load():
