@@ -48,7 +48,7 @@ def ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * C2)
 
 
-def chunks(texts: list[bytes], most: int = 1 << 21):
+def chunks(texts: list[bytes], most: int = 1 << 20):
     """Slices of a list whose texts have about ``most`` bytes together; one long text is a slice of its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -71,11 +71,18 @@ def _encoded(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches in slices, so that the sets of few texts are held at once."""
+    for x in batches:
+        for k in range(0, len(x), rows):
+            yield x.iloc[k : k + rows]
+
+
 def profile(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, node of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in sliced(batches):
             sets = shingle_sets(_encoded(x["text"]), width)
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([set_node(s) for s in sets], dtype="Int64")})
 
@@ -88,7 +95,7 @@ def signatures(docs: DataFrame, width: int, percent: int, remembered: int = 1 <<
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for x in batches:
+        for x in sliced(batches):
             fresh = []
             for s in shingle_sets(_encoded(x["text"]), width):
                 node = set_node(s)
@@ -97,9 +104,9 @@ def signatures(docs: DataFrame, width: int, percent: int, remembered: int = 1 <<
                         seen.clear()
                     seen.add(node)
                     fresh.append((node, s))
-            for k in range(0, len(fresh), 2000):
-                sigs = part_signatures([s for _, s in fresh[k : k + 2000]], percent)
-                nodes = np.repeat(np.array([n for n, _ in fresh[k : k + 2000]], dtype=np.int64), [len(s) for s in sigs])
+            if fresh:
+                sigs = part_signatures([s for _, s in fresh], percent)
+                nodes = np.repeat(np.array([n for n, _ in fresh], dtype=np.int64), [len(s) for s in sigs])
                 yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": nodes})
 
     return docs.mapInPandas(run, "sig long, node long")
@@ -279,11 +286,9 @@ def units(texts: DataFrame, ids: DataFrame, clusters: DataFrame, width: int) ->
     dealt = spill(dealt.select("node", F.col("low").alias("doc_id"), "root", "block", "blocks"), "near-units")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for k in range(0, len(x), 1000):
-                y = x.iloc[k : k + 1000]
-                sets = shingle_sets(_encoded(y["text"]), width)
-                yield pd.DataFrame({"root": y["root"], "block": y["block"], "blocks": y["blocks"], "node": y["node"], "shingles": [s.tobytes() for s in sets]})
+        for x in sliced(batches):
+            sets = shingle_sets(_encoded(x["text"]), width)
+            yield pd.DataFrame({"root": x["root"], "block": x["block"], "blocks": x["blocks"], "node": x["node"], "shingles": [s.tobytes() for s in sets]})
 
     sets = texts.join(dealt.hint("merge"), "doc_id").mapInPandas(  # the same plan at every size
         run, "root long, block int, blocks int, node long, shingles binary"
