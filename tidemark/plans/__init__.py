@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("cleaning", "schedule")
+AREAS = ("cleaning", "schedule", "features", "labels")
 
 
 def load():
