@@ -44,14 +44,14 @@ def f2(spark, d):
 @query(
     "f3_activity_features",
     f"""WITH {EVENTS} SELECT user_id, count(*) AS event_count, count(DISTINCT resource_id) AS unique_items, count(DISTINCT event_time) AS active_days, round(stddev(duration), 4) AS duration_std,
-    round(stddev(date_diff('day', enroll_time, event_time)), 4) AS day_offset_std, round(avg(duration / speed), 4) AS mean_real_time, round(coalesce(variance(speed), 0), 4) AS speed_variance,
+    round(stddev(date_diff('day', enroll_time, event_time)), 4) AS day_offset_std, round(avg(duration / speed), 4) AS mean_real_time, round(coalesce(variance(speed), 0), 10) AS speed_variance,
     round((count(*) - count(DISTINCT resource_id)) / count(*), 6) AS repeat_ratio, round(avg(dayofweek(event_time) + 1), 4) AS mean_weekday FROM ev GROUP BY 1""",
 )
 def f3(spark, d):
     x = events(spark, d)
     a, b = X.activity_features(x, ["user_id"], "event_time", "enroll_time", "resource_id", "duration"), X.playback_features(x, ["user_id"], "duration", "speed")
     r = lambda c, n=4: F.round(c, n).alias(c)
-    return a.join(b, "user_id").select("user_id", "event_count", "unique_items", "active_days", r("duration_std"), r("day_offset_std"), r("mean_real_time"), r("speed_variance"), r("repeat_ratio", 6), r("mean_weekday"))
+    return a.join(b, "user_id").select("user_id", "event_count", "unique_items", "active_days", r("duration_std"), r("day_offset_std"), r("mean_real_time"), r("speed_variance", 10), r("repeat_ratio", 6), r("mean_weekday"))
 
 
 @query(

@@ -192,9 +192,9 @@ def l22(spark, d):
     return exam(spark, d).groupBy("course_id").agg(F.count_if("is_exam").alias("exam_items"), F.count_if(~F.col("is_exam")).alias("other_items"))
 
 
-@query("l23_best_scores", f"WITH {EVENTS} SELECT user_id, resource_id, round(max(least(greatest(score / 100000, 0), 1)), 4) AS best, count(*) AS attempts FROM ev GROUP BY 1, 2")
+@query("l23_best_scores", f"WITH {EVENTS} SELECT user_id, resource_id, round(max(least(greatest(score / 100000, 0), 1)), 8) AS best, count(*) AS attempts FROM ev GROUP BY 1, 2")
 def l23(spark, d):
-    return L.best_scores(events(spark, d), ["user_id", "resource_id"], F.col("score"), F.lit(100000.0)).withColumn("best", F.round("best", 4))
+    return L.best_scores(events(spark, d), ["user_id", "resource_id"], F.col("score"), F.lit(100000.0)).withColumn("best", F.round("best", 8))
 
 
 @query("l24_attempt_summaries", f"WITH {EVENTS} SELECT user_id, count(*) FILTER (WHERE flag = 'R') AS exam_attempts, count(*) FILTER (WHERE flag = 'A') AS assignment_attempts, CAST(sum(duration) FILTER (WHERE flag = 'N') AS DOUBLE) AS video_time FROM ev GROUP BY 1")
