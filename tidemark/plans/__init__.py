@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("cleaning", "schedule", "features", "labels", "splits")
+AREAS = ("cleaning", "schedule", "features", "labels", "splits", "quality")
 
 
 def load():
