@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("cleaning", "schedule", "features", "labels", "splits", "quality", "metrics")
+AREAS = ("cleaning", "schedule", "features", "labels", "splits", "quality", "metrics", "streams")
 
 
 def load():

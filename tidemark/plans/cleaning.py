@@ -139,20 +139,21 @@ def c4(spark, d):
     return flat.select("user_id", "event_type", "event_id", C.wall_clock_to_utc(F.col("start"), "Asia/Shanghai").alias("utc_time"))
 
 
-VIDEO_RULES = [
-    ("nonpositive_speed", F.col("speed") <= 0.9), ("short_segment", F.col("duration") < 5), ("before_enrollment", F.col("event_time") < F.col("enroll_time")),
-]
+def video_rules():
+    return [("nonpositive_speed", F.col("speed") <= 0.9), ("short_segment", F.col("duration") < 5), ("before_enrollment", F.col("event_time") < F.col("enroll_time"))]
+
+
 VIDEO_SQL = "CASE WHEN speed <= 0.9 THEN 'nonpositive_speed' WHEN duration < 5 THEN 'short_segment' WHEN event_time < enroll_time THEN 'before_enrollment' END"
 
 
 @query("c5_clean_video", f"WITH {EVENTS} SELECT user_id, count(*) AS n, CAST(sum(duration) AS DOUBLE) AS duration FROM ev WHERE {VIDEO_SQL} IS NULL GROUP BY 1")
 def c5(spark, d):
-    return C.cleaned(events(spark, d), VIDEO_RULES).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
+    return C.cleaned(events(spark, d), video_rules()).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
 
 
 @query("c6_video_exclusions", f"WITH {EVENTS} SELECT {VIDEO_SQL} AS reason, count(*) AS n FROM ev WHERE {VIDEO_SQL} IS NOT NULL GROUP BY 1")
 def c6(spark, d):
-    return C.excluded(events(spark, d), VIDEO_RULES).groupBy("reason").agg(F.count("*").alias("n"))
+    return C.excluded(events(spark, d), video_rules()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("c7_problem_catalog", "SELECT l_suppkey AS course_id, p_partkey AS problem_id, max(p_retailprice) AS full_score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO' GROUP BY 1, 2")
@@ -162,10 +163,13 @@ def c7(spark, d):
     return used.join(problems, "problem_id").select("course_id", "problem_id", "full_score")
 
 
-PROBLEM_RULES = [
-    ("unknown_problem", F.col("p_type").isNull()), ("not_a_problem", F.col("p_type") != "PROMO"), ("before_enrollment", F.col("event_time") < F.col("enroll_time")),
-    ("returned", F.col("flag") == "R"), ("open_line", F.col("status") == "O"),
-]
+def problem_rules():
+    return [
+        ("unknown_problem", F.col("p_type").isNull()), ("not_a_problem", F.col("p_type") != "PROMO"), ("before_enrollment", F.col("event_time") < F.col("enroll_time")),
+        ("returned", F.col("flag") == "R"), ("open_line", F.col("status") == "O"),
+    ]
+
+
 PROBLEM_SQL = "CASE WHEN p_type IS NULL THEN 'unknown_problem' WHEN p_type <> 'PROMO' THEN 'not_a_problem' WHEN event_time < enroll_time THEN 'before_enrollment' WHEN flag = 'R' THEN 'returned' WHEN status = 'O' THEN 'open_line' END"
 
 
@@ -176,12 +180,12 @@ def _problems(spark, d):
 
 @query("c8_clean_problem", f"WITH {EVENTS} SELECT course_id, count(*) AS n, round(sum(score), 2) AS score FROM ev LEFT JOIN part ON p_partkey = resource_id WHERE {PROBLEM_SQL} IS NULL GROUP BY 1")
 def c8(spark, d):
-    return C.cleaned(_problems(spark, d), PROBLEM_RULES).groupBy("course_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
+    return C.cleaned(_problems(spark, d), problem_rules()).groupBy("course_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
 
 
 @query("c9_problem_exclusions", f"WITH {EVENTS} SELECT {PROBLEM_SQL} AS reason, count(*) AS n FROM ev LEFT JOIN part ON p_partkey = resource_id WHERE {PROBLEM_SQL} IS NOT NULL GROUP BY 1")
 def c9(spark, d):
-    return C.excluded(_problems(spark, d), PROBLEM_RULES).groupBy("reason").agg(F.count("*").alias("n"))
+    return C.excluded(_problems(spark, d), problem_rules()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("c10_normalise_comments", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'U_' || conv_id ELSE 'U_' || role END AS user_id, trim(text) AS text, CAST(NULL AS DOUBLE) AS positive_score FROM conversations")

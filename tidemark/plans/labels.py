@@ -108,9 +108,9 @@ def l10(spark, d):
 BAND_SQL = "CASE WHEN s IS NULL THEN NULL WHEN s >= 0.6 THEN 'good' WHEN s >= 0.3 THEN 'average' ELSE 'poor' END"
 
 
-@query("l11_floors", f"WITH {PROGRESS} SELECT failed, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN a < 0.2 THEN 'items' END, CASE WHEN b < 0.3 THEN 'time' END, CASE WHEN c < 0.95 THEN 'score' END) AS failed FROM pr) GROUP BY 1")
+@query("l11_floors", f"WITH {PROGRESS} SELECT failed, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN a < 0.2003 THEN 'items' END, CASE WHEN b < 0.3 THEN 'time' END, CASE WHEN c < 0.9503 THEN 'score' END) AS failed FROM pr) GROUP BY 1")
 def l11(spark, d):
-    failed = L.failed_floors({"items": (F.col("a"), 0.2), "time": (F.col("b"), 0.3), "score": (F.col("c"), 0.95)})
+    failed = L.failed_floors({"items": (F.col("a"), 0.2003), "time": (F.col("b"), 0.3), "score": (F.col("c"), 0.9503)})
     return progress(spark, d).groupBy(failed.alias("failed")).agg(F.count("*").alias("n"))
 
 

@@ -12,7 +12,12 @@ from ..sources.tables import read_table
 from .base import PREDICTIONS, labelled, predictions
 from .registry import query
 
-STRICT = F.when(F.col("strict") == 1, "STRICT").otherwise("OVERLAP")
+
+
+def strict_slice():
+    return F.when(F.col("strict") == 1, "STRICT").otherwise("OVERLAP")
+
+
 CM = f"""{PREDICTIONS}, cl AS (SELECT course_id, k AS class_id, count(*) AS total, count(*) FILTER (WHERE y_true = k AND y_pred = k) AS tp, count(*) FILTER (WHERE y_true = k) AS support, count(*) FILTER (WHERE y_pred = k) AS predicted
   FROM pred, (VALUES (0), (1), (2)) AS ks(k) GROUP BY 1, 2),
   pc AS (SELECT *, CASE WHEN support > 0 THEN coalesce(tp / nullif(predicted, 0), 0) END AS precision, CASE WHEN support > 0 THEN tp / support END AS recall, CASE WHEN support > 0 THEN (total - support - predicted + tp) / nullif(total - support, 0) END AS specificity,
@@ -51,7 +56,7 @@ def m4(spark, d):
 
 @query(
     "m5_mcc_kappa",
-    f"WITH {CM}, s AS (SELECT course_id, max(total)::DOUBLE AS s, sum(tp) AS c, sum(support::DOUBLE * predicted) AS pt, sum(predicted::DOUBLE * predicted) AS pp, sum(support::DOUBLE * support) AS tt FROM cl GROUP BY 1) SELECT course_id, round((c * s - pt) / sqrt((s * s - pp) * (s * s - tt)), 6) AS mcc, round((c * s - pt) / (s * s - pt), 6) AS kappa FROM s",
+    f"WITH {CM}, s AS (SELECT course_id, max(total)::DOUBLE AS s, sum(tp) AS c, sum(support::DOUBLE * predicted) AS pt, sum(predicted::DOUBLE * predicted) AS pp, sum(support::DOUBLE * support) AS tt FROM cl GROUP BY 1) SELECT course_id, round((c * s - pt) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0), 6) AS mcc, round((c * s - pt) / nullif(s * s - pt, 0), 6) AS kappa FROM s",
 )
 def m5(spark, d):
     return rounded(M.mcc_kappa(classes(spark, d), ["course_id"]))
@@ -141,12 +146,12 @@ def m16(spark, d):
     f"""WITH {PREDICTIONS}, sl AS (SELECT *, unnest(['ALL', CASE WHEN strict = 1 THEN 'STRICT' ELSE 'OVERLAP' END]) AS slice FROM pred) SELECT slice, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM sl GROUP BY 1""",
 )
 def r1(spark, d):
-    return rounded(R.slice_metrics(predictions(spark, d), STRICT, []).select("slice", "accuracy"))
+    return rounded(R.slice_metrics(predictions(spark, d), strict_slice(), []).select("slice", "accuracy"))
 
 
 @query("r2_slice_partition", f"WITH {PREDICTIONS} SELECT y_true, y_pred, count(*) AS n_all, count(*) AS n_parts, true AS matches FROM pred GROUP BY 1, 2")
 def r2(spark, d):
-    return R.slice_partition(predictions(spark, d), STRICT, ["STRICT", "OVERLAP"])
+    return R.slice_partition(predictions(spark, d), strict_slice(), ["STRICT", "OVERLAP"])
 
 
 @query("r3_hash_join", f"WITH {PREDICTIONS} SELECT sha256('salt|' || doc_id) AS id_hash, doc_id, y_pred FROM pred")
