@@ -233,3 +233,29 @@ def test_filters_keep_columns_and_clean_rows(spark, odd):
     hits = spark.createDataFrame([(1, "one two"), (2, "same line of some words here same line")], "item_id long, text string")
     left = {r.text for r in keep_uncontaminated(odd, hits).collect()}
     assert "one two" not in left and "a" in left
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (2, 60)])
+def test_components_around_the_threshold(spark, width, percent):
+    """Families with few to many edits, and documents that share a passage without being similar."""
+    import random
+
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage, rows = [word() for _ in range(60)], []
+    for family in range(12):
+        base = [word() for _ in range(rng.randint(20, 160))]
+        if family % 2:
+            base = base[:30] + passage + base[30:]
+        for _ in range(9):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows) * 3 % 1000, " ".join(text)))
+    rows += [(2000 + i, " ".join([word() for _ in range(rng.randint(5, 60))] + passage)) for i in range(40)]
+    got = similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent)
+    assert rows_of(got) == brute.components(rows, width, percent)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect()), key=repr)
