@@ -26,6 +26,7 @@ from .common import spill, text_of
 from .components import connected_components
 
 BLOCK_BYTES = 12 << 20
+BUCKET_SIGNATURES = 400_000
 
 
 def size_classes(percent: int, largest: int) -> np.ndarray:
@@ -36,35 +37,39 @@ def size_classes(percent: int, largest: int) -> np.ndarray:
     return np.array([*ends, -(-ends[-1] * 100 // percent) + 1, 4 * ends[-1]], dtype=np.int64)
 
 
-def part_signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """Each set's signatures: one for each non-empty part, for its own size class and the next."""
+def part_signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarray, int]]]:
+    """Each set's signatures, for its own size class and for the next, with the number it must share to have a link.
+
+    Linked sets differ in at most ``bound`` shingles, so of a set's non-empty parts all but ``bound`` are whole in any
+    partner. A quarter more parts than needed makes that number telling. Only a set with too few non-empty parts also
+    sends its empty ones.
+    """
     ends = size_classes(percent, max((len(s) for s in sets), default=1))
     out = []
     for s in sets:
-        if not len(s):
-            out.append(s)
-            continue
         own = int(np.searchsorted(ends, len(s), "right")) - 1
-        sigs = []
-        for j in (own, own + 1):
+        both = []
+        for j in (own, own + 1) if len(s) else ():
             bound = int(2 * (ends[j + 1] - 1) * (100 - percent) // (100 + percent))
-            parts = bound + 1 + (bound + 11) // 12
-            part = (s >> np.uint64(20)) % np.uint64(parts)
+            parts = bound + 1 + (bound + 4) // 4
+            part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
             sums = np.zeros(parts, dtype=np.uint64)
-            np.add.at(sums, part.astype(np.int64), mix(s ^ np.uint64(0x5BD1E995)))
-            full = np.unique(part) if len(np.unique(part)) > bound else np.arange(parts, dtype=np.uint64)
-            sigs.append(mix(mix(sums[full.astype(np.int64)] + full) + np.uint64(ends[j])))
-        out.append(np.concatenate(sigs))
+            np.add.at(sums, part, mix(s ^ np.uint64(0x5BD1E995)))
+            full = np.unique(part)
+            need = max(1, len(full) - bound)
+            full = full if len(full) > bound else np.arange(parts)
+            both.append((mix(mix(sums[full] + full.astype(np.uint64)) + np.uint64(ends[j])), need))
+        out.append(both)
     return out
 
 
 def set_node(s: np.ndarray) -> int | None:
-    """A 64-bit name of a shingle set; None for the empty one."""
+    """A 64-bit, even name of a shingle set; None for the empty one."""
     if not len(s):
         return None
     salted = np.append(mix(s + np.uint64(7)), np.uint64(len(s)))
     name = mix(np.array([np.bitwise_xor.reduce(salted)]) * np.uint64(3) + np.array([salted.sum(dtype=np.uint64)]))
-    return int(name.view(np.int64)[0])
+    return int(name.view(np.int64)[0]) & ~1
 
 
 def _encoded(texts: pd.Series) -> list[bytes]:
@@ -90,12 +95,39 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(run, "doc_id string, n_shingles long, node long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def signatures(docs: DataFrame, width: int, percent: int, remembered: int = 1 << 18) -> DataFrame:
-    """sig, node: each set's part signatures; a task sends a set it has just seen only once."""
+LINK, SHARED, NEED = 0, 1, 2
+
+
+def fold(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The smallest member of each distinct signature, and what the others tell: links, and how many each member shares.
+
+    A member is a set in one of its two size classes (its name, plus 0 or 1).
+    """
+    order = np.lexsort((member, sig))
+    sig, member = sig[order], member[order]
+    if not len(sig):
+        return sig, member, []
+    new = np.append(True, sig[1:] != sig[:-1])
+    heads = member[new][np.cumsum(new) - 1] & ~1
+    other = (member & ~1) != heads
+    links = np.unique(np.stack([member & ~1, heads])[:, other], axis=1)
+    group = np.cumsum(new) - 1
+    shared = np.bincount(group, weights=other) > 0
+    who, count = np.unique(member[shared[group]], return_counts=True)
+    return sig[new], member[new], [(LINK, links[0], links[1]), (SHARED, who, count)]
+
+
+def signatures(docs: DataFrame, width: int, percent: int, buckets: int, remembered: int = 1 << 18) -> DataFrame:
+    """bucket, sigs, owner, members, facts: packed signatures, dealt out by their value.
+
+    A task folds what it holds first: sets it has just seen are skipped, and of the sets that share a signature only the
+    smallest is sent on, the others are linked with it at once. sigs: 40-bit (the bucket tells more); owner: 16-bit
+    places in members (64-bit); facts: kind, a and b as 64-bit rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for x in sliced(batches):
+        for x in sliced(batches, 2000):
             fresh = []
             for s in shingle_sets(_encoded(x["text"]), width):
                 node = set_node(s)
@@ -104,39 +136,67 @@ def signatures(docs: DataFrame, width: int, percent: int, remembered: int = 1 <<
                         seen.clear()
                     seen.add(node)
                     fresh.append((node, s))
-            if fresh:
-                sigs = part_signatures([s for _, s in fresh], percent)
-                nodes = np.repeat(np.array([n for n, _ in fresh], dtype=np.int64), [len(s) for s in sigs])
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": nodes})
-
-    return docs.mapInPandas(run, "sig long, node long")
+            if not fresh:
+                continue
+            sigs = part_signatures([s for _, s in fresh], percent)
+            names = np.array([n + k for (n, _), both in zip(fresh, sigs, strict=True) for k in range(len(both))], dtype=np.int64)
+            needs = np.array([need for both in sigs for _, need in both], dtype=np.int64)
+            members = np.repeat(names, [len(s) for both in sigs for s, _ in both])
+            sig, member, facts = fold(np.concatenate([s for both in sigs for s, _ in both]), members)
+            bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+            out = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                rows = order[lo:hi]
+                own, owner = np.unique(member[rows], return_inverse=True)
+                low = np.ascontiguousarray(sig[rows]).view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((int(bucket[rows[0]]), low.tobytes(), owner.astype(np.uint16).tobytes(), own.tobytes(), b""))
+            facts.append((NEED, names, needs))
+            told = np.concatenate([np.stack([np.full(len(a), k), a, b]) for k, a, b in facts], axis=1).astype(np.int64)
+            out.append((int(fresh[0][0] % buckets), b"", b"", b"", told.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "sigs", "owner", "members", "facts"])
+
+    return docs.mapInPandas(run, "bucket int, sigs binary, owner binary, members binary, facts binary")
+
+
+def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
+    """kind, a, b: links of sets that share a part (each with the smallest), parts a member shares, and its need."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        bucket = None
 
-def candidate_links(sigs: DataFrame) -> DataFrame:
-    """a, b: each set that shares a part, linked with the first set that has it. Streams over sorted partitions."""
+        def flushed() -> pd.DataFrame:
+            facts = fold(np.concatenate([s for s, _ in held]), np.concatenate([m for _, m in held]))[2]
+            held.clear()
+            return pd.concat([pd.DataFrame({"kind": np.int32(k), "a": a, "b": b}) for k, a, b in facts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sig = head = None
-        sent: set[tuple[int, int]] = set()
         for x in batches:
-            s, n = x["sig"].to_numpy(), x["node"].to_numpy()
-            new = np.ones(len(s), dtype=bool)
-            new[1:] = s[1:] != s[:-1]
-            new[0] = sig is None or s[0] != sig
-            heads = np.where(new, n, 0)
-            group = np.cumsum(new)
-            firsts = np.concatenate(([0 if head is None else head], n[new]))
-            heads = firsts[group]
-            links = np.unique(np.stack([n, heads])[:, n != heads], axis=1)
-            sig, head = s[-1], firsts[-1]
-            fresh = [p for p in zip(links[0].tolist(), links[1].tolist(), strict=True) if p not in sent]
-            if len(sent) > 1 << 19:
-                sent.clear()
-            sent.update(fresh)
-            if fresh:
-                yield pd.DataFrame(fresh, columns=["a", "b"])
-
-    return sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInPandas(run, "a long, b long")
+            for key, sigs, owner, members, facts in x.itertuples(index=False):
+                if facts:
+                    told = np.frombuffer(facts, dtype=np.int64).reshape(3, -1)
+                    yield pd.DataFrame({"kind": told[0].astype(np.int32), "a": told[1], "b": told[2]})
+                if not sigs:
+                    continue
+                if key != bucket and held:
+                    yield flushed()
+                bucket = key
+                wide = np.zeros((len(sigs) // 5, 8), dtype=np.uint8)
+                wide[:, :5] = np.frombuffer(sigs, dtype=np.uint8).reshape(-1, 5)
+                held.append((wide.view(np.uint64).ravel(), np.frombuffer(members, dtype=np.int64)[np.frombuffer(owner, dtype=np.uint16)]))
+        if held:
+            yield flushed()
+
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "kind int, a long, b long")
+
+
+def sets_with_enough_shared(facts: DataFrame) -> DataFrame:
+    """node: sets that share as many parts, with all others together, as one link would take."""
+    per = facts.where(F.col("kind") != LINK).groupBy(F.col("a").alias("member")).agg(
+        F.sum(F.when(F.col("kind") == SHARED, F.col("b"))).alias("shared"), F.max(F.when(F.col("kind") == NEED, F.col("b"))).alias("need")
+    )
+    return per.where("shared >= need").select((F.col("member") - F.pmod("member", F.lit(2))).alias("node")).distinct()
 
 
 class Forest:
@@ -268,7 +328,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     known = spill(profile(texts, width), "shingle-profile")
     ids = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
-    clusters = connected_components(candidate_links(signatures(texts, width, percent)))
+    expected = (known.agg(F.sum("n_shingles")).first()[0] or 0) * 5 * (100 - percent) // (100 + percent)
+    buckets = int(expected // BUCKET_SIGNATURES) + 8  # so that a bucket's signatures fit in a task whatever the input
+    facts = spill(shared_parts(signatures(texts, width, percent, buckets), buckets), "shared-parts")
+    clusters = connected_components(facts.where(F.col("kind") == LINK).select("a", "b"))
+    clusters = clusters.join(sets_with_enough_shared(facts), "node", "left_semi")
     reach = connected_components(spill(verified_links(units(texts, ids, clusters, width), percent), "near-links"))
     low = ids.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = low.groupBy("root").agg(F.min("low").alias("component_id"))
