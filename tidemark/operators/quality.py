@@ -73,7 +73,8 @@ def quality_summary(df: DataFrame, columns: list[str], masks: list[str], keys: l
         F.count(F.lit(1)).alias("n_rows"), F.count_if(any_of([F.isnan(F.col(c).cast("double")) for c in columns])).alias("nonfinite_rows"), F.count_if(any_of([F.col(c) < 0 for c in columns])).alias("negative_rows"),
         F.count_if(any_of([~F.col(m).isin(0, 1) for m in masks])).alias("bad_mask_rows"), F.count_if(F.col(label).isNull()).alias("null_labels"),
     )
-    return one.join(F.broadcast(per), F.lit(True))  # one row each
+    both = one.withColumn("__k", F.lit(1)).join(per.withColumn("__k", F.lit(1)), "__k")  # one row each
+    return both.drop("__k")
 
 
 def bin_scheme(train: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
@@ -159,10 +160,7 @@ def fidelity(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def quantile_distance(real: DataFrame, synthetic: DataFrame, column: str, steps: int = 20) -> DataFrame:
     """Mean absolute difference of quantiles, and synthetic values outside the real range."""
     qs = F.array(*(F.lit(i / steps) for i in range(steps + 1)))
-    a = real.agg(F.percentile(column, qs).alias("a"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-    b = synthetic.agg(F.percentile(column, qs).alias("b"))
-    both = a.join(F.broadcast(b), F.lit(True))  # one row each
-    distance = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / (steps + 1)
-    limits = real.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    outside = synthetic.join(F.broadcast(limits), F.lit(True)).agg(F.count_if((F.col(column) < F.col("lo")) | (F.col(column) > F.col("hi"))).alias("outside"))
-    return both.select(distance.alias("distance")).join(F.broadcast(outside), F.lit(True))
+    limits = real.agg(F.percentile(column, qs).alias("a"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()  # one row
+    expected = F.array(*(F.lit(v) for v in limits["a"] or []))
+    distance = F.aggregate(F.zip_with(F.percentile(column, qs), expected, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / (steps + 1)
+    return synthetic.agg(distance.alias("distance"), F.count_if((F.col(column) < limits["lo"]) | (F.col(column) > limits["hi"])).alias("outside"))
