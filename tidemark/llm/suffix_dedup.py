@@ -70,33 +70,45 @@ def anchors_of(texts: list[bytes], length: int, seed: int) -> tuple[np.ndarray,
 
 
 def anchor_table(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """h, c, doc_id, th, p: all anchors; c hashes the surroundings."""
+    """h, c, n, doc_id, th, p: all anchors; c hashes the surroundings.
+
+    Equal surroundings of one batch fold at once: the first stands for the others (n = 2), which are settled (n = 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             docs, th, text = x.column(0), x.column(1), x.column(2).cast(pa.binary())
+            parts = []
             for k in range(0, x.num_rows, 1000):
                 of, place, h, c = anchors_of([t.as_py() for t in text[k : k + 1000]], length, seed)
-                if len(of):
-                    at = pa.array(of + k)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), docs.take(at), th.take(at), pa.array(place.astype(np.int32))], ["h", "c", "doc_id", "th", "p"])
-
-    return texts.select("doc_id", "th", "text").mapInArrow(run, f"h long, c long, {KEY}, p int")
+                parts.append((of + k, place, h, c))
+            of, place, h, c = (np.concatenate(z) for z in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+            if not len(of):
+                continue
+            order = np.lexsort((c, h))
+            new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
+            size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            n = np.empty(len(of), dtype=np.int32)
+            n[order] = np.where(new, np.minimum(size, 2), 0)
+            at = pa.array(of)
+            columns = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n), docs.take(at), th.take(at), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "n", "doc_id", "th", "p"])
+
+    return texts.select("doc_id", "th", "text").mapInArrow(run, f"h long, c long, n int, {KEY}, p int")
 
 
 def settle(anchors: DataFrame) -> DataFrame:
     """Anchors that several places share. kind 0: its surroundings are repeated; 1: that, and one of them to compare with; 2: to be expanded."""
 
-    def decide(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(h)
+    def decide(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new_h = np.append(True, h[1:] != h[:-1])
         new_c = new_h | np.append(True, c[1:] != c[:-1])
         group, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        size_c = np.bincount(context)[context]
+        size_c = np.bincount(context, weights=n)[context]
         contexts = np.bincount(group, weights=new_c)[group]
-        size_h = np.bincount(group)[group]
+        size_h = np.bincount(group, weights=n)[group]
         kind = np.where(size_c > 1, np.where(new_c & (contexts > 1), 1, 0), np.where(contexts > 1, 2, -1))
-        return np.where(size_h > 1, kind, np.full(n, -1)), contexts
+        return np.where(size_h > 1, kind, -1), contexts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -110,7 +122,7 @@ def settle(anchors: DataFrame) -> DataFrame:
             yield from judged(rest)
 
     def judged(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        kind, contexts = decide(x["h"].to_numpy(), x["c"].to_numpy())
+        kind, contexts = decide(x["h"].to_numpy(), x["c"].to_numpy(), x["n"].to_numpy())
         out = x.assign(kind=kind.astype(np.int32), hot=contexts > HOT)[kind >= 0]
         if len(out):
             yield out[["h", "doc_id", "th", "p", "kind", "hot"]]
@@ -260,14 +272,16 @@ def hot_windows(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_runs(texts: DataFrame, length: int, seed: int) -> DataFrame:
     """doc_id, th, start, end: byte ranges (ends may pass the text's) that together cover all repeated strings."""
-    shared = spill(settle(anchor_table(texts, length, seed)), "shared-anchors")
+    anchors = spill(anchor_table(texts, length, seed), "anchors")
+    shared = spill(settle(anchors.where("n > 0")), "shared-anchors")
     contexts = surroundings(texts, shared.where("kind > 0"), length, seed)
     hot = shared.where("hot").limit(1).count() > 0
     contexts = spill(contexts, "surroundings") if hot else contexts
     runs = expanded(contexts, length)
     if hot:
         runs = runs.unionByName(hot_windows(contexts, length))
-    same = shared.where("kind < 2").select("doc_id", "th", (F.col("p") - (length - seed)).alias("start"), (F.col("p") + length).alias("end"))
+    folded = anchors.where("n = 0").select("doc_id", "th", "p").unionByName(shared.where("kind < 2").select("doc_id", "th", "p"))
+    same = folded.select("doc_id", "th", (F.col("p") - (length - seed)).alias("start"), (F.col("p") + length).alias("end"))
     return same.unionByName(runs)
 
 
