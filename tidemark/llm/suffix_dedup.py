@@ -206,13 +206,13 @@ def range_minima(common: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.nd
 def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) -> DataFrame:
     """h, doc_id, th, p, kind, hot, back, around: the bytes of all windows over an anchor; ``back`` of them precede it."""
     need = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "p", "kind", "hot")).alias("at"))
-    joined = texts.join(need, ["doc_id", "th"]).select("doc_id", "th", "text", "at")
+    joined = texts.join(need, ["doc_id", "th"]).select("id", "doc_id", "th", "text", "at")  # with id, so that the last join reuses this exchange of texts
     back = length - seed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for d, th, text, at in x.itertuples(index=False):
+            for _, d, th, text, at in x.itertuples(index=False):
                 data = text.encode("utf-8", "surrogatepass")
                 out += [(a["h"], d, th, a["p"], a["kind"], a["hot"], min(back, a["p"]), data[max(0, a["p"] - back) : a["p"] + length]) for a in at]
                 if len(out) > 5000:
