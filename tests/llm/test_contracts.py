@@ -259,3 +259,23 @@ def test_components_around_the_threshold(spark, width, percent):
 
 def rows_of(df):
     return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+
+
+@pytest.mark.parametrize("small, large", [(8, 9), (25, 26), (272, 302), (375, 416)])
+def test_components_do_not_depend_on_the_slice(spark, small, large):
+    """Links of sets in neighbouring size classes, with the partner in a slice that holds larger sets, and in one that does not."""
+    words = [f"w{i}" for i in range(large + 2)]
+    rows = [(1, " ".join(words[: small + 2])), (2, " ".join(words)), (3, " ".join(f"v{i}" for i in range(900)))]
+    for n in (3, 2):  # each alone; the larger one beside still larger sets
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+        assert rows_of(similarity_components(docs, width=3, percent=90)) == brute.components(rows, 3, 90)
+
+
+def test_size_classes_do_not_depend_on_the_largest_set():
+    from tidemark.llm.jaccard_join import size_classes
+
+    for percent in (50, 80, 90, 99):
+        regular = size_classes(percent, 5000)
+        for largest in range(1, 600):
+            ends = size_classes(percent, largest)
+            assert list(ends) == list(regular[: len(ends)]) and (ends > largest).sum() >= 3

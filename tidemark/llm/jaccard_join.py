@@ -30,11 +30,15 @@ BUCKET_SIGNATURES = 400_000
 
 
 def size_classes(percent: int, largest: int) -> np.ndarray:
-    """Lower ends of size classes; linked sets are in one class or in neighbouring ones."""
+    """Lower ends of size classes; linked sets are in one class or in neighbouring ones.
+
+    Every end follows from the one before, so an index has the same end whatever the largest set; two ends more than
+    needed to place ``largest`` give its next class both of its ends.
+    """
     ends = [1]
-    while ends[-1] <= largest:
+    while len(ends) < 3 or ends[-3] <= largest:
         ends.append(max(ends[-1] + 1, -(-ends[-1] * 100 // percent)))
-    return np.array([*ends, -(-ends[-1] * 100 // percent) + 1, 4 * ends[-1]], dtype=np.int64)
+    return np.array(ends, dtype=np.int64)
 
 
 def part_signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarray, int]]]:
