@@ -279,3 +279,21 @@ def test_size_classes_do_not_depend_on_the_largest_set():
         for largest in range(1, 600):
             ends = size_classes(percent, largest)
             assert list(ends) == list(regular[: len(ends)]) and (ends > largest).sum() >= 3
+
+
+def test_one_occurrence_of_an_item_suffices(spark):
+    item = "A train leaves with Alice at 40 km per hour and meets Bob after 3 hours of travel so how far did Alice go"
+    versions = [item, *(item.replace("40", a).replace("3 hours", f"{b} hours").replace("Alice", c).replace("Bob", d) for a, b, c, d in (("65", "7", "Carla", "Dan"), ("80", "9", "Eve", "Finn"), ("95", "11", "Gus", "Hal")))]
+    longer = item.replace("per hour and", "per hour in the rain and")
+    numbers = "sum of 4 8 15 16 23 42 4 8 15 16 23 42 gives"
+    mixed = "A train leaves with Ida at 1 km per hour and meets Jo after 2 hours of travel so how far did Kim go"
+    docs = [
+        (1, ". ".join(versions)), (2, ". ".join(versions[1:])), (3, ". ".join([longer, *versions[1:]])), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 " + numbers + " 31 32 33 34 35 36 37 38 39"),
+        (5, "take 1 then 2 then 3 then 4 then 6 then 7 of them"), (None, ". ".join(versions)), (6, versions[1]), (7, ". ".join([mixed] * 2)),
+    ]
+    items = [(9, item), (12, "take 5 then 5 then 5 then 5 then 5 then 5 of them"), (13, numbers)]
+    found = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r.doc_id: r.item_ids for r in found}
+    assert len(found) == len(docs)
+    assert {k: got[k] for k in (1, 2, 3, None, 6)} == dict.fromkeys((1, 2, 3, None, 6), "9")
+    assert got[4] == "13" and got[5] == ""

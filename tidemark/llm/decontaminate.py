@@ -4,6 +4,8 @@ Numbers, names and units become typed placeholders; windows of five template wor
 those of the benchmark. A document that holds enough of an item's windows is a candidate. For candidates, the values
 that stand in aligned slots are compared: an item's value must map to one document value throughout (its most
 frequent one, nearly always), which holds for verbatim copies and for re-parameterised questions, not for chance.
+One occurrence of the item suffices: windows at one distance from their place in the item, or at distances no more
+than half an item apart (words put in or left out), or all of the document's windows together.
 
 Null and empty texts match nothing, on either side; an item with fewer words than a window is one window of all of
 them. Rows that repeat identifier and text share one decision; repeated items count once each under their own id. Empty
@@ -13,7 +15,7 @@ inputs are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spill, text_of
@@ -67,10 +69,30 @@ def starts(window: int) -> Column:
 
 
 def slotted_windows(table: DataFrame, key: list[str], window: int) -> DataFrame:
-    """key, w, slots: each window with the values in its slots (null for plain words)."""
+    """key, w, at, slots: each window with its place and the values in its slots (null for plain words)."""
     value = lambda at, k: F.when(F.get("form", at + k).isin(NUMBER, NAME, UNIT), F.lower(F.btrim(F.get("words", at + k), F.lit(PUNCTUATION))))
-    each = F.transform(starts(window), lambda at: F.struct(hashed(at, window).alias("w"), F.array(*(value(at, k) for k in range(window))).alias("slots")))
-    return templates(table).select(*key, F.explode(each).alias("x")).select(*key, "x.w", "x.slots")
+    each = F.transform(
+        starts(window), lambda at: F.struct(hashed(at, window).alias("w"), at.alias("at"), F.array(*(value(at, k) for k in range(window))).alias("slots"))
+    )
+    return templates(table).select(*key, F.explode(each).alias("x")).select(*key, "x.w", "x.at", "x.slots")
+
+
+def occurrences(own: DataFrame, slots: DataFrame) -> DataFrame:
+    """doc_id, th, item_id, place, w, slots, own: matching windows by the occurrences they can belong to.
+
+    place: (0, distance), (1 or 2, band of distances as wide as the item; the two kinds overlap by half), (3, null) for
+    the whole document. An occurrence has one match for each place in the item, at the distance that most windows have.
+    """
+    wide = slots.groupBy("item_id").agg((F.max("at") + F.lit(WINDOW)).alias("wide"))
+    met = own.join(slots.withColumnRenamed("at", "item_at"), "w").join(F.broadcast(wide), "item_id").withColumn("far", F.col("at") - F.col("item_at"))
+    met = met.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "th", "item_id", "far")))
+    place = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
+    places = F.array(
+        place(0, F.col("far")), place(1, F.floor(F.col("far") / F.col("wide"))), place(2, F.floor(F.col("far") / F.col("wide") + 0.5)), place(3, F.lit(None))
+    )
+    met = met.withColumn("place", F.explode(places)).withColumn("alone", F.when(F.col("place.kind") == 3, F.col("at")))
+    best = F.max_by(F.struct("w", "slots", "own"), F.struct("m", -F.col("far"))).alias("x")
+    return met.groupBy("doc_id", "th", "item_id", "place", "item_at", "alone").agg(best).select("doc_id", "th", "item_id", "place", "x.w", "x.slots", "x.own")
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, least: float, agree: float) -> DataFrame:
@@ -91,13 +113,19 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     rows = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
     again = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi")
     own = slotted_windows(again.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"], window).withColumnRenamed("slots", "own")
-    pairs = own.join(slots, "w").select("doc_id", "th", "item_id", F.explode(F.arrays_zip("slots", "own")).alias("x")).where("x.slots is not null")
-    votes = pairs.groupBy("doc_id", "th", "item_id", "x.slots", "x.own").agg(F.count(F.lit(1)).alias("n"))
-    votes = votes.groupBy("doc_id", "th", "item_id", "slots").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    votes = votes.groupBy("doc_id", "th", "item_id").agg((F.sum("most") / F.sum("all")).alias("agreement"))
-    votes = votes.withColumnsRenamed({"doc_id": "d", "th": "t", "item_id": "i"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & F.col("item_id").eqNullSafe(F.col("i"))
-    judged = found.join(votes, same, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
+    again = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("item_id").alias("i"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("item_id") == F.col("i"))
+    met = spill(occurrences(own, slots).join(again, same, "left_semi"), "benchmark-occurrences")
+    key = ["doc_id", "th", "item_id", "place"]
+    whole = met.groupBy(*key).agg(F.count_distinct("w").alias("n")).join(sizes, "item_id").where(F.col("n") / F.col("size") >= least).select(*key)
+    votes = met.select(*key, F.explode(F.arrays_zip("slots", "own")).alias("x")).where("x.slots is not null")
+    votes = votes.groupBy(*key, "x.slots", "x.own").agg(F.count(F.lit(1)).alias("n"))
+    votes = votes.groupBy(*key, "slots").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    votes = votes.groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("agreement"))
+    votes = votes.withColumnsRenamed({"doc_id": "d", "th": "t", "item_id": "i", "place": "p"})
+    each = whole.join(votes, same & F.col("place").eqNullSafe(F.col("p")), "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
+    best = each.groupBy("doc_id", "th", "item_id").agg(F.max("agreement").alias("agreement")).withColumnsRenamed({"doc_id": "d", "th": "t", "item_id": "i"})
+    judged = found.join(best, same)
     return judged.where(F.col("agreement") >= agree).select("doc_id", "th", "item_id", "coverage", "agreement")
 
 
