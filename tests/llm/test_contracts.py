@@ -297,3 +297,12 @@ def test_one_occurrence_of_an_item_suffices(spark):
     assert len(found) == len(docs)
     assert {k: got[k] for k in (1, 2, 3, None, 6)} == dict.fromkeys((1, 2, 3, None, 6), "9")
     assert got[4] == "13" and got[5] == ""
+
+
+@pytest.mark.parametrize("others", [60, 100])
+def test_url_verdicts_do_not_depend_on_the_number_of_branches(spark, others):
+    slug = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    data = [(i, f"http://shop.example.com/de/{slug(i)}") for i in range(60)] + [(1000 + i, f"http://shop.example.com/{slug(i)}/{slug(i + 500)}") for i in range(others)]
+    data += [(2000 + i, f"http://quiet.example.com/page/{slug(i)}") for i in range(200)]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(data, "page_id long, url string")).collect()}
+    assert got == {i: "block" if i < 1000 else "allow" for i, _ in data}

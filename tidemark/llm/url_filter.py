@@ -2,8 +2,8 @@
 
 Pages are first folded to distinct (host, generalised path) with counts, so a hot host shrinks before any shuffle.
 Then the tree is built level by level. At each level, segments that look variable (digits, long hex) are already
-wildcards; a parent with very many children, or a child whose block share does not differ from its siblings' pooled
-share by a z test, becomes the wildcard ``*`` as well, which merges statistically similar branches. A template is
+wildcards; a child whose block share does not differ from its siblings' pooled share by a z test becomes the wildcard
+``*`` as well, which merges statistically similar branches, however many children there are. A template is
 blocked if its smoothed purity among labelled pages reaches the threshold; labels come from the given rules.
 
 Null or malformed urls have empty host and path, no rule, and are judged like any other template (allowed unless
@@ -47,7 +47,7 @@ def segments(path: Column, depth: int) -> Column:
     return F.when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
 
 
-def template_tree(pages: DataFrame, depth: int = 4, max_children: int = 64, z: float = 2.58) -> DataFrame:
+def template_tree(pages: DataFrame, depth: int = 4, z: float = 2.58) -> DataFrame:
     """host, segs, template, n, n_block, n_allow for each distinct generalised path. ``pages``: host, segs, label."""
     tree = pages.groupBy("host", "segs").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "block").alias("n_block"), F.count_if(F.col("label") == "allow").alias("n_allow")
@@ -56,12 +56,12 @@ def template_tree(pages: DataFrame, depth: int = 4, max_children: int = 64, z: f
     for level in range(depth + 1):
         seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         child = tree.withColumn("seg", seg).groupBy("host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("n_block").alias("cb"))
-        pooled = child.groupBy("host", "template").agg(F.sum("cn").alias("pn"), F.sum("cb").alias("pb"), F.count(F.lit(1)).alias("children"))
+        pooled = child.groupBy("host", "template").agg(F.sum("cn").alias("pn"), F.sum("cb").alias("pb"))
         share, p = F.col("cb") / F.col("cn"), F.col("pb") / F.col("pn")
         alike = F.abs(share - p) <= z * F.sqrt(p * (1 - p) / F.col("cn"))
         named = child.join(pooled, ["host", "template"]).select(
             "host", "template", "seg",
-            F.when(F.col("seg").isin("", "**"), F.col("seg")).when((F.col("children") > max_children) | alike, F.lit("*")).otherwise(F.col("seg")).alias("as"),
+            F.when(F.col("seg").isin("", "**"), F.col("seg")).when(alike, F.lit("*")).otherwise(F.col("seg")).alias("as"),
         )
         grown = F.when(F.col("as") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))
         tree = tree.withColumn("seg", seg).join(named, ["host", "template", "seg"]).select("host", "segs", grown.alias("template"), "n", "n_block", "n_allow")
