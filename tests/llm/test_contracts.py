@@ -1,10 +1,11 @@
 """Each operator against its plain version, on a whole small table and on hard rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import decontaminate, keep_uncontaminated
-from tidemark.llm.exact_dedup import exact_dedup, flush, keep_distinct, keyed, probe
+from tidemark.llm.exact_dedup import exact_dedup, keep_distinct, keyed, memtable, merge, probe
 from tidemark.llm.jaccard_join import keep_one_of_group, similarity_components
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.pii import find_pii
@@ -35,10 +36,31 @@ def test_exact_dedup(docs):
     assert got == sorted(brute.exact(pairs(docs)), key=repr)
 
 
-def test_exact_index_probe(hard):
-    runs = flush(keyed(hard))
-    digest = runs.first()["digest"]
-    assert probe(runs, [bytes(digest)]).count() >= 1
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_exact_dedup_with_full_filters(odd, monkeypatch, bits):
+    """A filter of few slots lets more rows through, with the same result; so do texts that share a digest."""
+    want = sorted(brute.exact(pairs(odd)), key=repr)
+    assert rows(exact_dedup(odd, batches=3, filter_bits=bits), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    import tidemark.llm.exact_dedup as module
+
+    plain = module.keyed
+    monkeypatch.setattr(module, "keyed", lambda *a: plain(*a).withColumn("digest", F.unhex(F.substring(F.sha2("norm", 256), 1, 2))))
+    got = rows(exact_dedup(odd, batches=3, filter_bits=bits), "doc_id", "keep_id", "group_size", "kept")
+    assert got == sorted((w[:4] for w in want), key=repr)
+
+
+def test_runs_and_filters(spark, odd):
+    keys = keyed(odd)
+    a, b = memtable(keys.where("doc_id < 50")), memtable(keys.where("doc_id >= 50 or doc_id is null"))
+    probed = {bytes(r.digest): r.maybe for r in probe(b, a, 1 << 24).collect()}
+    held = {bytes(r.digest) for r in a.collect()}
+    assert all(probed[d] for d in held & set(probed)) and not all(probed.values())
+    assert rows(merge(a, b, 1 << 15), "digest", "best", "n") == rows(memtable(keys), "digest", "best", "n")
+
+
+def test_keep_distinct_by_text(spark):
+    docs = spark.createDataFrame([(5, "same text here"), (3, "same  text here "), (5, "other text"), (7, "same text here")], "doc_id long, text string")
+    assert rows(keep_distinct(docs), "doc_id", "text") == [(3, "same  text here "), (5, "other text")]
 
 
 def test_pii(docs):

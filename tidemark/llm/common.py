@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,17 @@ BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``; a default only where none is set."""
+    """A folder of this application that all executors share, under the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (as in tests) uses the machine's temporary folder; a cluster is refused, because
+    each executor would write to its own disk. Deleting the folder after a run clears all scratch tables of the run.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints/tidemark"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
 def spill(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -32,6 +38,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+HEAVY_SHARE = 1000
+
+
+def heavy_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row for each key and, in ``weight``, the number of its rows in ``big``.
+
+    Keys that hold a thousandth of all ``total`` rows or more, of which there can be a thousand at most, are broadcast,
+    so that no task gets all rows of a hot key; the others are shuffled. ``how``: inner or left. Keys must not be null.
+    """
+    hot = F.col(weight) * HEAVY_SHARE >= total
+    heavy, light = small.where(hot), small.where(~hot)
+    rest = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return big.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
+def slots(keys: list[Column], bits: int) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1))
+
+
+def slot_filter(rows: DataFrame, keys: list[str], bits: int = 1 << 24) -> DataFrame:
+    """bucket, bitmap: the hash slots that the keys of ``rows`` take, as bitmaps of 4 KB.
+
+    The size is fixed by ``bits`` (a power of two, 2 MB by default), so that it can be broadcast whatever the input; a
+    fuller filter lets more rows through, but never drops one.
+    """
+    slot = slots([F.col(k) for k in keys], bits)
+    taken = rows.select(F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit(32767)).alias("at")).distinct()
+    return taken.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+
+
+def maybe_in(rows: DataFrame, keys: list[Column], filter_: DataFrame, name: str = "maybe", bits: int = 1 << 24) -> DataFrame:
+    """Adds ``name``: false where the row's key is in none of the filter's rows; true where it is, and now and then else."""
+    slot = slots(keys, bits)
+    held = filter_.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(shiftright(__slot & 32767, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(power(2, __slot & 7) as int)")
+    joined = rows.withColumn("__slot", slot).join(F.broadcast(held), F.shiftright("__slot", 15) == F.col("__bucket"), "left")  # fixed size
+    return joined.withColumn(name, F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False))).drop("__slot", "__bucket", "__bitmap")
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
