@@ -47,9 +47,12 @@ def pii(text):
     return found
 
 
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
 def secrets(text):
     text = text or ""
-    assign = re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A)
+    assign = re.finditer(ASSIGN, text, re.A)
     return {
         "assign": [m.span() for m in assign if len(m[2]) >= 6],
         "access": [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20],
@@ -57,6 +60,39 @@ def secrets(text):
     }
 
 
+MORE_SECRETS = {
+    "vendor": r"\b(?:gh[opsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\\s]*",
+    "login": r"://[^\s/:@]+:[^\s/:@]+@",
+}
+
+
+def owned_secrets(rows, owners=2, repositories=5):
+    """(doc_id, spans, n_live, n_example) of rows (doc_id, text, owner): values by who holds them."""
+    each = []
+    for i, (d, t, owner) in enumerate(rows):
+        found = {k: [(a, b, (t or "")[a:b]) for a, b in v] for k, v in secrets(t).items()}
+        found["assign"] = [(m.start(), m.end(), m[2]) for m in re.finditer(ASSIGN, t or "", re.A) if len(m[2]) >= 6]
+        for k, pattern in MORE_SECRETS.items():
+            hits = [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, t or "")]
+            found[k] = [(a, b, re.sub(r"\s", "", v.split("KEY-----")[-1])) for a, b, v in hits] if k == "pem" else hits
+            found[k] = [x for x in found[k] if x[2]]
+        each += [(i, d, owner or "", k, a, b, v) for k, all_ in found.items() for a, b, v in all_]
+    holders = defaultdict(set)
+    for _, d, owner, _, _, _, v in each:
+        holders[v].add((owner, d))
+    live = {v: len({o for o, _ in h}) <= owners and len(h) <= repositories for v, h in holders.items()}
+    out = []
+    order = [*secrets(""), *MORE_SECRETS]
+    for i, (d, _, _) in enumerate(rows):
+        own = [x for x in each if x[0] == i]
+        kept = sorted((a, order.index(k), b, k) for _, _, _, k, a, b, v in own if live[v] or k in order[:3])
+        n = sum(live[x[6]] for x in own)
+        out.append((d, ",".join(f"{k}:{a}:{b}" for a, _, b, k in kept), n, len(own) - n))
+    return out
+
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 

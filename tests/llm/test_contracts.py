@@ -90,6 +90,20 @@ def test_secret_ownership(spark):
     assert got[2].spans == "" and got[2].n_example == 1
 
 
+def test_secret_values(spark, odd):
+    """Every span and count against the plain version, with keys that share a header, a copied key and repeated rows."""
+    pem = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    data = [(i, f"key {pem(f'MIIE{i}abc+/' * 5)} end", f"o{i}") for i in range(7)]
+    data += [(20 + i, f"copy {pem('QUJD' * 9 if i % 2 else 'QUJD' * 5 + chr(10) + 'QUJD' * 4)} end", f"o{i}") for i in range(7)]
+    data += [(40 + i, f"https://user:pw{i % 2}@host.org/ and eyJhbGciOiJIUzI1.eyJzdWIiOi{i % 3}.abcdefgh" + pem("", "") + " token=hunter22", None if i % 2 else "o") for i in range(6)] * 2
+    data += [(r.doc_id, r.text, r.source) for r in odd.collect()]
+    got = secret_scan(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    want = sorted(brute.owned_secrets(data), key=repr)
+    assert rows(got, "doc_id", "spans", "n_live", "n_example") == want
+    by = {r.doc_id: r.spans for r in got.collect()}
+    assert all(by[i].startswith("pem:4:") for i in range(7)) and all(by[20 + i] == "" for i in range(7))
+
+
 def test_licenses(docs):
     want = sorted(((d, *brute.licenses(t)) for d, t in pairs(docs)), key=repr)
     got = license_scan(docs)

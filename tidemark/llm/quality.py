@@ -142,31 +142,32 @@ def _bytes(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, most_passages: int) -> DataFrame:
-    """doc_id, label, bag (float32 inputs) of at most ``sample`` labelled rows, drawn by hash.
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """doc_id, label, bag (float32 inputs, all passages) of at most ``sample`` labelled identifiers, drawn by hash.
 
-    Of a bag with more than ``most_passages``, evenly spaced passages are used in fitting (scoring uses all).
+    Rows that repeat an identifier give one bag, that of the smallest of their texts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")  # bounded by the sample
+    rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))  # bounded by the sample
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            inputs, first = passages(_bytes(x["text"]))
-            bags = [inputs[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            bags = [b if len(b) <= most_passages else b[np.linspace(0, len(b) - 1, most_passages).astype(int)] for b in bags]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "label": x["label"], "bag": [b.tobytes() for b in bags]})
+            for a, b in chunks(texts := _bytes(x["text"]), 1 << 22):
+                inputs, first = passages(texts[a:b])
+                bags = [inputs[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
+                yield pd.DataFrame({"doc_id": x["doc_id"][a:b], "label": x["label"][a:b], "bag": bags})
 
     return rows.mapInPandas(run, "doc_id long, label int, bag binary")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6_000, most_passages: int = 16):
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6_000):
     """A model, or a constant score where the labels do not allow one."""
-    bags = spill(training_sample(docs, labels, id_col, text_col, label_col, sample, most_passages), "quality-bags")
-    x = bags.toPandas().sort_values(["doc_id", "label", "bag"])  # bounded: sample x most_passages x inputs
+    bags = spill(training_sample(docs, labels, id_col, text_col, label_col, sample), "quality-bags")
+    x = bags.toPandas().sort_values(["doc_id", "label", "bag"])  # bounded by the sample: under two bytes for each byte of its texts
     if x["label"].nunique() < 2:
         return float(x["label"].mean()) if len(x) else 0.5
     each = [np.frombuffer(b, dtype=np.float32).reshape(-1, N_INPUTS) for b in x["bag"]]
@@ -174,8 +175,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return GatedAttention().fit(np.concatenate(each), first, x["label"].to_numpy().astype(np.float32))
 
 
-def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
+def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", also_text_hash: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted (and th, a hash of the text): one row for each row of ``docs``."""
+    names = ["doc_id", "held_out", "th"] if also_text_hash else ["doc_id", "held_out"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -184,10 +186,12 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
             else:
                 texts = _bytes(x["text"])
                 scores = np.concatenate([model.score(*passages(texts[a:b])) for a, b in chunks(texts, 1 << 22)]) if texts else np.zeros(0)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": scores.astype(np.float64), "predicted": (scores >= 0.5).astype(np.int32)})
+            yield x[names].assign(score=scores.astype(np.float64), predicted=(scores >= 0.5).astype(np.int32))
 
-    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
-    return texts.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = text_of(text_col)
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(own).alias("th"), own.alias("text")).select(*names, "text")
+    hashed = "th long, " if also_text_hash else ""
+    return texts.mapInPandas(run, f"doc_id string, held_out boolean, {hashed}score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -195,7 +199,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    scored = score_quality(docs, fit_quality(docs, labels, id_col, text_col), id_col, text_col)
-    good = scored.where("predicted = 1").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("__good")), "left_semi")
+    """The rows of ``docs`` that the classifier does not reject, with all their columns.
+
+    Rows that go are named by identifier and text, so that rows that share an identifier are judged one by one.
+    """
+    model = fit_quality(docs, labels, id_col, text_col)
+    own = text_of(text_col)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), own.alias("text"))
+    scored = score_quality(keyed, model, also_text_hash=True).where("predicted = 0")
+    bad = spill(scored.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "quality-rejects")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(own) == F.col("__th")), "left_anti")
