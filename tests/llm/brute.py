@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -160,3 +161,50 @@ def components(rows, width, percent):
 
 def held_out(d):
     return d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+
+
+def url_templates(rows, z=2.58, min_pages=5, min_hosts=3, min_labelled=5, strength=4.0, threshold=0.5, bands=4):
+    """(id, template, verdict) of rows (id, url, label)."""
+    pages = []
+    for i, u, given in rows:
+        host, path, _, ruled = url(u)
+        segs = [s for s in path.split("/") if s]
+        segs = tuple("*" if re.search(r"^[0-9]+([._-][A-Za-z0-9]+)?$|^[0-9a-fA-F-]{16,}$|[0-9]{4,}", s, re.A) else s for s in segs)
+        pages.append((i, host, segs, ruled, ruled or given))
+    own = Counter((h, k, s) for _, h, segs, _, _ in pages for k, s in enumerate(segs))
+    hosts = Counter((k, s) for _, k, s in own)
+    shaped = [tuple(s if own[h, k, s] >= min_pages or hosts[k, s] >= min_hosts else "*" for k, s in enumerate(segs)) for _, h, segs, _, _ in pages]
+    branch = defaultdict(lambda: [0, 0])
+    for (_, h, _, _, label), segs in zip(pages, shaped, strict=True):
+        for k, s in enumerate(segs):
+            if label and s != "*":
+                branch[h, segs[:k], s][0] += label == "block"
+                branch[h, segs[:k], s][1] += 1
+    band = {key: min(int(math.asin(math.sqrt(b / m)) / (math.pi / 2 / bands)), bands - 1) for key, (b, m) in branch.items() if m >= min_labelled}
+    pools = defaultdict(lambda: [0, 0, 0])
+    for key, k in band.items():
+        pool = pools[key[0], key[1], k]
+        pool[0], pool[1], pool[2] = pool[0] + branch[key][0], pool[1] + branch[key][1], pool[2] + 1
+    name = {}
+    for key, k in band.items():
+        pb, pm, n = pools[key[0], key[1], k]
+        b, m = branch[key]
+        if n > 1 and abs(b / m - pb / pm) <= z * math.sqrt(pb / pm * (1 - pb / pm) / m):
+            name[key] = f"*{k}"
+    final = [tuple(name.get((h, segs[:k], s), s) for k, s in enumerate(segs)) for (_, h, _, _, _), segs in zip(pages, shaped, strict=True)]
+    at, below = defaultdict(Counter), defaultdict(Counter)
+    for (_, h, _, _, label), t in zip(pages, final, strict=True):
+        at[h, t][label] += 1
+        for k in range(len(t) + 1):
+            below[h, t[:k]][label] += 1
+    prior = sum(p[4] == "block" for p in pages) / max(len(pages), 1)
+    out = []
+    for (i, h, _, ruled, _), t in zip(pages, final, strict=True):
+        some, whole = at[h, t], below[h, t]
+        score = prior
+        if some["block"] + some["allow"] >= min_labelled:
+            score = (some["block"] + strength * prior) / (some["block"] + some["allow"] + strength)
+        elif 2 * (whole["block"] + whole["allow"]) >= whole.total():
+            score = (whole["block"] + strength * prior) / (whole["block"] + whole["allow"] + strength)
+        out.append((i, "/" + "/".join(t), ruled or ("block" if score >= threshold else "allow")))
+    return out

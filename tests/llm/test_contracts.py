@@ -96,7 +96,7 @@ def test_secret_values(spark, odd):
     data = [(i, f"key {pem(f'MIIE{i}abc+/' * 5)} end", f"o{i}") for i in range(7)]
     data += [(20 + i, f"copy {pem('QUJD' * 9 if i % 2 else 'QUJD' * 5 + chr(10) + 'QUJD' * 4)} end", f"o{i}") for i in range(7)]
     data += [(40 + i, f"https://user:pw{i % 2}@host.org/ and eyJhbGciOiJIUzI1.eyJzdWIiOi{i % 3}.abcdefgh" + pem("", "") + " token=hunter22", None if i % 2 else "o") for i in range(6)] * 2
-    data += [(r.doc_id, r.text, r.source) for r in odd.collect()]
+    data += [(None if r.doc_id is None else 1000 + r.doc_id, r.text, r.source) for r in odd.collect()]
     got = secret_scan(spark.createDataFrame(data, "doc_id long, text string, source string"))
     want = sorted(brute.owned_secrets(data), key=repr)
     assert rows(got, "doc_id", "spans", "n_live", "n_example") == want
@@ -122,7 +122,8 @@ def test_license_containment(spark):
 def test_urls(spark, sf_dir):
     urls = [None, "", "no scheme", "://", "http://A.NET", "http://a.NET/", "https://x.example.net/en/1", "http://example.net/en", "http://example.com/de/x?y#z", "http://nexample.com/de/",
             "ftp://b.org/fr/://x.net/", "http://c.org#/fr/", "http://d.net?/en/", "http://e.com/" + "a/" * 3000, "http://f.com//de//1", "x://y://z.net/"]
-    hard = spark.createDataFrame([(i, u, "h", "t", 1) for i, u in enumerate(urls + urls[:3])], "page_id long, url string, host string, template string, n int")
+    numbered = [(i if i % 4 else None, u, "h", "t", 1) for i, u in enumerate(urls + urls[:3])]  # null and repeated identifiers, clashing names
+    hard = spark.createDataFrame(numbered, "page_id long, url string, host string, template string, n int")
     for pages in (table(spark, sf_dir, "pages"), hard):
         got = rows(judge_urls(pages), "page_id", "host", "path", "rule")
         want = [(r.page_id, *brute.url(r.url)[:3]) for r in pages.select("page_id", "url").collect()]
@@ -132,11 +133,33 @@ def test_urls(spark, sf_dir):
             assert r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
 
 
-def test_url_templates_learn_purity(spark):
-    data = [(i, f"http://ads.shop.net/{'promo' if i % 2 else 'en'}/{i}") for i in range(200)] + [(1000 + i, f"http://ads.shop.example.net/en/{i}") for i in range(200)]
-    got = judge_urls(spark.createDataFrame(data, "page_id long, url string"))
-    assert {r.template for r in got.where("host = 'ads.shop.net'").collect()} == {"/*/*"}
-    assert got.where("verdict = 'block'").count() == 200
+def some_pages():
+    """Pages of one host with two similar blocked branches, an allowed one, an unlabelled one, slugs, and deep paths."""
+    slug = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    data = []
+    for i in range(60):
+        known = i % 3 == 0
+        data += [(f"http://shop.com/win/{slug(i)}", "block" if known else None), (f"http://shop.com/prize/{slug(i)}", "block" if known else None)]
+        data += [(f"http://shop.com/help/{slug(i)}", "allow" if known else None), (f"http://shop.com/about/{slug(i)}", None)]
+        data += [(f"http://shop.com/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{slug(i)}", ("allow" if i % 2 else "block") if known else None)]
+    data += [("http://x.example.com/de", None), ("http://x.example.com/en", None), *((f"http://x.example.com/de/{i}", None) for i in range(9))]
+    return [(i, *x) for i, x in enumerate(data)]
+
+
+def test_url_templates(spark, sf_dir):
+    """Template and verdict of every page against the plain version; the method blocks unlabelled pages of blocked branches, and only those."""
+    data = some_pages()
+    got = judge_urls(spark.createDataFrame(data, "page_id long, url string, label string"), label_col="label")
+    assert rows(got, "page_id", "template", "verdict") == sorted(brute.url_templates(data), key=repr)
+    by = {r.page_id: r for r in got.collect()}
+    for i, u, label in data:
+        if label is None:
+            bad = any(x in u for x in ("/win/", "/prize/", "/bad/", "com/de"))
+            assert by[i].verdict == ("block" if bad else "allow"), u
+    assert by[0].template == by[1].template == "/*3/*" and by[2].template == "/help/*" and by[3].template == "/about/*"
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages")
+    plain = [(r.page_id, r.url, None) for r in pages.select("page_id", "url").collect()]
+    assert rows(judge_urls(pages), "page_id", "template", "verdict") == sorted(brute.url_templates(plain), key=repr)
 
 
 def test_repeats(docs):
@@ -342,3 +365,5 @@ def test_url_verdicts_do_not_depend_on_the_number_of_branches(spark, others):
     data += [(2000 + i, f"http://quiet.example.com/page/{slug(i)}") for i in range(200)]
     got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(data, "page_id long, url string")).collect()}
     assert got == {i: "block" if i < 1000 else "allow" for i, _ in data}
+    deep = [(i, f"http://shop.example.net/en/{'/'.join(slug(i + k) for k in range(40))}") for i in range(others)]
+    assert len({r.template for r in judge_urls(spark.createDataFrame(deep, "page_id long, url string")).collect()}) == 1
