@@ -74,6 +74,62 @@ def test_pii(docs):
         assert len(r.spans.split(",")) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added or not r.spans
 
 
+def planted_pii(rng, good):
+    """A text with one number of each of four added kinds: valid beside a cue, or corrupted in plain prose."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    account = digits(16)
+    check = 98 - int(account + "1314" + "00") % 97
+    iban = f"DE{check if good else (check % 97 + 1) % 98:02}" + account
+    card = "4" + digits(13)
+    card += next(c for c in "0123456789" if brute.luhn(card + c) == good)
+    ssn = f"{rng.randint(101, 599) if good else '000'}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    phone = f"{rng.randint(201, 999) if good else '0' + digits(2)}-{rng.randint(201, 999) if good else '1' + digits(2)}-{digits(4)}"
+    cues = ("my iban account ", "credit card ", "social security id ", "phone call ") if good else ("part no x", "serial ", "lot q ", "item ")
+    return " . ".join(c + x for c, x in zip(cues, (iban, ".".join(card[i : i + 4] for i in range(0, 15, 4)), ssn, phone), strict=True))
+
+
+def test_added_pii(spark):
+    """Precision and recall of added spans: planted valid numbers against corrupted ones."""
+    import random
+
+    rng = random.Random(1)
+    data = [(i, planted_pii(rng, i % 2 == 0)) for i in range(400)] + [(1000 + i, "call 212-555-0199 now " * 3 if i % 2 else "ref 012-155-0199 x") for i in range(40)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    hits = sum(got[i].n_added for i in range(0, 400, 2))
+    wrong = sum(got[i].n_added for i in range(1, 400, 2))
+    assert hits >= 0.9 * 4 * 200 and hits / (hits + wrong) >= 0.9
+    kinds = {x.split(":")[0] for x in got[0].spans.split(",")}
+    assert kinds == {"iban", "card_like", "id_number", "local_phone"}
+
+
+def test_pii_thresholds():
+    import numpy as np
+
+    from tidemark.llm.pii import BINS, thresholds
+
+    h = np.zeros((3, BINS, 2), dtype=np.int64)
+    h[0, 100:] = (0, 50)
+    h[0, :100] = (50, 0)
+    h[1, 150] = (0, 1)  # rare: follows the others
+    h[2, :] = (50, 1)
+    low = thresholds(h[:2], 0.9)
+    assert 85 <= low[0] < 100 and 85 <= low[1] < 100 and thresholds(h[2:], 0.9)[0] == BINS
+
+
+def test_pii_is_linear():
+    import time
+
+    from tidemark.llm.pii import Taken, emails, scan
+
+    for text in ("@ " * 400_000, "a@" * 400_000, "1" * 300_000, "a@b.co " * 50_000, "212-555-0199 " * 20_000):
+        start = time.time()
+        scan(text)
+        list(emails(text))
+        assert time.time() - start < 20
+    taken = Taken([(0, 5), (3, 8)])
+    assert not taken.add(7, 9) and taken.add(8, 9) and not taken.add(8, 9) and taken.add(9, 12) and not taken.add(0, 50)
+
+
 def test_secrets(docs):
     want = []
     for d, t in pairs(docs):
