@@ -246,6 +246,41 @@ def test_components_in_blocks(spark, sf_dir, monkeypatch):
     assert got == brute.components(pairs(docs), 3, 50)
 
 
+def test_words_that_plain_polynomials_confuse(spark):
+    """Thue-Morse words hash alike in any polynomial modulo 2**64; so do repeats made of them."""
+    import numpy as np
+
+    from tidemark.llm.bytehash import prefix_sums, ranges, word_hashes
+
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    rows = [(1, x), (2, y), (3, x), (4, f"one {x} two"), (5, f"one {y} two")]
+    got = rows_of(similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90))
+    assert got == brute.components(rows, 3, 90) and len({r[2] for r in got}) == 4
+    assert len(np.unique(word_hashes([x.encode(), y.encode(), b"a", b"a\0", b"ab", b"b" * 8, b"b" * 9])[0])) == 7
+    data = np.frombuffer((x + y).encode(), dtype=np.uint8)
+    start = np.array([0, len(x), 0, 4])
+    one, two, three, four = ranges(prefix_sums(data), start, start + np.array([len(x), len(x), 368, 368]))
+    assert one != two and three != four
+    pairs = [(1, x[:300] + "q" + y), (2, y[:300] + "z" + x)]
+    out = remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()) == sorted(brute.repeats(pairs))
+
+
+def test_components_of_repeated_identifiers(spark):
+    """Texts of one identifier link their groups, rows with null identifiers link others, copies are one set."""
+    import random
+
+    rng = random.Random(4)
+    base = [[f"{k}{rng.randint(0, 10**6)}" for _ in range(40)] for k in "abcd"]
+    near = lambda b, k: " ".join([*b[:k], "new", *b[k + 1 :]])
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (9, near(base[0], 39)), (3, near(base[1], 0)), (None, near(base[2], 39)), (7, " ".join(base[2])), (8, near(near(base[2], 39).split(), 0)), (5, " ".join(base[0]))]
+    got = rows_of(similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90))
+    want = {5: 3, 9: 3, 3: 3, 7: 7, 8: 7, None: None}
+    assert {r[0]: r[2] for r in got} == want
+
+
 def test_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = {r.doc_id: r for r in decontaminate(docs, items).collect()}

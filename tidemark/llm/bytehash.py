@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_RNG = np.random.default_rng(20240607)
-#: One random odd 64-bit number for each byte value.
-BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 C1, C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -35,17 +32,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of BYTE[data[k]] * BASE**k over k < i."""
+    """P with P[i] = sum of mix(the eight bytes from k on) * BASE**k over k < i.
+
+    Mixing eight bytes at a time keeps texts apart whose differences cancel in a plain polynomial modulo 2**64.
+    """
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
+    np.cumsum(mix(grams(data) + C1) * powers(len(data))[0], dtype=np.uint64, out=out[1:])
     return out
 
 
 def ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], the same wherever the bytes stand; lengths count."""
+    """Hashes of data[start:end], of eight bytes at least each, the same wherever the bytes stand; lengths count."""
     down = powers(len(prefix) + 1)[1]
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * C2)
+    return mix((prefix[end - 7] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * C2)
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], of any length above 0: eight bytes at a time, each mixed with its place."""
+    size = end - start
+    n = (size + 7) // 8
+    first = np.cumsum(n) - n
+    nth = np.arange(n.sum()) - np.repeat(first, n)
+    value = grams(data)[np.repeat(start, n) + nth * 8]
+    left = np.minimum(np.repeat(size, n) - nth * 8, 8).astype(np.uint64)
+    value &= ~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8))
+    parts = mix(value ^ mix(nth.astype(np.uint64) * C1 + BASE))
+    return mix(np.add.reduceat(parts, first) + size.astype(np.uint64) * C2) if len(n) else np.zeros(0, dtype=np.uint64)
 
 
 def chunks(texts: list[bytes], most: int = 1 << 20):
@@ -67,7 +86,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return ranges(prefix_sums(data), start, end), np.searchsorted(start, offsets)
+    return spans(data, start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

@@ -5,11 +5,13 @@ A node is a distinct shingle set, so exact copies are one node. Sets that can re
 candidate clusters. In each cluster, signature trees (nodes with OR-combined token bitmaps and size ranges) are
 traversed in pairs: a pair of tree nodes is dropped if the largest possible overlap cannot reach the similarity, or if
 all below it is linked already; what remains is counted exactly. Large clusters are cut into blocks of bounded bytes,
-and pairs of blocks are the units of work, so no task holds more than two blocks.
+and pairs of blocks are the units of work, so no task holds more than two blocks and their bitmaps, which are bounded too
+(``MAP_BYTES``).
 
-Null and empty texts have no shingles and link with nothing. Rows that repeat an identifier are one document: they
-share a component. Null identifiers get a null component. An empty table gives an empty result. Ties cannot matter:
-the component is the smallest identifier. Other columns of the input are ignored, whatever their names.
+Null and empty texts have no shingles and link with nothing. Rows that repeat an identifier are one document, whether
+their texts are equal or not: they share a component. Rows with null identifiers link others, and get a null component.
+An empty table gives an empty result. Ties cannot matter: the component is the smallest identifier. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, shingle_sets
-from .common import spill, text_of
+from .common import heavy_join, maybe_in, slot_filter, spill, text_of
 from .components import connected_components
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
+MAP_BYTES = 32 << 20
 BUCKET_SIGNATURES = 400_000
 
 
@@ -88,15 +91,15 @@ def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node of every row."""
+    """doc_id, th (a hash of identifier and text), n_shingles, node of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in sliced(batches):
             sets = shingle_sets(_encoded(x["text"]), width)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([set_node(s) for s in sets], dtype="Int64")})
+            yield x[["doc_id", "th"]].assign(n_shingles=[len(s) for s in sets], node=pd.array([set_node(s) for s in sets], dtype="Int64"))
 
-    texts = docs.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text, null and large ids stay exact in pandas
-    return texts.mapInPandas(run, "doc_id string, n_shingles long, node long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = docs.select(F.col("doc_id").cast("string"), "th", "text")  # as text, null and large ids stay exact in pandas
+    return texts.mapInPandas(run, "doc_id string, th long, n_shingles long, node long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 LINK, SHARED, NEED = 0, 1, 2
@@ -284,17 +287,12 @@ def tree_links(x: SignatureTree, y: SignatureTree, sets: list[np.ndarray], perce
 def block_links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Spanning links of one unit of work: a block with itself, or two blocks (``sides`` 0 and 1)."""
     forest = Forest(len(nodes))
-    if len(nodes) <= 8:
-        for i in range(len(nodes)):
-            for j in range(i):
-                if forest.find(i) != forest.find(j) and linked(sets[i], sets[j], percent):
-                    forest.join(i, j)
-    else:
-        sizes = np.array([len(s) for s in sets])
-        bits = 1 << int(np.clip(np.ceil(np.log2(2 * sizes.max() + 1)), 6, 12))
-        lows = np.array([s[0] if len(s) else 0 for s in sets])
-        trees = [SignatureTree(sets, rows[np.lexsort((lows[rows], sizes[rows]))], bits) for rows in (np.flatnonzero(sides == k) for k in (0, 1)) if len(rows)]
-        tree_links(trees[0], trees[-1], sets, percent, forest)
+    sizes = np.array([len(s) for s in sets])
+    wanted = np.log2(2 * np.median(sizes) + 1)  # by the median, so that one large set does not widen all bitmaps
+    bits = 1 << int(np.clip(min(np.ceil(wanted), np.floor(np.log2(MAP_BYTES / 4 / len(nodes)))), 6, 12))
+    lows = np.array([s[0] if len(s) else 0 for s in sets])
+    trees = [SignatureTree(sets, rows[np.lexsort((lows[rows], sizes[rows]))], bits) for rows in (np.flatnonzero(sides == k) for k in (0, 1)) if len(rows)]
+    tree_links(trees[0], trees[-1], sets, percent, forest)
     return [(int(nodes[i]), int(nodes[forest.find(i)])) for i in range(len(nodes)) if forest.find(i) != i]
 
 
@@ -329,36 +327,54 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents link when 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("doc_id", "text"))
     known = spill(profile(texts, width), "shingle-profile")
-    ids = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
-    expected = (known.agg(F.sum("n_shingles")).first()[0] or 0) * 5 * (100 - percent) // (100 + percent)
+    ids = known.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("low"), F.min("th").alias("th"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")
+    )
+    ids = spill(ids, "shingle-sets")
+    sums = known.agg(F.sum("n_shingles").alias("shingles"), F.count("node").alias("rows")).first()
+    expected = (sums["shingles"] or 0) * 5 * (100 - percent) // (100 + percent)
     buckets = int(expected // BUCKET_SIGNATURES) + 8  # so that a bucket's signatures fit in a task whatever the input
     facts = spill(shared_parts(signatures(texts, width, percent, buckets), buckets), "shared-parts")
     clusters = connected_components(facts.where(F.col("kind") == LINK).select("a", "b"))
     clusters = clusters.join(sets_with_enough_shared(facts), "node", "left_semi")
-    reach = connected_components(spill(verified_links(units(texts, ids, clusters, width), percent), "near-links"))
-    low = ids.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    component = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = low.join(component, "root").select("node", "component_id")
-    return known.join(named, "node", "left").select(
+    links = verified_links(units(texts, ids, clusters, width), percent).unionByName(links_of_repeated_ids(known))
+    reach = connected_components(spill(links, "near-links"))
+    low = spill(ids.join(reach, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root")), "near-roots")
+    component = spill(low.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "near-components")
+    named = heavy_join(low, component, ["root"], "nodes", ids.count()).select("node", "component_id", "rows")
+    some = heavy_join(known.where("node is not null"), spill(named, "near-names"), ["node"], "rows", sums["rows"])
+    none = known.where("node is null").withColumn("component_id", F.col("doc_id"))
+    return some.select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", "component_id")).select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
+def links_of_repeated_ids(known: DataFrame) -> DataFrame:
+    """a, b: links between the different texts of one identifier."""
+    several = known.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most")
+    return known.join(several.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def units(texts: DataFrame, ids: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
-    """unit, side, node, shingles: candidate sets dealt out to units of work of bounded size."""
-    sized = clusters.join(ids, "node").select("node", "low", "root", (F.col("n") * 8 + 64).alias("bytes"))
-    total = sized.groupBy("root").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = sized.join(total, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = spill(dealt.select("node", F.col("low").alias("doc_id"), "root", "block", "blocks"), "near-units")
+    """unit, side, node, shingles: candidate sets dealt out to units of work of bounded size.
+
+    One row stands for each set, named by the hash of identifier and text; a filter of these keeps other texts out of the shuffle.
+    """
+    sized = spill(clusters.join(ids, "node").select("node", "th", "root", (F.col("n") * 8 + 64).alias("bytes")), "near-sets")
+    total = sized.groupBy("root").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("nodes"))
+    dealt = heavy_join(sized, spill(total, "near-sizes"), ["root"], "nodes", sized.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = spill(dealt.select("node", "th", "root", "block", "blocks"), "near-units")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in sliced(batches):
             sets = shingle_sets(_encoded(x["text"]), width)
-            yield pd.DataFrame({"root": x["root"], "block": x["block"], "blocks": x["blocks"], "node": x["node"], "shingles": [s.tobytes() for s in sets]})
+            y = pd.DataFrame({"root": x["root"], "block": x["block"], "blocks": x["blocks"], "node": x["node"], "shingles": [s.tobytes() for s in sets]})
+            yield y[np.array([set_node(s) == n for s, n in zip(sets, x["node"], strict=True)], dtype=bool)]  # a hash shared by two texts brings both
 
-    sets = texts.join(dealt.hint("merge"), "doc_id").mapInPandas(  # the same plan at every size
+    wanted = maybe_in(texts, [F.col("th")], slot_filter(dealt, ["th"])).where("maybe").select("th", "text")
+    sets = wanted.join(dealt.hint("merge"), "th").mapInPandas(  # the same plan at every size
         run, "root long, block int, blocks int, node long, shingles binary"
     )
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -370,7 +386,10 @@ def units(texts: DataFrame, ids: DataFrame, clusters: DataFrame, width: int) ->
 
 
 def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns."""
+    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns; null ones stay.
+
+    Rows that share an identifier are one document here, and share its fate.
+    """
     found = similarity_components(docs, id_col, text_col, width, percent)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(spill(gone, "near-gone"), F.col(id_col) == F.col("__gone"), "left_anti")
