@@ -10,8 +10,8 @@ dropped, and a place is repeated at a depth if the common prefix with a neighbou
 
 Null and empty texts have no bytes; texts under ``length`` bytes stay whole. Rows that repeat identifier and text are
 documents of their own, which repeat each other. An empty table gives an empty result. Other columns of the input are
-ignored, whatever their names. Very many places at one anchor (over ``HOT``) are expanded window by window with Spark
-aggregation instead of in one task.
+ignored, whatever their names. Very many places at one anchor (over ``HOT``) are settled and expanded, window by window,
+with Spark aggregation instead of in one task.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import C1, C2, chunks, mix, prefix_sums, ranges
-from .common import spill, text_of
+from .common import heavy_join, maybe_in, slot_filter, spill, text_of
 
 LENGTH, SEED = 200, 32
-HOT = 50_000
+#: Places of one anchor that one task may hold; anchors with more are counted by Spark. Both ways give the same result.
+HOT = 10_000
 KEY = "doc_id long, th long"
 
 
@@ -99,8 +100,30 @@ def anchor_table(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
 def settle(anchors: DataFrame) -> DataFrame:
     """Anchors that several places share. kind 0: its surroundings are repeated; 1: that, and one of them to compare with; 2: to be expanded."""
-
-    def decide(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hot = anchors.groupBy("h").agg(F.sum("n").alias("places")).where(F.col("places") > HOT).select("h")
+    hot = spill(hot, "hot-anchors")
+    normal = settled_in_tasks(anchors.join(hot, "h", "left_anti"))
+    return normal.unionByName(settled_by_counts(anchors.join(hot, "h", "left_semi")))
+
+
+def settled_by_counts(anchors: DataFrame) -> DataFrame:
+    """``settle`` for anchors with very many places: surroundings are counted, then told to the places."""
+    place = F.struct("doc_id", "th", "p")
+    contexts = anchors.groupBy("h", "c").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("first"))
+    contexts = spill(contexts, "hot-contexts")
+    per = contexts.groupBy("h").agg((F.min("c") != F.max("c")).alias("several"))  # one row for each hot anchor
+    contexts = spill(contexts.join(F.broadcast(per), "h"), "hot-kinds")
+    total = contexts.agg(F.sum("rows")).first()[0] or 0
+    told = heavy_join(anchors, contexts, ["h", "c"], "rows", total)
+    repeated, first = F.col("places") > 1, F.struct("doc_id", "th", "p") == F.col("first")
+    kind = F.when(repeated & first & F.col("several"), 1).when(repeated, 0).when(F.col("several"), 2).otherwise(-1)
+    return told.select("h", "doc_id", "th", "p", kind.alias("kind"), F.lit(True).alias("hot")).where("kind >= 0")
+
+
+def settled_in_tasks(anchors: DataFrame) -> DataFrame:
+    """``settle`` for anchors with ``HOT`` places at most, sorted by anchor and surroundings in each task."""
+
+    def decide(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
         new_h = np.append(True, h[1:] != h[:-1])
         new_c = new_h | np.append(True, c[1:] != c[:-1])
         group, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
@@ -108,24 +131,22 @@ def settle(anchors: DataFrame) -> DataFrame:
         contexts = np.bincount(group, weights=new_c)[group]
         size_h = np.bincount(group, weights=n)[group]
         kind = np.where(size_c > 1, np.where(new_c & (contexts > 1), 1, 0), np.where(contexts > 1, 2, -1))
-        return np.where(size_h > 1, kind, -1), contexts
+        return np.where(size_h > 1, kind, -1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for x in batches:
-            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+            x = x if rest is None else pd.concat([rest, x], ignore_index=True)  # the rest has HOT rows at most
             cut = int(np.searchsorted(x["h"].to_numpy(), x["h"].iloc[-1]))
             rest, x = x.iloc[cut:], x.iloc[:cut]
             if len(x):
-                yield from judged(x)
+                yield judged(x)
         if rest is not None and len(rest):
-            yield from judged(rest)
+            yield judged(rest)
 
-    def judged(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        kind, contexts = decide(x["h"].to_numpy(), x["c"].to_numpy(), x["n"].to_numpy())
-        out = x.assign(kind=kind.astype(np.int32), hot=contexts > HOT)[kind >= 0]
-        if len(out):
-            yield out[["h", "doc_id", "th", "p", "kind", "hot"]]
+    def judged(x: pd.DataFrame) -> pd.DataFrame:
+        kind = decide(x["h"].to_numpy(), x["c"].to_numpy(), x["n"].to_numpy())
+        return x.assign(kind=kind.astype(np.int32), hot=False)[kind >= 0][["h", "doc_id", "th", "p", "kind", "hot"]]
 
     return anchors.repartition("h").sortWithinPartitions("h", "c").mapInPandas(run, f"h long, {KEY}, p int, kind int, hot boolean")
 
@@ -204,8 +225,8 @@ def range_minima(common: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.nd
 
 
 def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) -> DataFrame:
-    """h, doc_id, th, p, kind, hot, back, around: the bytes of all windows over an anchor; ``back`` of them precede it."""
-    need = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "p", "kind", "hot")).alias("at"))
+    """h, doc_id, th, p, kind, back, around: the bytes of all windows over an anchor; ``back`` of them precede it."""
+    need = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "p", "kind")).alias("at"))
     joined = texts.join(need, ["doc_id", "th"]).select("id", "doc_id", "th", "text", "at")  # with id, so that the last join reuses this exchange of texts
     back = length - seed
 
@@ -214,7 +235,7 @@ def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) ->
             out = []
             for _, d, th, text, at in x.itertuples(index=False):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(a["h"], d, th, a["p"], a["kind"], a["hot"], min(back, a["p"]), data[max(0, a["p"] - back) : a["p"] + length]) for a in at]
+                out += [(a["h"], d, th, a["p"], a["kind"], min(back, a["p"]), data[max(0, a["p"] - back) : a["p"] + length]) for a in at]
                 if len(out) > 5000:
                     yield frame(out)
                     out = []
@@ -222,9 +243,9 @@ def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) ->
                 yield frame(out)
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["h", "doc_id", "th", "p", "kind", "hot", "back", "around"])
+        return pd.DataFrame(out, columns=["h", "doc_id", "th", "p", "kind", "back", "around"])
 
-    return joined.mapInPandas(run, f"h long, {KEY}, p int, kind int, hot boolean, back int, around binary")
+    return joined.mapInPandas(run, f"h long, {KEY}, p int, kind int, back int, around binary")
 
 
 def expanded(contexts: DataFrame, length: int, most: int = 40_000) -> DataFrame:
@@ -255,31 +276,31 @@ def expanded(contexts: DataFrame, length: int, most: int = 40_000) -> DataFrame:
         if count:
             yield work(pd.concat(held, ignore_index=True))
 
-    return contexts.where("not hot").select("h", "doc_id", "th", "p", "kind", "back", "around").repartition("h").sortWithinPartitions("h").mapInPandas(run, f"{KEY}, start int, end int")
+    return contexts.select("h", "doc_id", "th", "p", "kind", "back", "around").repartition("h").sortWithinPartitions("h").mapInPandas(run, f"{KEY}, start int, end int")
 
 
 def hot_windows(contexts: DataFrame, length: int) -> DataFrame:
     """doc_id, th, start, end for anchors with very many places: each window is a row, and equal ones fold in each task."""
     last = F.least(F.col("back"), F.lit(length))
     depths = F.filter(F.sequence(F.lit(0), last), lambda d: F.octet_length("around") - F.col("back") + d >= length)
-    each = contexts.where("hot").select("h", "doc_id", "th", "p", "kind", "back", "around", F.explode(depths).alias("depth"))
+    each = contexts.select("h", "doc_id", "th", "p", "kind", "back", "around", F.explode(depths).alias("depth"))
     window = F.sha2(F.expr(f"substring(around, back - depth + 1, {length})"), 256)
     each = each.select("h", "depth", "doc_id", "th", "kind", (F.col("p") - F.col("depth")).alias("start"), F.unhex(window).alias("w"))
     same = ["h", "depth", "w"]  # one window can hold several anchors: only equal depths at equal anchors are two places
-    often = each.groupBy(same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(same)
-    return each.where("kind = 2").join(often, same).select("doc_id", "th", "start", (F.col("start") + length).alias("end"))
+    often = spill(each.groupBy(same).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind") == 2).alias("n")).where("rows > 1 and n > 0"), "hot-windows")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    return heavy_join(each.where("kind = 2"), often, same, "n", total).select("doc_id", "th", "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_runs(texts: DataFrame, length: int, seed: int) -> DataFrame:
     """doc_id, th, start, end: byte ranges (ends may pass the text's) that together cover all repeated strings."""
     anchors = spill(anchor_table(texts, length, seed), "anchors")
     shared = spill(settle(anchors.where("n > 0")), "shared-anchors")
-    contexts = surroundings(texts, shared.where("kind > 0"), length, seed)
-    hot = shared.where("hot").limit(1).count() > 0
-    contexts = spill(contexts, "surroundings") if hot else contexts
-    runs = expanded(contexts, length)
-    if hot:
-        runs = runs.unionByName(hot_windows(contexts, length))
+    runs = expanded(surroundings(texts, shared.where("kind > 0 and not hot"), length, seed), length)
+    hot = shared.where("kind > 0 and hot")
+    if hot.limit(1).count():
+        some = maybe_in(texts, [F.col("doc_id"), F.col("th")], slot_filter(hot, ["doc_id", "th"])).where("maybe").drop("maybe")
+        runs = runs.unionByName(hot_windows(spill(surroundings(some, hot, length, seed), "surroundings"), length))
     folded = anchors.where("n = 0").select("doc_id", "th", "p").unionByName(shared.where("kind < 2").select("doc_id", "th", "p"))
     same = folded.select("doc_id", "th", (F.col("p") - (length - seed)).alias("start"), (F.col("p") + length).alias("end"))
     return same.unionByName(runs)
