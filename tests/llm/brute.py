@@ -208,3 +208,65 @@ def url_templates(rows, z=2.58, min_pages=5, min_hosts=3, min_labelled=5, streng
             score = (whole["block"] + strength * prior) / (whole["block"] + whole["allow"] + strength)
         out.append((i, "/" + "/".join(t), ruled or ("block" if score >= threshold else "allow")))
     return out
+
+
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def template(text, common, units):
+    """(form, value) of each word."""
+    out = []
+    for w in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
+        bare = w.strip(".,;:!?()[]{}\"'|#&$%*<>")
+        if not bare:
+            continue
+        low = bare.lower()
+        tens, _, one = low.partition("-")
+        if re.match("[-+\u2212\u2013~\u20ac\u00a3]{0,2}[0-9]", bare) or low in ONES or (tens in TENS and (one in ONES[1:10] or low == tens)):
+            form = 1
+        elif out and out[-1][0] == 1 and low in units:
+            form = 2
+        elif re.match("[A-Z\u00c0-\u00de]", bare) and any(c.islower() for c in bare) and bare not in common:
+            form = 3
+        else:
+            form = low
+        out.append((form, low))
+    return out
+
+
+def leaks(docs, items, common, units, window=5, least=0.8, agree=0.8):
+    """{doc: items} by plain search: an item's windows in the document, and one value for each of its values in some occurrence."""
+    windows = lambda t: {i: tuple(f for f, _ in t[i : i + window]) for i in range(max(len(t) - window, 0) + 1)} if t else {}
+    found = {}
+    for d, text in docs:
+        own = template(text, common, units)
+        mine = windows(own)
+        found[d] = set()
+        for item, question in items:
+            theirs = template(question, common, units)
+            book = windows(theirs)
+            size, wide = len(set(book.values())), max(book, default=0) + window
+            met = [(i, k) for k, v in book.items() for i, u in mine.items() if u == v]
+            if not size or len({book[k] for _, k in met}) < least * size - 1e-9:
+                continue
+            count = Counter(i - k for i, k in met)
+            places = defaultdict(list)
+            for i, k in met:
+                for place in ((0, i - k), (1, (i - k) // wide), (2, math.floor((i - k) / wide + 0.5)), (3, None)):
+                    places[place].append((i, k))
+            for (kind, _), all_ in places.items():
+                best = {}
+                for i, k in sorted(all_, key=lambda p: (count[p[0] - p[1]], p[1] - p[0])):
+                    best[k, i if kind == 3 else None] = (i, k)
+                if len({book[k] for _, k in best.values()}) < least * size - 1e-9:
+                    continue
+                votes = defaultdict(Counter)
+                for i, k in best.values():
+                    for (form, a), (_, b) in zip(theirs[k : k + window], own[i : i + window], strict=True):
+                        if form in (1, 2, 3):
+                            votes[a][b] += 1
+                total = sum(c.total() for c in votes.values())
+                if not total or sum(max(c.values()) for c in votes.values()) / total >= agree:
+                    found[d].add(item)
+    return found

@@ -281,19 +281,51 @@ def test_components_of_repeated_identifiers(spark):
     assert {r[0]: r[2] for r in got} == want
 
 
-def test_decontaminate(spark, sf_dir):
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = {r.doc_id: r for r in decontaminate(docs, items).collect()}
-    windows = {}
-    for r in items.collect():
-        words = r.text.split()
-        for i in range(len(words) - 7):
-            windows[tuple(words[i : i + 8])] = r.item_id
-    for d, t in pairs(docs):
-        words = t.split()
-        touched = any(tuple(words[i : i + 8]) in windows for i in range(len(words) - 7))
-        whole = any(" ".join(r.text.split()) in " ".join(words) for r in items.collect())
-        assert found[d].contaminated >= whole and (touched or not found[d].contaminated)
+QUESTIONS = (
+    "{p} has {a} apples and gives {b} of them to {q}. How many apples does {p} keep?", "A tank holds {a} liters. {p} drains {b} liters each hour. After how many hours is it empty?",
+    "The temperature falls from -{a} to -{b} degrees overnight. By how many degrees does it fall, asks {p}?", "{p} walks {a} km on Monday and {b} km on Tuesday; what is the mean distance {p} walks per day?",
+    "If {p} is {a} years old and {q} is {b} years older, how old will {q} be in ten years?", "Let {p} buy {a} pens at {b} cents each and pay with a note; how much change does {p} get back?",
+)
+
+
+def asked(rng, question):
+    spelled = ("three", "seven", "twelve", "forty-two")
+    number = lambda: rng.choice(spelled) if rng.random() < 0.2 else str(rng.randint(2, 99))
+    p, q = rng.sample(("Alice", "Bob", "Carla", "Dmitri", "Elena", "Farid"), 2)
+    return question.format(a=number(), b=number(), p=p, q=q)
+
+
+def test_decontaminate(spark, sf_dir, monkeypatch):
+    """Against the plain version: real documents, re-parameterised questions, tables of numbers, odd rows; broadcast or not."""
+    import random
+
+    import tidemark.llm.decontaminate as module
+
+    rng = random.Random(2)
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    items += [(900 + i, asked(rng, q)) for i, q in enumerate(QUESTIONS)] + [(990, "4 8 15 16 23 42 4 8 15 16"), (991, None), (992, ""), (993, "two words")]
+    real = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    real = [(d, t) for d, t in real if len(t or "") < 4000]
+    variants = [(5000 + i, f"some words before. {asked(rng, QUESTIONS[i % len(QUESTIONS)])} and after") for i in range(60)]
+    tables = [(6000 + i, " ".join(str(rng.randint(1, 99)) for _ in range(60))) for i in range(10)] + [(7000, "4 8 15 16 23 42 4 8 15 16"), (7001, "two words"), (7002, "only two words"), (7003, None)]
+    docs = real + variants + tables
+    want = brute.leaks(docs, items, module.COMMON, module.UNITS)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(module, "BROADCAST_WINDOWS", most)
+        got = {r.doc_id: {int(i) for i in r.item_ids.split(",") if i} for r in decontaminate(*frames).collect()}
+        assert got == want
+    caught = sum(900 + i % len(QUESTIONS) in got[5000 + i] for i in range(60))
+    assert caught / 60 >= 0.9  # recall of re-parameterised questions
+    whole = {i: " ".join(t.split()) for i, t in items if i < 900}
+    assert all(i in got[d] for d, t in real for i, w in whole.items() if w in " ".join((t or "").split()))
+
+
+def test_decontaminate_text_identifiers(spark):
+    docs = spark.createDataFrame([("a", "one two three four five six", 1), (None, "one two three four five six", 2), ("b", "nothing", 3)], "doc_id string, text string, item_id int")
+    items = spark.createDataFrame([("y", "one two three four five six", "f"), ("x", "one two three four five six", "g"), (None, "nothing", "h")], "item_id string, text string, form string")
+    got = rows(decontaminate(docs, items), "doc_id", "contaminated", "item_ids", "best_item")
+    assert got == sorted([("a", True, "x,y", "x"), (None, True, "x,y", "x"), ("b", False, "", None)], key=repr)
 
 
 def test_reparameterised_question(spark):

@@ -1,16 +1,19 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, names and units become typed placeholders; windows of five template words are hashed and equi-joined with
-those of the benchmark. A document that holds enough of an item's windows is a candidate. For candidates, the values
-that stand in aligned slots are compared: an item's value must map to one document value throughout (its most
-frequent one, nearly always), which holds for verbatim copies and for re-parameterised questions, not for chance.
-One occurrence of the item suffices: windows at one distance from their place in the item, or at distances no more
-than half an item apart (words put in or left out), or all of the document's windows together.
+Numbers (digits with signs, or spelled), names (capitalised words other than common ones, wherever they stand) and units
+become typed placeholders; windows of five template words are hashed and equi-joined with those of the benchmark. An
+item with coverage ``least`` in a document shares one of its rarest windows with it, so only these propose pairs of
+document and item, and a window that half of all documents hold, such as five numbers in a row, does not; then all
+windows of the pairs are counted. For pairs with enough windows, the values that stand in aligned slots are compared:
+an item's value must map to one document value throughout (its most frequent one, nearly always), which holds for
+verbatim copies and for re-parameterised questions, not for chance. One occurrence of the item suffices: windows at one
+distance from their place in the item, or at distances no more than half an item apart (words put in or left out), or
+all of the document's windows together.
 
 Null and empty texts match nothing, on either side; an item with fewer words than a window is one window of all of
 them. Rows that repeat identifier and text share one decision; repeated items count once each under their own id. Empty
-tables give an empty result or no contamination. Ties for the best item go to the smallest id. Other columns of the
-inputs are ignored, whatever their names.
+tables give an empty result or no contamination. Ties for the best item go to the smallest id. Identifiers of documents
+and items may be of any type that orders. Other columns of the inputs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,46 +21,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill, text_of
+from .common import heavy_join, maybe_in, slot_filter, spill, text_of
 
 #: Units of measure, as they stand after a number.
 UNITS = (
     "mm cm m km in ft yd mi miles mg g kg t lb lbs oz ml cl l s sec seconds min minutes h hours day days week weeks month months year years "
     "hz khz mhz w kw kwh v a j kj cal kcal pa kpa bar k c f percent usd eur gbp dollars euros cents pounds"
 ).split()
-PUNCTUATION = ".,;:!?()[]{}\"'|#&$%*<>"
+#: Numbers as words, tens before the words that may follow them, and common words that open sentences.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+COMMON = (
+    "The An In On At If How What When Which Who Whom Whose Where Why It He She They We You This That These Those There And Or But So As For From To Of With "
+    "By Is Are Was Were Do Does Did Has Have Had Can Could Will Would Let Find Suppose Given Each Every All Some Any No Not Then After Before During While My His Her Their Our"
+).split()
+PUNCTUATION = r"""[.,;:!?()\[\]{}"'|#&$%*<>]"""
 NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 WINDOW = 5
 #: Benchmark windows up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
+EDGES = rf"(?<!\S){PUNCTUATION}++|(?<!{PUNCTUATION}){PUNCTUATION}++(?!\S)"
+SPELLED = rf"(?i:(?:{'|'.join(TENS)})(?:-(?:{'|'.join(ONES[1:10])}))?|{'|'.join(ONES)})(?!\S)"
+NUMBERS = rf"(?<!\S)(?:[-+\u2212\u2013~\u20AC\u00A3]{{0,2}}[0-9]\S*|{SPELLED})"
+UNITS_AFTER = rf"(\x01n\s+)(?i:{'|'.join(UNITS)})(?!\S)"
+NAMES = rf"(?<!\S)(?!(?:{'|'.join(COMMON)})(?!\S))(?=[A-Z\u00C0-\u00DE])(?=\S*\p{{Ll}})\S+"
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
 
 
-def template_word(words: str):
-    """The template form of a word, from itself and the word before it."""
-
-    def form(w: Column, i: Column) -> Column:
-        bare = F.btrim(w, F.lit(PUNCTUATION))
-        before = F.get(words, i - 1)
-        first = F.ascii(bare)
-        digit = lambda x: F.ascii(x).between(48, 57)
-        capital = first.between(65, 90) | first.between(192, 222)
-        return (
-            F.when(digit(bare), F.lit(NUMBER))
-            .when(capital & before.isNotNull() & ~F.right(before, F.lit(1)).isin(".", "!", "?", ":") & (F.upper(bare) != bare), F.lit(NAME))
-            .when(digit(before) & F.lower(bare).isin(UNITS), F.lit(UNIT))
-            .otherwise(F.lower(bare))
-        )
-
-    return form
-
-
 def templates(table: DataFrame) -> DataFrame:
-    """Adds words and form to a table with a text column."""
-    return table.withColumn("words", words_of(F.col("text"))).withColumn("form", F.transform("words", template_word("words")))
+    """Adds bare (the text without punctuation at the edges of words) and form (template words) to a table with a text column.
+
+    Whole texts are rewritten by a few patterns, which takes less time than any work on single words.
+    """
+    bare = F.regexp_replace("text", EDGES, "")
+    shaped = F.regexp_replace(F.col("bare"), NUMBERS, NUMBER)
+    shaped = F.regexp_replace(F.regexp_replace(shaped, UNITS_AFTER, f"$1{UNIT}"), NAMES, NAME)
+    return table.withColumn("bare", bare).withColumn("form", words_of(F.lower(shaped)))
 
 
 def hashed(at: Column, window: int) -> Column:
@@ -70,63 +73,76 @@ def starts(window: int) -> Column:
 
 def slotted_windows(table: DataFrame, key: list[str], window: int) -> DataFrame:
     """key, w, at, slots: each window with its place and the values in its slots (null for plain words)."""
-    value = lambda at, k: F.when(F.get("form", at + k).isin(NUMBER, NAME, UNIT), F.lower(F.btrim(F.get("words", at + k), F.lit(PUNCTUATION))))
+    value = lambda at, k: F.when(F.get("form", at + k).isin(NUMBER, NAME, UNIT), F.lower(F.get("words", at + k)))
     each = F.transform(
         starts(window), lambda at: F.struct(hashed(at, window).alias("w"), at.alias("at"), F.array(*(value(at, k) for k in range(window))).alias("slots"))
     )
-    return templates(table).select(*key, F.explode(each).alias("x")).select(*key, "x.w", "x.at", "x.slots")
+    return templates(table).withColumn("words", words_of(F.col("bare"))).select(*key, F.explode(each).alias("x")).select(*key, "x.w", "x.at", "x.slots")
 
 
-def occurrences(own: DataFrame, slots: DataFrame) -> DataFrame:
-    """doc_id, th, item_id, place, w, slots, own: matching windows by the occurrences they can belong to.
+def occurrences(own: DataFrame, pairs: DataFrame, slots: DataFrame) -> DataFrame:
+    """th, item_id, place, w, slots, own: matching windows of pairs by the occurrences they can belong to.
 
     place: (0, distance), (1 or 2, band of distances as wide as the item; the two kinds overlap by half), (3, null) for
     the whole document. An occurrence has one match for each place in the item, at the distance that most windows have.
     """
     wide = slots.groupBy("item_id").agg((F.max("at") + F.lit(WINDOW)).alias("wide"))
-    met = own.join(slots.withColumnRenamed("at", "item_at"), "w").join(F.broadcast(wide), "item_id").withColumn("far", F.col("at") - F.col("item_at"))
-    met = met.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "th", "item_id", "far")))
+    met = own.join(pairs.select("th", "item_id"), "th").join(slots.withColumnRenamed("at", "item_at"), ["item_id", "w"])
+    met = met.join(wide, "item_id").withColumn("far", F.col("at") - F.col("item_at"))
+    met = met.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("th", "item_id", "far")))
     place = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
     places = F.array(
         place(0, F.col("far")), place(1, F.floor(F.col("far") / F.col("wide"))), place(2, F.floor(F.col("far") / F.col("wide") + 0.5)), place(3, F.lit(None))
     )
     met = met.withColumn("place", F.explode(places)).withColumn("alone", F.when(F.col("place.kind") == 3, F.col("at")))
     best = F.max_by(F.struct("w", "slots", "own"), F.struct("m", -F.col("far"))).alias("x")
-    return met.groupBy("doc_id", "th", "item_id", "place", "item_at", "alone").agg(best).select("doc_id", "th", "item_id", "place", "x.w", "x.slots", "x.own")
+    return met.groupBy("th", "item_id", "place", "item_at", "alone").agg(best).select("th", "item_id", "place", "x.w", "x.slots", "x.own")
+
+
+def covered_items(texts: DataFrame, book: DataFrame, sizes: DataFrame, small: bool, window: int, least: float) -> DataFrame:
+    """th, item_id, coverage of all documents and items with coverage ``least`` or more."""
+    wanted = book.select(F.col("w").alias("bw")).distinct()
+    wanted = F.broadcast(wanted) if small else wanted  # its size has been checked
+    held = templates(texts).select("th", F.explode(F.array_distinct(F.transform(starts(window), lambda at: hashed(at, window)))).alias("w"))
+    held = spill(held.join(wanted, F.col("w") == F.col("bw"), "left_semi").distinct(), "benchmark-held")
+    documents = held.groupBy("w").agg(F.count(F.lit(1)).alias("documents"))
+    in_item = Window.partitionBy("item_id").orderBy(F.coalesce("documents", F.lit(0)), "w")  # an item's windows, as many as it has words
+    ranked = book.join(documents, "w", "left").withColumn("nth", F.row_number().over(in_item)).join(sizes, "item_id")
+    rare = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least) + 1) & F.col("documents").isNotNull())
+    rare = spill(rare.groupBy("w", "documents").agg(F.collect_set("item_id").alias("items")), "benchmark-rare")
+    total = rare.agg(F.sum("documents")).first()[0] or 0
+    pairs = heavy_join(held, rare, ["w"], "documents", total).select("th", F.explode("items").alias("item_id")).distinct()
+    own = held.join(spill(pairs, "benchmark-pairs"), "th")
+    both = own.join(F.broadcast(book) if small else book, ["item_id", "w"])
+    share = both.groupBy("th", "item_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "item_id").withColumn("coverage", F.col("n") / F.col("size"))
+    return share.where(F.col("coverage") >= least).select("th", "item_id", "coverage")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by identifier and text."""
+    return F.xxhash64(F.col(id_col), text_of(text_col))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, least: float, agree: float) -> DataFrame:
-    """doc_id, th, item_id, coverage, agreement of all documents that hold an item."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    """th, item_id, coverage, agreement of all documents that hold an item."""
+    texts = docs.select(row_key(id_col, text_col).alias("th"), text_of(text_col).alias("text"))
     items = benchmark.select("item_id", text_of("text").alias("text"))
     slots = spill(slotted_windows(items, ["item_id"], window), "benchmark-windows")
-    book = slots.select("item_id", "w").distinct()
+    book = slots.where("item_id is not null").select("item_id", "w").distinct()
     sizes = book.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
-    wanted = book.select(F.col("w").alias("bw")).distinct()
-    if slots.count() <= BROADCAST_WINDOWS:
-        wanted = F.broadcast(wanted)  # its size has just been checked
-    held = templates(texts).select("doc_id", "th", F.explode(F.array_distinct(F.transform(starts(window), lambda at: hashed(at, window)))).alias("w"))
-    held = held.join(wanted, F.col("w") == F.col("bw"), "left_semi").distinct()
-    share = held.join(book, "w").groupBy("doc_id", "th", "item_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "item_id")
-    found = share.withColumn("coverage", F.col("n") / F.col("size")).where(F.col("coverage") >= least).select("doc_id", "th", "item_id", "coverage")
-    found = spill(found, "benchmark-candidates")
-    rows = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
-    again = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi")
-    own = slotted_windows(again.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"], window).withColumnRenamed("slots", "own")
-    again = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("item_id").alias("i"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("item_id") == F.col("i"))
-    met = spill(occurrences(own, slots).join(again, same, "left_semi"), "benchmark-occurrences")
-    key = ["doc_id", "th", "item_id", "place"]
+    found = spill(covered_items(texts, book, sizes, slots.count() <= BROADCAST_WINDOWS, window, least), "benchmark-candidates")
+    some = maybe_in(texts, [F.col("th")], slot_filter(found, ["th"])).where("maybe").join(found.select("th").distinct(), "th", "left_semi")
+    own = slotted_windows(some.dropDuplicates(["th"]), ["th"], window).withColumnRenamed("slots", "own")
+    met = spill(occurrences(own, found, slots), "benchmark-occurrences")
+    key = ["th", "item_id", "place"]
     whole = met.groupBy(*key).agg(F.count_distinct("w").alias("n")).join(sizes, "item_id").where(F.col("n") / F.col("size") >= least).select(*key)
     votes = met.select(*key, F.explode(F.arrays_zip("slots", "own")).alias("x")).where("x.slots is not null")
     votes = votes.groupBy(*key, "x.slots", "x.own").agg(F.count(F.lit(1)).alias("n"))
     votes = votes.groupBy(*key, "slots").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
     votes = votes.groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("agreement"))
-    votes = votes.withColumnsRenamed({"doc_id": "d", "th": "t", "item_id": "i", "place": "p"})
-    each = whole.join(votes, same & F.col("place").eqNullSafe(F.col("p")), "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
-    best = each.groupBy("doc_id", "th", "item_id").agg(F.max("agreement").alias("agreement")).withColumnsRenamed({"doc_id": "d", "th": "t", "item_id": "i"})
-    judged = found.join(best, same)
-    return judged.where(F.col("agreement") >= agree).select("doc_id", "th", "item_id", "coverage", "agreement")
+    each = whole.join(votes, key, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
+    best = each.groupBy("th", "item_id").agg(F.max("agreement").alias("agreement"))
+    return found.join(best, ["th", "item_id"]).where(F.col("agreement") >= agree).select("th", "item_id", "coverage", "agreement")
 
 
 def decontaminate(
@@ -134,22 +150,20 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids, best_item, coverage: one row for each row of ``docs``."""
     found = spill(benchmark_matches(docs, benchmark, id_col, text_col, window, least, agree), "benchmark-found")
-    per = found.groupBy("doc_id", "th").agg(
+    per = found.groupBy("th").agg(
         F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"),
-        F.max(F.struct("coverage", (-F.col("item_id")).alias("item"))).alias("best"),
-    ).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"))
-    joined = keys.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+        F.min(F.struct((-F.col("coverage")).alias("less"), F.col("item_id").alias("item"))).alias("best"),
+    )
+    keys = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("th"))
+    joined = keys.join(per, "th", "left")
     return joined.select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce(F.array_join("items", ","), F.lit("")).alias("item_ids"), (-F.col("best.item")).alias("best_item"),
-        F.round(F.coalesce("best.coverage", F.lit(0.0)), 6).alias("coverage"),
+        F.coalesce(F.array_join(F.transform("items", lambda i: i.cast("string")), ","), F.lit("")).alias("item_ids"), F.col("best.item").alias("best_item"),
+        F.round(F.coalesce(-F.col("best.less"), F.lit(0.0)), 6).alias("coverage"),
     )
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = benchmark_matches(docs, benchmark, id_col, text_col, WINDOW, 0.8, 0.8).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-    found = spill(found, "benchmark-found")
-    held = F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text_of(text_col)) == F.col("__t"))
-    return docs.join(found, held, "left_anti")
+    found = benchmark_matches(docs, benchmark, id_col, text_col, WINDOW, 0.8, 0.8).select(F.col("th").alias("__th")).distinct()
+    return docs.join(spill(found, "benchmark-found"), row_key(id_col, text_col) == F.col("__th"), "left_anti")
