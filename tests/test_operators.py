@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import average_ranks, running_total
+from tidemark.functions.ranking import average_ranks, quantiles, running_total
 from tidemark.operators import balance as B
 from tidemark.operators import facts as X
 from tidemark.operators import features as P
@@ -180,3 +180,124 @@ def test_empty_tables(spark):
     assert V.early_block(units, ["unit_start", "unit"], 0.6).count() == 0
     assert L.hash_order_sample(rows, "id", 5, 1).count() == 0
     assert T.allocate_blocks(units, ["unit_start", "unit"], "n", {"A": 0.5, "B": 0.5}).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a" if i % 3 else "b", float(v), float(w) if i % 5 else None) for i, (v, w) in enumerate(zip(np.round(rng.normal(size=700), 1), rng.random(700), strict=True))] + [("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    steps = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r.k, r.feature): r.quantiles for r in quantiles(df, {"x": F.col("x"), "y": F.col("y")}, steps, ["k"]).collect()}
+    for k in "abc":
+        for j, c in ((1, "x"), (2, "y")):
+            values = [r[j] for r in rows if r[0] == k and r[j] is not None]
+            assert ((k, c) in got) == bool(values)
+            assert not values or np.allclose(got[k, c], np.quantile(values, steps))
+    assert np.allclose(quantiles(df, {"x": F.col("x")}, [0.5]).first().quantiles[0], np.median([r[1] for r in rows if r[1] is not None]))
+
+
+def test_absent_classes_count_zero(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 1, 1), ("b", 1, 0)], "k string, y_true int, y_pred int")
+    each = M.per_class(M.confusion(df, ["k"]), ["k"])
+    got = {r.k: r for r in M.overall(each, ["k"]).collect()}
+    assert round(got["a"].balanced_accuracy, 9) == round(2 / 3, 9) and got["a"].gmean == 0 and round(got["b"].balanced_accuracy, 9) == round(0.5 / 3, 9)
+    assert {r.k: (r.mcc, r.kappa) for r in M.mcc_kappa(each, ["k"]).collect()} == {"a": (1.0, 1.0), "b": (0.0, 0.0)}
+
+
+def test_composite_like_numpy(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, 240)
+    p = rng.dirichlet([1, 1, 1], 240) * 0.6 + 0.4 * np.eye(3)[y]
+    p[:3] = [[1, 0, 0], [0, 1, 0], [0.2, 0.2, 0.6]]
+    keys = ["bad" if i == 200 else "good" if i < 200 else "bad" for i in range(240)]
+    p[200] = [0.5, 0.5, 0.5]
+    rows = [(k, int(t), *map(float, q), float(i % 4 > 0)) for i, (k, t, q) in enumerate(zip(keys, y, p, strict=True))]
+    df = spark.createDataFrame(rows, "k string, y_true int, p0 double, p1 double, p2 double, e double")
+    train = {0: 50, 1: 30, 2: 20}
+    got = {r.k: r for r in M.composite(df, ["k"], train, "e", 0.8).collect()}
+    for k in ("good", "bad"):
+        own = [i for i in range(240) if keys[i] == k]
+        q = np.clip(p[own], 1e-12, 1 - 1e-12)
+        q = q / q.sum(axis=1, keepdims=True)
+        t, g = y[own], q.argmax(axis=1)
+        m = np.zeros((3, 3))
+        np.add.at(m, (t, g), 1)
+        f1 = 2 * np.diag(m) / (m.sum(0) + m.sum(1))
+        n, c = m.sum(), np.trace(m)
+        chance = (m.sum(0) * m.sum(1)).sum()
+        mcc = (c * n - chance) / np.sqrt((n * n - (m.sum(0) ** 2).sum()) * (n * n - (m.sum(1) ** 2).sum()))
+        kappa = (c * n - chance) / (n * n - chance)
+        perf = np.prod(np.clip([f1.mean(), (np.diag(m) / m.sum(1)).mean(), (mcc + 1) / 2, (kappa + 1) / 2], 1e-3, 1)) ** 0.25
+
+        def jsd(a, b):
+            a, b = (np.asarray(v, float) + 1e-12 for v in (a, b))
+            a, b = a / a.sum(), b / b.sum()
+            h = (a + b) / 2
+            return (a * np.log2(a / h) + b * np.log2(b / h)).sum() / 2
+
+        entropy = np.median(-(q * np.log(q)).sum(axis=1) / np.log(3))
+        parts = [float(k == "good"), 1 - jsd(m.sum(0), m.sum(1)), 1 - min(abs(entropy - 0.5) / 0.5, 1), 1 - jsd(m.sum(0), [50, 30, 20]), np.mean([i % 4 > 0 for i in own]), 0.8]
+        san = np.prod(np.clip(parts, 1e-3, 1)) ** (1 / 6)
+        assert np.allclose([got[k].s_perf, got[k].s_san, got[k].composite], [perf, san, perf**0.6 * san**0.4])
+
+
+def test_chained_equations_like_numpy(spark):
+    """State, order and bounds of chained least squares; later rounds see what earlier ones filled."""
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=400)
+    x = np.stack([a, 2 * a + rng.normal(size=400) * 0.3, a - rng.normal(size=400)], axis=1)
+    gone = np.stack([rng.random(400) < 0.2, rng.random(400) < 0.4, np.zeros(400, bool)], axis=1)
+    rows = [(i, *(None if g else float(v) for v, g in zip(r, m, strict=True))) for i, (r, m) in enumerate(zip(x, gone, strict=True))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    seen = np.where(gone, np.nan, x)
+    results = []
+    for rounds in (1, 3):
+        state = np.where(gone, np.nanmedian(seen, axis=0), x)
+        for _ in range(rounds):
+            for j in (0, 1):
+                others = np.column_stack([state[:, [k for k in range(3) if k != j]], np.ones(400)])
+                w = np.linalg.lstsq(others[~gone[:, j]], x[~gone[:, j], j], rcond=None)[0]
+                state[gone[:, j], j] = np.clip(others[gone[:, j]] @ w, np.nanmin(seen[:, j]), np.nanmax(seen[:, j]))
+        got = np.array([r[1:] for r in sorted(map(tuple, I.fit_chained(df, ["a", "b", "c"], "ridge", rounds, key="id")(df).select("id", "a", "b", "c").collect()))])
+        assert np.allclose(got, state, atol=1e-5)
+        results.append(got)
+    assert np.abs(results[0] - results[1]).max() > 1e-3
+
+
+def test_radius_pairs_and_masks(spark):
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(40, 3))
+    rows = [(i, i % 2, [float(x) for x in v[i]], int(i % 3 > 0), int(i % 5 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>, here int, missing__v int")
+    near = B.within_radius(B.class_neighbours(df, "id", "v", "label", 5), 0.8)
+    pairs = B.radius_pairs(df, near, spark.createDataFrame([(0, 50), (1, 0)], "label int, quota int"), ["label"], "id", 3)
+    allowed = {(r.id, r.neighbour): r.fallback for r in near.collect()}
+    made = pairs.collect()
+    assert len(made) == 50 and all(allowed[r.a, r.b] == r.fallback and 0 <= r.ratio < 1 and r.label == 0 for r in made)
+    for r in B.materialize(pairs, df, "id", "v", ["label"], 3, ("here",), ("missing__v",)).collect():
+        a, b = rows[r.a], rows[r.b]
+        assert r.here == (a[3] and b[3]) and r.missing__v == (a[4] or b[4])
+    names = [("x_P1", "double"), ("x_P2", "double"), ("age", "int"), ("user_code", "int"), ("missing__x_P1", "int"), ("phase_available_P1", "int"), ("video_observed_mask_P1", "int"), ("label", "string"), ("y_P3", "float")]
+    assert B.interpolated_columns(names, 2, 4, {"user_code"}) == ["x_P1", "x_P2", "age"]
+
+
+def test_units_are_dealt_in_bounded_parts(spark):
+    df = spark.range(900).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("unit"), (5 + F.col("id") % 40).alias("n"))
+    dealt = V.allocate_units(df, "unit", {"n": 1.0}, list("BCD"), 1, most=100)
+    sums = {r.block: r.n for r in dealt.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    assert dealt.count() == 900 and set(sums) == set("BCD") and max(sums.values()) - min(sums.values()) < 0.02 * sum(sums.values())
+
+
+def test_static_parity(spark):
+    a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 5), (3, 3.0, 6)], "id int, x double, y int")
+    b = spark.createDataFrame([(1, 1.0, 4), (2, 2.5, 5), (4, 1.0, 1)], "id int, x double, y int")
+    assert {r.feature: (r.compared, r.mismatches, r.one_side) for r in D.static_parity(a, b, "id", ["x", "y"]).collect()} == {"x": (2, 1, 2), "y": (2, 1, 2)}
+
+
+def test_interval_match_over_months(spark):
+    rng = np.random.default_rng(14)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=int(n))
+    points = [(i, int(k), day(d)) for i, (k, d) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 900, 200), strict=True))]
+    spans = [(int(k), day(s), day(s + w)) for k, s, w in zip(rng.integers(0, 3, 40), rng.integers(0, 800, 40), rng.integers(-5, 300, 40), strict=True)]
+    got = T.interval_match(spark.createDataFrame(points, "id int, k int, t date"), spark.createDataFrame(spans, "k int, s date, e date"), "k", "t", "s", "e", ["id"])
+    assert {r.id: r.matches for r in got.collect()} == {i: sum(k == q and s <= t <= e for q, s, e in spans) for i, k, t in points}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import average_ranks, running_total
+from ..functions.ranking import average_ranks, quantiles, running_total
 
 
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -87,7 +87,10 @@ def ceiling(df: DataFrame, key: str, score: str, possible: float) -> DataFrame:
 def score_contract(df: DataFrame, flags: dict[str, Column], score: str) -> DataFrame:
     """Rows by the signature of what they have, with their share and score quantiles."""
     signature = F.concat_ws("+", *(F.when(c, F.lit(n)) for n, c in flags.items()))
-    out = df.groupBy(signature.alias("signature")).agg(F.count(F.lit(1)).alias("n"), *(F.percentile(score, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)))
+    tagged = df.withColumn("signature", signature)
+    steps = (0.5, 0.9, 0.99)
+    out = tagged.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).join(quantiles(tagged, {"s": F.col(score)}, list(steps), ["signature"]), "signature", "left")
+    out = out.withColumns({f"p{int(p * 100)}": F.get("quantiles", F.lit(i)) for i, p in enumerate(steps)}).drop("feature", "quantiles")
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each signature
 
 

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import running_total
+
 
 def sampling_targets(df: DataFrame, label: str, share: int = 10, most: int = 10) -> DataFrame:
-    """Target of each class: at least 1/share of the largest class, at most ``most`` times its own size."""
+    """Target of each class: at least 1/share of the largest class, at most ``most`` times its own size (``cap_bound``: that limit holds it back)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     largest = F.max("n").over(Window.partitionBy())  # a row for each class
-    return counts.withColumn("target", F.least(F.greatest(F.col("n"), F.ceil(largest / share)), F.col("n") * most)).withColumn("synthetic", F.col("target") - F.col("n"))
+    return counts.withColumn("target", F.least(F.greatest(F.col("n"), F.ceil(largest / share)), F.col("n") * most)).withColumn("synthetic", F.col("target") - F.col("n")).withColumn(
+        "cap_bound", F.ceil(largest / share) > F.col("n") * most
+    )
 
 
 def largest_remainder(df: DataFrame, group: list[str], unit: str, weight: str, total: str) -> DataFrame:
@@ -25,9 +29,10 @@ def largest_remainder(df: DataFrame, group: list[str], unit: str, weight: str, t
 
 
 def numbered(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Rows numbered from 0 in each key, with the key's size."""
-    own = Window.partitionBy(*keys)
-    return df.withColumn("__i", F.row_number().over(own.orderBy(id_col)) - 1).withColumn("__n", F.count(F.lit(1)).over(own))
+    """Rows numbered from 0 in each key, with the key's size; keys are few, and no task holds all rows of one."""
+    placed = running_total(df.withColumn("__one", F.lit(1).cast("long")), [*map(F.col, keys), F.col(id_col)], "__one", "__upto")
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__upto").alias("__first"))
+    return placed.join(F.broadcast(sizes), keys).withColumn("__i", F.col("__upto") - F.col("__first")).drop("__one", "__upto", "__first")
 
 
 def hash_unit(*parts: Column) -> Column:
@@ -40,13 +45,29 @@ def interpolated_pairs(members: DataFrame, quotas: DataFrame, keys: list[str], i
     m = numbered(members.select(*keys, id_col), keys, id_col)
     draws = quotas.where("quota > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota").cast("long"))))
     sizes = m.groupBy(*keys).agg(F.max("__n").alias("__n")).where("__n > 1")
-    draws = draws.join(sizes, keys).select(*keys, "nth", "__n", F.floor(hash_unit(F.col("nth"), *map(F.col, keys), F.lit(seed)) * F.col("__n")).cast("int").alias("ia"))
+    draws = draws.join(sizes, keys).select(*keys, "nth", "__n", F.floor(hash_unit(F.col("nth"), *map(F.col, keys), F.lit(seed)) * F.col("__n")).alias("ia"))
     step = F.floor(hash_unit(F.lit(seed + 1), F.col("nth"), *map(F.col, keys)) * (F.col("__n") - 1)) + 1
-    draws = draws.withColumn("ib", F.pmod(F.col("ia") + step, F.col("__n")).cast("int")).withColumn("ratio", hash_unit(F.lit(seed + 2), F.col("nth"), *map(F.col, keys)))
+    draws = draws.withColumn("ib", F.pmod(F.col("ia") + step, F.col("__n"))).withColumn("ratio", hash_unit(F.lit(seed + 2), F.col("nth"), *map(F.col, keys)))
     place = lambda i, name: m.select(*keys, F.col("__i").alias(i), F.col(id_col).alias(name))
     return draws.join(place("ia", "a"), [*keys, "ia"]).join(place("ib", "b"), [*keys, "ib"]).select(*keys, "nth", "a", "b", "ratio")
 
 
+def radius_pairs(members: DataFrame, near: DataFrame, quotas: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
+    """Parent pairs as many as each key's quota: a by hash draw, b by hash draw among a's neighbours (id, neighbour, fallback).
+
+    Columns: keys, nth, a, b, ratio, fallback. Rows without any neighbour are never drawn.
+    """
+    known = near.groupBy(F.col("id").alias("__row")).agg(F.array_sort(F.collect_list("neighbour")).alias("__near"), F.max("fallback").alias("fallback"))  # at most k neighbours a row
+    rows = numbered(members.join(known, F.col(id_col) == F.col("__row")).select(*keys, F.col("__row").alias("a"), "__near", "fallback"), keys, "a")
+    draws = quotas.where("quota > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota").cast("long"))))
+    drawn = lambda k: hash_unit(F.lit(seed + k), F.col("nth"), *map(F.col, keys))
+    sizes = rows.groupBy(*keys).agg(F.max("__n").alias("__n"))
+    draws = draws.join(sizes, keys).select(*keys, "nth", F.floor(drawn(0) * F.col("__n")).alias("__i"))
+    out = draws.join(rows.drop("__n"), [*keys, "__i"])
+    b = F.get("__near", F.floor(drawn(1) * F.size("__near")).cast("int"))
+    return out.select(*keys, "nth", "a", b.alias("b"), drawn(2).alias("ratio"), "fallback")
+
+
 def clusters(df: DataFrame, vector: str, label: str, value, k: int, seed: int) -> DataFrame:
     """Rows of one class with their k-means cluster."""
     from pyspark.ml.clustering import KMeans
@@ -56,14 +77,30 @@ def clusters(df: DataFrame, vector: str, label: str, value, k: int, seed: int) -
     return KMeans(k=k, seed=seed, maxIter=10).fit(x).transform(x).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def materialize(pairs: DataFrame, source: DataFrame, id_col: str, vector: str, inherited: list[str], seed: int) -> DataFrame:
-    """Synthetic rows: interpolated vectors, categories of the first parent, a hashed id, both parents."""
-    a = source.select(F.col(id_col).alias("a"), F.col(vector).alias("__a"), *inherited)
-    b = source.select(F.col(id_col).alias("b"), F.col(vector).alias("__b"))
+def materialize(
+    pairs: DataFrame, source: DataFrame, id_col: str, vector: str, inherited: list[str], seed: int, available: tuple[str, ...] = (), missing: tuple[str, ...] = ()
+) -> DataFrame:
+    """Synthetic rows: interpolated vectors, categories of the first parent, a hashed id, both parents.
+
+    Masks are never interpolated: a modality is available if it is for both parents, a value is missing if it is for one.
+    """
+    masks = [*available, *missing]
+    a = source.select(F.col(id_col).alias("a"), F.col(vector).alias("__a"), *inherited, *(F.col(m).alias(f"__a_{m}") for m in masks))
+    b = source.select(F.col(id_col).alias("b"), F.col(vector).alias("__b"), *(F.col(m).alias(f"__b_{m}") for m in masks))
     x = pairs.drop(*inherited).join(a, "a").join(b, "b")
+    both = [F.least(F.col(f"__a_{m}"), F.col(f"__b_{m}")).alias(m) for m in available]
+    both += [F.greatest(F.col(f"__a_{m}"), F.col(f"__b_{m}")).alias(m) for m in missing]
     mixed = F.zip_with("__a", "__b", lambda p, q: p + (q - p) * F.col("ratio"))
     name = F.sha2(F.concat_ws("|", F.lit(str(seed)), "a", "b", "nth"), 256)
-    return x.select(name.alias("synthetic_id"), "a", "b", "ratio", *inherited, mixed.alias(vector))
+    return x.select(name.alias("synthetic_id"), "a", "b", "ratio", *inherited, *both, mixed.alias(vector))
+
+
+def interpolated_columns(columns: list[tuple[str, str]], phase: int, phases: int, fixed: set[str]) -> list[str]:
+    """Columns of (name, type) that may be interpolated at a phase: numeric ones, static or of phases up to it; never ``fixed`` ones or masks."""
+    masks = ("missing__", "phase_available_", "context__")
+    later = tuple(f"_P{k}" for k in range(phase + 1, phases + 1))
+    numeric = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
+    return [n for n, t in columns if t.startswith(numeric) and n not in fixed and not n.startswith(masks) and "_observed_mask_" not in n and not n.endswith(later)]
 
 
 def dot(a: str, b: str) -> Column:
@@ -91,10 +128,10 @@ def class_neighbours(df: DataFrame, id_col: str, vector: str, label: str, k: int
             u, w = np.array(a["v"].tolist(), dtype=float), np.array(b["v2"].tolist(), dtype=float)
             ids = b["id2"].to_numpy()
             by_id = np.argsort(ids)
-            gaps = ((u[:, None, :] - w[None, by_id, :]) ** 2).sum(axis=2) if len(u) * len(w) < 1_000_000 else (u * u).sum(1)[:, None] + (w[by_id] ** 2).sum(1)[None] - 2 * u @ w[by_id].T
             for i, own in enumerate(a["id"]):
-                order = np.argsort(gaps[i], kind="stable")[: k + 1]
-                out += [(own, int(ids[by_id[j]]), float(gaps[i, j])) for j in order if ids[by_id[j]] != own][:k]
+                gaps = ((w[by_id] - u[i]) ** 2).sum(axis=1)  # a row at a time: exact differences in little memory, at every size
+                order = np.argsort(gaps, kind="stable")[: k + 1]
+                out += [(own, int(ids[by_id[j]]), float(gaps[j])) for j in order if ids[by_id[j]] != own][:k]
         return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
 
     best = left.groupBy("c", "p", "q").cogroup(right.groupBy("c2", "p2", "q2")).applyInPandas(nearest, "id long, neighbour long, distance double")
@@ -118,6 +155,19 @@ def within_radius(neighbours: DataFrame, radius: float) -> DataFrame:
     return x.where(F.col("__in") | (~F.col("__any") & (F.col("rank") == 1))).withColumn("fallback", ~F.col("__any")).drop("__in", "__any")
 
 
+def balanced_sample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
+    """About as many rows of each class as the smallest has, by hash."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    share = sizes.withColumn("__share", F.min("__n").over(Window.partitionBy()) / F.col("__n")).drop("__n")  # a row for each class
+    return df.join(F.broadcast(share), label).where(hash_unit(F.col(id_col), F.lit(seed)) < F.col("__share")).drop("__share")
+
+
+def take_best(accepted: DataFrame, quotas: DataFrame, label: str, score: str, id_col: str) -> DataFrame:
+    """The ``quota`` rows of each class with the highest score, ties by id."""
+    ranked = numbered(accepted.withColumn("__down", -F.col(score)).withColumn("__order", F.struct("__down", id_col)), [label], "__order")
+    return ranked.join(F.broadcast(quotas.select(label, "quota")), label).where(F.col("__i") < F.col("quota")).drop("__i", "__n", "__down", "__order", "quota")
+
+
 def accept_by_votes(candidates: DataFrame, train: DataFrame, vector: str, label: str, least: float, seed: int) -> DataFrame:
     """Candidates whose own class a forest of inspectors gives at least ``least`` of its votes."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -130,7 +180,10 @@ def accept_by_votes(candidates: DataFrame, train: DataFrame, vector: str, label:
 
 
 def sampling_summary(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
-    """Per class: rows before and after, expansion, and whether the target was met."""
-    grown = after.groupBy(label).agg(F.count(F.lit(1)).alias("added"))
-    x = sampling_targets(before, label).join(grown, label, "left").withColumn("added", F.coalesce("added", F.lit(0)))
+    """Per class: rows before and after, expansion, whether the target was met or bound by the cap, and the share of rows
+    that fell back to the nearest neighbour (``fallback`` of ``after``, where it has one), flagged above one half."""
+    fallback = F.avg(F.col("fallback").cast("int")) if "fallback" in after.columns else F.lit(0.0)
+    grown = after.groupBy(label).agg(F.count(F.lit(1)).alias("added"), fallback.alias("fallback_rate"))
+    x = sampling_targets(before, label).join(grown, label, "left").withColumn("added", F.coalesce("added", F.lit(0).cast("long"))).withColumn("fallback_rate", F.coalesce("fallback_rate", F.lit(0.0)))
+    x = x.withColumn("radius_warning", F.col("fallback_rate") > 0.5)
     return x.withColumn("target_met", F.col("added") == F.col("synthetic")).withColumn("expansion", (F.col("n") + F.col("added")) / F.col("n"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import quantiles, running_total
+from ..sources.tables import scratch_path
 
 def melt_phases(df: DataFrame, ids: list[str], features: list[str], phases: list[str]) -> DataFrame:
     """Wide phase columns to one row a phase."""
@@ -26,8 +26,10 @@ def impute_constant(df: DataFrame, columns: list[str], value: float = 0.0) -> Da
 
 def fit_univariate(train: DataFrame, columns: list[str], how: str = "median") -> dict[str, float | None]:
     """One number a column: exact median or mean of the observed training values."""
-    f = (lambda c: F.percentile(c, F.lit(0.5))) if how == "median" else F.avg
-    row = train.agg(*(f(c).alias(c) for c in columns)).first()
+    if how == "median":
+        found = {r["feature"]: r["quantiles"][0] for r in quantiles(train, {c: F.col(c) for c in columns}, [0.5]).collect()}  # one row a column
+        return {c: found.get(c) for c in columns}
+    row = train.agg(*(F.avg(c).alias(c) for c in columns)).first()
     return {c: row[c] for c in columns}
 
 
@@ -38,9 +40,8 @@ def apply_constants(df: DataFrame, constants: dict[str, float | None]) -> DataFr
 
 def fit_robust(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range (1 where it is 0) of the observed training values."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    row = train.agg(*(F.percentile(c, qs).alias(c) for c in columns)).first()
-    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) if row[c] else (0.0, 1.0) for c in columns}
+    found = {r["feature"]: r["quantiles"] for r in quantiles(train, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).collect()}  # one row a column
+    return {c: (found[c][1], (found[c][2] - found[c][0]) or 1.0) if c in found else (0.0, 1.0) for c in columns}
 
 
 def scale(df: DataFrame, model: dict[str, tuple[float, float]]) -> DataFrame:
@@ -49,8 +50,6 @@ def scale(df: DataFrame, model: dict[str, tuple[float, float]]) -> DataFrame:
 
 def fit_vocab(train: DataFrame, column: str) -> DataFrame:
     """value, code: codes from 1 in order of value; 0 is kept for unknown values."""
-    from ..functions.ranking import running_total
-
     values = train.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct().withColumn("one", F.lit(1))
     return running_total(values, [F.col("value")], "one", "code").select("value", F.col("code").cast("int").alias("code"))
 
@@ -71,30 +70,43 @@ def impute_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
 
 
-def fit_chained(train: DataFrame, columns: list[str], how: str = "tree", rounds: int = 1, sample: int = 1_000_000, key: str | None = None):
-    """Each column regressed on the others, starting from medians, in rounds; fitted on at most ``sample`` hashed rows.
+def fit_chained(
+    train: DataFrame, columns: list[str], how: str = "tree", rounds: int = 1, sample: int = 1_000_000, key: str | None = None, initial: str | float = "median", penalty: float = 0.0
+):
+    """Chained equations: each column with missing values, fewest first, regressed on the current state of all others, in rounds.
 
-    Returns a function that fills any split. Ridge results are bounded by the training range.
+    After each regression the column's missing cells take its predictions, so later regressions and rounds see them. The
+    start is the median or a constant. Fitted on at most ``sample`` hashed rows; columns without missing values are only
+    predictors. Predictions are bounded by the training range. Returns a function that fills any split the same way.
     """
-    start = fit_univariate(train, columns)
-    limits = train.agg(*(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns)).first()
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    start = fit_univariate(train, columns) if initial == "median" else dict.fromkeys(columns, float(initial))
+    known = train.agg(*(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count_if(F.col(c).isNull()).alias("gone")).alias(c) for c in columns)).first()
+    order = sorted((c for c in columns if known[c].gone and known[c].lo is not None), key=lambda c: (known[c].gone, columns.index(c)))
     rows = train.orderBy(F.xxhash64(key)).limit(sample) if key else train
-    filled = apply_constants(rows, start)
+    learner = DecisionTreeRegressor(maxDepth=5, seed=7) if how == "tree" else LinearRegression(regParam=penalty)
+
+    def updated(state: DataFrame, c: str, model) -> DataFrame:
+        guess = F.least(F.greatest(F.col("__p"), F.lit(float(known[c].lo))), F.lit(float(known[c].hi)))
+        seen = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="__x").transform(state)
+        return model.transform(seen).withColumn(c, F.when(F.col(f"missing__{c}") == 1, guess).otherwise(F.col(c))).drop("__x", "__p")
+
+    state = apply_constants(rows.select(*columns), start)
     models: list[tuple[str, object]] = []
     for _ in range(rounds):
-        for c in columns:
-            others = [o for o in columns if o != c]
-            seen = VectorAssembler(inputCols=others, outputCol="__x").transform(filled.where(F.col(f"missing__{c}") == 0))
-            learner = DecisionTreeRegressor(maxDepth=5, seed=7) if how == "tree" else LinearRegression(regParam=0.1)
-            models.append((c, learner.setFeaturesCol("__x").setLabelCol(c).setPredictionCol("__p").fit(seen)))
+        for c in order:
+            seen = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="__x").transform(state.where(F.col(f"missing__{c}") == 0))
+            models.append((c, learner.copy().setFeaturesCol("__x").setLabelCol(c).setPredictionCol("__p").fit(seen)))
+            path = scratch_path(train.sparkSession, "chained")  # written, so that no regression repeats the earlier ones
+            updated(state, *models[-1]).write.parquet(path)
+            state = train.sparkSession.read.parquet(path)
 
     def transform(df: DataFrame) -> DataFrame:
         out = apply_constants(df, start)
         for c, model in models:
-            others = [o for o in columns if o != c]
-            out = model.transform(VectorAssembler(inputCols=others, outputCol="__x").transform(out))
-            guess = F.least(F.greatest(F.col("__p"), F.lit(limits[c].lo)), F.lit(limits[c].hi))
-            out = out.withColumn(c, F.when(F.col(f"missing__{c}") == 1, guess).otherwise(F.col(c))).drop("__x", "__p")
+            out = updated(out, c, model)
         return out
 
     return transform

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import quantiles
+
 
 def effective_score(observed: Column, correct: Column, full: Column) -> tuple[Column, Column]:
     """The score and where it came from: observed, rebuilt from correctness, or unresolved."""
@@ -106,9 +108,10 @@ def score_bins(df: DataFrame, score: Column, width: float) -> DataFrame:
 
 def metric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of each metric as long rows."""
-    one = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("low"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("high")).alias(c) for c in columns))
+    one = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in columns))
     long = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in columns))).alias("y"))
-    return long.select("y.metric", "y.x.n", "y.x.mean", "y.x.std", "y.x.low", *(F.get("y.x.q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "y.x.high")
+    long = long.select("y.metric", "y.x.*").join(quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).withColumnRenamed("feature", "metric"), "metric", "left")
+    return long.select("metric", "n", "mean", "std", "low", *(F.get("quantiles", F.lit(i)).alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "high")
 
 
 def label_profile(df: DataFrame, key: str, label: str, values: list[str]) -> DataFrame:

@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .splits import base2_jsd
+from ..functions.ranking import quantiles, running_total
 
 EPS = 1e-12
 CLASSES = (0, 1, 2)
@@ -17,9 +16,9 @@ PROBS = ("p0", "p1", "p2")
 
 def normalise_probs(df: DataFrame, probs=PROBS) -> DataFrame:
     """Clipped and renormalised probabilities with their argmax (the first of equal ones)."""
-    total = reduce(lambda a, b: a + b, [F.greatest(F.col(p), F.lit(EPS)) for p in probs])
-    out = df.withColumn("__t", total)
-    out = out.withColumns({p: F.greatest(F.col(p), F.lit(EPS)) / F.col("__t") for p in probs}).drop("__t")
+    clipped = {p: F.least(F.greatest(F.col(p), F.lit(EPS)), F.lit(1 - EPS)) for p in probs}
+    out = df.withColumn("__t", reduce(lambda a, b: a + b, clipped.values()))
+    out = out.withColumns({p: c / F.col("__t") for p, c in clipped.items()}).drop("__t")
     values = F.array(*(F.col(p) for p in probs))
     return out.withColumn("argmax", (F.array_position(values, F.array_max(values)) - 1).cast("int"))
 
@@ -47,22 +46,27 @@ def per_class(cm: DataFrame, keys: list[str], classes=CLASSES, truth: str = "y_t
 
 
 def overall(classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Accuracy, balanced accuracy, macro F1 over present and over all classes, weighted F1, G-mean of recalls."""
-    log = F.sum(F.log(F.when(F.col("support") > 0, F.greatest("recall", F.lit(EPS)))))
+    """Accuracy, balanced accuracy, macro F1 over present and over all classes, weighted F1, G-mean of recalls.
+
+    A class without support has recall 0 in balanced accuracy and G-mean.
+    """
+    recall = F.coalesce("recall", F.lit(0.0))
+    gmean = F.when(F.min(recall) > 0, F.exp(F.sum(F.log(recall)) / F.count(F.lit(1)))).otherwise(0.0)
     return classes.groupBy(*keys).agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1_present"),
-        F.avg(F.coalesce("f1", F.lit(0.0))).alias("macro_f1_fixed"), (F.sum(F.coalesce("f1", F.lit(0.0)) * F.col("support")) / F.sum("support")).alias("weighted_f1"), F.exp(log / F.count("recall")).alias("gmean"),
+        (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1_present"),
+        F.avg(F.coalesce("f1", F.lit(0.0))).alias("macro_f1_fixed"), (F.sum(F.coalesce("f1", F.lit(0.0)) * F.col("support")) / F.sum("support")).alias("weighted_f1"), gmean.alias("gmean"),
     )
 
 
 def mcc_kappa(classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Multi-class Matthews correlation and Cohen's kappa from per-class sums."""
+    """Multi-class Matthews correlation and Cohen's kappa from per-class sums; 0 where only one class is present."""
     s = F.max("total").cast("double")
     c, pt, pp, tt = F.sum("tp"), F.sum(F.col("support").cast("double") * F.col("predicted")), F.sum(F.pow("predicted", F.lit(2.0))), F.sum(F.pow("support", F.lit(2.0)))
-    x = classes.groupBy(*keys).agg(s.alias("s"), c.alias("c"), pt.alias("pt"), pp.alias("pp"), tt.alias("tt"))
+    x = classes.groupBy(*keys).agg(s.alias("s"), c.alias("c"), pt.alias("pt"), pp.alias("pp"), tt.alias("tt"), F.count_if(F.col("support") > 0).alias("present"))
+    known = lambda c: F.when(F.col("present") > 1, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
     mcc = F.try_divide(F.col("c") * F.col("s") - F.col("pt"), F.sqrt((F.pow("s", F.lit(2.0)) - F.col("pp")) * (F.pow("s", F.lit(2.0)) - F.col("tt"))))
     kappa = F.try_divide(F.col("c") * F.col("s") - F.col("pt"), F.pow("s", F.lit(2.0)) - F.col("pt"))
-    return x.select(*keys, mcc.alias("mcc"), kappa.alias("kappa"))
+    return x.select(*keys, known(mcc).alias("mcc"), known(kappa).alias("kappa"))
 
 
 def one_vs_rest(df: DataFrame, keys: list[str], classes=CLASSES, probs=PROBS, truth: str = "y_true") -> DataFrame:
@@ -72,20 +76,26 @@ def one_vs_rest(df: DataFrame, keys: list[str], classes=CLASSES, probs=PROBS, tr
     return long.groupBy(*keys, "x.class_id", "x.score").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("pos"))
 
 
+def ranked_scores(scores: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
+    """Totals of ``values`` up to each score inside its key and class, as ``upto_<value>``; no task holds a whole key."""
+    own = [*keys, "class_id"]
+    x = running_total(scores, [*map(F.col, own), order], values, [f"__{v}" for v in values])
+    base = x.groupBy(*own).agg(*(F.min(F.col(f"__{v}") - F.col(v)).alias(f"__{v}0") for v in values))
+    x = x.join(F.broadcast(base), own)  # a row for each class of each key
+    return x.withColumns({f"upto_{v}": F.col(f"__{v}") - F.col(f"__{v}0") for v in values})
+
+
 def average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision per class; ties count at once. Null without positives."""
-    down = Window.partitionBy(*keys, "class_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = scores.withColumn("tp", F.sum("pos").over(down)).withColumn("k", F.sum("n").over(down))
-    return x.groupBy(*keys, "class_id").agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("ap"))
+    x = ranked_scores(scores, keys, F.desc("score"), ["pos", "n"])
+    return x.groupBy(*keys, "class_id").agg(F.try_divide(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")), F.sum("pos")).alias("ap"))
 
 
 def roc_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mann-Whitney AUC per class with ties at one half; null where a side is empty."""
-    up = Window.partitionBy(*keys, "class_id").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    neg = F.col("n") - F.col("pos")
-    x = scores.withColumn("below", F.coalesce(F.sum(neg).over(up), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + neg / 2))
-    return x.groupBy(*keys, "class_id").agg(F.try_divide(wins, F.sum("pos") * F.sum(neg)).alias("auc"))
+    x = ranked_scores(scores.withColumn("neg", F.col("n") - F.col("pos")), keys, F.asc("score"), ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
+    return x.groupBy(*keys, "class_id").agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def losses(df: DataFrame, keys: list[str], classes=CLASSES, probs=PROBS, truth: str = "y_true") -> DataFrame:
@@ -111,12 +121,37 @@ def geometric(components: list[Column], floor: float = 1e-3) -> Column:
     return F.exp(reduce(lambda a, b: a + b, [F.log(F.greatest(c, F.lit(floor))) for c in components]) / len(components))
 
 
-def majority_jsd(df: DataFrame, keys: list[str], guess: str = "y_pred", classes=CLASSES) -> DataFrame:
-    """Divergence of the predicted shares from always predicting the majority."""
-    x = df.groupBy(*keys).agg(*(F.avg((F.col(guess) == c).cast("int")).alias(f"g{c}") for c in classes))
-    most = F.greatest(*(F.col(f"g{c}") for c in classes))
-    only = [F.when(F.col(f"g{c}") == most, 1.0).otherwise(0.0) for c in classes]
-    return x.select(*keys, base2_jsd([F.col(f"g{c}") for c in classes], only).alias("majority_jsd"))
+def smoothed_jsd(left: list[Column], right: list[Column]) -> Column:
+    """Base-2 divergence of two count vectors, each count raised by ``EPS``."""
+    total = lambda cs: reduce(lambda a, b: a + b, [c + F.lit(EPS) for c in cs])
+    p, q = ([(c + F.lit(EPS)) / total(cs) for c in cs] for cs in (left, right))
+    part = lambda a, b: a * F.log2(a / ((a + b) / 2))
+    return reduce(lambda a, b: a + b, [(part(a, b) + part(b, a)) / 2 for a, b in zip(p, q, strict=True)])
+
+
+def composite(df: DataFrame, keys: list[str], train_counts: dict[int, int] | None = None, effective: str | None = None, leak_free: float | None = None, classes=CLASSES, probs=PROBS, truth: str = "y_true") -> DataFrame:
+    """keys, s_perf, the six sanity parts, s_san and composite = s_perf ** 0.6 * s_san ** 0.4; parts are floored at 0.001.
+
+    Performance: macro F1 over all classes, balanced accuracy, (mcc + 1) / 2, (kappa + 1) / 2. Sanity: finite rows that
+    add up to one, predicted against true shares, median entropy near one half, predicted shares against those of
+    training (``train_counts``; else the true ones), the mean of ``effective``, and a probe's ``leak_free`` (1 where not given).
+    """
+    finite = reduce(lambda a, b: a & b, [F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(F.col(p)) != float("inf")) for p in probs])
+    fits = F.coalesce(finite & (F.abs(reduce(lambda a, b: a + b, [F.col(p) for p in probs]) - 1) <= 1e-4), F.lit(False))
+    x = normalise_probs(df.withColumn("__fits", fits.cast("int")), probs)
+    each = per_class(confusion(x, keys, truth, "argmax"), keys, classes, truth, "argmax")
+    of = lambda column, c: F.sum(F.when(F.col("class_id") == c, F.col(column)).otherwise(0))
+    guessed, true = [of("predicted", c) for c in classes], [of("support", c) for c in classes]
+    reference = true if train_counts is None else [F.lit(train_counts.get(c, 0)) for c in classes]
+    shares = each.groupBy(*keys).agg((1 - smoothed_jsd(guessed, true)).alias("s_majority"), (1 - smoothed_jsd(guessed, reference)).alias("s_drift"))
+    middle = quantiles(x, {"e": entropy(probs)}, [0.5], keys).select(*keys, F.get("quantiles", F.lit(0)).alias("__middle"))
+    rows = x.groupBy(*keys).agg(F.min("__fits").cast("double").alias("s_finite"), (F.lit(1.0) if effective is None else F.avg(effective)).alias("s_effective"))
+    out = overall(each, keys).join(mcc_kappa(each, keys), keys).join(shares, keys).join(rows, keys).join(middle, keys)
+    out = out.withColumn("s_entropy", 1 - F.least(F.abs(F.col("__middle") - 0.5) / 0.5, F.lit(1.0))).withColumn("s_leak", F.lit(1.0 if leak_free is None else leak_free))
+    out = out.withColumn("s_perf", geometric([F.col("macro_f1_fixed"), F.col("balanced_accuracy"), (F.col("mcc") + 1) / 2, (F.col("kappa") + 1) / 2]))
+    parts = ["s_finite", "s_majority", "s_entropy", "s_drift", "s_effective", "s_leak"]
+    out = out.withColumn("s_san", geometric([F.least(F.col(p), F.lit(1.0)) for p in parts]))
+    return out.select(*keys, "s_perf", *parts, "s_san", (F.pow("s_perf", F.lit(0.6)) * F.pow("s_san", F.lit(0.4))).alias("composite"))
 
 
 def support_flags(classes: DataFrame, keys: list[str]) -> DataFrame:

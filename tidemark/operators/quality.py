@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import quantiles
 from .splits import base2_jsd
 
 EPS = 1e-12
@@ -79,9 +80,8 @@ def quality_summary(df: DataFrame, columns: list[str], masks: list[str], keys: l
 
 def bin_scheme(train: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """feature, edges: strictly rising inner quantile edges of the training values."""
-    qs = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = long_stats(train, columns, {"edges": lambda c: F.percentile(c, qs)})
-    return edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))
+    edges = quantiles(train, {c: F.col(c) for c in columns}, [i / bins for i in range(1, bins)])
+    return edges.select("feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
 
 
 def hist_sketch(df: DataFrame, scheme: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -154,13 +154,24 @@ def hidden_cells(key: Column, rate: float, seed: int) -> Column:
 
 def fidelity(df: DataFrame, truth: str, guess: str) -> DataFrame:
     error = F.abs(F.col(truth) - F.col(guess))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.percentile(error, F.lit(0.5)).alias("median_error"))
+    middle = quantiles(df, {"e": error}, [0.5]).first()  # one row
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    return one.withColumn("median_error", F.lit(middle["quantiles"][0] if middle else None).cast("double"))
 
 
 def quantile_distance(real: DataFrame, synthetic: DataFrame, column: str, steps: int = 20) -> DataFrame:
     """Mean absolute difference of quantiles, and synthetic values outside the real range."""
-    qs = F.array(*(F.lit(i / steps) for i in range(steps + 1)))
-    limits = real.agg(F.percentile(column, qs).alias("a"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()  # one row
-    expected = F.array(*(F.lit(v) for v in limits["a"] or []))
-    distance = F.aggregate(F.zip_with(F.percentile(column, qs), expected, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / (steps + 1)
-    return synthetic.agg(distance.alias("distance"), F.count_if((F.col(column) < limits["lo"]) | (F.col(column) > limits["hi"])).alias("outside"))
+    both = [quantiles(df, {"v": F.col(column)}, [i / steps for i in range(steps + 1)]).first() for df in (real, synthetic)]  # one row each
+    a, b = (r["quantiles"] if r else [] for r in both)
+    distance = sum(abs(x - y) for x, y in zip(a, b, strict=True)) / (steps + 1) if a and b else None
+    lo, hi = (a[0], a[-1]) if a else (None, None)
+    outside = F.count_if((F.col(column) < F.lit(lo)) | (F.col(column) > F.lit(hi)))
+    return synthetic.agg(F.lit(distance).cast("double").alias("distance"), outside.alias("outside"))
+
+
+def static_parity(first: DataFrame, later: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Per static column: rows of a later prefix whose value differs from the first prefix's, nulls counting as values; and keys on one side only."""
+    right = later.select(F.col(key), F.lit(1).alias("__b"), *(F.col(c).alias(f"__{c}") for c in columns))
+    both = first.select(key, F.lit(1).alias("__a"), *columns).join(right, key, "full")
+    met = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    return long_stats(both, columns, {"compared": lambda c: F.count_if(met), "mismatches": lambda c: F.count_if(met & ~F.col(c).eqNullSafe(F.col(f"__{c}"))), "one_side": lambda c: F.count_if(~met)})

@@ -84,12 +84,33 @@ def poisson_weight(unit: Column, replicate: Column, seed: int) -> Column:
 
 
 def cluster_ci(df: DataFrame, cluster: str, classes: int, replicates: int, seed: int) -> DataFrame:
-    """95 % intervals of macro F1 when whole clusters are drawn again, from per-cluster confusion counts."""
+    """metric, class_id, replicates, low, high: 95 % intervals of macro F1 (class_id null) and of each class's recall and F1
+    when whole clusters are drawn again, from per-cluster confusion counts."""
     cells = confusion(df, [cluster])
     drawn = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("n", F.col("n") * poisson_weight(F.col(cluster), F.col("replicate"), seed))
     cm = drawn.groupBy("replicate", "y_true", "y_pred").agg(F.sum("n").alias("n"))
-    scores = overall(per_class(cm, ["replicate"], tuple(range(classes))), ["replicate"])
-    return scores.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("macro_f1_fixed", F.lit(0.025)).alias("low"), F.percentile("macro_f1_fixed", F.lit(0.975)).alias("high"))
+    each = per_class(cm, ["replicate"], tuple(range(classes)))
+    macro = overall(each, ["replicate"]).select(F.lit("macro_f1").alias("metric"), F.lit(None).cast("int").alias("class_id"), F.col("macro_f1_fixed").alias("v"))
+    own = F.explode(F.array(F.struct(F.lit("recall").alias("metric"), F.col("recall").alias("v")), F.struct(F.lit("f1").alias("metric"), F.col("f1").alias("v")))).alias("x")
+    scores = macro.unionByName(each.select("class_id", own).select("x.metric", "class_id", "x.v")).where("v is not null")
+    return scores.groupBy("metric", "class_id").agg(F.count(F.lit(1)).alias("replicates"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))  # a value a replicate
+
+
+def paired_delta_by_cluster(pairs: DataFrame, cluster: str, classes: int, replicates: int, seed: int) -> DataFrame:
+    """Macro-F1 difference of two predictions (y_true, a, b) when whole clusters are drawn again: interval and share of positive replicates."""
+    cells = pairs.groupBy(cluster, "y_true", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    drawn = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("n", F.col("n") * poisson_weight(F.col(cluster), F.col("replicate"), seed))
+    cells = drawn.groupBy("replicate", "y_true", "a", "b").agg(F.sum("n").alias("n"))
+
+    def macro(guess: str) -> DataFrame:
+        cm = cells.groupBy("replicate", "y_true", F.col(guess).alias("y_pred")).agg(F.sum("n").alias("n"))
+        return overall(per_class(cm, ["replicate"], tuple(range(classes))), ["replicate"]).select("replicate", F.col("macro_f1_fixed").alias(f"f_{guess}"))
+
+    delta = F.col("f_a") - F.col("f_b")
+    both = macro("a").join(macro("b"), "replicate")
+    return both.agg(
+        F.count(F.lit(1)).alias("replicates"), F.avg(delta).alias("delta"), F.percentile(delta, F.lit(0.025)).alias("low"), F.percentile(delta, F.lit(0.975)).alias("high"), F.avg((delta > 0).cast("int")).alias("positive_share")
+    )
 
 
 def paired_delta(pairs: DataFrame, classes: int, replicates: int, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import running_total, top_by
+from ..functions.ranking import quantiles, running_total, top_by
 
 
 def parse_dates(text: Column) -> Column:
@@ -63,10 +63,18 @@ def month_templates(runs: DataFrame, start: str, span: Column, least_runs: int)
     return best.withColumn("reliable", F.col("n") >= least_runs)
 
 
+def months_of(start: Column | str, end: Column | str) -> Column:
+    """The first days of all months an interval touches."""
+    return F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+
+
 def interval_match(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, ids: list[str]) -> DataFrame:
-    """Points with the number of intervals of their key that contain them, and a status."""
-    spans = intervals.select(key, F.col(start).alias("__s"), F.col(end).alias("__e"))
-    hits = points.join(spans, key).where((F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e"))).groupBy(*ids).agg(F.count(F.lit(1)).alias("matches"))
+    """Points with the number of intervals of their key that contain them, and a status.
+
+    A point meets only the intervals that touch its month, so a key with many points and intervals is spread over months.
+    """
+    spans = intervals.where(F.col(start) <= F.col(end)).select(key, F.col(start).alias("__s"), F.col(end).alias("__e"), F.explode(months_of(start, end)).alias("__m"))
+    hits = points.withColumn("__m", F.trunc(time, "month")).join(spans, [key, "__m"]).where((F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e"))).groupBy(*ids).agg(F.count(F.lit(1)).alias("matches"))
     out = points.join(hits, ids, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
     return out.withColumn("status", F.when(F.col("matches") == 0, "unmatched").when(F.col("matches") == 1, "one").otherwise("multiple"))
 
@@ -113,10 +121,10 @@ def block_summary(blocks: DataFrame, block: str, size: str, ratios: dict[str, fl
 def anchored_intervals(points: DataFrame, key: str, time: str, tie: str, months: dict[int, int], fallback_days: int) -> DataFrame:
     """Sequential intervals: the first unassigned point opens one, whose length depends on its month; points inside join it.
 
-    Points of a key are sequential by nature. They stream in order through a task, so memory does not grow with a key.
+    Points of a key are sequential by nature. They stream in order through a task, so memory does not grow with a key; a
+    step is an interval, whose points are found by binary search.
     """
-    import datetime
-
+    import numpy as np
     import pandas as pd
 
     def end_of(start: pd.Timestamp) -> pd.Timestamp:
@@ -129,14 +137,23 @@ def anchored_intervals(points: DataFrame, key: str, time: str, tie: str, months:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, number, start, end, anchor = object(), 0, None, None, None
         for x in batches:
-            out: list[tuple[int, datetime.date, datetime.date, object]] = []
-            for k, at, name in zip(x[key], x[time], x[tie], strict=True):
-                if k != current or at > end:
-                    number = number + 1 if k == current else 1
-                    current, start, anchor = k, at.normalize(), name
-                    end = end_of(start)
-                out.append((number, start.date(), end.date(), anchor))
-            yield pd.concat([x.reset_index(drop=True), pd.DataFrame(out, columns=["sequence", "start_date", "end_date", "anchor"])], axis=1)[[*names, "sequence", "start_date", "end_date", "anchor"]]
+            x = x.reset_index(drop=True)
+            times = pd.to_datetime(x[time])
+            changes = np.flatnonzero((x[key] != x[key].shift()).to_numpy())
+            cuts, opened = [], []  # first row of each stretch inside one interval, and that interval
+            for lo, hi in zip(changes, [*changes[1:], len(x)], strict=True):
+                k, at = x[key].iat[lo], lo
+                while at < hi:
+                    if k != current or times.iat[at] > end:
+                        number = number + 1 if k == current else 1
+                        current, start, anchor = k, times.iat[at].normalize(), x[tie].iat[at]
+                        end = end_of(start)
+                    cuts.append(at)
+                    opened.append((number, start.date(), end.date(), anchor))
+                    at += int(times.iloc[at:hi].searchsorted(end, "right"))
+            each = pd.DataFrame(opened, columns=["sequence", "start_date", "end_date", "anchor"])
+            out = each.iloc[np.repeat(np.arange(len(cuts)), np.diff([*cuts, len(x)]))].reset_index(drop=True)
+            yield pd.concat([x, out], axis=1)[[*names, "sequence", "start_date", "end_date", "anchor"]]
 
     anchor_type = dict(points.dtypes)[tie]
     ordered = points.repartition(key).sortWithinPartitions(key, time, tie)
@@ -145,16 +162,16 @@ def anchored_intervals(points: DataFrame, key: str, time: str, tie: str, months:
 
 def interval_activity(intervals: DataFrame, events: DataFrame, key: str, ids: list[str], start: str, end: str, time: str) -> DataFrame:
     """Intervals flagged by whether any event of their key falls inside."""
-    moments = events.select(key, F.to_date(time).alias("__t")).distinct()
-    active = intervals.join(moments, key).where(F.col("__t").between(F.to_date(start), F.to_date(end))).select(*ids).distinct().withColumn("active", F.lit(1))
+    moments = events.select(key, F.to_date(time).alias("__t")).distinct().withColumn("__m", F.trunc("__t", "month"))
+    spans = intervals.where(F.to_date(start) <= F.to_date(end)).withColumn("__m", F.explode(months_of(F.to_date(start), F.to_date(end))))
+    active = spans.join(moments, [key, "__m"]).where(F.col("__t").between(F.to_date(start), F.to_date(end))).select(*ids).distinct().withColumn("active", F.lit(1))
     return intervals.join(active, ids, "left").withColumn("active", F.coalesce("active", F.lit(0)))
 
 
 def quantile_profile(df: DataFrame, columns: list[str], population: str, steps: list[float]) -> DataFrame:
     """Long rows (metric, population, quantile, value) of exact quantiles."""
-    values = df.agg(*(F.percentile(c, F.array(*(F.lit(q) for q in steps))).alias(c) for c in columns))
-    long = values.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns))).alias("x"))
-    out = long.select("x.metric", F.posexplode("x.v").alias("i", "value"))
+    values = quantiles(df, {c: F.col(c) for c in columns}, steps)
+    out = values.select(F.col("feature").alias("metric"), F.posexplode("quantiles").alias("i", "value"))
     return out.select("metric", F.lit(population).alias("population"), F.get(F.array(*(F.lit(q) for q in steps)), F.col("i")).alias("quantile"), "value")
 
 
@@ -166,8 +183,13 @@ def name_match_audit(left: DataFrame, right: DataFrame, name: Column, key: str)
 
 
 def shifted_offerings(points: DataFrame, runs: DataFrame, key: str, time: str, start: str, end: str, years: list[int]) -> DataFrame:
-    """Candidate runs of a point when runs recur each year: moved by whole years onto the point's year and the ones before."""
-    moved = points.join(runs, key).withColumn("__back", F.explode(F.array(*(F.lit(y) for y in years))))
+    """Candidate runs of a point when runs recur each year: moved by whole years onto the point's year and the ones before.
+
+    Moving keeps the months of the year that a run touches (one more for ends that slip over a short month), so points
+    and runs meet by key and month of the year.
+    """
+    spans = runs.where(F.col(start) <= F.col(end)).withColumn("__m", F.explode(F.array_distinct(F.transform(months_of(start, F.date_add(end, 3)), F.month))))
+    moved = points.withColumn("__m", F.month(time)).join(spans, [key, "__m"]).drop("__m").withColumn("__back", F.explode(F.array(*(F.lit(y) for y in years))))
     months = (F.year(time) - F.year(start) - F.col("__back")) * 12
     moved = moved.withColumn("offering_start", F.add_months(start, months)).withColumn("offering_end", F.add_months(end, months)).drop("__back")
     return moved.where(F.to_date(time).between(F.col("offering_start"), F.col("offering_end")))
@@ -193,7 +215,8 @@ def interval_month_profile(units: DataFrame, start: str, end: str) -> DataFrame:
 
 def duration_summary(units: DataFrame, start: str, end: str, long_days: int) -> DataFrame:
     days = F.date_diff(end, start)
+    middle = quantiles(units, {"days": days}, [0.5]).first()  # one row
     return units.agg(
-        F.count(F.lit(1)).alias("units"), F.avg(days).alias("mean_days"), F.percentile(days, F.lit(0.5)).alias("median_days"), F.max(days).alias("max_days"),
+        F.count(F.lit(1)).alias("units"), F.avg(days).alias("mean_days"), F.lit(middle["quantiles"][0] if middle else None).cast("double").alias("median_days"), F.max(days).alias("max_days"),
         F.avg((days > long_days).cast("int")).alias("long_share"),
     )

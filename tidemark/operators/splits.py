@@ -60,6 +60,16 @@ def balanced_deal(units: DataFrame, group: str, unit: str, metrics: dict[str, fl
     return units.groupBy(group).applyInPandas(deal, schema)
 
 
+def allocate_units(units: DataFrame, unit: str, metrics: dict[str, float], blocks: list[str], seed: int, most: int = 2000, out: str = "block") -> DataFrame:
+    """``balanced_deal`` of all units over all blocks, in hash parts of about ``most`` units, each dealt over every block.
+
+    Each part is balanced by itself, so the whole is, and no task holds more than a part.
+    """
+    parts = int(units.count() // most) + 1
+    dealt = balanced_deal(units.withColumn("__part", F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int")), "__part", unit, metrics, dict.fromkeys(range(parts), blocks), seed, out)
+    return dealt.drop("__part")
+
+
 def rolling_manifest(units: DataFrame, block: str, windows: dict[str, dict[str, list[str]]]) -> DataFrame:
     """A row for each unit, window and split the unit's block has a part in."""
     rows = [(w, s, b) for w, parts in windows.items() for s, bs in parts.items() for b in bs]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import balance as B
@@ -13,7 +15,6 @@ from .base import PREDICTIONS, labelled, predictions
 from .registry import query
 
 
-
 def strict_slice():
     return F.when(F.col("strict") == 1, "STRICT").otherwise("OVERLAP")
 
@@ -22,7 +23,7 @@ CM = f"""{PREDICTIONS}, cl AS (SELECT course_id, k AS class_id, count(*) AS tota
   FROM pred, (VALUES (0), (1), (2)) AS ks(k) GROUP BY 1, 2),
   pc AS (SELECT *, CASE WHEN support > 0 THEN coalesce(tp / nullif(predicted, 0), 0) END AS precision, CASE WHEN support > 0 THEN tp / support END AS recall, CASE WHEN support > 0 THEN (total - support - predicted + tp) / nullif(total - support, 0) END AS specificity,
     CASE WHEN support > 0 THEN 2 * tp / (support + predicted) END AS f1 FROM cl)"""
-OVERALL = "sum(tp) / sum(support) AS accuracy, avg(recall) AS balanced_accuracy, avg(coalesce(f1, 0)) AS macro_f1_fixed, sum(coalesce(f1, 0) * support) / sum(support) AS weighted_f1"
+OVERALL = "sum(tp) / sum(support) AS accuracy, avg(coalesce(recall,0)) AS balanced_accuracy, avg(coalesce(f1, 0)) AS macro_f1_fixed, sum(coalesce(f1, 0) * support) / sum(support) AS weighted_f1, pow(product(coalesce(recall,0)),1/3.0) AS gmean"
 
 
 def rounded(df, n=6, skip=()):
@@ -35,7 +36,7 @@ def classes(spark, d, keys=("course_id",)):
 
 @query("m1_normalise_probs", f"WITH {PREDICTIONS} SELECT doc_id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, y_pred AS argmax FROM pred")
 def m1(spark, d):
-    x = predictions(spark, d).withColumns({p: F.col(p) * 3 for p in M.PROBS})
+    x = predictions(spark, d).withColumns({p: F.col(p) * 0.5 for p in M.PROBS})
     return rounded(M.normalise_probs(x).select("doc_id", *M.PROBS, "argmax"))
 
 
@@ -51,13 +52,14 @@ def m3(spark, d):
 
 @query("m4_overall", f"WITH {CM} SELECT course_id, " + ", ".join(f"round({p.split(' AS ')[0]}, 6) AS {p.split(' AS ')[1]}" for p in OVERALL.replace("coalesce(f1, 0)", "coalesce(f1,0)").split(", ")) + " FROM pc GROUP BY 1")
 def m4(spark, d):
-    return rounded(M.overall(classes(spark, d), ["course_id"]).select("course_id", "accuracy", "balanced_accuracy", "macro_f1_fixed", "weighted_f1"))
+    return rounded(M.overall(classes(spark, d), ["course_id"]).select("course_id", "accuracy", "balanced_accuracy", "macro_f1_fixed", "weighted_f1", "gmean"))
 
 
-@query(
-    "m5_mcc_kappa",
-    f"WITH {CM}, s AS (SELECT course_id, max(total)::DOUBLE AS s, sum(tp) AS c, sum(support::DOUBLE * predicted) AS pt, sum(predicted::DOUBLE * predicted) AS pp, sum(support::DOUBLE * support) AS tt FROM cl GROUP BY 1) SELECT course_id, round((c * s - pt) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0), 6) AS mcc, round((c * s - pt) / nullif(s * s - pt, 0), 6) AS kappa FROM s",
-)
+MK = """s AS (SELECT course_id, max(total)::DOUBLE AS s, sum(tp) AS c, sum(support::DOUBLE * predicted) AS pt, sum(predicted::DOUBLE * predicted) AS pp, sum(support::DOUBLE * support) AS tt, sum((support > 0)::INT) AS present FROM cl GROUP BY 1),
+  mk AS (SELECT course_id, CASE WHEN present > 1 THEN coalesce((c * s - pt) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0), 0) ELSE 0 END AS mcc, CASE WHEN present > 1 THEN coalesce((c * s - pt) / nullif(s * s - pt, 0), 0) ELSE 0 END AS kappa FROM s)"""
+
+
+@query("m5_mcc_kappa", f"WITH {CM}, {MK} SELECT course_id, round(mcc, 6) AS mcc, round(kappa, 6) AS kappa FROM mk")
 def m5(spark, d):
     return rounded(M.mcc_kappa(classes(spark, d), ["course_id"]))
 
@@ -100,11 +102,24 @@ def m10(spark, d):
     return rounded(predictions(spark, d).groupBy("course_id").agg(F.percentile(M.entropy(), F.lit(0.5)).alias("median_entropy"), F.avg(M.entropy()).alias("mean_entropy")))
 
 
-@query("m11_composite", f"WITH {CM}, o AS (SELECT course_id, {OVERALL} FROM pc GROUP BY 1), e AS (SELECT course_id, avg({ENTROPY}) AS ent FROM pred GROUP BY 1) SELECT course_id, round(exp((ln(greatest(accuracy, 0.001)) + ln(greatest(macro_f1_fixed, 0.001)) + ln(greatest(1 - ent, 0.001))) / 3), 6) AS composite FROM o JOIN e USING (course_id)")
+def _jsd(p, q):
+    return f"sum(({p} * log2({p} / (({p} + {q}) / 2)) + {q} * log2({q} / (({p} + {q}) / 2))) / 2)"
+
+
+COMPOSITE = f"""WITH {CM}, {MK}, o AS (SELECT course_id, avg(coalesce(f1, 0)) AS macro, avg(coalesce(recall, 0)) AS balanced FROM pc GROUP BY 1),
+  tr AS (SELECT class_id, sum(support) AS n, sum(sum(support)) OVER () AS t FROM cl GROUP BY 1),
+  sh AS (SELECT course_id, (predicted + 1e-12) / (total + 3e-12) AS p, (support + 1e-12) / (total + 3e-12) AS q, (n + 1e-12) / (t + 3e-12) AS r FROM cl JOIN tr USING (class_id)),
+  j AS (SELECT course_id, 1 - {_jsd('p', 'q')} AS majority, 1 - {_jsd('p', 'r')} AS drift FROM sh GROUP BY 1),
+  e AS (SELECT course_id, 1 - least(abs(quantile_cont({ENTROPY}, 0.5) - 0.5) / 0.5, 1.0) AS ent, avg(strict) AS eff FROM pred GROUP BY 1),
+  x AS (SELECT course_id, pow(greatest(macro, 0.001) * greatest(balanced, 0.001) * greatest((mcc + 1) / 2, 0.001) * greatest((kappa + 1) / 2, 0.001), 0.25) AS perf,
+    pow(greatest(majority, 0.001) * greatest(ent, 0.001) * greatest(drift, 0.001) * greatest(eff, 0.001), 1 / 6.0) AS san FROM o JOIN mk USING (course_id) JOIN j USING (course_id) JOIN e USING (course_id))"""
+
+
+@query("m11_composite", f"{COMPOSITE} SELECT course_id, round(perf, 6) AS s_perf, round(san, 6) AS s_san, round(pow(greatest(perf, 0.001), 0.6) * pow(greatest(san, 0.001), 0.4), 6) AS composite FROM x")
 def m11(spark, d):
-    o = M.overall(classes(spark, d), ["course_id"])
-    e = predictions(spark, d).groupBy("course_id").agg(F.avg(M.entropy()).alias("ent"))
-    return rounded(o.join(e, "course_id").select("course_id", M.geometric([F.col("accuracy"), F.col("macro_f1_fixed"), 1 - F.col("ent")]).alias("composite")))
+    x = predictions(spark, d)
+    train = {r["y_true"]: r["n"] for r in x.groupBy("y_true").agg(F.count("*").alias("n")).collect()}  # one row a class
+    return rounded(M.composite(x, ["course_id"], train, "strict").select("course_id", "s_perf", "s_san", "composite"))
 
 
 @query("m12_effective_rate", f"WITH {PREDICTIONS} SELECT offering_id, round(avg(strict), 6) AS effective_rate FROM pred GROUP BY 1")
@@ -112,22 +127,25 @@ def m12(spark, d):
     return rounded(predictions(spark, d).groupBy("offering_id").agg(F.avg("strict").alias("effective_rate")))
 
 
-def _probe(spark, d, features, weighted):
-    x = labelled(spark, d).withColumn("flag", (F.col("n_chars") % 5 == 0).cast("int")).withColumn("size", F.log1p("n_chars"))
+def _probe(spark, d, name, features, weighted):
+    """AUC and leak-free share of a probe fitted once on training rows, on each evaluation slice."""
+    x = labelled(spark, d).withColumn("flag", (F.col("n_chars") % 5 == 0).cast("int")).withColumn("size", F.log1p("n_chars")).withColumn("foreign", (F.col("course_id") != "en").cast("int"))
+    slice_ = F.when(F.col("toxic") == 1, "TOXIC").otherwise("CLEAN")
     out = M.probe(x.where("doc_id % 3 > 0"), x.where("doc_id % 3 = 0"), features, "quality", weighted)
-    out = out.select(F.col("quality").alias("y_true"), "p0", "p1").withColumn("all", F.lit("all"))
-    auc = M.roc_auc(M.one_vs_rest(out, ["all"], (0, 1), ("p0", "p1")), ["all"])
-    return rounded(auc.agg(F.avg("auc").alias("auc")).select("auc", (1 - 2 * F.greatest(F.col("auc") - 0.5, F.lit(0.0))).alias("leak_free")))
+    out = R.sliced(out, slice_).select(F.col("quality").alias("y_true"), "p0", "p1", "slice")
+    auc = M.roc_auc(M.one_vs_rest(out, ["slice"], (0, 1), ("p0", "p1")), ["slice"]).groupBy("slice").agg(F.avg("auc").alias("auc"))
+    return rounded(auc.select(F.lit(name).alias("features"), "slice", "auc", (1 - 2 * F.greatest(F.col("auc") - 0.5, F.lit(0.0))).alias("leak_free")))
 
 
 @query("m13_missingness_probe")
 def m13(spark, d):
-    return _probe(spark, d, ["flag"], False)
+    return _probe(spark, d, "missingness", ["flag"], False)
 
 
 @query("m14_static_probe")
 def m14(spark, d):
-    return _probe(spark, d, ["flag", "size"], True)
+    sets = {"static": ["foreign"], "missingness": ["flag", "size"], "both": ["foreign", "flag", "size"]}
+    return reduce(lambda a, b: a.unionByName(b), [_probe(spark, d, name, columns, True) for name, columns in sets.items()])
 
 
 @query("m15_support_flags", f"WITH {CM} SELECT course_id, max(total) AS n, min(support) AS least_support, CASE WHEN max(total) < 30 THEN 'small_slice' WHEN min(support) = 0 THEN 'class_absent' WHEN min(support) < 5 THEN 'support_below_5' WHEN min(support) < 400 THEN 'support_below_400' ELSE 'ok' END AS flag FROM cl GROUP BY 1")
@@ -161,12 +179,12 @@ def r3(spark, d):
     return R.hash_join(stored, x.select("doc_id"), "id_hash", "doc_id", "salt")
 
 
-@query("r4_cohort_metrics", f"WITH {PREDICTIONS}, c AS (SELECT *, CASE WHEN offering_id IN (SELECT offering_id FROM pred WHERE doc_id < 60) THEN 'SEEN' ELSE 'UNSEEN' END AS cohort FROM pred) SELECT cohort, strict, count(*) AS n, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM c GROUP BY 1, 2")
+@query("r4_cohort_metrics", f"WITH {PREDICTIONS}, c AS (SELECT *, CASE WHEN offering_id IN (SELECT offering_id FROM pred WHERE y_true = 2) THEN 'SEEN' ELSE 'UNSEEN' END AS cohort FROM pred) SELECT cohort, strict, count(*) AS n, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM c GROUP BY 1, 2")
 def r4(spark, d):
     from ..operators.quality import cohort_flag
 
     x = predictions(spark, d)
-    out = cohort_flag(x, x.where("doc_id < 60"), "offering_id")
+    out = cohort_flag(x, x.where("y_true = 2"), "offering_id")
     return rounded(out.groupBy("cohort", "strict").agg(F.count("*").alias("n"), F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy")))
 
 
@@ -182,6 +200,12 @@ def r6(spark, d):
     return R.paired_delta(x.select("y_true", F.col("y_pred").alias("a"), other.alias("b")), 3, 2000, 42)
 
 
+@query("r6_paired_delta_by_cluster")
+def r6_cluster(spark, d):
+    other = F.when(F.col("p2") > 0.5, 2).when(F.col("p1") > 0.4, 1).otherwise(0)
+    return R.paired_delta_by_cluster(predictions(spark, d).select("offering_id", "y_true", F.col("y_pred").alias("a"), other.alias("b")), "offering_id", 3, 500, 42)
+
+
 @query("r7_cluster_ci")
 def r7(spark, d):
     return R.cluster_ci(predictions(spark, d), "offering_id", 3, 500, 42)
@@ -313,14 +337,19 @@ def x16(spark, d):
 
 
 def vectors(spark, d):
-    """Embeddings; labels 0 and 1 stand for the small classes."""
-    return read_table(spark, d, "embeddings")
+    """All embeddings; the rare class are those of label 0 whose first component is positive, with two masks from the vector."""
+    rare = (F.col("label") == 0) & (F.get("embedding", F.lit(0)) > 0)
+    x = read_table(spark, d, "embeddings").withColumn("topic", F.col("label")).withColumn("label", rare.cast("int"))
+    return x.withColumn("available", (F.get("embedding", F.lit(1)) > 0).cast("int")).withColumn("missing__x", (F.get("embedding", F.lit(2)) > 0).cast("int"))
+
 
+RARE = """v AS (SELECT vec_id, (label = 0 AND embedding[1] > 0)::INT AS label FROM embeddings), c AS (SELECT label, count(*) AS n FROM v GROUP BY 1),
+  tg AS (SELECT label, n, CAST(least(greatest(n, ceil(max(n) OVER () / 10)), n * 10) AS BIGINT) AS target, ceil(max(n) OVER () / 10) > n * 10 AS cap_bound FROM c)"""
 
-@query("b1_sampling_targets", "WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 3 OR vec_id % 2 = 0 GROUP BY 1) SELECT label, n, CAST(least(greatest(n, ceil(max(n) OVER () / 10)), n * 10) AS BIGINT) AS target FROM c")
+
+@query("b1_sampling_targets", f"WITH {RARE} SELECT label, n, target, cap_bound FROM tg")
 def b1(spark, d):
-    x = vectors(spark, d).where("label < 3 or vec_id % 2 = 0")
-    return B.sampling_targets(x, "label").select("label", "n", F.col("target").cast("long").alias("target"))
+    return B.sampling_targets(vectors(spark, d), "label").select("label", "n", F.col("target").cast("long").alias("target"), "cap_bound")
 
 
 @query(
@@ -332,48 +361,88 @@ def b2(spark, d):
     return B.largest_remainder(x, ["p_type"], "p_brand", "w", "total").select("p_type", "p_brand", "quota")
 
 
+def quotas(x):
+    return B.sampling_targets(x, "label").select("label", F.col("synthetic").cast("long").alias("quota"))
+
+
 def _pairs(spark, d):
-    x = B.clusters(vectors(spark, d), "embedding", "label", 0, 4, 7).select("vec_id", "label", "embedding", "cluster")
-    sizes = x.groupBy("label", "cluster").agg(F.count("*").alias("w")).withColumn("total", F.lit(60))
-    quotas = B.largest_remainder(sizes, ["label"], "cluster", "w", "total").select("label", "cluster", "quota")
-    return x, B.interpolated_pairs(x, quotas, ["label", "cluster"], "vec_id", 11)
+    """Rows of the classes that need synthetic ones, with their cluster, and parent pairs as many as each class needs."""
+    x, parts = vectors(spark, d), []
+    for r in quotas(x).where("quota > 0").collect():  # one row a class
+        own = B.clusters(x, "embedding", "label", r["label"], 4, 7).withColumn("total", F.lit(r["quota"]))
+        parts.append(own.select("vec_id", "label", "embedding", "available", "missing__x", "cluster", "total"))
+    members = reduce(lambda a, b: a.unionByName(b), parts) if parts else x.withColumn("cluster", F.lit(0)).withColumn("total", F.lit(0).cast("long")).where("false")
+    sizes = members.groupBy("label", "cluster").agg(F.count("*").alias("w"), F.max("total").alias("total")).where("w > 1")
+    each = B.largest_remainder(sizes, ["label"], "cluster", "w", "total").select("label", "cluster", "quota")
+    return members, B.interpolated_pairs(members, each, ["label", "cluster"], "vec_id", 11)
+
+
+def _made(spark, d):
+    x, pairs = _pairs(spark, d)
+    return B.materialize(pairs, x, "vec_id", "embedding", ["label"], 11, ("available",), ("missing__x",))
 
 
-@query("b3_cluster_oversampling")
+@query("b3_cluster_oversampling", f"WITH {RARE} SELECT label, target - n AS n, CAST(0 AS BIGINT) AS self_pairs FROM tg WHERE target > n")
 def b3(spark, d):
     _, pairs = _pairs(spark, d)
-    return pairs.groupBy("label", "cluster").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("self_pairs"))
+    return pairs.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("self_pairs"))
 
 
-@query("b4_radius_neighbours", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS nb, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i], 2))) AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.label < 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS k FROM p), t AS (SELECT *, max((dist <= 1.21)::INT) OVER (PARTITION BY id) AS any_in FROM r WHERE k <= 5) SELECT id, count(*) AS n, any_in = 0 AS fallback FROM t WHERE dist <= 1.21 OR (any_in = 0 AND k = 1) GROUP BY id, any_in")
+NEAR = """p AS (SELECT a.vec_id AS id, b.vec_id AS nb, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i], 2))) AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS k FROM p)"""
+
+
+@query("b4_radius_neighbours", f"WITH {NEAR}, t AS (SELECT *, max((dist <= 1.21)::INT) OVER (PARTITION BY id) AS any_in FROM r WHERE k <= 5) SELECT id, count(*) AS n, any_in = 0 AS fallback FROM t WHERE dist <= 1.21 OR (any_in = 0 AND k = 1) GROUP BY id, any_in")
 def b4(spark, d):
-    near = B.class_neighbours(vectors(spark, d).where("label < 2"), "vec_id", "embedding", "label", 5)
+    near = B.class_neighbours(read_table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5)
     return B.within_radius(near, 1.1).groupBy("id", "fallback").agg(F.count("*").alias("n"))
 
 
-@query("b5_visible_neighbours")
+def _radius(spark, d):
+    x = vectors(spark, d)
+    rare = x.join(F.broadcast(quotas(x).where("quota > 0")), "label").drop("quota")  # a row a class
+    near = B.within_radius(B.class_neighbours(rare, "vec_id", "embedding", "label", 5), 1.1)
+    return B.radius_pairs(rare, near, quotas(x), ["label"], "vec_id", 13)
+
+
+@query("b4_radius_interpolation", f"WITH {RARE} SELECT label, target - n AS n, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS outside FROM tg WHERE target > n")
+def b4_rows(spark, d):
+    """Synthetic rows by class; strangers: pairs that are no neighbours' labels; outside: ratios outside 0 to 1."""
+    own = vectors(spark, d).select(F.col("vec_id").alias("b"), F.col("label").alias("other"))
+    return _radius(spark, d).join(own, "b").groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("label") != F.col("other")) | (F.col("a") == F.col("b"))).alias("strangers"), F.count_if(~F.col("ratio").between(0, 1)).alias("outside"))
+
+
+@query(
+    "b5_visible_neighbours",
+    f"WITH {NEAR}, k5 AS (SELECT id, nb AS neighbour, k AS rank FROM r WHERE k <= 5), w AS (SELECT id, neighbour, rank, list_transform(range(1, 65), lambda i: n.embedding[i]::DOUBLE - o.embedding[i]) AS dv FROM k5 JOIN embeddings o ON o.vec_id = id JOIN embeddings n ON n.vec_id = neighbour) SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.id = a.id AND b.rank < a.rank AND list_dot_product(a.dv, b.dv) < 0)",
+)
 def b5(spark, d):
-    x = vectors(spark, d).where("label < 2")
+    x = read_table(spark, d, "embeddings")
     near = B.class_neighbours(x, "vec_id", "embedding", "label", 5)
     return B.visible(near, x, "vec_id", "embedding").select("id", "neighbour", "rank")
 
 
 @query("b6_accepted_candidates")
 def b6(spark, d):
-    x, pairs = _pairs(spark, d)
-    made = B.materialize(pairs, x, "vec_id", "embedding", ["label"], 11)
-    kept = B.accept_by_votes(made, vectors(spark, d), "embedding", "label", 0.2, 7)
-    return kept.groupBy("label").agg(F.count("*").alias("accepted"))
+    """Accepted candidates of each class, the best by votes, as many as it needs at most; inspectors learn from balanced samples."""
+    x = vectors(spark, d)
+    kept = B.accept_by_votes(_made(spark, d), B.balanced_sample(x, "label", "vec_id", 5), "embedding", "label", 0.2, 7)
+    return B.take_best(kept, quotas(x), "label", "votes", "synthetic_id").groupBy("label").agg(F.count("*").alias("accepted"))
 
 
-@query("b7_synthetic_rows")
+@query("b7_synthetic_rows", f"WITH {RARE} SELECT label, target - n AS n, target - n AS ids, CAST(0 AS BIGINT) AS wrong_masks, CAST(0 AS BIGINT) AS outside FROM tg WHERE target > n")
 def b7(spark, d):
-    x, pairs = _pairs(spark, d)
-    made = B.materialize(pairs, x, "vec_id", "embedding", ["label"], 11)
-    return made.select("synthetic_id", "a", "b", "label", F.round("ratio", 6).alias("ratio"), F.size("embedding").alias("width"))
+    """Synthetic rows by class: distinct ids, masks that are not the parents' (available in both, missing in one), values outside the parents'."""
+    x = vectors(spark, d).select("vec_id", "available", "missing__x", "embedding")
+    a, b = (x.select(*(F.col(c).alias(f"{c}_{s}") for c in x.columns)) for s in "ab")
+    both = _made(spark, d).join(a, F.col("a") == F.col("vec_id_a")).join(b, F.col("b") == F.col("vec_id_b"))
+    wrong = (F.col("available") != F.col("available_a") * F.col("available_b")) | (F.col("missing__x") != F.greatest("missing__x_a", "missing__x_b"))
+    low, high = F.zip_with("embedding_a", "embedding_b", lambda p, q: F.least(p, q)), F.zip_with("embedding_a", "embedding_b", lambda p, q: F.greatest(p, q))
+    out = F.exists(F.arrays_zip(F.col("embedding").alias("v"), low.alias("lo"), high.alias("hi")), lambda t: (t["v"] < t["lo"] - 1e-6) | (t["v"] > t["hi"] + 1e-6))
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("synthetic_id").alias("ids"), F.count_if(wrong).alias("wrong_masks"), F.count_if(out).alias("outside"))
 
 
-@query("b9_sampling_summary")
+@query("b9_sampling_summary", f"WITH {RARE} SELECT label, n, target, target - n AS added, cap_bound, true AS target_met, round(target / n, 6) AS expansion FROM tg")
 def b9(spark, d):
-    x, pairs = _pairs(spark, d)
-    return rounded(B.sampling_summary(vectors(spark, d), B.materialize(pairs, x, "vec_id", "embedding", ["label"], 11), "label"))
+    out = B.sampling_summary(vectors(spark, d), _radius(spark, d), "label")
+    return rounded(out.select("label", "n", F.col("target").cast("long").alias("target"), "added", "cap_bound", "target_met", "expansion"))

@@ -160,11 +160,13 @@ def d15(spark, d):
 
 @query(
     "d16_static_audit",
-    "SELECT 'n_nationkey' AS feature, CAST(25 AS BIGINT) AS \"values\", 'varies' AS flag UNION ALL SELECT 'n_regionkey', 5, 'group_constant' UNION ALL SELECT 'one', 1, 'constant'",
+    """WITH x AS (SELECT o_custkey AS g, o_totalprice, c_nationkey, 1 AS one FROM orders JOIN customer ON o_custkey = c_custkey), u AS (SELECT 'o_totalprice' AS feature, g, o_totalprice AS v FROM x UNION ALL SELECT 'c_nationkey', g, c_nationkey FROM x UNION ALL SELECT 'one', g, one FROM x),
+    p AS (SELECT feature, g, count(DISTINCT v) AS k FROM u GROUP BY 1, 2), w AS (SELECT feature, max(k) AS k FROM p GROUP BY 1), t AS (SELECT feature, count(DISTINCT v) AS "values" FROM u GROUP BY 1)
+    SELECT feature, "values", CASE WHEN "values" <= 1 THEN 'constant' WHEN k = 1 THEN 'group_constant' ELSE 'varies' END AS flag FROM w JOIN t USING (feature)""",
 )
 def d16(spark, d):
-    x = read_table(spark, d, "nation").withColumn("one", F.lit(1)).withColumn("g", F.col("n_regionkey"))
-    return D.static_audit(x, ["n_nationkey", "n_regionkey", "one"], "g").select("feature", "values", "flag")
+    x = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("one", F.lit(1))
+    return D.static_audit(x, ["o_totalprice", "c_nationkey", "one"], "o_custkey").select("feature", "values", "flag")
 
 
 @query("d17_prefix_scan", f"WITH {WIDE} SELECT 'n_P3' AS feature, count(n_P3) AS violations FROM w UNION ALL SELECT 'n_P4', count(n_P4) FROM w")
@@ -172,6 +174,17 @@ def d17(spark, d):
     return D.prefix_scan(wide(spark, d), ["n_P3", "n_P4"])
 
 
+@query(
+    "d17_static_parity",
+    "WITH o AS (SELECT DISTINCT o_custkey FROM orders), x AS (SELECT c_custkey, o_custkey, c_acctbal FROM customer FULL JOIN o ON c_custkey = o_custkey) SELECT 'c_nationkey' AS feature, count(*) FILTER (WHERE o_custkey IS NOT NULL AND c_custkey IS NOT NULL) AS compared, CAST(0 AS BIGINT) AS mismatches, count(*) FILTER (WHERE o_custkey IS NULL OR c_custkey IS NULL) AS one_side FROM x UNION ALL SELECT 'c_acctbal', count(*) FILTER (WHERE o_custkey IS NOT NULL AND c_custkey IS NOT NULL), count(*) FILTER (WHERE o_custkey IS NOT NULL AND c_acctbal < 0), count(*) FILTER (WHERE o_custkey IS NULL OR c_custkey IS NULL) FROM x",
+)
+def d17_parity(spark, d):
+    """Customers against those that have orders, whose negative balances were lost on the way."""
+    first = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    later = first.join(read_table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
+    return D.static_parity(first, later, "c_custkey", ["c_nationkey", "c_acctbal"])
+
+
 @query("d18_course_cohort", "WITH tr AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01') SELECT CASE WHEN t.l_partkey IS NULL THEN 'UNSEEN' ELSE 'SEEN' END AS cohort, l_returnflag, count(*) AS n FROM lineitem l LEFT JOIN tr t USING (l_partkey) WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY 1, 2")
 def d18(spark, d):
     x = lines(spark, d)
@@ -216,22 +229,39 @@ def i5(spark, d):
     return out.groupBy("l_returnflag").agg(F.round(F.sum("l_discount"), 4).alias("filled"), F.round(F.lit(mean), 6).alias("mean_quantity"))
 
 
-def _chained(spark, d, how, rounds):
-    x = holes(spark, d)
-    fill = I.fit_chained(x.where("l_shipdate < '2000-01-01'"), NUM, how, rounds, key="l_orderkey")
-    out = fill(x)
-    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount").isNull()).alias("left_null"), F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 0.1)).alias("out_of_range"))
-
+def gaps(spark, d):
+    """Order lines without the discounts of returned lines and the quantities of each fourth line; prices are complete."""
+    return holes(spark, d).withColumn("l_quantity", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")))
 
-CHAINED = "SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS left_null, CAST(0 AS BIGINT) AS out_of_range FROM lineitem GROUP BY 1"
 
-
-@query("i6_chained_trees", CHAINED)
+def _chained(spark, d, how, rounds):
+    x = gaps(spark, d)
+    out = I.fit_chained(x.where("l_shipdate < '2000-01-01'"), NUM, how, rounds, key="l_orderkey")(x)
+    own = lambda c: F.count_if(F.col(c).isNull()).alias(f"{c}_null")
+    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("missing__l_discount").alias("filled"), own("l_discount"), own("l_quantity"), F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.avg("l_quantity"), 4).alias("quantity"))
+
+
+def _ridge_sql(rounds):
+    """Chained least squares of quantity (fewer gaps) and discount on the other and the price, in closed form."""
+    steps = [f"""WITH h0 AS (SELECT l_returnflag, ({YEAR}) = 'train' AS tr, l_extendedprice AS c, CASE WHEN l_returnflag <> 'R' THEN l_discount END AS a0, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS b0 FROM lineitem),
+    m0 AS (SELECT quantile_cont(a0, 0.5) AS ma, quantile_cont(b0, 0.5) AS mb, min(a0) AS alo, max(a0) AS ahi, min(b0) AS blo, max(b0) AS bhi FROM h0 WHERE tr), s0 AS (SELECT h0.*, m0.*, coalesce(a0, ma) AS a, coalesce(b0, mb) AS b FROM h0, m0)"""]
+    at = 0
+    for _ in range(rounds):
+        for y, x in (("b", "a"), ("a", "b")):
+            cov = f"covar_pop({x}, {x}) * covar_pop(c, c) - covar_pop({x}, c) ** 2"
+            steps.append(f"""k{at} AS (SELECT (covar_pop({y}, {x}) * covar_pop(c, c) - covar_pop({y}, c) * covar_pop({x}, c)) / ({cov}) AS w1, (covar_pop({y}, c) * covar_pop({x}, {x}) - covar_pop({y}, {x}) * covar_pop({x}, c)) / ({cov}) AS w2, avg({y}) AS my, avg({x}) AS mx, avg(c) AS mc FROM s{at} WHERE tr AND {y}0 IS NOT NULL),
+    s{at + 1} AS (SELECT * REPLACE (CASE WHEN {y}0 IS NULL THEN least(greatest(my + w1 * ({x} - mx) + w2 * (c - mc), {y}lo), {y}hi) ELSE {y} END AS {y}) FROM (SELECT s{at}.*, k{at}.* FROM s{at}, k{at}))""")
+            steps[-1] = steps[-1].replace("SELECT * REPLACE", "SELECT * EXCLUDE (w1, w2, my, mx, mc) REPLACE")
+            at += 1
+    return ", ".join(steps) + f" SELECT l_returnflag, count(*) AS n, CAST(sum((a0 IS NULL)::INT) AS BIGINT) AS filled, CAST(0 AS BIGINT) AS l_discount_null, CAST(0 AS BIGINT) AS l_quantity_null, round(avg(a), 6) AS discount, round(avg(b), 4) AS quantity FROM s{at} GROUP BY 1"
+
+
+@query("i6_chained_trees")
 def i6(spark, d):
     return _chained(spark, d, "tree", 1)
 
 
-@query("i7_chained_ridge", CHAINED)
+@query("i7_chained_ridge", _ridge_sql(3))
 def i7(spark, d):
     return _chained(spark, d, "ridge", 3)
 

@@ -74,8 +74,8 @@ def v4(spark, d):
 
 @query("v5_allocate_units")
 def v5(spark, d):
-    x = slices(spark, d).select("unit", F.lit(0).alias("all"), "n", "n_F", "n_P")
-    return V.balanced_deal(x, "all", "unit", {"n": 1.0, "n_F": 2.0, "n_P": 2.0}, {0: list("BCDEFG")}, 42)
+    x = slices(spark, d).select("unit", "n", "n_F", "n_P")
+    return V.allocate_units(x, "unit", {"n": 1.0, "n_F": 2.0, "n_P": 2.0}, list("BCDEFG"), 42)
 
 
 @query("v6_rolling_manifest", f"WITH {MANIFEST} SELECT unit, window_id, split, n FROM man")
@@ -187,9 +187,9 @@ def v21(spark, d):
     return V.unit_sizes(blocks(spark, d), "block", "n").withColumn("p90", F.round("p90", 4))
 
 
-@query("v22_lineage", """SELECT n_nationkey, n_name, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS lineage_sha256 FROM nation""")
+@query("v22_lineage", """SELECT o_orderkey, o_orderstatus, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS lineage_sha256 FROM orders""")
 def v22(spark, d):
-    return V.lineage(read_table(spark, d, "nation").select("n_nationkey", "n_name"))
+    return V.lineage(read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
 
 
 @query(
@@ -237,10 +237,10 @@ def a6(spark, d):
 
 @query(
     "a7_compare_ids",
-    """WITH l AS (SELECT doc_id, count(*) AS a FROM documents WHERE doc_id % 3 > 0 GROUP BY 1), r AS (SELECT doc_id, count(*) AS b FROM labels GROUP BY 1) SELECT CASE WHEN b IS NULL THEN 'left_only' WHEN a IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS ids, CAST(coalesce(sum(a), 0) AS BIGINT) AS left_rows, CAST(coalesce(sum(b), 0) AS BIGINT) AS right_rows FROM l FULL JOIN r USING (doc_id) GROUP BY 1""",
+    """WITH l AS (SELECT doc_id, count(*) AS a FROM documents GROUP BY 1), r AS (SELECT doc_id, count(*) AS b FROM labels GROUP BY 1) SELECT CASE WHEN b IS NULL THEN 'left_only' WHEN a IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS ids, CAST(coalesce(sum(a), 0) AS BIGINT) AS left_rows, CAST(coalesce(sum(b), 0) AS BIGINT) AS right_rows FROM l FULL JOIN r USING (doc_id) GROUP BY 1""",
 )
 def a7(spark, d):
-    return A.compare_ids(read_table(spark, d, "documents").where("doc_id % 3 > 0"), read_table(spark, d, "labels"), "doc_id")
+    return A.compare_ids(read_table(spark, d, "documents"), read_table(spark, d, "labels"), "doc_id")
 
 
 @query("a8_catalog_denominator", f"WITH {EVENTS} SELECT p_brand, count(DISTINCT resource_id) AS active, count(DISTINCT p_partkey) AS items, round(count(DISTINCT resource_id) / count(DISTINCT p_partkey), 6) AS ratio FROM part LEFT JOIN ev ON resource_id = p_partkey AND flag = 'R' GROUP BY 1")
