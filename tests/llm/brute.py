@@ -270,3 +270,25 @@ def leaks(docs, items, common, units, window=5, least=0.8, agree=0.8):
                 if not total or sum(max(c.values()) for c in votes.values()) / total >= agree:
                     found[d].add(item)
     return found
+
+
+def license_detections(text, rules):
+    """(labels, score, n_found) by trying every rule at every word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    found = []
+    for i in range(len(words)):
+        rest = " ".join(words[i : i + 60])
+        for priority, label, key, before, pattern, weight, base in rules:
+            if words[i + before : i + before + 1] == [key] and (m := re.match(f"({pattern})(?: |$)", rest)):
+                found.append((i, i + len(m[1].split(" ")), priority, label, weight, base))
+    kept, n = [], 0
+    for a, b, p, label, weight, base in found:
+        hidden = False
+        for c, d, q, *_ in found:
+            if c < b and d > a:
+                inside, around = c <= a and d >= b, c >= a and d <= b
+                hidden |= (d - c > b - a or q < p) if inside else not around and q < p
+        n += not hidden
+        if base or not hidden:
+            kept.append((label, weight))
+    return ",".join(sorted({x for x, _ in kept})), max((w for _, w in kept), default=0.0), n

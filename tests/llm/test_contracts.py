@@ -169,10 +169,39 @@ def test_licenses(docs):
         assert 0 <= r.score <= 1
 
 
-def test_license_containment(spark):
-    text = "Licensed under the GNU Lesser General Public License version 2 1 or later."
-    r = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert (r.labels, r.n_found, r.score) == ("lgpl", 2, 1.0)  # two overlap, neither inside the other
+def test_license_detections(spark, hard):
+    """All labels, scores and counts against the plain version: containment, priority of partial overlaps, long leads and tails."""
+    from tidemark.llm.license_scan import rules
+
+    texts = [
+        "Licensed under the GNU Lesser General Public License version 2 1 or later.", "under the terms of the GNU General Public License as published by the Free Software Foundation; GPL-3.0-or-later",
+        "SPDX-License-Identifier: Apache-2.0 OR MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. MIT License", "all rights reserved public domain cc0 1.0 universal",
+        "redistribute it and/or modify it under the terms of the GNU General Public License. the mit license mit license", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License, CC BY-NC-SA 4.0",
+        "licensed under the apache license version 2 0 apache license 2 0 bsd 3 clause license new bsd license", "gnu gnu general general public license", None, "",
+    ]
+    data = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, (_, t) in enumerate(pairs(hard))]
+    got = rows(license_scan(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "labels", "score", "n_found")
+    assert got == sorted(((d, *brute.license_detections(t, rules())) for d, t in data), key=repr)
+    first = next(r for r in got if r[0] == 0)
+    assert first[1:] == ("lgpl", 1.0, 1)
+    lead = " ".join(f"w{i}" for i in range(30))
+    book = [(0, "long", "key", 30, f"{lead} key{' tail' * 25}", 1.0, False), (1, "short", "key", 1, "w29 key tail", 0.9, False), (2, "part", "key", 0, "key(?: tail){1}".replace("{1}", "") + " tail" * 25 + " end", 0.8, False)]
+    own = [(1, f"{lead} key{' tail' * 26} end"), (2, "w29 key tail"), (3, f"key{' tail' * 26} end")]
+    got = rows(license_scan(spark.createDataFrame(own, "doc_id long, text string"), signature_rules=book), "doc_id", "labels", "score", "n_found")
+    assert got == [(d, *brute.license_detections(t, book)) for d, t in own] and [g[1] for g in got] == ["long", "short", "part"]
+
+
+def test_license_rules_are_bounded():
+    from tidemark.llm.license_scan import most_words, rules
+
+    book = rules()
+    assert len(book) > 200 and len({r[4] for r in book if not r[6]}) == len(book) - 4
+    assert max(most_words(r[4]) for r in book) < 40
+    for bad in ("a (?:b )*c", "a .*", r"a \s b"):
+        with pytest.raises(ValueError):
+            most_words(bad)
+    with pytest.raises(ValueError):
+        rules("x 1.0 maybe? <key>")
 
 
 def test_urls(spark, sf_dir):

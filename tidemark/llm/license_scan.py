@@ -1,10 +1,10 @@
 """License detection with ordered signature rules, in DataFrame operations only.
 
-Rules are regular expressions over lower-case words, built from a table of license families and a few sentence forms.
-A keyword prefilter skips documents without any license word; in the others, each keyword's place yields a short word
-window, and an equi-join on the keyword picks the few rules to try there. Overlaps are resolved per document: a
-detection inside an earlier-starting or longer one is suppressed, ties go to the rule of higher priority. Rules marked
-base are always kept.
+Rules are hand-written regular expressions over lower-case words, in order of priority (``license_rules``). A keyword
+prefilter skips documents without any rule's keyword; in the others, each keyword's place yields a word window, as wide
+as the rule book needs, and an equi-join on the keyword picks the few rules to try there. Overlaps are resolved by
+intervals of words: a detection that lies inside a longer one is suppressed, of equal ones and of those that overlap in
+part the rule of higher priority stays. Base rules are always kept.
 
 Null and empty texts have no words and no detections (score 0). Repeated identifiers give one row per input row.
 Other columns of the input are ignored, whatever their names.
@@ -12,59 +12,56 @@ Other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ascii_lower, spill, text_of
+from .license_rules import RULES
 
 #: Phrases and labels of the contract; these are never suppressed.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Families as (label, name, keyword); the keyword is one word of the name. ``?`` in a name stands for one number word.
-FAMILIES = (
-    ("gpl", "gnu general public license", "gnu"), ("gpl", "gnu gpl", "gnu"), ("gpl", "gpl", "gpl"), ("lgpl", "gnu lesser general public license", "gnu"),
-    ("lgpl", "gnu library general public license", "gnu"), ("lgpl", "lgpl", "lgpl"), ("agpl", "gnu affero general public license", "gnu"), ("agpl", "agpl", "agpl"),
-    ("gfdl", "gnu free documentation license", "gnu"), ("gfdl", "gfdl", "gfdl"), ("apache", "apache license", "apache"), ("apache", "apache software license", "apache"),
-    ("mit", "mit license", "mit"), ("mit", "x11 license", "x11"), ("mit", "expat license", "expat"), ("bsd", "bsd license", "bsd"), ("bsd", "bsd ? clause", "bsd"),
-    ("bsd", "bsd ? clause license", "bsd"), ("mpl", "mozilla public license", "mozilla"), ("mpl", "mpl", "mpl"), ("epl", "eclipse public license", "eclipse"),
-    ("cddl", "common development and distribution license", "distribution"), ("cpl", "common public license", "common"), ("eupl", "european union public licence", "european"),
-    ("isc", "isc license", "isc"), ("zlib", "zlib license", "zlib"), ("artistic", "artistic license", "artistic"), ("bsl", "boost software license", "boost"),
-    ("unlicense", "the unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("ofl", "sil open font license", "font"), ("psf", "python software foundation license", "python"),
-    ("cc-by", "cc by", "cc"), ("cc-by-sa", "cc by sa", "cc"), ("cc-by-nc", "cc by nc", "cc"), ("cc-by-nd", "cc by nd", "cc"), ("cc-by-nc-sa", "cc by nc sa", "cc"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc"), ("cc0", "cc0", "cc0"), ("cc-by", "creative commons attribution", "creative"),
-    ("cc-by-sa", "creative commons attribution share ?alike", "creative"), ("cc-by-nc", "creative commons attribution non ?commercial", "creative"),
-    ("cc", "creative commons license", "creative"), ("public-domain", "public domain", "domain"),
-)
-#: Sentence forms as (words before the name, words after it as a pattern, weight).
-FORMS = (
-    ("", "", 0.5), ("", "(?:version |v )?[0-9]+(?: [0-9]+)?", 0.8), ("", "(?:version |v )?[0-9]+(?: [0-9]+)? or (?:any )?later", 0.9), ("under the", "", 0.8), ("under", "", 0.7),
-    ("licensed under the", "", 1.0), ("licensed under", "", 1.0), ("terms of the", "", 0.9), ("spdx license identifier", "", 1.0), ("released under the", "", 1.0),
-)
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BEFORE, AFTER = 6, 14
 
 
-def rules(families=FAMILIES, forms=FORMS, base=BASE) -> list[tuple]:
-    """(priority, label, keyword, words before the keyword, pattern, weight, base); low priority numbers win."""
-    out = [(phrase, label, phrase.split()[0], 0, phrase, 0.6, True) for phrase, label in base]
-    for label, name, key in families:
-        named = name.replace(" ?alike", " ?alike").replace(" ? ", " [0-9]+ ")
-        at = name.split().index(key)
-        for lead, tail, weight in forms:
-            pattern = " ".join(x for x in (lead, named, tail) if x)
-            out.append((pattern, label, key, at + len(lead.split()), pattern, weight, False))
-    ordered = sorted(out, key=lambda r: (not r[6], -r[5], -len(r[4])))
-    return [(i, *r[1:]) for i, r in enumerate(ordered)]
+def rules(text: str = RULES, base=BASE) -> list[tuple]:
+    """(priority, label, keyword, words before the keyword, pattern, weight, base); low priority numbers win, base rules come last."""
+    out = []
+    for line in text.strip().splitlines():
+        label, weight, pattern = line.split(" ", 2)
+        lead, key, tail = re.fullmatch("([^<]*)<([^>]+)>(.*)", pattern).groups()
+        if re.search(r"[?*+{(|]", lead):
+            raise ValueError(f"the number of words before the keyword must be fixed: {pattern}")
+        out.append((label, key, lead.count(" "), lead + key + tail, float(weight), False))
+    out += [(label, phrase.split()[0], 0, phrase, 0.6, True) for phrase, label in base]
+    return [(i, *r) for i, r in enumerate(out)]
+
+
+def most_words(pattern: str) -> int:
+    """An upper bound of the words in a match; patterns that may cross any number of words are refused."""
+    if re.search(r"\)[*+{]|(?<!\\)\.|\\[sSWD]|\[\^(?! )", pattern):
+        raise ValueError(f"a rule must bound the number of its words: {pattern}")
+    return pattern.count(" ") + 1
+
+
+def hides(other: Column) -> Column:
+    """Whether another detection suppresses the row's own."""
+    start, end, better = F.col("start"), F.col("end"), other["priority"] < F.col("priority")
+    inside, around = (other["start"] <= start) & (other["end"] >= end), (other["start"] >= start) & (other["end"] <= end)
+    longer = (other["end"] - other["start"]) > (end - start)
+    return (other["start"] < end) & (other["end"] > start) & F.when(inside, longer | better).when(around, False).otherwise(better)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signature_rules: list[tuple] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_found: a row for each row of ``docs``."""
     spark = docs.sparkSession
-    book = spark.createDataFrame(
-        signature_rules or rules(), "priority int, label string, key string, before int, pattern string, weight double, base boolean"
-    )
-    keys = sorted({r[2] for r in signature_rules or rules()})
+    listed = signature_rules or rules()
+    book = spark.createDataFrame(listed, "priority int, label string, key string, before int, pattern string, weight double, base boolean")
+    keys = sorted({r[2] for r in listed})
+    before, most = max(r[3] for r in listed), max(most_words(r[4]) for r in listed)  # word windows as wide as the book needs
     gate = "(?i)(?<![0-9a-z])(?:" + "|".join(keys) + ")(?![0-9a-z])"
     words = F.split(F.trim(ascii_lower(F.regexp_replace("text", NOT_WORD + "+", " "))), " ", -1)
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(keys), i)), lambda i: i.isNotNull())
@@ -72,7 +69,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "places",
         lambda i: F.struct(
             i.alias("at"), F.get("words", i).alias("key"),
-            F.slice("words", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE))).alias("pre"), F.slice("words", i + 1, AFTER).alias("post"),
+            F.slice("words", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))).alias("pre"), F.slice("words", i + 1, most).alias("post"),
         ),
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -93,13 +90,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("rid", "priority", "label", "weight", "base", (F.col("at") - F.col("before")).cast("long").alias("start"), F.size(F.split("hit", " ")).cast("long").alias("len"))
         .withColumn("end", F.col("start") + F.col("len"))
     )
-    earlier = Window.partitionBy("rid").orderBy("start", F.desc("end"), "priority").rowsBetween(Window.unboundedPreceding, -1)
-    ruled = found.withColumn("inside", F.coalesce(F.max("end").over(earlier) >= F.col("end"), F.lit(False)))
-    kept = ruled.where("base or not inside")
+    around = Window.partitionBy("rid").orderBy("start").rangeBetween(1 - most, most - 1)  # no detection is longer
+    ruled = found.withColumn("near", F.collect_list(F.struct("start", "end", "priority")).over(around)).withColumn("hidden", F.exists("near", hides))
+    kept = ruled.where("base or not hidden")
     per = kept.groupBy("rid").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("weight").alias("score"), F.count_if(~F.col("inside")).alias("n_found"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("weight").alias("score"), F.count_if(~F.col("hidden")).alias("n_found"),
     )
     return scanned.join(per, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
