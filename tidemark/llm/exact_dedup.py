@@ -72,16 +72,10 @@ def build_index(rows: DataFrame, batches: int, bits: int) -> DataFrame:
     return index
 
 
-def clashes(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
-    """digest, norm, best, group_size of the texts whose digest stands for two or more different texts.
-
-    Copies fold in each task before the shuffle, and only rows that the filter of ``hits`` lets through are shuffled.
-    """
+def hit_texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """digest, norm, best, group_size of the texts of all rows that the filter of ``hits`` lets through; copies fold in each task."""
     rows = maybe_in(keyed(docs, id_col, text_col), [F.col("digest")], slot_filter(hits, ["digest"], bits), bits=bits).where("maybe")
-    texts = rows.groupBy("digest", "norm").agg(F.min(rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    same = F.col("digest") == F.col("several")
-    several = texts.groupBy(F.col("digest").alias("several")).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("several")
-    return texts.join(several, same, "left_semi")
+    return rows.groupBy("digest", "norm").agg(F.min(rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, filter_bits: int = 1 << 24) -> DataFrame:
@@ -93,15 +87,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = keyed(docs, id_col, text_col).select("digest", "doc_id", "n_points", F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
     rows = spill(keys.sortWithinPartitions("digest"), "digests")
     hits = spill(build_index(rows, batches, filter_bits).where("n > 1").select("digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size")), "digest-hits")
-    split = spill(clashes(docs, hits, id_col, text_col, filter_bits), "digest-clashes")
-    whole = hits.join(split.select("digest").distinct(), "digest", "left_anti")
+    texts = hit_texts(docs, hits, id_col, text_col, filter_bits)
+    several = spill(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "digest-clashes")
+    whole = hits.join(several, "digest", "left_anti")
     met = maybe_in(rows, [F.col("digest")], slot_filter(hits, ["digest"], filter_bits), bits=filter_bits).select("digest", "doc_id", "maybe")
-    if split.limit(1).count():  # two texts with one digest: their rows are told apart by their texts
-        apart = keyed(docs, id_col, text_col).join(split.select("digest", "norm", "best.id", "group_size"), ["digest", "norm"])
-        apart = apart.select("digest", "doc_id", F.col("id").alias("keep_id"), "group_size")
-        met = met.join(split.select("digest").distinct(), "digest", "left_anti")
-    else:
-        apart = None
+    apart = None
+    if several.limit(1).count():  # two texts with one digest: their rows are told apart by their texts
+        split = texts.join(several, "digest", "left_semi").select("digest", "norm", F.col("best.id").alias("keep_id"), "group_size")
+        apart = keyed(docs, id_col, text_col).join(split, ["digest", "norm"]).select("digest", "doc_id", "keep_id", "group_size")
+        met = met.join(several, "digest", "left_anti")
     total = hits.agg(F.sum("group_size")).first()[0] or 0
     joined = heavy_join(met.where("maybe").drop("maybe"), whole, ["digest"], "group_size", total, "left")
     alone = met.where("not maybe").select("digest", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
