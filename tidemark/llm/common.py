@@ -78,6 +78,13 @@ def maybe_in(rows: DataFrame, keys: list[Column], filter_: DataFrame, name: str
     return joined.withColumn(name, F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False))).drop("__slot", "__bucket", "__bitmap")
 
 
+def without(docs: DataFrame, gone: DataFrame, own: Column, name: str, same: Column) -> DataFrame:
+    """The rows of ``docs`` for which no row of ``gone`` holds ``same``; only rows whose ``own`` key may be among the ``name`` of ``gone`` are shuffled."""
+    tagged = maybe_in(docs, [own], slot_filter(gone, [name]), "__maybe")
+    rest = tagged.where("__maybe").drop("__maybe").join(gone, same, "left_anti")
+    return tagged.where("not __maybe").drop("__maybe").unionByName(rest)
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

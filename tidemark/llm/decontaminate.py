@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import heavy_join, maybe_in, slot_filter, spill, text_of
+from .common import heavy_join, maybe_in, slot_filter, spill, text_of, without
 
 #: Units of measure, as they stand after a number.
 UNITS = (
@@ -166,4 +166,5 @@ def decontaminate(
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     found = benchmark_matches(docs, benchmark, id_col, text_col, WINDOW, 0.8, 0.8).select(F.col("th").alias("__th")).distinct()
-    return docs.join(spill(found, "benchmark-found"), row_key(id_col, text_col) == F.col("__th"), "left_anti")
+    own = row_key(id_col, text_col)
+    return without(docs, spill(found, "benchmark-found"), own, "__th", own == F.col("__th"))

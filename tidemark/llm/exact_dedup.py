@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_join, maybe_in, slot_filter, spill, text_of, without_blanks
+from .common import heavy_join, maybe_in, slot_filter, spill, text_of, without, without_blanks
 
 BATCHES = 4
 
@@ -115,4 +115,4 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(without_blanks(text_of(text_col)), 256)) == F.col("__digest"))
-    return docs.join(spill(gone, "digests-gone"), same, "left_anti")
+    return without(docs, spill(gone, "digests-gone"), F.col(id_col), "__id", same)

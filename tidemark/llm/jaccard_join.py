@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, shingle_sets
-from .common import heavy_join, maybe_in, slot_filter, spill, text_of
+from .common import heavy_join, maybe_in, slot_filter, spill, text_of, without
 from .components import connected_components
 
 BLOCK_BYTES = 4 << 20
@@ -392,4 +392,4 @@ def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     found = similarity_components(docs, id_col, text_col, width, percent)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(spill(gone, "near-gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return without(docs, spill(gone, "near-gone"), F.col(id_col).cast("long"), "__gone", F.col(id_col) == F.col("__gone"))

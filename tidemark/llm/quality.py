@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import chunks, word_hashes
-from .common import spill, text_of
+from .common import spill, text_of, without
 
 PASSAGE_BYTES = 600
 N_INPUTS = 256 + 8
@@ -208,4 +208,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     keyed = docs.select(F.col(id_col).alias("doc_id"), own.alias("text"))
     scored = score_quality(keyed, model, also_text_hash=True).where("predicted = 0")
     bad = spill(scored.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "quality-rejects")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(own) == F.col("__th")), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(own) == F.col("__th"))
+    return without(docs, bad, F.col(id_col).cast("long"), "__id", same)
