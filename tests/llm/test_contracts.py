@@ -98,6 +98,9 @@ def test_added_pii(spark):
     hits = sum(got[i].n_added for i in range(0, 400, 2))
     wrong = sum(got[i].n_added for i in range(1, 400, 2))
     assert hits >= 0.9 * 4 * 200 and hits / (hits + wrong) >= 0.9
+    cards = [(i, "card 4111 1111 1111 1111 then") for i in range(60)] + [(100 + i, f"card {4111111111110000 + 10 * i + (brute.luhn(str(4111111111110000 + 10 * i)))} then") for i in range(60)]
+    spans = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(cards, "doc_id long, text string")).collect()}
+    assert all(spans[i] == "card:5:24" for i in range(60)) and all(not brute.pii(t)["card"] and spans[i] == "" for i, t in cards[60:])  # numbers that fail are never added
     kinds = {x.split(":")[0] for x in got[0].spans.split(",")}
     assert kinds == {"iban", "card_like", "id_number", "local_phone"}
 

@@ -3,7 +3,7 @@
 Generators with high recall propose spans, which may overlap. Each candidate is labelled by a check of its kind that is
 no input of the model: check digits of cards and bank accounts, valid ranges of addresses, phone and identity numbers,
 known top-level domains. Boosted trees, fitted on a bounded sample stratified by kind, learn from format and context
-which candidates pass. All candidates are scored; a histogram of all scores of the added kinds gives each kind's
+which candidates pass. Candidates of added kinds that overlap a base span are left out. All others are scored; a histogram of all scores of the added kinds gives each kind's
 threshold, the lowest score above which the share that passes reaches ``precision``. A kind's share is smoothed by that
 of all added kinds at the same score, so that a rare kind follows the others instead of being dropped.
 Base spans always stay. Candidates of base kinds that are no base spans failed their check; they serve in fitting and are
@@ -128,20 +128,6 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
     return out
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
-    """Base spans (start, kind number, end), and candidates (start, kind number, end, label, features)."""
-    matches = base_matches(text)
-    base = sorted((a, k, b) for a, b, k, ok in matches if ok)
-    candidates = [(a, k, b, int(ok), features(text, a, b, k)) for a, b, k, ok in matches]
-    digit = bool(re.search("[0-9]", text))
-    for number, kind in enumerate(MORE_KINDS, len(BASE_KINDS)):
-        if not (digit if kind != "spelled_email" else re.search("(?i)dot", text)):
-            continue
-        for m in GENERATORS[kind].finditer(text):
-            candidates.append((m.start(), number, m.end(), int(passes(kind, m[0])), features(text, m.start(), m.end(), number)))
-    return base, candidates
-
-
 class Taken:
     """Disjoint intervals; tells in logarithmic time whether another one is free."""
 
@@ -154,15 +140,35 @@ class Taken:
                 self.starts.append(a)
                 self.ends.append(b)
 
-    def add(self, a: int, b: int) -> bool:
+    def free(self, a: int, b: int) -> bool:
         at = bisect_left(self.starts, b)
-        if at and self.ends[at - 1] > a:
+        return not at or self.ends[at - 1] <= a
+
+    def add(self, a: int, b: int) -> bool:
+        if not self.free(a, b):
             return False
+        at = bisect_left(self.starts, b)
         self.starts.insert(at, a)
         self.ends.insert(at, b)
         return True
 
 
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
+    """Base spans (start, kind number, end), and candidates (start, kind number, end, label, features)."""
+    matches = base_matches(text)
+    base = sorted((a, k, b) for a, b, k, ok in matches if ok)
+    candidates = [(a, k, b, int(ok), features(text, a, b, k)) for a, b, k, ok in matches]
+    taken = Taken([(a, b) for a, _, b in base])  # what overlaps a base span cannot be added, so it is no candidate
+    digit = bool(re.search("[0-9]", text))
+    for number, kind in enumerate(MORE_KINDS, len(BASE_KINDS)):
+        if not (digit if kind != "spelled_email" else re.search("(?i)dot", text)):
+            continue
+        for m in GENERATORS[kind].finditer(text):
+            if taken.free(m.start(), m.end()):
+                candidates.append((m.start(), number, m.end(), int(passes(kind, m[0])), features(text, m.start(), m.end(), number)))
+    return base, candidates
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
