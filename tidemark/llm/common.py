@@ -44,13 +44,17 @@ HEAVY_SHARE = 1000
 def heavy_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, which has one row for each key and, in ``weight``, the number of its rows in ``big``.
 
-    Keys that hold a thousandth of all ``total`` rows or more, of which there can be a thousand at most, are broadcast,
-    so that no task gets all rows of a hot key; the others are shuffled. ``how``: inner or left. Keys must not be null.
+    Keys that hold a thousandth of all ``total`` rows or more, of which there can be a thousand at most, are looked up first
+    and broadcast, so that no task gets all rows of a hot key; the others are shuffled. ``how``: inner or left. Keys must
+    not be null.
     """
     hot = F.col(weight) * HEAVY_SHARE >= total
-    heavy, light = small.where(hot), small.where(~hot)
-    rest = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
-    return big.join(F.broadcast(heavy), keys).unionByName(rest)
+    rows = small.where(hot).collect()  # a thousand rows at most
+    if not rows:
+        return big.join(small, keys, how)
+    heavy = F.broadcast(big.sparkSession.createDataFrame(rows, small.schema))
+    rest = big.join(heavy.select(*keys), keys, "left_anti").join(small.where(~hot), keys, how)
+    return big.join(heavy, keys).unionByName(rest)
 
 
 def slots(keys: list[Column], bits: int) -> Column:
