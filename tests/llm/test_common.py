@@ -37,16 +37,14 @@ def test_without(spark):
     assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "a"), (2, "d"), (2, "d")]
 
 
-def test_scratch_folder(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", "file:///tmp/elsewhere/")
-        assert common.shared_dir(spark) == f"file:///tmp/elsewhere/tidemark-{spark.sparkContext.applicationId}"
-        spark.conf.unset("spark.checkpoint.dir")
-        assert spark.sparkContext.applicationId in common.shared_dir(spark)  # a local session
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_scratch_folder():
+    from types import SimpleNamespace as Fake
+
+    session = lambda base, master: Fake(conf=Fake(get=lambda *a: base), sparkContext=Fake(master=master, applicationId="app-1"))
+    assert common.shared_dir(session("hdfs://x/y/", "yarn")) == "hdfs://x/y/tidemark-app-1"
+    assert common.shared_dir(session(None, "local[4]")).endswith("/tidemark-app-1")
+    with pytest.raises(ValueError):
+        common.shared_dir(session(None, "spark://host:7077"))
 
 
 def test_components_with_a_hub(spark):
