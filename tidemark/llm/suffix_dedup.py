@@ -10,8 +10,8 @@ dropped, and a place is repeated at a depth if the common prefix with a neighbou
 
 Null and empty texts have no bytes; texts under ``length`` bytes stay whole. Rows that repeat identifier and text are
 documents of their own, which repeat each other. An empty table gives an empty result. Other columns of the input are
-ignored, whatever their names. Very many places at one anchor (over ``HOT``) are settled and expanded, window by window,
-with Spark aggregation instead of in one task.
+ignored, whatever their names. Very many places at one anchor (over ``HOT``) are settled with Spark aggregation instead
+of in one task, and expanded so, window by window, if they have very many different surroundings (over ``EXPANDED``).
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from .bytehash import C1, C2, chunks, mix, prefix_sums, ranges
 from .common import heavy_join, maybe_in, slot_filter, spill, text_of
 
 LENGTH, SEED = 200, 32
-#: Places of one anchor that one task may hold; anchors with more are counted by Spark. Both ways give the same result.
-HOT = 10_000
+#: Places of one anchor that one task may settle, and different surroundings of one that it may expand; anchors with more
+#: are settled and expanded by Spark's aggregation. Both ways give the same result.
+HOT, EXPANDED = 10_000, 50_000
 KEY = "doc_id long, th long"
 
 
@@ -111,13 +112,14 @@ def settled_by_counts(anchors: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "th", "p")
     contexts = anchors.groupBy("h", "c").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("first"))
     contexts = spill(contexts, "hot-contexts")
-    per = contexts.groupBy("h").agg((F.min("c") != F.max("c")).alias("several"))  # one row for each hot anchor
+    different = F.count(F.lit(1))
+    per = contexts.groupBy("h").agg((different > 1).alias("several"), (different > EXPANDED).alias("hot"))  # one row for each hot anchor
     contexts = spill(contexts.join(F.broadcast(per), "h"), "hot-kinds")
     total = contexts.agg(F.sum("rows")).first()[0] or 0
     told = heavy_join(anchors, contexts, ["h", "c"], "rows", total)
     repeated, first = F.col("places") > 1, F.struct("doc_id", "th", "p") == F.col("first")
     kind = F.when(repeated & first & F.col("several"), 1).when(repeated, 0).when(F.col("several"), 2).otherwise(-1)
-    return told.select("h", "doc_id", "th", "p", kind.alias("kind"), F.lit(True).alias("hot")).where("kind >= 0")
+    return told.select("h", "doc_id", "th", "p", kind.alias("kind"), "hot").where("kind >= 0")
 
 
 def settled_in_tasks(anchors: DataFrame) -> DataFrame:
