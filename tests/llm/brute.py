@@ -214,7 +214,7 @@ ONES = "zero one two three four five six seven eight nine ten eleven twelve thir
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
-def template(text, common, units):
+def template(text, common, units, names=True):
     """(form, value) of each word."""
     out = []
     for w in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
@@ -227,7 +227,7 @@ def template(text, common, units):
             form = 1
         elif out and out[-1][0] == 1 and low in units:
             form = 2
-        elif re.match("[A-Z\u00c0-\u00de]", bare) and any(c.islower() for c in bare) and bare not in common:
+        elif names and re.match("[A-Z\u00c0-\u00de]", bare) and any(c.islower() for c in bare) and bare not in common:
             form = 3
         else:
             form = low
@@ -239,12 +239,12 @@ def leaks(docs, items, common, units, window=5, least=0.8, agree=0.8):
     """{doc: items} by plain search: an item's windows in the document, and one value for each of its values in some occurrence."""
     windows = lambda t: {i: tuple(f for f, _ in t[i : i + window]) for i in range(max(len(t) - window, 0) + 1)} if t else {}
     found = {}
-    for d, text in docs:
-        own = template(text, common, units)
+    for d, text, names in ((*x, n) for x in docs for n in (True, False)):
+        own = template(text, common, units, names)
         mine = windows(own)
-        found[d] = set()
+        found.setdefault(d, set())
         for item, question in items:
-            theirs = template(question, common, units)
+            theirs = template(question, common, units, names)
             book = windows(theirs)
             size, wide = len(set(book.values())), max(book, default=0) + window
             met = [(i, k) for k, v in book.items() for i, u in mine.items() if u == v]

@@ -255,10 +255,12 @@ def test_repeats(docs):
     assert got == sorted(brute.repeats(pairs(docs)), key=repr)
 
 
-def test_repeats_of_hot_anchors(spark, hard, monkeypatch):
+@pytest.mark.parametrize("expanded", [2, 50_000])
+def test_repeats_of_hot_anchors(spark, hard, monkeypatch, expanded):
     import tidemark.llm.suffix_dedup as module
 
     monkeypatch.setattr(module, "HOT", 2)
+    monkeypatch.setattr(module, "EXPANDED", expanded)
     got = rows(remove_repeats(hard), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.repeats(pairs(hard)), key=repr)
 
@@ -340,7 +342,8 @@ def test_decontaminate(spark, sf_dir, monkeypatch):
     real = [(d, t) for d, t in real if len(t or "") < 4000]
     variants = [(5000 + i, f"some words before. {asked(rng, QUESTIONS[i % len(QUESTIONS)])} and after") for i in range(60)]
     tables = [(6000 + i, " ".join(str(rng.randint(1, 99)) for _ in range(60))) for i in range(10)] + [(7000, "4 8 15 16 23 42 4 8 15 16"), (7001, "two words"), (7002, "only two words"), (7003, None)]
-    docs = real + variants + tables
+    cased = [(8000 + k, f(items[k][1]) + " tail") for k, f in enumerate((str.lower, str.upper, str.title))]
+    docs = real + variants + tables + cased
     want = brute.leaks(docs, items, module.COMMON, module.UNITS)
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for most in (2_000_000, 0):
@@ -349,6 +352,7 @@ def test_decontaminate(spark, sf_dir, monkeypatch):
         assert got == want
     caught = sum(900 + i % len(QUESTIONS) in got[5000 + i] for i in range(60))
     assert caught / 60 >= 0.9  # recall of re-parameterised questions
+    assert all(items[k][0] in got[8000 + k] for k in range(2))  # copies in other case
     whole = {i: " ".join(t.split()) for i, t in items if i < 900}
     assert all(i in got[d] for d, t in real for i, w in whole.items() if w in " ".join((t or "").split()))
 

@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers (digits with signs, or spelled), names (capitalised words other than common ones, wherever they stand) and units
-become typed placeholders; windows of five template words are hashed and equi-joined with those of the benchmark. An
+become typed placeholders; windows of five template words are hashed and equi-joined with those of the benchmark. A
+second variant of each text keeps names as lower-case words, for copies in other case; an item and a document match in
+either variant. An
 item with coverage ``least`` in a document shares one of its rarest windows with it, so only these propose pairs of
 document and item, and a window that half of all documents hold, such as five numbers in a row, does not; then all
 windows of the pairs are counted. For pairs with enough windows, the values that stand in aligned slots are compared:
@@ -53,18 +55,20 @@ def words_of(text: Column) -> Column:
 
 
 def templates(table: DataFrame) -> DataFrame:
-    """Adds bare (the text without punctuation at the edges of words) and form (template words) to a table with a text column.
+    """Adds bare (the text without punctuation at the edges of words) and two variants of its template words to a table with
+    a text column: form, and plain, in which names are words.
 
     Whole texts are rewritten by a few patterns, which takes less time than any work on single words.
     """
     bare = F.regexp_replace("text", EDGES, "")
     shaped = F.regexp_replace(F.col("bare"), NUMBERS, NUMBER)
-    shaped = F.regexp_replace(F.regexp_replace(shaped, UNITS_AFTER, f"$1{UNIT}"), NAMES, NAME)
-    return table.withColumn("bare", bare).withColumn("form", words_of(F.lower(shaped)))
+    out = table.withColumn("bare", bare).withColumn("__shaped", F.regexp_replace(shaped, UNITS_AFTER, f"$1{UNIT}"))
+    out = out.withColumn("form", words_of(F.lower(F.regexp_replace("__shaped", NAMES, NAME))))
+    return out.withColumn("plain", words_of(F.lower("__shaped"))).drop("__shaped")
 
 
-def hashed(at: Column, window: int) -> Column:
-    return F.xxhash64(*(F.get("form", at + k) for k in range(window)))
+def hashed(form: str, at: Column, window: int) -> Column:
+    return F.xxhash64(*(F.get(form, at + k) for k in range(window)))
 
 
 def starts(window: int) -> Column:
@@ -72,50 +76,55 @@ def starts(window: int) -> Column:
 
 
 def slotted_windows(table: DataFrame, key: list[str], window: int) -> DataFrame:
-    """key, w, at, slots: each window with its place and the values in its slots (null for plain words)."""
-    value = lambda at, k: F.when(F.get("form", at + k).isin(NUMBER, NAME, UNIT), F.lower(F.get("words", at + k)))
-    each = F.transform(
-        starts(window), lambda at: F.struct(hashed(at, window).alias("w"), at.alias("at"), F.array(*(value(at, k) for k in range(window))).alias("slots"))
-    )
-    return templates(table).withColumn("words", words_of(F.col("bare"))).select(*key, F.explode(each).alias("x")).select(*key, "x.w", "x.at", "x.slots")
+    """key, variant, w, at, slots: each window of both variants with its place and the values in its slots (null for plain words)."""
+
+    def windows(form: str, variant: int) -> Column:
+        value = lambda at, k: F.when(F.get(form, at + k).isin(NUMBER, NAME, UNIT), F.lower(F.get("words", at + k)))
+        slots = lambda at: F.array(*(value(at, k) for k in range(window)))
+        return F.transform(starts(window), lambda at: F.struct(F.lit(variant).alias("variant"), hashed(form, at, window).alias("w"), at.alias("at"), slots(at).alias("slots")))
+
+    each = F.explode(F.concat(windows("form", 0), windows("plain", 1))).alias("x")
+    return templates(table).withColumn("words", words_of(F.col("bare"))).select(*key, each).select(*key, "x.*")
 
 
 def occurrences(own: DataFrame, pairs: DataFrame, slots: DataFrame) -> DataFrame:
-    """th, item_id, place, w, slots, own: matching windows of pairs by the occurrences they can belong to.
+    """th, item_id, variant, place, w, slots, own: matching windows of pairs by the occurrences they can belong to.
 
     place: (0, distance), (1 or 2, band of distances as wide as the item; the two kinds overlap by half), (3, null) for
     the whole document. An occurrence has one match for each place in the item, at the distance that most windows have.
     """
     wide = slots.groupBy("item_id").agg((F.max("at") + F.lit(WINDOW)).alias("wide"))
-    met = own.join(pairs.select("th", "item_id"), "th").join(slots.withColumnRenamed("at", "item_at"), ["item_id", "w"])
+    met = own.join(pairs.select("th", "item_id", "variant"), ["th", "variant"]).join(slots.withColumnRenamed("at", "item_at"), ["item_id", "variant", "w"])
     met = met.join(wide, "item_id").withColumn("far", F.col("at") - F.col("item_at"))
-    met = met.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("th", "item_id", "far")))
+    met = met.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("th", "item_id", "variant", "far")))
     place = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
     places = F.array(
         place(0, F.col("far")), place(1, F.floor(F.col("far") / F.col("wide"))), place(2, F.floor(F.col("far") / F.col("wide") + 0.5)), place(3, F.lit(None))
     )
     met = met.withColumn("place", F.explode(places)).withColumn("alone", F.when(F.col("place.kind") == 3, F.col("at")))
     best = F.max_by(F.struct("w", "slots", "own"), F.struct("m", -F.col("far"))).alias("x")
-    return met.groupBy("th", "item_id", "place", "item_at", "alone").agg(best).select("th", "item_id", "place", "x.w", "x.slots", "x.own")
+    key = ["th", "item_id", "variant", "place"]
+    return met.groupBy(*key, "item_at", "alone").agg(best).select(*key, "x.w", "x.slots", "x.own")
 
 
 def covered_items(texts: DataFrame, book: DataFrame, sizes: DataFrame, small: bool, window: int, least: float) -> DataFrame:
-    """th, item_id, coverage of all documents and items with coverage ``least`` or more."""
+    """th, item_id, variant, coverage of all documents and items with coverage ``least`` or more in a variant."""
+    item = ["item_id", "variant"]
     wanted = book.select(F.col("w").alias("bw")).distinct()
     wanted = F.broadcast(wanted) if small else wanted  # its size has been checked
-    held = templates(texts).select("th", F.explode(F.array_distinct(F.transform(starts(window), lambda at: hashed(at, window)))).alias("w"))
+    held = templates(texts).select("th", F.explode(F.array_distinct(F.flatten(F.transform(starts(window), lambda at: F.array(hashed("form", at, window), hashed("plain", at, window)))))).alias("w"))
     held = spill(held.join(wanted, F.col("w") == F.col("bw"), "left_semi").distinct(), "benchmark-held")
     documents = held.groupBy("w").agg(F.count(F.lit(1)).alias("documents"))
-    in_item = Window.partitionBy("item_id").orderBy(F.coalesce("documents", F.lit(0)), "w")  # an item's windows, as many as it has words
-    ranked = book.join(documents, "w", "left").withColumn("nth", F.row_number().over(in_item)).join(sizes, "item_id")
+    in_item = Window.partitionBy(*item).orderBy(F.coalesce("documents", F.lit(0)), "w")  # an item's windows, as many as it has words
+    ranked = book.join(documents, "w", "left").withColumn("nth", F.row_number().over(in_item)).join(sizes, item)
     rare = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least) + 1) & F.col("documents").isNotNull())
-    rare = spill(rare.groupBy("w", "documents").agg(F.collect_set("item_id").alias("items")), "benchmark-rare")
+    rare = spill(rare.groupBy("w", "documents").agg(F.collect_set(F.struct(*item)).alias("items")), "benchmark-rare")
     total = rare.agg(F.sum("documents")).first()[0] or 0
-    pairs = heavy_join(held, rare, ["w"], "documents", total).select("th", F.explode("items").alias("item_id")).distinct()
+    pairs = heavy_join(held, rare, ["w"], "documents", total).select("th", F.explode("items").alias("x")).select("th", "x.*").distinct()
     own = held.join(spill(pairs, "benchmark-pairs"), "th")
-    both = own.join(F.broadcast(book) if small else book, ["item_id", "w"])
-    share = both.groupBy("th", "item_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "item_id").withColumn("coverage", F.col("n") / F.col("size"))
-    return share.where(F.col("coverage") >= least).select("th", "item_id", "coverage")
+    both = own.join(F.broadcast(book) if small else book, [*item, "w"])
+    share = both.groupBy("th", *item).agg(F.count(F.lit(1)).alias("n")).join(sizes, item).withColumn("coverage", F.col("n") / F.col("size"))
+    return share.where(F.col("coverage") >= least).select("th", *item, "coverage")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -128,21 +137,22 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     texts = docs.select(row_key(id_col, text_col).alias("th"), text_of(text_col).alias("text"))
     items = benchmark.select("item_id", text_of("text").alias("text"))
     slots = spill(slotted_windows(items, ["item_id"], window), "benchmark-windows")
-    book = slots.where("item_id is not null").select("item_id", "w").distinct()
-    sizes = book.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
+    item = ["item_id", "variant"]
+    book = slots.where("item_id is not null").select(*item, "w").distinct()
+    sizes = book.groupBy(*item).agg(F.count(F.lit(1)).alias("size"))
     found = spill(covered_items(texts, book, sizes, slots.count() <= BROADCAST_WINDOWS, window, least), "benchmark-candidates")
     some = maybe_in(texts, [F.col("th")], slot_filter(found, ["th"])).where("maybe").join(found.select("th").distinct(), "th", "left_semi")
     own = slotted_windows(some.dropDuplicates(["th"]), ["th"], window).withColumnRenamed("slots", "own")
     met = spill(occurrences(own, found, slots), "benchmark-occurrences")
-    key = ["th", "item_id", "place"]
-    whole = met.groupBy(*key).agg(F.count_distinct("w").alias("n")).join(sizes, "item_id").where(F.col("n") / F.col("size") >= least).select(*key)
+    key = ["th", *item, "place"]
+    whole = met.groupBy(*key).agg(F.count_distinct("w").alias("n")).join(sizes, item).where(F.col("n") / F.col("size") >= least).select(*key)
     votes = met.select(*key, F.explode(F.arrays_zip("slots", "own")).alias("x")).where("x.slots is not null")
     votes = votes.groupBy(*key, "x.slots", "x.own").agg(F.count(F.lit(1)).alias("n"))
     votes = votes.groupBy(*key, "slots").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
     votes = votes.groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("agreement"))
     each = whole.join(votes, key, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
-    best = each.groupBy("th", "item_id").agg(F.max("agreement").alias("agreement"))
-    return found.join(best, ["th", "item_id"]).where(F.col("agreement") >= agree).select("th", "item_id", "coverage", "agreement")
+    best = each.groupBy("th", *item).agg(F.max("agreement").alias("agreement")).where(F.col("agreement") >= agree)
+    return found.join(best, ["th", *item]).groupBy("th", "item_id").agg(F.max("coverage").alias("coverage"), F.max("agreement").alias("agreement"))
 
 
 def decontaminate(
