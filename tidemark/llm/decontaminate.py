@@ -3,14 +3,13 @@
 Numbers (digits with signs, or spelled), names (capitalised words other than common ones, wherever they stand) and units
 become typed placeholders; windows of five template words are hashed and equi-joined with those of the benchmark. A
 second variant of each text keeps names as lower-case words, for copies in other case; an item and a document match in
-either variant. An
-item with coverage ``least`` in a document shares one of its rarest windows with it, so only these propose pairs of
-document and item, and a window that half of all documents hold, such as five numbers in a row, does not; then all
-windows of the pairs are counted. For pairs with enough windows, the values that stand in aligned slots are compared:
-an item's value must map to one document value throughout (its most frequent one, nearly always), which holds for
-verbatim copies and for re-parameterised questions, not for chance. One occurrence of the item suffices: windows at one
-distance from their place in the item, or at distances no more than half an item apart (words put in or left out), or
-all of the document's windows together.
+either variant. An item with coverage ``least`` in a document shares one of its rarest windows with it, so only these
+propose pairs of document and item: a window that many documents hold, such as five numbers in a row, proposes none unless
+the item has no rarer ones. Then all windows of the pairs are counted. For pairs with enough windows, the values that
+stand in aligned slots are compared: an item's value must map to one document value throughout (its most frequent one,
+nearly always), which holds for verbatim copies and for re-parameterised questions, not for chance. One occurrence of the
+item suffices: windows at one distance from their place in the item, or at distances no more than half an item apart
+(words put in or left out), or all of the document's windows together.
 
 Null and empty texts match nothing, on either side; an item with fewer words than a window is one window of all of
 them. Rows that repeat identifier and text share one decision; repeated items count once each under their own id. Empty
@@ -117,7 +116,7 @@ def covered_items(texts: DataFrame, book: DataFrame, sizes: DataFrame, small: bo
     documents = held.groupBy("w").agg(F.count(F.lit(1)).alias("documents"))
     in_item = Window.partitionBy(*item).orderBy(F.coalesce("documents", F.lit(0)), "w")  # an item's windows, as many as it has words
     ranked = book.join(documents, "w", "left").withColumn("nth", F.row_number().over(in_item)).join(sizes, item)
-    rare = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least) + 1) & F.col("documents").isNotNull())
+    rare = ranked.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & F.col("documents").isNotNull())
     rare = spill(rare.groupBy("w", "documents").agg(F.collect_set(F.struct(*item)).alias("items")), "benchmark-rare")
     total = rare.agg(F.sum("documents")).first()[0] or 0
     pairs = heavy_join(held, rare, ["w"], "documents", total).select("th", F.explode("items").alias("x")).select("th", "x.*").distinct()
