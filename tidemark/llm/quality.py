@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,19 +180,22 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
     """doc_id, held_out, score, predicted (and th, a hash of the text): one row for each row of ``docs``."""
     names = ["doc_id", "held_out", "th"] if also_text_hash else ["doc_id", "held_out"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scores_of(texts: list[bytes]) -> np.ndarray:
+        return np.full(len(texts), model) if isinstance(model, float) else model.score(*passages(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if isinstance(model, float):
-                scores = np.full(len(x), model)
-            else:
-                texts = _bytes(x["text"])
-                scores = np.concatenate([model.score(*passages(texts[a:b])) for a, b in chunks(texts, 1 << 22)]) if texts else np.zeros(0)
-            yield x[names].assign(score=scores.astype(np.float64), predicted=(scores >= 0.5).astype(np.int32))
+            text = x.column(len(names)).cast(pa.binary())
+            for k in range(0, x.num_rows, 500):  # few texts at once as Python objects
+                texts = [t.as_py() for t in text[k : k + 500]]
+                scores = np.concatenate([scores_of(texts[a:b]) for a, b in chunks(texts, 1 << 21)]).astype(np.float64)
+                own = [x.column(i)[k : k + 500] for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     own = text_of(text_col)
-    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(own).alias("th"), own.alias("text")).select(*names, "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(own).alias("th"), own.alias("text")).select(*names, "text")
     hashed = "th long, " if also_text_hash else ""
-    return texts.mapInPandas(run, f"doc_id string, held_out boolean, {hashed}score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return texts.mapInArrow(run, f"doc_id long, held_out boolean, {hashed}score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -181,23 +181,12 @@ class Codec:
         return raw[1:] if self.pieces.prefix and raw.startswith(" ") else raw
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec_of(pieces: Pieces) -> Codec:
-    """One codec for each model in a Python worker, so that its memory outlasts a task."""
-    if pieces.name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[pieces.name] = Codec(pieces)
-    return _CODECS[pieces.name]
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, ids (array<int>): one row for each row of ``docs``."""
     pieces = read_pieces(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(pieces)
+        codec = Codec(pieces)  # remembers units for this task only, so that an idle worker holds none
         for x in batches:
             for k in range(0, len(x), 500):
                 y = x.iloc[k : k + 500]
@@ -212,7 +201,7 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     pieces = read_pieces(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(pieces)
+        codec = Codec(pieces)  # remembers units for this task only, so that an idle worker holds none
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "text": [codec.decode(i) if i is not None else "" for i in x["ids"]]})
 
@@ -228,7 +217,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = read_pieces(model_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(pieces)
+        codec = Codec(pieces)  # remembers units for this task only, so that an idle worker holds none
         for x in batches:
             out = []
             for text in x["text"]:
