@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .components import connected_components
 
 BLOCK_BYTES = 4 << 20
 MAP_BYTES = 32 << 20
-BUCKET_SIGNATURES = 400_000
+BUCKET_SIGNATURES = 150_000
 
 
 def size_classes(percent: int, largest: int) -> np.ndarray:
@@ -79,27 +80,24 @@ def set_node(s: np.ndarray) -> int | None:
     return int(name.view(np.int64)[0]) & ~1
 
 
-def _encoded(texts: pd.Series) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in texts]
-
-
-def sliced(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Batches in slices, so that the sets of few texts are held at once."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches in slices with their texts (the last column), so that few texts and sets are Python objects at once."""
     for x in batches:
-        for k in range(0, len(x), rows):
-            yield x.iloc[k : k + rows]
+        for k in range(0, x.num_rows, rows):
+            y = x.slice(k, rows)
+            yield y, [t.as_py() for t in y.column(y.num_columns - 1).cast(pa.binary())]
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, th (a hash of identifier and text), n_shingles, node of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in sliced(batches):
-            sets = shingle_sets(_encoded(x["text"]), width)
-            yield x[["doc_id", "th"]].assign(n_shingles=[len(s) for s in sets], node=pd.array([set_node(s) for s in sets], dtype="Int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, texts in sliced(batches):
+            sets = shingle_sets(texts, width)
+            found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_node(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *found], ["doc_id", "th", "n_shingles", "node"])
 
-    texts = docs.select(F.col("doc_id").cast("string"), "th", "text")  # as text, null and large ids stay exact in pandas
-    return texts.mapInPandas(run, "doc_id string, th long, n_shingles long, node long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_shingles long, node long")
 
 
 LINK, SHARED, NEED = 0, 1, 2
@@ -132,11 +130,13 @@ def signatures(docs: DataFrame, width: int, percent: int, buckets: int, remember
     places in members (64-bit); facts: kind, a and b as 64-bit rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for x in sliced(batches, 2000):
+        for _, texts in sliced(batches, 2000):
             fresh = []
-            for s in shingle_sets(_encoded(x["text"]), width):
+            for s in shingle_sets(texts, width):
                 node = set_node(s)
                 if node is not None and node not in seen:
                     if len(seen) >= remembered:
@@ -162,9 +162,9 @@ def signatures(docs: DataFrame, width: int, percent: int, buckets: int, remember
             facts.append((NEED, names, needs))
             told = np.concatenate([np.stack([np.full(len(a), k), a, b]) for k, a, b in facts], axis=1).astype(np.int64)
             out.append((int(fresh[0][0] % buckets), b"", b"", b"", told.tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "sigs", "owner", "members", "facts"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "sigs", "owner", "members", "facts"])
 
-    return docs.mapInPandas(run, "bucket int, sigs binary, owner binary, members binary, facts binary")
+    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, owner binary, members binary, facts binary")
 
 
 def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
@@ -367,14 +367,17 @@ def units(texts: DataFrame, ids: DataFrame, clusters: DataFrame, width: int) ->
     dealt = heavy_join(sized, spill(total, "near-sizes"), ["root"], "nodes", sized.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = spill(dealt.select("node", "th", "root", "block", "blocks"), "near-units")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in sliced(batches):
-            sets = shingle_sets(_encoded(x["text"]), width)
-            y = pd.DataFrame({"root": x["root"], "block": x["block"], "blocks": x["blocks"], "node": x["node"], "shingles": [s.tobytes() for s in sets]})
-            yield y[np.array([set_node(s) == n for s, n in zip(sets, x["node"], strict=True)], dtype=bool)]  # a hash shared by two texts brings both
+    names = ["root", "block", "blocks", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, own in sliced(batches):
+            sets = shingle_sets(own, width)
+            same = [set_node(s) == n for s, n in zip(sets, x.column(3).to_pylist(), strict=True)]  # a hash shared by two texts brings both
+            y = x.filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(y.column(k) for k in range(4)), pa.array([s.tobytes() for s, ok in zip(sets, same, strict=True) if ok], pa.binary())], [*names, "shingles"])
 
     wanted = maybe_in(texts, [F.col("th")], slot_filter(dealt, ["th"])).where("maybe").select("th", "text")
-    sets = wanted.join(dealt.hint("merge"), "th").mapInPandas(  # the same plan at every size
+    sets = wanted.join(dealt.hint("merge"), "th").select(*names, "text").mapInArrow(  # the same plan at every size
         run, "root long, block int, blocks int, node long, shingles binary"
     )
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
