@@ -28,8 +28,8 @@ from .bytehash import mix, shingle_sets
 from .common import heavy_join, maybe_in, slot_filter, spill, text_of, without
 from .components import connected_components
 
-BLOCK_BYTES = 4 << 20
-MAP_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
+MAP_BYTES = 16 << 20
 BUCKET_SIGNATURES = 150_000
 
 
@@ -86,6 +86,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple
         for k in range(0, x.num_rows, rows):
             y = x.slice(k, rows)
             yield y, [t.as_py() for t in y.column(y.num_columns - 1).cast(pa.binary())]
+        pa.default_memory_pool().release_unused()  # an idle worker keeps no buffers of a batch
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
