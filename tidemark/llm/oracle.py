@@ -27,3 +27,30 @@ WITH RECURSIVE t AS (
 )
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1) m USING (doc_id)
 """
+
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+SQL["op11_periodic_runs"] = rf"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {CRC.format("doc_id")} AS h FROM documents
+), u AS (
+  SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM t
+), v AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE w END AS w FROM u
+), x AS (
+  SELECT doc_id, n, unnest(range(n - 2)) AS i, unnest(list_transform(range(1, n - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS three FROM v
+), y AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.three = b.three AND b.i > a.i AND 3 * (b.i - a.i) <= a.n
+), z AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM y
+), s AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS l FROM z GROUP BY doc_id, q, k HAVING count(*) + 2 + q >= greatest(24, 3 * q)
+), r AS (
+  SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = a.doc_id AND b.q < a.q AND b.s <= a.s AND b.s + b.l >= a.s + a.l)
+), m AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, list(struct_pack(s := s, l := l, q := q)) AS rs, first(struct_pack(s := s, l := l, q := q) ORDER BY l::DOUBLE / q DESC, s, q) AS best FROM r GROUP BY 1
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(list_filter(w, lambda e, i: len(list_filter(coalesce(rs, []), lambda r: i > r.s + r.q AND i <= r.s + r.l)) = 0), ' ')) AS collapsed_sha256
+FROM v LEFT JOIN m USING (doc_id)
+"""

@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import similarity_components
 from .license_scan import license_scan
+from .periodic_runs import periodic_runs, run_digests, with_planted_runs
 from .pii import find_pii
 from .quality import quality_scores
 from .secret_scan import secret_scan
@@ -59,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
