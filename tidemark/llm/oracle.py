@@ -54,3 +54,27 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length,
   sha256(array_to_string(list_filter(w, lambda e, i: len(list_filter(coalesce(rs, []), lambda r: i > r.s + r.q AND i <= r.s + r.l)) = 0), ' ')) AS collapsed_sha256
 FROM v LEFT JOIN m USING (doc_id)
 """
+
+SQL["op13_prefix_trie"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list(struct_pack(s := s, b := b) ORDER BY turn NULLS FIRST, role, s) AS w, {CRC.format("conv_id")} % 9 AS h FROM c GROUP BY 1
+), q AS (
+  SELECT o.conv_id, list_concat(coalesce(l.w, [])[1:o.h], o.w[o.h + 1:]) AS w FROM o LEFT JOIN o l ON l.conv_id = o.conv_id - o.conv_id % 5
+), d AS (
+  SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM q
+), p AS (
+  SELECT conv_id, d, array_to_string(list_transform(w[1:d], lambda x: x.s), '') AS own, CASE WHEN d > 0 THEN w[d].b ELSE 0 END AS b, len(w) = d AS ends FROM d
+), n AS (
+  SELECT own, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY 1, 2
+), u AS (
+  SELECT own[1:64 * (d - 1)] AS up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1
+), e AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, unnest(list_transform(range(d + 1), lambda k: own[1:64 * k])) AS above FROM n LEFT JOIN u ON u.up = n.own
+), s AS (
+  SELECT above, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * b) AS BIGINT) AS saved_tokens FROM e GROUP BY 1
+)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(u.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.above = n.own LEFT JOIN u ON u.up = n.own LEFT JOIN n m ON n.d > 0 AND m.own = n.own[1:64 * (n.d - 1)]
+"""

@@ -13,9 +13,11 @@ from .jaccard_join import similarity_components
 from .license_scan import license_scan
 from .periodic_runs import periodic_runs, run_digests, with_planted_runs
 from .pii import find_pii
+from .prefix_trie import prefix_trie, sequences, with_shared_heads
 from .quality import quality_scores
 from .secret_scan import secret_scan
 from .sentencepiece_codec import round_trip
+from .source_mix import mix_sources
 from .suffix_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -64,6 +66,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(sequences(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
