@@ -138,17 +138,6 @@ def test_chained_imputation_beats_medians(spark):
         assert out.e < limit
 
 
-def test_neighbours_are_exact(spark):
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(90, 5))
-    df = spark.createDataFrame([(i, i % 2, [float(x) for x in v[i]]) for i in range(90)], "id int, label int, v array<double>").withColumn("id", F.col("id").cast("long"))
-    got = {(r.id, r["rank"]): r.neighbour for r in B.class_neighbours(df, "id", "v", "label", 3, block_rows=15).collect()}
-    for i in range(90):
-        own = [j for j in range(90) if j % 2 == i % 2 and j != i]
-        order = sorted(own, key=lambda j: (((v[i] - v[j]) ** 2).sum(), j))[:3]
-        assert [got[(i, k)] for k in (1, 2, 3)] == order
-
-
 def test_synthetic_rows_lie_between_their_parents(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, 0, [float(x) for x in rng.normal(size=3)]) for i in range(20)], "id int, label int, v array<double>")
@@ -269,11 +258,12 @@ def test_radius_pairs_and_masks(spark):
     v = rng.normal(size=(40, 3))
     rows = [(i, i % 2, [float(x) for x in v[i]], int(i % 3 > 0), int(i % 5 == 0)) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, label int, v array<double>, here int, missing__v int")
-    near = B.within_radius(B.class_neighbours(df, "id", "v", "label", 5), 0.8)
-    pairs = B.radius_pairs(df, near, spark.createDataFrame([(0, 50), (1, 0)], "label int, quota int"), ["label"], "id", 3)
-    allowed = {(r.id, r.neighbour): r.fallback for r in near.collect()}
+    pairs = B.radius_pairs(df, spark.createDataFrame([(0, 50), (1, 0)], "label int, quota int"), "label", "id", "v", 0.8, 3)
+    gap = ((v[:, None] - v[None]) ** 2).sum(axis=2) + np.where(np.arange(40)[:, None] % 2 == np.arange(40) % 2, 0, np.inf)
+    np.fill_diagonal(gap, np.inf)
     made = pairs.collect()
-    assert len(made) == 50 and all(allowed[r.a, r.b] == r.fallback and 0 <= r.ratio < 1 and r.label == 0 for r in made)
+    assert len(made) == 50 and all(0 <= r.ratio < 1 and r.label == 0 and r.fallback == (gap[r.a].min() > 0.64) for r in made)
+    assert all(gap[r.a, r.b] <= 0.64 or (r.fallback and gap[r.a].argmin() == r.b) for r in made)
     for r in B.materialize(pairs, df, "id", "v", ["label"], 3, ("here",), ("missing__v",)).collect():
         a, b = rows[r.a], rows[r.b]
         assert r.here == (a[3] and b[3]) and r.missing__v == (a[4] or b[4])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import running_total
+from . import neighbours as N
+from .neighbours import held as keep
 
 
 def sampling_targets(df: DataFrame, label: str, share: int = 10, most: int = 10) -> DataFrame:
@@ -36,8 +38,9 @@ def numbered(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 
 
 def hash_unit(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) from a digest of the parts: the same on every engine that has the digest."""
+    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def interpolated_pairs(members: DataFrame, quotas: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
@@ -52,20 +55,23 @@ def interpolated_pairs(members: DataFrame, quotas: DataFrame, keys: list[str], i
     return draws.join(place("ia", "a"), [*keys, "ia"]).join(place("ib", "b"), [*keys, "ib"]).select(*keys, "nth", "a", "b", "ratio")
 
 
-def radius_pairs(members: DataFrame, near: DataFrame, quotas: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
-    """Parent pairs as many as each key's quota: a by hash draw, b by hash draw among a's neighbours (id, neighbour, fallback).
+def drawn_parents(members: DataFrame, quotas: DataFrame, label: str, id_col: str, seed: int, first: int = 0) -> DataFrame:
+    """Draws of a first parent, as many as each class's quota: label, nth (after ``first``), a, ratio. Classes of one row give none."""
+    rows = numbered(members.select(label, F.col(id_col).alias("a")), [label], "a")
+    draws = quotas.where("quota > 0").withColumn("nth", F.explode(F.sequence(F.lit(first + 1).cast("long"), (F.lit(first) + F.col("quota")).cast("long"))))
+    sizes = rows.groupBy(label).agg(F.max("__n").alias("__n")).where("__n > 1")
+    place = F.floor(hash_unit(F.lit(seed), F.col("nth"), F.col(label)) * F.col("__n")).alias("__i")
+    ratio = hash_unit(F.lit(seed + 2), F.col("nth"), F.col(label)).alias("ratio")
+    return draws.join(F.broadcast(sizes), label).select(label, "nth", place, ratio).join(rows.drop("__n"), [label, "__i"]).drop("__i")
 
-    Columns: keys, nth, a, b, ratio, fallback. Rows without any neighbour are never drawn.
-    """
-    known = near.groupBy(F.col("id").alias("__row")).agg(F.array_sort(F.collect_list("neighbour")).alias("__near"), F.max("fallback").alias("fallback"))  # at most k neighbours a row
-    rows = numbered(members.join(known, F.col(id_col) == F.col("__row")).select(*keys, F.col("__row").alias("a"), "__near", "fallback"), keys, "a")
-    draws = quotas.where("quota > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota").cast("long"))))
-    drawn = lambda k: hash_unit(F.lit(seed + k), F.col("nth"), *map(F.col, keys))
-    sizes = rows.groupBy(*keys).agg(F.max("__n").alias("__n"))
-    draws = draws.join(sizes, keys).select(*keys, "nth", F.floor(drawn(0) * F.col("__n")).alias("__i"))
-    out = draws.join(rows.drop("__n"), [*keys, "__i"])
-    b = F.get("__near", F.floor(drawn(1) * F.size("__near")).cast("int"))
-    return out.select(*keys, "nth", "a", b.alias("b"), drawn(2).alias("ratio"), "fallback")
+
+def radius_pairs(members: DataFrame, quotas: DataFrame, label: str, id_col: str, vector: str, radius: float, seed: int) -> DataFrame:
+    """Parent pairs as many as each class's quota: a by hash draw, b one of all its neighbours within the radius, each equally
+    likely, or the nearest row where there is none (``fallback``). Columns: label, nth, a, b, ratio, fallback."""
+    draws = keep(drawn_parents(members, quotas, label, id_col, seed), "parents")
+    index = N.cells(members.join(F.broadcast(quotas.where("quota > 0").select(label)), label), id_col, vector, label)  # a row a class
+    found = N.radius_draws(index, draws.select(F.col("a").alias("id"), "nth"), radius, seed).withColumnsRenamed({"id": "a", "neighbour": "b"})
+    return draws.join(found, ["a", "nth"]).select(label, "nth", "a", "b", "ratio", "fallback")
 
 
 def clusters(df: DataFrame, vector: str, label: str, value, k: int, seed: int) -> DataFrame:
@@ -80,7 +86,7 @@ def clusters(df: DataFrame, vector: str, label: str, value, k: int, seed: int) -
 def materialize(
     pairs: DataFrame, source: DataFrame, id_col: str, vector: str, inherited: list[str], seed: int, available: tuple[str, ...] = (), missing: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Synthetic rows: interpolated vectors, categories of the first parent, a hashed id, both parents.
+    """Synthetic rows: interpolated vectors, categories of the first parent, a hashed id, and the columns of the pairs.
 
     Masks are never interpolated: a modality is available if it is for both parents, a value is missing if it is for one.
     """
@@ -92,7 +98,7 @@ def materialize(
     both += [F.greatest(F.col(f"__a_{m}"), F.col(f"__b_{m}")).alias(m) for m in missing]
     mixed = F.zip_with("__a", "__b", lambda p, q: p + (q - p) * F.col("ratio"))
     name = F.sha2(F.concat_ws("|", F.lit(str(seed)), "a", "b", "nth"), 256)
-    return x.select(name.alias("synthetic_id"), "a", "b", "ratio", *inherited, *both, mixed.alias(vector))
+    return x.select(name.alias("synthetic_id"), *(c for c in pairs.columns if c not in inherited), *inherited, *both, mixed.alias(vector))
 
 
 def interpolated_columns(columns: list[tuple[str, str]], phase: int, phases: int, fixed: set[str]) -> list[str]:
@@ -103,82 +109,6 @@ def interpolated_columns(columns: list[tuple[str, str]], phase: int, phases: int
     return [n for n, t in columns if t.startswith(numeric) and n not in fixed and not n.startswith(masks) and "_observed_mask_" not in n and not n.endswith(later)]
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, x: s + x)
-
-
-def class_neighbours(df: DataFrame, id_col: str, vector: str, label: str, k: int, block_rows: int = 2000) -> DataFrame:
-    """The k nearest rows of the same class by squared distance, exact, ties by id: id, neighbour, distance, rank.
-
-    Classes are cut into blocks of about ``block_rows`` rows; a task compares two blocks as matrices and returns k rows
-    for each row, so pairs are never rows of a table.
-    """
-    import numpy as np
-    import pandas as pd
-
-    sizes = df.groupBy(label).agg((F.floor(F.count(F.lit(1)) / block_rows) + 1).cast("int").alias("__blocks"))
-    x = df.join(F.broadcast(sizes), label)  # one row a class
-    x = x.select(F.col(label).cast("string").alias("c"), F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.col("__blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("other"))
-    left = x.select("c", "id", "v", F.col("own").alias("p"), F.col("other").alias("q"))
-    right = x.select(F.col("c").alias("c2"), F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("other").alias("p2"), F.col("own").alias("q2"))
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            u, w = np.array(a["v"].tolist(), dtype=float), np.array(b["v2"].tolist(), dtype=float)
-            ids = b["id2"].to_numpy()
-            by_id = np.argsort(ids)
-            for i, own in enumerate(a["id"]):
-                gaps = ((w[by_id] - u[i]) ** 2).sum(axis=1)  # a row at a time: exact differences in little memory, at every size
-                order = np.argsort(gaps, kind="stable")[: k + 1]
-                out += [(own, int(ids[by_id[j]]), float(gaps[j])) for j in order if ids[by_id[j]] != own][:k]
-        return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
-
-    best = left.groupBy("c", "p", "q").cogroup(right.groupBy("c2", "p2", "q2")).applyInPandas(nearest, "id long, neighbour long, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour")))
-    return ranked.where(F.col("rank") <= k)
-
-
-def visible(neighbours: DataFrame, df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """Neighbours no nearer neighbour hides: seen from the row, all nearer ones stand at acute angles from them."""
-    v = df.select(F.col(id_col).alias("__id"), F.col(vector).alias("__v"))
-    x = neighbours.join(v.withColumnsRenamed({"__id": "id", "__v": "__o"}), "id").join(v.withColumnsRenamed({"__id": "neighbour", "__v": "__p"}), "neighbour")
-    x = x.withColumn("d", F.zip_with("__p", "__o", lambda p, o: p.cast("double") - o)).select("id", "neighbour", "rank", "distance", "d")
-    other = x.select("id", F.col("rank").alias("__r"), F.col("d").alias("__e"))
-    hidden = x.join(other, "id").where("__r < rank").where(dot("d", "__e") < 0).select("id", "neighbour").distinct()
-    return x.join(hidden, ["id", "neighbour"], "left_anti").drop("d")
-
-
-def within_radius(neighbours: DataFrame, radius: float) -> DataFrame:
-    """Neighbours inside the radius, or the nearest one where there is none (marked as fallback)."""
-    x = neighbours.withColumn("__in", F.col("distance") <= radius * radius).withColumn("__any", F.max("__in").over(Window.partitionBy("id")))
-    return x.where(F.col("__in") | (~F.col("__any") & (F.col("rank") == 1))).withColumn("fallback", ~F.col("__any")).drop("__in", "__any")
-
-
-def balanced_sample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
-    """About as many rows of each class as the smallest has, by hash."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    share = sizes.withColumn("__share", F.min("__n").over(Window.partitionBy()) / F.col("__n")).drop("__n")  # a row for each class
-    return df.join(F.broadcast(share), label).where(hash_unit(F.col(id_col), F.lit(seed)) < F.col("__share")).drop("__share")
-
-
-def take_best(accepted: DataFrame, quotas: DataFrame, label: str, score: str, id_col: str) -> DataFrame:
-    """The ``quota`` rows of each class with the highest score, ties by id."""
-    ranked = numbered(accepted.withColumn("__down", -F.col(score)).withColumn("__order", F.struct("__down", id_col)), [label], "__order")
-    return ranked.join(F.broadcast(quotas.select(label, "quota")), label).where(F.col("__i") < F.col("quota")).drop("__i", "__n", "__down", "__order", "quota")
-
-
-def accept_by_votes(candidates: DataFrame, train: DataFrame, vector: str, label: str, least: float, seed: int) -> DataFrame:
-    """Candidates whose own class a forest of inspectors gives at least ``least`` of its votes."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    features = lambda df: df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = RandomForestClassifier(labelCol=label, numTrees=10, maxDepth=5, seed=seed).fit(features(train))
-    scored = model.transform(features(candidates)).withColumn("votes", F.get(vector_to_array("probability"), F.col(label)))
-    return scored.where(F.col("votes") >= least).drop("features", "rawPrediction", "probability", "prediction")
-
-
 def sampling_summary(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
     """Per class: rows before and after, expansion, whether the target was met or bound by the cap, and the share of rows
     that fell back to the nearest neighbour (``fallback`` of ``after``, where it has one), flagged above one half."""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import balance as B
 from ..operators import facts as X
+from ..operators import inspected as Z
 from ..operators import metrics as M
+from ..operators import neighbours as N
 from ..operators import resample as R
 from ..sources.tables import read_table
 from .base import PREDICTIONS, labelled, predictions
@@ -377,72 +379,97 @@ def _pairs(spark, d):
     return members, B.interpolated_pairs(members, each, ["label", "cluster"], "vec_id", 11)
 
 
-def _made(spark, d):
-    x, pairs = _pairs(spark, d)
-    return B.materialize(pairs, x, "vec_id", "embedding", ["label"], 11, ("available",), ("missing__x",))
-
-
 @query("b3_cluster_oversampling", f"WITH {RARE} SELECT label, target - n AS n, CAST(0 AS BIGINT) AS self_pairs FROM tg WHERE target > n")
 def b3(spark, d):
     _, pairs = _pairs(spark, d)
     return pairs.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("self_pairs"))
 
 
-NEAR = """p AS (SELECT a.vec_id AS id, b.vec_id AS nb, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i], 2))) AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+RADIUS = 1.1
+NEAR = """p AS (SELECT a.vec_id AS id, b.vec_id AS nb, list_sum(list_transform(range(1, {0}), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i], 2))) AS dist FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS k FROM p)"""
 
 
-@query("b4_radius_neighbours", f"WITH {NEAR}, t AS (SELECT *, max((dist <= 1.21)::INT) OVER (PARTITION BY id) AS any_in FROM r WHERE k <= 5) SELECT id, count(*) AS n, any_in = 0 AS fallback FROM t WHERE dist <= 1.21 OR (any_in = 0 AND k = 1) GROUP BY id, any_in")
+@query("b4_radius_neighbours", f"WITH {NEAR.format(65)} SELECT id, CAST(greatest(count(*) FILTER (WHERE dist <= {RADIUS} * {RADIUS}), 1) AS BIGINT) AS n, count(*) FILTER (WHERE dist <= {RADIUS} * {RADIUS}) = 0 AS fallback FROM r GROUP BY id")
 def b4(spark, d):
-    near = B.class_neighbours(read_table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5)
-    return B.within_radius(near, 1.1).groupBy("id", "fallback").agg(F.count("*").alias("n"))
+    """All rows within the radius, counted, or the nearest one (fallback)."""
+    index = N.cells(read_table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return N.radius_degrees(index, RADIUS).select("id", F.greatest("n", F.lit(1)).alias("n"), (F.col("n") == 0).alias("fallback"))
+
+
+def unit_sql(*parts):
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 8))::BIGINT / 4294967296.0"
+
+
+def mixed_sql(x):
+    """The hash of ``neighbours.mixed``; fixed values as there."""
+    once = f"((xor({x}, {x} >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    return f"(((xor({once}, {once} >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT) >> 1)"
+
+
+#: Pairs drawn within the radius: first parents by digest, second ones by the smallest hash of draw and neighbour.
+PAIRS = f"""{RARE}, dr AS (SELECT label, n, unnest(range(1, target - n + 1)) AS nth FROM tg WHERE n > 1), rw AS (SELECT label, vec_id AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM v),
+  pa AS (SELECT dr.label, nth, a, {unit_sql(15, "nth", "dr.label")} AS ratio FROM dr JOIN rw ON rw.label = dr.label AND i = floor({unit_sql(13, "nth", "dr.label")} * n)),
+  pd AS (SELECT x.vec_id AS id, y.vec_id AS nb, list_sum(list_transform(range(1, 65), lambda i: pow(ex.embedding[i]::DOUBLE - ey.embedding[i], 2))) AS dist
+    FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id JOIN embeddings ex ON ex.vec_id = x.vec_id JOIN embeddings ey ON ey.vec_id = y.vec_id WHERE x.label IN (SELECT label FROM tg WHERE target > n)),
+  ca AS (SELECT pa.*, nb, dist, dist <= {RADIUS} * {RADIUS} AS inside, {mixed_sql("nb::UHUGEINT")} AS h1, {mixed_sql("(nth + 13)::UHUGEINT")} AS h2 FROM pa JOIN pd ON id = a),
+  cb AS (SELECT *, {mixed_sql("xor(h1, h2)")} AS h FROM ca),
+  pr AS (SELECT label, nth, a, ratio, nb AS b, NOT inside AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY label, nth ORDER BY inside DESC, CASE WHEN inside THEN h::DOUBLE ELSE dist END, nb) AS k FROM cb) WHERE k = 1)"""
 
 
 def _radius(spark, d):
     x = vectors(spark, d)
-    rare = x.join(F.broadcast(quotas(x).where("quota > 0")), "label").drop("quota")  # a row a class
-    near = B.within_radius(B.class_neighbours(rare, "vec_id", "embedding", "label", 5), 1.1)
-    return B.radius_pairs(rare, near, quotas(x), ["label"], "vec_id", 13)
+    return B.radius_pairs(x, quotas(x), "label", "vec_id", "embedding", RADIUS, 13)
 
 
-@query("b4_radius_interpolation", f"WITH {RARE} SELECT label, target - n AS n, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS outside FROM tg WHERE target > n")
+@query("b4_radius_interpolation", f"WITH {PAIRS} SELECT label, nth, a, b, round(ratio, 6) AS ratio, fallback FROM pr")
 def b4_rows(spark, d):
-    """Synthetic rows by class; strangers: pairs that are no neighbours' labels; outside: ratios outside 0 to 1."""
-    own = vectors(spark, d).select(F.col("vec_id").alias("b"), F.col("label").alias("other"))
-    return _radius(spark, d).join(own, "b").groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("label") != F.col("other")) | (F.col("a") == F.col("b"))).alias("strangers"), F.count_if(~F.col("ratio").between(0, 1)).alias("outside"))
+    return rounded(_radius(spark, d))
 
 
 @query(
     "b5_visible_neighbours",
-    f"WITH {NEAR}, k5 AS (SELECT id, nb AS neighbour, k AS rank FROM r WHERE k <= 5), w AS (SELECT id, neighbour, rank, list_transform(range(1, 65), lambda i: n.embedding[i]::DOUBLE - o.embedding[i]) AS dv FROM k5 JOIN embeddings o ON o.vec_id = id JOIN embeddings n ON n.vec_id = neighbour) SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.id = a.id AND b.rank < a.rank AND list_dot_product(a.dv, b.dv) < 0)",
+    f"""WITH {NEAR.format(4)}, k8 AS (SELECT id, nb AS neighbour, k AS rank FROM r WHERE k <= 8), w AS (SELECT id, neighbour, rank, list_transform(o.embedding, lambda e: e::DOUBLE) AS x, list_transform(n.embedding, lambda e: e::DOUBLE) AS y FROM k8 JOIN embeddings o ON o.vec_id = id JOIN embeddings n ON n.vec_id = neighbour),
+    h AS (SELECT a.id, a.neighbour, a.rank, min(list_sum(list_transform(range(1, 4), lambda i: (a.x[i] - z.y[i]) * (a.y[i] - z.y[i])))) >= -1e-6 AS seen FROM w a JOIN w z ON z.id = a.id GROUP BY 1, 2, 3),
+    f AS (SELECT *, NOT bool_or(seen) OVER (PARTITION BY id) AS fallback FROM h)
+    SELECT id, neighbour, CAST(rank AS INTEGER) AS rank, fallback FROM f WHERE seen OR (fallback AND rank = 1)""",
 )
 def b5(spark, d):
-    x = read_table(spark, d, "embeddings")
-    near = B.class_neighbours(x, "vec_id", "embedding", "label", 5)
-    return B.visible(near, x, "vec_id", "embedding").select("id", "neighbour", "rank")
+    """In the first three components; in all 64, hardly any row hides another."""
+    x = read_table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 3))
+    near = N.k_nearest(N.cells(x, "vec_id", "embedding", "label"), 8)
+    return Z.visible(near, x, "vec_id", "embedding").select("id", "neighbour", "rank", "fallback")
 
 
-@query("b6_accepted_candidates")
+@query("b6_accepted_candidates", f"WITH {RARE}, t AS (SELECT sum(n) AS total FROM tg) SELECT label, target - n AS quota, CAST(ceil((total - n) / n) AS BIGINT) AS inspectors_wanted, CAST(least(ceil((total - n) / n), 4) AS INTEGER) AS inspectors, target - n AS accepted, true AS met FROM tg, t WHERE target > n AND n > 1")
 def b6(spark, d):
-    """Accepted candidates of each class, the best by votes, as many as it needs at most; inspectors learn from balanced samples."""
+    """Facts of the rounds of a class: the quota, inspectors, and accepted rows, counted in the rows themselves."""
     x = vectors(spark, d)
-    kept = B.accept_by_votes(_made(spark, d), B.balanced_sample(x, "label", "vec_id", 5), "embedding", "label", 0.2, 7)
-    return B.take_best(kept, quotas(x), "label", "votes", "synthetic_id").groupBy("label").agg(F.count("*").alias("accepted"))
+    rows, facts = Z.inspected_rows(x, quotas(x), "label", "vec_id", "embedding", 21)
+    counted = rows.groupBy("label").agg(F.count_distinct("synthetic_id").alias("accepted"))
+    return facts.drop("accepted").join(counted, "label").select("label", "quota", "inspectors_wanted", "inspectors", "accepted", "met")
 
 
-@query("b7_synthetic_rows", f"WITH {RARE} SELECT label, target - n AS n, target - n AS ids, CAST(0 AS BIGINT) AS wrong_masks, CAST(0 AS BIGINT) AS outside FROM tg WHERE target > n")
+@query(
+    "b7_synthetic_rows",
+    f"""WITH {PAIRS} SELECT sha256(concat_ws('|', '13', a, b, nth)) AS synthetic_id, pr.label, a, b, fallback, ((ea.embedding[2] > 0) AND (eb.embedding[2] > 0))::INT AS available, ((ea.embedding[3] > 0) OR (eb.embedding[3] > 0))::INT AS missing__x,
+      round(list_sum(list_transform(range(1, 65), lambda i: i * (ea.embedding[i]::DOUBLE + (eb.embedding[i]::DOUBLE - ea.embedding[i]) * ratio))), 4) AS weighted FROM pr JOIN embeddings ea ON ea.vec_id = a JOIN embeddings eb ON eb.vec_id = b""",
+)
 def b7(spark, d):
-    """Synthetic rows by class: distinct ids, masks that are not the parents' (available in both, missing in one), values outside the parents'."""
-    x = vectors(spark, d).select("vec_id", "available", "missing__x", "embedding")
-    a, b = (x.select(*(F.col(c).alias(f"{c}_{s}") for c in x.columns)) for s in "ab")
-    both = _made(spark, d).join(a, F.col("a") == F.col("vec_id_a")).join(b, F.col("b") == F.col("vec_id_b"))
-    wrong = (F.col("available") != F.col("available_a") * F.col("available_b")) | (F.col("missing__x") != F.greatest("missing__x_a", "missing__x_b"))
-    low, high = F.zip_with("embedding_a", "embedding_b", lambda p, q: F.least(p, q)), F.zip_with("embedding_a", "embedding_b", lambda p, q: F.greatest(p, q))
-    out = F.exists(F.arrays_zip(F.col("embedding").alias("v"), low.alias("lo"), high.alias("hi")), lambda t: (t["v"] < t["lo"] - 1e-6) | (t["v"] > t["hi"] + 1e-6))
-    return both.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("synthetic_id").alias("ids"), F.count_if(wrong).alias("wrong_masks"), F.count_if(out).alias("outside"))
+    """Synthetic rows: name, parents, masks (available in both, missing in one) and the vector's components, weighted by place."""
+    return rounded(made_rows(spark, d).select("synthetic_id", "label", "a", "b", "fallback", "available", "missing__x", F.expr("aggregate(transform(embedding, (e, i) -> (i + 1) * e), 0D, (s, e) -> s + e)").alias("weighted")), 4)
+
 
+def made_rows(spark, d):
+    x = vectors(spark, d).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return B.materialize(_radius(spark, d), x, "vec_id", "embedding", ["label"], 13, ("available",), ("missing__x",))
 
-@query("b9_sampling_summary", f"WITH {RARE} SELECT label, n, target, target - n AS added, cap_bound, true AS target_met, round(target / n, 6) AS expansion FROM tg")
+
+@query(
+    "b9_sampling_summary",
+    f"""WITH {PAIRS}, g AS (SELECT label, count(*) AS added, avg(fallback::INT) AS rate FROM pr GROUP BY 1)
+    SELECT label, n, target, coalesce(added, 0) AS added, cap_bound, coalesce(added, 0) = target - n AS target_met, round((n + coalesce(added, 0)) / n, 6) AS expansion, round(coalesce(rate, 0), 6) AS fallback_rate, coalesce(rate, 0) > 0.5 AS radius_warning FROM tg LEFT JOIN g USING (label)""",
+)
 def b9(spark, d):
     out = B.sampling_summary(vectors(spark, d), _radius(spark, d), "label")
-    return rounded(out.select("label", "n", F.col("target").cast("long").alias("target"), "added", "cap_bound", "target_met", "expansion"))
+    return rounded(out.select("label", "n", F.col("target").cast("long").alias("target"), "added", "cap_bound", "target_met", "expansion", "fallback_rate", "radius_warning"))
