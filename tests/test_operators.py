@@ -271,13 +271,6 @@ def test_radius_pairs_and_masks(spark):
     assert B.interpolated_columns(names, 2, 4, {"user_code"}) == ["x_P1", "x_P2", "age"]
 
 
-def test_units_are_dealt_in_bounded_parts(spark):
-    df = spark.range(900).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("unit"), (5 + F.col("id") % 40).alias("n"))
-    dealt = V.allocate_units(df, "unit", {"n": 1.0}, list("BCD"), 1, most=100)
-    sums = {r.block: r.n for r in dealt.groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    assert dealt.count() == 900 and set(sums) == set("BCD") and max(sums.values()) - min(sums.values()) < 0.02 * sum(sums.values())
-
-
 def test_static_parity(spark):
     a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 5), (3, 3.0, 6)], "id int, x double, y int")
     b = spark.createDataFrame([(1, 1.0, 4), (2, 2.5, 5), (4, 1.0, 1)], "id int, x double, y int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import running_total
+from ..sources.tables import scratch_path
 
 
 def unit_table(rows: DataFrame, unit: str, time: str, label: str, classes: list, ids: str) -> DataFrame:
@@ -33,41 +34,78 @@ def later_slices(later: DataFrame, order: list[str], slices: int = 3) -> DataFra
     return placed.withColumn("temporal_slice", F.least(F.ceil(F.col("upto") * slices / total), F.lit(slices)).cast("int")).drop("upto")
 
 
-def balanced_deal(units: DataFrame, group: str, unit: str, metrics: dict[str, float], blocks: dict[int, list[str]], seed: int, out: str = "block") -> DataFrame:
-    """Deals a group's units over its blocks so that each block's totals stay near an equal share.
+def greedy_deal(units: DataFrame, order: list[Column], group: str, metrics: dict[str, float], blocks: dict[int, list[str]], rarest: bool = False, out: str = "block") -> DataFrame:
+    """Deals each group's units over its blocks, one after another in ``order``: a unit goes where the weighted squares of
+    all blocks' deviations from equal shares add up to the least (ties: the first block).
 
-    Greedy and sequential by nature, over units (not rows): a unit goes to the block where the weighted squared
-    deviation from the targets is smallest, large units first, ties by SHA-256. metrics: column -> weight.
+    metrics: column -> weight; the first one counts rows. ``rarest``: the others weigh more by how rarely they occur in the
+    group. Sequential by nature, over units, not rows: sorted units stream through a task with one group's sums as
+    state, so memory does not grow, and the result is the same at every size. Sums are taken block by block in the
+    order of ``blocks`` and ``metrics``, so that ties by rounding fall alike everywhere.
     """
     names = list(metrics)
+    totals = {r[group]: {m: float(r[m] or 0) for m in names} for r in units.groupBy(group).agg(*(F.sum(m).alias(m) for m in names)).collect()}  # a row a group
+    weights = {g: {m: w * (t[names[0]] / max(t[m], 1.0) if rarest and m != names[0] else 1.0) for m, w in metrics.items()} for g, t in totals.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, {}
+        for x in batches:
+            placed = []
+            for g, *sizes in zip(x[group], *(x[m].astype(float) for m in names), strict=True):
+                own = blocks[g]
+                if g != current:
+                    current, state = g, {b: [0.0] * len(names) for b in own}
+                    target = [totals[g][m] / len(own) for m in names]
+                    weight = [weights[g][m] for m in names]
+
+                def score(block: str) -> float:
+                    total = 0.0
+                    for b in own:  # noqa: B023
+                        for k, held in enumerate(state[b]):  # noqa: B023
+                            deviation = (held + (sizes[k] if b == block else 0.0) - target[k]) / max(target[k], 1.0)  # noqa: B023
+                            total += weight[k] * (deviation * deviation)  # noqa: B023
+                    return total
+
+                best = min(own, key=lambda b: (score(b), b))  # noqa: B023
+                state[best] = [a + b for a, b in zip(state[best], sizes, strict=True)]
+                placed.append(best)
+            yield x.drop(columns="__at").assign(**{out: placed})
+
+    ranked = units.withColumn("__at", F.struct(*order))
+    schema = ", ".join(f"`{n}` {t}" for n, t in units.dtypes) + f", `{out}` string"
+    return ranked.repartition(group).sortWithinPartitions(group, "__at").mapInPandas(run, schema)
 
-    def deal(x: pd.DataFrame) -> pd.DataFrame:
-        own = blocks[int(x[group].iloc[0])]
-        target = {m: max(float(x[m].sum()) / len(own), 1.0) for m in names}
-        held = {b: dict.fromkeys(names, 0.0) for b in own}
-        tie = x[unit].map(lambda u: hashlib.sha256(f"{seed}|{u}".encode()).hexdigest())
-        placed = {}
-        for i in x.assign(__tie=tie).sort_values([names[0], "__tie"], ascending=[False, True]).index:
-            size = {m: float(x.at[i, m]) for m in names}
-            gain = {b: sum(w * (((held[b][m] + size[m]) / target[m] - 1) ** 2 - (held[b][m] / target[m] - 1) ** 2) for m, w in metrics.items()) for b in own}
-            best = min(own, key=lambda b: (gain[b], b))
-            placed[i] = best
-            for m in names:
-                held[best][m] += size[m]
-        return x.assign(**{out: pd.Series(placed)})[[*x.columns, out]]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in units.dtypes) + f", `{out}` string"
-    return units.groupBy(group).applyInPandas(deal, schema)
+def tie(*parts: str | Column) -> Column:
+    """A digest that orders equal units."""
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def balanced_deal(units: DataFrame, group: str, unit: str, metrics: dict[str, float], blocks: dict[int, list[str]], seed: int, strategy: str = "balanced", out: str = "block") -> DataFrame:
+    """Deals a group's units over its blocks, large units first. strategy: ``balanced``, or ``rarest_first``, where rare classes weigh more."""
+    if strategy not in ("balanced", "rarest_first"):
+        raise ValueError(f"unknown strategy {strategy}")
+    first = next(iter(metrics))
+    return greedy_deal(units, [(-F.col(first)).alias("size"), tie(F.lit(str(seed)), F.col(unit).cast("string")).alias("tie")], group, metrics, blocks, strategy == "rarest_first", out)
 
 
-def allocate_units(units: DataFrame, unit: str, metrics: dict[str, float], blocks: list[str], seed: int, most: int = 2000, out: str = "block") -> DataFrame:
-    """``balanced_deal`` of all units over all blocks, in hash parts of about ``most`` units, each dealt over every block.
+def allocate_units(units: DataFrame, unit: str, metrics: dict[str, float], blocks: list[str], out: str = "block") -> DataFrame:
+    """Deals all units over all blocks: those with the rarest classes first, then large ones; refuses if a block stays empty.
 
-    Each part is balanced by itself, so the whole is, and no task holds more than a part.
+    A unit's rarity is its part of all rows of each class (all metrics but the first), added up.
     """
-    parts = int(units.count() // most) + 1
-    dealt = balanced_deal(units.withColumn("__part", F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int")), "__part", unit, metrics, dict.fromkeys(range(parts), blocks), seed, out)
-    return dealt.drop("__part")
+    first, *classes = metrics
+    totals = units.agg(*(F.sum(m).alias(m) for m in classes)).first()  # one row
+    rarity = sum((F.col(m) / max(totals[m] or 0, 1) for m in classes), F.lit(0.0))
+    order = [(-rarity).alias("rarity"), (-F.col(first)).alias("size"), tie(F.col(unit).cast("string")).alias("tie")]
+    path = scratch_path(units.sparkSession, "dealt")
+    dealt = greedy_deal(units.withColumn("__all", F.lit(0)), order, "__all", metrics, {0: blocks}, out=out).drop("__all")
+    dealt.write.parquet(path)
+    dealt = units.sparkSession.read.schema(dealt.schema).parquet(path)
+    held = {r[0] for r in dealt.select(out).distinct().collect()}  # a row a block
+    if held != set(blocks):
+        raise ValueError(f"blocks without units: {sorted(set(blocks) - held)}")
+    return dealt
 
 
 def rolling_manifest(units: DataFrame, block: str, windows: dict[str, dict[str, list[str]]]) -> DataFrame:

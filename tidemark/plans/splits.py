@@ -66,16 +66,56 @@ def v3(spark, d):
 PAIR = {1: ["B", "C"], 2: ["D", "E"], 3: ["F", "G"]}
 
 
-@query("v4_pair_units")
-def v4(spark, d):
+def deal_sql(source: str, group: str, order: str, metrics: dict[str, str], blocks: dict[int, list[str]]) -> str:
+    """Greedy dealing as a recursion over ordered units; ``metrics``: column -> weight over the group's totals t_<column>.
+
+    The state is a list of sums, block by block; scores add up in that order.
+    """
+    names, k = list(metrics), len(metrics)
+    own = f"CASE {group} {' '.join(f'WHEN {g} THEN {b!r}' for g, b in blocks.items())} END"
+    term = "w.ws[1 + j % {k}] * pow((w.st[j + 1] + CASE WHEN j // {k} = b THEN w.v[1 + j % {k}] ELSE 0 END - w.t[1 + j % {k}]) / greatest(w.t[1 + j % {k}], 1.0), 2)".format(k=k)
+    best = f"list_min(list_transform(range(w.nb), lambda b: struct_pack(score := list_reduce(list_transform(range(w.nb * {k}), lambda j: {term}), lambda x, y: x + y), b := b))).b"
+    after = f"list_transform(range(w.nb * {k}), lambda j: w.st[j + 1] + CASE WHEN j // {k} = {best} THEN w.v[1 + j % {k}] ELSE 0 END)"
+    return f"""tt AS (SELECT {group}, {", ".join(f"sum({m})::DOUBLE AS t_{m}" for m in names)} FROM {source} GROUP BY 1),
+      oo AS (SELECT s.*, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS pos, [{", ".join(f"s.{m}::DOUBLE" for m in names)}] AS v, {own} AS bs,
+        [{", ".join(f"({w})::DOUBLE" for w in metrics.values())}] AS ws, [{", ".join(f"t_{m}" for m in names)}] AS ts FROM {source} s JOIN tt USING ({group})),
+      ww AS (SELECT *, len(bs) AS nb, list_transform(ts, lambda x: x / len(bs)) AS t FROM oo),
+      rr AS (SELECT {group}, 0::BIGINT AS pos, list_transform(range(nb * {k}), lambda x: 0.0::DOUBLE) AS st, -1::BIGINT AS b FROM ww WHERE pos = 1
+        UNION ALL SELECT w.{group}, w.pos, {after}, {best} FROM (SELECT ww.*, rr.st FROM rr JOIN ww ON ww.{group} = rr.{group} AND ww.pos = rr.pos + 1) w)"""
+
+
+PAIR = {1: ["B", "C"], 2: ["D", "E"], 3: ["F", "G"]}
+SLICED = f"{ROWS}, sl AS (SELECT la.temporal_slice::INTEGER AS temporal_slice, un.* FROM la JOIN un USING (unit))"
+BY_SIZE = "s.n DESC, sha256('42|' || s.unit)"
+PAIRED = "SELECT ww.unit, ww.temporal_slice, n, n_F, n_O, n_P, bs[rr.b + 1] AS block FROM rr JOIN ww ON ww.temporal_slice = rr.temporal_slice AND ww.pos = rr.pos"
+
+
+def pair_units(spark, d, strategy):
     x = slices(spark, d).select("unit", "temporal_slice", "n", "n_F", "n_O", "n_P")
-    return V.balanced_deal(x, "temporal_slice", "unit", {"n": 1.0, "n_F": 2.0, "n_O": 2.0, "n_P": 2.0}, PAIR, 42)
+    return V.balanced_deal(x, "temporal_slice", "unit", {"n": 1.0, "n_F": 2.0, "n_O": 2.0, "n_P": 2.0}, PAIR, 42, strategy)
 
 
-@query("v5_allocate_units")
+@query("v4_pair_units", f"WITH RECURSIVE {SLICED}, {deal_sql('sl', 'temporal_slice', BY_SIZE, {'n': '1', 'n_F': '2', 'n_O': '2', 'n_P': '2'}, PAIR)} {PAIRED}")
+def v4(spark, d):
+    return pair_units(spark, d, "balanced")
+
+
+RAREST = {"n": "1", **{m: f"2 * (t_n / greatest(t_{m}, 1))" for m in ("n_F", "n_O", "n_P")}}
+
+
+@query("v4_pair_units_rarest_first", f"WITH RECURSIVE {SLICED}, {deal_sql('sl', 'temporal_slice', BY_SIZE, RAREST, PAIR)} {PAIRED}")
+def v4_rarest(spark, d):
+    return pair_units(spark, d, "rarest_first")
+
+
+@query(
+    "v5_allocate_units",
+    f"""WITH RECURSIVE {SLICED}, al AS (SELECT 0 AS g, unit, n, n_F, n_P, n_F / greatest(sum(n_F) OVER (), 1) + n_P / greatest(sum(n_P) OVER (), 1) AS rarity FROM sl),
+    {deal_sql("al", "g", "s.rarity DESC, s.n DESC, sha256(s.unit)", {"n": "1", "n_F": "2", "n_P": "2"}, {0: list("BCDEFG")})} SELECT ww.unit, n, n_F, n_P, bs[rr.b + 1] AS block FROM rr JOIN ww ON ww.pos = rr.pos""",
+)
 def v5(spark, d):
     x = slices(spark, d).select("unit", "n", "n_F", "n_P")
-    return V.allocate_units(x, "unit", {"n": 1.0, "n_F": 2.0, "n_P": 2.0}, list("BCDEFG"), 42)
+    return V.allocate_units(x, "unit", {"n": 1.0, "n_F": 2.0, "n_P": 2.0}, list("BCDEFG"))
 
 
 @query("v6_rolling_manifest", f"WITH {MANIFEST} SELECT unit, window_id, split, n FROM man")
