@@ -64,6 +64,30 @@ def test_anchored_intervals_like_a_loop(spark):
             assert got[(k, i)] == n
 
 
+def test_a_hot_course_is_spread(spark):
+    """A course of a million points: rows of it come from several tasks, and each has the interval of a loop over its times."""
+    count = 1_000_000
+    when = F.timestamp_seconds(F.lit(1_500_000_000) + F.when(F.col("id") % 50 == 0, F.col("id") * 400 - F.pmod(F.lit(1_500_000_000) + F.col("id") * 400, F.lit(86_400))).otherwise(F.col("id") * 400))
+    df = spark.range(count).select((F.col("id") % 100 == 7).cast("int").alias("course"), when.alias("t"), F.col("id"))
+    out = T.anchored_intervals(df, "course", "t", "id", {1: 7}, 131).withColumn("task", F.spark_partition_id())
+    got = out.groupBy("course", "sequence", "start_date", "end_date", "anchor").agg(F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("last"), F.count("*").alias("n")).orderBy("course", "sequence").collect()
+    assert out.where("course = 0").select("task").distinct().count() > 1
+    rows = df.toPandas().sort_values(["course", "t", "id"])
+    for course, own in rows.groupby("course"):
+        times, ids, at, k = own["t"].to_numpy(), own["id"].to_numpy(), 0, 0
+        mine = [r for r in got if r.course == course]
+        while at < len(own):
+            start = times[at].astype("datetime64[D]")
+            last = (start.astype("datetime64[M]") + 7).astype("datetime64[D]") + (start - start.astype("datetime64[M]").astype("datetime64[D]")) - 1 if start.astype("datetime64[M]").astype(int) % 12 == 0 else start + 131
+            after = int(np.searchsorted(times, last.astype(times.dtype), "right"))
+            r = mine[k]
+            assert (r.sequence, np.datetime64(r.start_date), r.anchor, r.n, r.first.id) == (k + 1, start, ids[at], after - at, ids[at])
+            at, k = after, k + 1
+        assert k == len(mine)
+    none = T.anchored_intervals(spark.createDataFrame([(None, None, 1), (1, None, 2)], "course int, t timestamp, id long"), "course", "t", "id", {1: 7}, 131)
+    assert [r.sequence for r in none.collect()] == [None, None]
+
+
 def test_balanced_deal(spark):
     rng = np.random.default_rng(3)
     rows = [(f"u{i}", 1 + i % 2, int(n), int(n * p), int(n * (1 - p))) for i, (n, p) in enumerate(zip(rng.integers(5, 90, 60), rng.random(60), strict=True))]

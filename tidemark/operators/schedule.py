@@ -121,9 +121,23 @@ def block_summary(blocks: DataFrame, block: str, size: str, ratios: dict[str, fl
 def anchored_intervals(points: DataFrame, key: str, time: str, tie: str, months: dict[int, int], fallback_days: int) -> DataFrame:
     """Sequential intervals: the first unassigned point opens one, whose length depends on its month; points inside join it.
 
-    Points of a key are sequential by nature. They stream in order through a task, so memory does not grow with a key; a
-    step is an interval, whose points are found by binary search.
+    An interval begins and ends at midnight, so all points of a key that stand at a day's midnight share their interval,
+    and so do all later ones of that day. Each such half day is one row with its first point before anything is sequential:
+    a key has two a day at most, however many points it has, and these stream in order through a task with one interval
+    as state. Points then meet their half day, spread by key and day. Rows without key or time have no interval. Intervals
+    last a day at least.
     """
+    if fallback_days < 1 or any(m < 1 for m in months.values()):
+        raise ValueError("an interval lasts a day at least")
+    day = F.to_date(time)
+    placed = points.withColumns({"__day": day, "__late": F.col(time) > day.cast("timestamp")})
+    halves = placed.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, "__day", "__late").agg(F.min(F.struct(time, tie)).alias("__first"))
+    opened = interval_fold(halves.select(key, "__day", "__late", "__first.*"), key, time, tie, months, fallback_days)
+    return placed.join(opened.drop(time, tie), [key, "__day", "__late"], "left").select(*points.columns, "sequence", "start_date", "end_date", "anchor")
+
+
+def interval_fold(points: DataFrame, key: str, time: str, tie: str, months: dict[int, int], fallback_days: int) -> DataFrame:
+    """Adds sequence, start_date, end_date, anchor to points in order of time and tie; a step is an interval, whose points are found by binary search."""
     import numpy as np
     import pandas as pd
 
