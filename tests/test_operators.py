@@ -133,25 +133,6 @@ def test_auc_with_ties(spark):
     assert abs(got[1] - want) < 1e-9
 
 
-def test_bootstraps(spark):
-    rng = np.random.default_rng(7)
-    rows = [(f"c{i % 20}", int(y), int(y if rng.random() < 0.8 else rng.integers(0, 3))) for i, y in enumerate(rng.integers(0, 3, 900))]
-    df = spark.createDataFrame(rows, "g string, y_true int, y_pred int").withColumn("k", F.lit("all"))
-    for r in R.stratified_ci(M.confusion(df, ["k"]), ["k"], 3, 2000, 1).collect():
-        half = 1.96 * (r.recall * (1 - r.recall) / r.support) ** 0.5
-        assert abs(r.low - (r.recall - half)) < 0.03 and abs(r.high - (r.recall + half)) < 0.03
-    point = M.overall(M.per_class(M.confusion(df, ["k"]), ["k"]), ["k"]).first().macro_f1_fixed
-    r = R.cluster_ci(df, "g", 3, 300, 1).first()
-    assert r.low < point < r.high
-    same = R.paired_delta(df.select("y_true", F.col("y_pred").alias("a"), F.col("y_pred").alias("b")), 3, 200, 1).first()
-    assert same.delta == 0 and same.positive_share == 0
-
-
-def test_poisson_weights(spark):
-    w = spark.range(20000).select(R.poisson_weight(F.col("id"), F.lit(3), 1).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
-    assert abs(w.m - 1) < 0.05 and abs(w.v - 1) < 0.08
-
-
 def test_chained_imputation_beats_medians(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=800)

@@ -213,6 +213,18 @@ def r7(spark, d):
     return R.cluster_ci(predictions(spark, d), "offering_id", 3, 500, 42)
 
 
+@query(
+    "r7_cluster_support",
+    f"""WITH {PREDICTIONS}, g AS (SELECT y_true, offering_id, count(*) AS n, count(*) FILTER (WHERE y_pred = y_true) AS hit FROM pred WHERE y_true < 2 OR offering_id = 'src1' GROUP BY 1, 2),
+    c AS (SELECT y_true, CAST(sum(n) AS BIGINT) AS support, count(*) AS clusters, sum(hit) / sum(n) AS recall FROM g GROUP BY 1)
+    SELECT k AS class_id, coalesce(support, 0) AS support, coalesce(clusters, 0) AS clusters, round(recall, 6) AS recall, CASE WHEN clusters > 1 THEN 'estimated' WHEN clusters = 1 THEN 'single_cluster' ELSE 'class_absent' END AS status FROM (VALUES (0), (1), (2), (3)) AS ks(k) LEFT JOIN c ON y_true = k""",
+)
+def r7_support(spark, d):
+    """Class 2 in one cluster only, and a fourth class that no row has."""
+    x = predictions(spark, d).where("y_true < 2 or offering_id = 'src1'")
+    return rounded(R.cluster_support(x, "offering_id", 4))
+
+
 @query("r8_compare_runs", f"WITH {PREDICTIONS} SELECT count(*) AS n, CAST(0 AS BIGINT) AS label_changes, count(*) FILTER (WHERE doc_id % 10 = 0 AND y_pred <> 1) AS prediction_changes, 0.125 AS max_gap FROM pred")
 def r8(spark, d):
     a = predictions(spark, d)
