@@ -71,7 +71,7 @@ def radius_pairs(members: DataFrame, quotas: DataFrame, label: str, id_col: str,
     draws = keep(drawn_parents(members, quotas, label, id_col, seed), "parents")
     index = N.cells(members.join(F.broadcast(quotas.where("quota > 0").select(label)), label), id_col, vector, label)  # a row a class
     found = N.radius_draws(index, draws.select(F.col("a").alias("id"), "nth"), radius, seed).withColumnsRenamed({"id": "a", "neighbour": "b"})
-    return draws.join(found, ["a", "nth"]).select(label, "nth", "a", "b", "ratio", "fallback")
+    return keep(draws.join(found, ["a", "nth"]).select(label, "nth", "a", "b", "ratio", "fallback"), "pairs")
 
 
 def clusters(df: DataFrame, vector: str, label: str, value, k: int, seed: int) -> DataFrame:

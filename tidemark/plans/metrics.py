@@ -11,6 +11,7 @@ from ..operators import facts as X
 from ..operators import inspected as Z
 from ..operators import metrics as M
 from ..operators import neighbours as N
+from ..operators import quality as D
 from ..operators import resample as R
 from ..sources.tables import read_table
 from .base import PREDICTIONS, labelled, predictions
@@ -485,3 +486,57 @@ def made_rows(spark, d):
 def b9(spark, d):
     out = B.sampling_summary(vectors(spark, d), _radius(spark, d), "label")
     return rounded(out.select("label", "n", F.col("target").cast("long").alias("target"), "added", "cap_bound", "target_met", "expansion", "fallback_rate", "radius_warning"))
+
+
+#: Real and synthetic rows with columns of their vectors: two phases, a count, a mask for the second phase and one for missing values.
+PARTS = {"x_P1": 0, "x_P2": 1, "n_count": 2}
+
+
+def real_columns(spark, d):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    x = vectors(spark, d).withColumn("phase_available_P2", (at(3) > -0.05).cast("int"))
+    values = F.array(at(0), F.when(F.col("phase_available_P2") == 1, at(1)).otherwise(0.0), F.rint(at(2) * 20))
+    return x.select("vec_id", "label", "phase_available_P2", "missing__x", values.alias("embedding"))
+
+
+def spread_columns(df):
+    return df.select("*", *(F.get("embedding", F.lit(i)).alias(c) for c, i in PARTS.items()))
+
+
+#: The pairs as rows: every 5th draw takes its first mask from the first parent alone, a fault to be found.
+MADE = f"""{PAIRS}, rc AS (SELECT vec_id, label, (e[4] > -0.05)::INT AS av, (e[3] > 0)::INT AS mi, e[1]::DOUBLE AS x_P1, CASE WHEN e[4] > -0.05 THEN e[2]::DOUBLE ELSE 0 END AS x_P2, round_even(e[3]::DOUBLE * 20, 0) AS n_count
+    FROM (SELECT embeddings.vec_id, v.label, embedding AS e FROM embeddings JOIN v USING (vec_id))),
+  mk AS (SELECT pr.label, nth, a.av AS av_a, b.av AS av_b, a.mi AS mi_a, b.mi AS mi_b, CASE WHEN nth % 5 = 0 THEN a.av ELSE least(a.av, b.av) END AS av, greatest(a.mi, b.mi) AS mi, {", ".join(f"a.{c} + (b.{c} - a.{c}) * ratio AS {c}" for c in PARTS)} FROM pr JOIN rc a ON a.vec_id = pr.a JOIN rc b ON b.vec_id = pr.b)"""
+FIDELITY = f"""{MADE}, lr AS ({" UNION ALL ".join(f"SELECT label, '{c}' AS feature, {c} AS v FROM rc" for c in PARTS)}), lm AS ({" UNION ALL ".join(f"SELECT label, '{c}' AS feature, {c} AS v FROM mk" for c in PARTS)}),
+  qr AS (SELECT label, feature, quantile_cont(v, list_transform(range(101), lambda i: i / 100)) AS q, count(*) AS n, stddev_pop(v) AS sd FROM lr GROUP BY 1, 2), qm AS (SELECT label, feature, quantile_cont(v, list_transform(range(101), lambda i: i / 100)) AS q, count(*) AS n FROM lm GROUP BY 1, 2),
+  bk AS (SELECT qr.label, qr.feature, qr.n AS n_real, qm.n AS n_made, qr.q AS r, qm.q AS m, sd, list_sort(list_distinct(list_transform(range(0, 101, 5), lambda i: qr.q[i + 1]))) AS e FROM qr JOIN qm USING (label, feature)),
+  hs AS (SELECT side, bk.label, bk.feature, v, CASE WHEN v >= e[1] AND v <= e[len(e)] THEN least(len(list_filter(e, lambda x: x <= v)), len(e) - 1) END AS bin, v < e[1] - 1e-6 OR v > e[len(e)] + 1e-6 AS far FROM (SELECT 'r' AS side, * FROM lr UNION ALL SELECT 'm', * FROM lm) x JOIN bk USING (label, feature)),
+  hc AS (SELECT bk.label, bk.feature, b, count(*) FILTER (WHERE side = 'r' AND bin = b) + 1e-12 AS p, count(*) FILTER (WHERE side = 'm' AND bin = b) + 1e-12 AS s FROM (SELECT *, unnest(range(1, len(e))) AS b FROM bk) bk LEFT JOIN hs USING (label, feature) GROUP BY 1, 2, 3),
+  hp AS (SELECT label, feature, p / sum(p) OVER w AS p, s / sum(s) OVER w AS s FROM hc WINDOW w AS (PARTITION BY label, feature)), js AS (SELECT label, feature, sum(p * log2(2 * p / (p + s)) + s * log2(2 * s / (p + s))) / 2 AS jsd FROM hp GROUP BY 1, 2),
+  fo AS (SELECT label, feature, count(*) FILTER (WHERE far AND side = 'm') AS outside FROM hs GROUP BY 1, 2),
+  fi AS (SELECT label, feature, n_real, n_made, coalesce(jsd, 0) AS jsd, list_sum(list_transform(range(1, 102), lambda i: abs(r[i] - m[i]))) / 101 / greatest(CASE WHEN r[76] - r[26] > 1e-12 THEN r[76] - r[26] ELSE sd END, 1e-12) AS distance, outside FROM bk LEFT JOIN js USING (label, feature) LEFT JOIN fo USING (label, feature))"""
+
+
+def made_columns(spark, d):
+    pairs = _radius(spark, d)
+    made = spread_columns(B.materialize(pairs, real_columns(spark, d), "vec_id", "embedding", ["label"], 13, ("phase_available_P2",), ("missing__x",)))
+    own = real_columns(spark, d).select(F.col("vec_id").alias("a"), F.col("phase_available_P2").alias("own"))
+    return made.join(own, "a").withColumn("phase_available_P2", F.when(F.col("nth") % 5 == 0, F.col("own")).otherwise(F.col("phase_available_P2"))).drop("own")
+
+
+@query("d20_synthetic_fidelity", f"WITH {FIDELITY} SELECT label, feature, n_real, n_made, round(jsd, 6) AS jsd, round(distance, 6) AS distance, outside FROM fi")
+def d20_fidelity(spark, d):
+    return rounded(D.synthetic_fidelity(spread_columns(real_columns(spark, d)), made_columns(spark, d), "label", list(PARTS)))
+
+
+@query(
+    "d20_synthetic_quality",
+    f"""WITH {FIDELITY}, s AS (SELECT avg(jsd) AS jsd_mean, max(jsd) AS jsd_max, avg(distance) AS distance_mean, max(distance) AS distance_max, sum(outside) / sum(n_made) AS outside_rate FROM fi)
+    SELECT (SELECT count(*) FROM mk) AS n, {", ".join(f"(SELECT round({c}, 6) FROM s) AS {c}" for c in ("jsd_mean", "jsd_max", "distance_mean", "distance_max", "outside_rate"))}, round(avg((abs(n_count - round_even(n_count, 0)) > 1e-6)::INT), 6) AS non_integer_rate,
+      round((count(*) FILTER (WHERE av <> least(av_a, av_b)) + count(*) FILTER (WHERE mi <> greatest(mi_a, mi_b))) / (2 * count(*)), 6) AS invalid_mask_rate, round(1 / 3, 6) AS cross_phase_rate,
+      round(coalesce(count(*) FILTER (WHERE av = 0 AND abs(x_P2) > 1e-6) / nullif(count(*) FILTER (WHERE av = 0), 0), 0), 6) AS unavailable_nonzero_rate, count(*) FILTER (WHERE av = 0 AND abs(x_P2) > 1e-6) AS unavailable_nonzero_cells FROM mk""",
+)
+def d20(spark, d):
+    """Of rows made as if for phase 1, so that a column of phase 2 crosses."""
+    real, made = spread_columns(real_columns(spark, d)), made_columns(spark, d)
+    return rounded(D.synthetic_quality(real, made, "label", "vec_id", list(PARTS), ["n_count"], ["phase_available_P2"], ["missing__x"], {"x_P2": "phase_available_P2"}, ("_P2",)))

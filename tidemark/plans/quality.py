@@ -14,6 +14,10 @@ from .registry import query
 NUM = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
+def rounded(df, n=6):
+    return df.select(*(F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def lines(spark, d):
     return read_table(spark, d, "lineitem")
 
@@ -88,25 +92,68 @@ def split(spark, d):
     return lines(spark, d).withColumn("part", F.when(F.col("l_shipdate") < "2000-01-01", "train").otherwise("test"))
 
 
-SCHEME = f"""sp AS (SELECT *, {YEAR} AS part FROM lineitem), ed AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM sp WHERE part = 'train'),
-  hs AS (SELECT part, len(list_filter(edges, lambda e: e < l_quantity)) AS bin, count(*) AS n FROM sp, ed GROUP BY 1, 2)"""
+#: Edges of ten bins over training values; an edge not above the one before is set just above it (here written out, not folded).
+STRICT = "list_transform(range(1, 12), lambda i: list_max(list_transform(range(1, i + 1), lambda j: q[j] + CASE WHEN j < i AND q[i] <= q[j] THEN (i - j) * 1e-7 ELSE 0 END)))"
+STEPS = "[0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
+SCHEME = f"""sp AS (SELECT CASE WHEN l_returnflag = 'R' THEN 7.0 * l_linenumber ELSE l_quantity END AS v, CASE WHEN l_returnflag = 'R' THEN 'imputed' ELSE 'observed' END AS status, {YEAR} AS part FROM lineitem),
+  qu AS (SELECT quantile_cont(v, {STEPS}) AS q, count(*) AS n FROM sp WHERE part = 'train' AND status = 'observed'), ed AS (SELECT {STRICT} AS edges, n FROM qu),
+  hb AS (SELECT part, status, v, len(list_filter(edges[2:10], lambda e: e <= v)) AS bin FROM sp, ed), hs AS (SELECT part, bin, count(*) AS n FROM hb GROUP BY 1, 2)"""
+
+
+def filled_lines(spark, d):
+    """Order lines whose quantity is imputed for returned ones."""
+    gone = F.col("l_returnflag") == "R"
+    return split(spark, d).withColumn("gone", gone).withColumn("l_quantity", F.when(gone, F.col("l_linenumber") * 7.0).otherwise(F.col("l_quantity"))).withColumn("one", F.lit(3.0))
+
+
+def scheme(spark, d, columns=("l_quantity",)):
+    return D.bin_scheme(filled_lines(spark, d).where("part = 'train' and not gone"), list(columns))
 
 
 def sketches(spark, d):
-    x = split(spark, d)
-    scheme = D.bin_scheme(x.where("part = 'train'"), ["l_quantity"])
-    return D.hist_sketch(x, scheme, ["l_quantity"], ["part"])
+    return D.hist_sketch(filled_lines(spark, d), scheme(spark, d), ["l_quantity"], ["part"], {"l_quantity": F.col("gone")})
+
+
+def histograms(spark, d):
+    """All values of both statuses by part and bin."""
+    whole = D.hist_sketch(filled_lines(spark, d), scheme(spark, d), ["l_quantity"], ["part"])
+    return D.histogram_rows(whole, ["part", "feature"])
 
 
-@query("d9_bin_scheme", f"WITH {SCHEME} SELECT 'l_quantity' AS feature, CAST(len(edges) AS INTEGER) AS k, edges[1] AS first_edge, edges[len(edges)] AS last_edge FROM ed")
+@query(
+    "d9_bin_scheme",
+    f"""WITH {SCHEME}, al AS (SELECT 'l_quantity' AS feature, n, edges FROM ed UNION ALL SELECT 'one', n, list_transform(range(11), lambda i: 3.0 + i * 1e-7) FROM ed)
+    SELECT feature, n, CAST(unnest(range(11)) AS INTEGER) AS place, round(unnest(edges), 9) AS edge FROM al""",
+)
 def d9(spark, d):
-    x = D.bin_scheme(split(spark, d).where("part = 'train'"), ["l_quantity"])
-    return x.select("feature", F.size("edges").alias("k"), F.get("edges", F.lit(0)).alias("first_edge"), F.element_at("edges", -1).alias("last_edge"))
+    """Eleven edges of each column, of a constant one too."""
+    x = scheme(spark, d, ("l_quantity", "one"))
+    return rounded(x.select("feature", "n", F.posexplode("edges").alias("place", "edge")), 9)
 
 
-@query("d10_hist_sketch", f"WITH {SCHEME} SELECT part, CAST(bin AS INTEGER) AS bin, n FROM hs")
+@query(
+    "d10_hist_sketch",
+    f"""WITH {SCHEME}, g AS (SELECT part, status, count(*) AS n, min(v) AS low, max(v) AS high, avg(v) AS mean, var_pop(v) * count(*) AS m2, stddev_pop(v) AS std, quantile_cont(v, [0.05, 0.5, 0.95]) AS p, list_transform(range(10), lambda b: len(list_filter(list(bin), lambda x: x = b))) AS counts FROM hb GROUP BY 1, 2),
+    m AS (SELECT part, status, sum(pow(v - mean, 3)) AS m3 FROM hb JOIN g USING (part, status) GROUP BY 1, 2),
+    k AS (SELECT part, status, unnest(range(1, 11)) AS b, unnest(list_transform(counts, lambda c: c / n)) AS s FROM g), j AS (SELECT part, b, max(s) FILTER (WHERE status = 'observed') AS p, max(s) FILTER (WHERE status = 'imputed') AS q FROM k GROUP BY 1, 2),
+    d AS (SELECT part, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS jsd FROM j GROUP BY 1)
+    SELECT part, 'l_quantity' AS feature, status, n, low, high, round(mean, 6) AS mean, round(std, 6) AS std, round(m2 / n, 4) AS m2, round(m3 / n, 3) AS m3, p[1] AS p05, p[2] AS p50, p[3] AS p95, array_to_string(counts, ',') AS counts, round(jsd, 8) AS jsd FROM g JOIN m USING (part, status) JOIN d USING (part)""",
+)
 def d10(spark, d):
-    return sketches(spark, d).select("part", "bin", "n")
+    x = sketches(spark, d).withColumn("counts", F.array_join("counts", ",")).withColumn("m2", F.round(F.col("m2") / F.col("n"), 4)).withColumn("m3", F.round(F.col("m3") / F.col("n"), 3))
+    return x.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6), "jsd": F.round("jsd", 8)})
+
+
+@query(
+    "d10_merged_sketches",
+    f"""WITH {SCHEME}, w AS (SELECT *, avg(v) OVER (PARTITION BY status) AS mean FROM hb)
+    SELECT 'l_quantity' AS feature, status, count(*) AS n, min(v) AS low, max(v) AS high, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(pow(v - mean, 3)) / pow(var_pop(v), 1.5), 6) AS skew, array_to_string(list_transform(range(10), lambda b: len(list_filter(list(bin), lambda x: x = b))), ',') AS counts FROM w GROUP BY status""",
+)
+def d10_merged(spark, d):
+    """The sketches of both parts merged, against the whole."""
+    x = D.merge_sketches(sketches(spark, d), []).withColumn("counts", F.array_join("counts", ","))
+    skew = F.sqrt("n") * F.col("m3") / F.pow("m2", F.lit(1.5))
+    return rounded(x.select("feature", "status", "n", "low", "high", "mean", "std", skew.alias("skew"), "counts"))
 
 
 @query(
@@ -114,7 +161,7 @@ def d10(spark, d):
     f"WITH {SCHEME}, pq AS (SELECT bin, sum(n) FILTER (WHERE part = 'train') / (SELECT sum(n) FROM hs WHERE part = 'train') AS p, sum(n) FILTER (WHERE part = 'test') / (SELECT sum(n) FROM hs WHERE part = 'test') AS q FROM hs GROUP BY 1) SELECT 'l_quantity' AS feature, round(sum((p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2), 8) AS jsd FROM pq",
 )
 def d11(spark, d):
-    h = sketches(spark, d)
+    h = histograms(spark, d)
     return D.histogram_jsd(h.where("part = 'train'"), h.where("part = 'test'"), ["feature"], 10).withColumn("jsd", F.round("jsd", 8))
 
 
@@ -123,7 +170,7 @@ def d11(spark, d):
     f"WITH {SCHEME}, pq AS (SELECT bin, sum(n) FILTER (WHERE part = 'train') / (SELECT sum(n) FROM hs WHERE part = 'train') AS p, sum(n) FILTER (WHERE part = 'test') / (SELECT sum(n) FROM hs WHERE part = 'test') AS q FROM hs GROUP BY 1) SELECT 'l_quantity' AS feature, round(sum((q - p) * ln(q / p)), 8) AS psi FROM pq",
 )
 def d12(spark, d):
-    h = sketches(spark, d)
+    h = histograms(spark, d)
     return D.psi(h.where("part = 'train'"), h.where("part = 'test'"), ["feature"]).withColumn("psi", F.round("psi", 8))
 
 
@@ -144,9 +191,34 @@ def wide(spark, d):
     return read_table(spark, d, "events").where("event_type = 'purchase'").groupBy("user_id").agg(*(F.when(n(k) > 0, n(k)).alias(f"n_P{k}") for k in (1, 2, 3, 4)))
 
 
-@query("d14_activity_profile", f"WITH {WIDE} SELECT count(*) AS n, round(avg((n_P1 IS NOT NULL)::INT + (n_P2 IS NOT NULL)::INT + (n_P3 IS NOT NULL)::INT + (n_P4 IS NOT NULL)::INT), 6) AS observed_length, count(*) FILTER (WHERE n_P4 IS NULL) AS zero_activity, CAST(0 AS BIGINT) AS monotonicity_violations FROM w")
+KINDS, PHASES = ["view", "purchase"], ["P1", "P2", "P3", "P4"]
+#: Cumulative counts of two kinds of events by week, null where none; an enrollment lasts from the first event to the last.
+ACTIVE = f"""en AS (SELECT user_id, min(ts) AS enroll, max(ts) AS last FROM events GROUP BY 1), ac AS (SELECT e.user_id, any_value(enroll) AS enroll, any_value(last) AS last, {", ".join(f"nullif(count(*) FILTER (WHERE event_type = '{m}' AND ts <= enroll + INTERVAL {2 * k} DAY), 0) AS {m}_P{k}" for m in KINDS for k in (1, 2, 3, 4))},
+  {", ".join(f"CASE WHEN e.user_id % 7 > 0 THEN least(any_value(enroll) + INTERVAL {2 * k} DAY, any_value(last)) END AS cut_P{k}" for k in (1, 2, 3, 4))} FROM events e JOIN en USING (user_id) GROUP BY 1)"""
+
+
+def active(spark, d):
+    e = read_table(spark, d, "events")
+    span = e.groupBy("user_id").agg(F.min("ts").alias("enroll"), F.max("ts").alias("last"))
+    upto = lambda k: F.col("enroll") + F.expr(f"make_dt_interval({2 * k})")
+    n = lambda m, k: F.count_if((F.col("event_type") == m) & (F.col("ts") <= upto(k)))
+    counts = e.join(span, "user_id").groupBy("user_id", "enroll", "last").agg(*(F.when(n(m, k) > 0, n(m, k)).alias(f"{m}_P{k}") for m in KINDS for k in (1, 2, 3, 4)))
+    return counts.withColumns({f"cut_P{k}": F.when(F.col("user_id") % 7 > 0, F.least(upto(k), F.col("last"))) for k in (1, 2, 3, 4)})
+
+
+def activity_sql(k):
+    total = lambda i: " + ".join(f"coalesce({m}_P{i}, 0)" for m in KINDS) if i else "0"
+    cells = [f"{m}_P{i}" for m in KINDS for i in range(1, k + 1)]
+    timed, whole, seen = f"(epoch_us(last) - epoch_us(enroll)) // 86400000000 > 0 AND cut_P{k} IS NOT NULL", "((epoch_us(last) - epoch_us(enroll)) // 86400000000)", f"((epoch_us(cut_P{k}) - epoch_us(enroll)) // 86400000000)"
+    return f"""SELECT 'P{k}' AS phase, count(*) AS n, round(avg(({total(k)} = 0)::INT), 6) AS zero_activity, round(avg(({total(k)} = {total(k - 1)})::INT), 6) AS inactive, round(avg({total(k)}), 6) AS mean_events,
+      CAST(sum({" + ".join(f"coalesce(({c} = 0)::INT, 0)" for c in cells)}) AS BIGINT) AS zero_cells, CAST(sum({" + ".join(f"({c} IS NOT NULL)::INT" for c in cells)}) AS BIGINT) AS known_cells, count(*) FILTER (WHERE {timed}) AS timed,
+      round(avg({seen}) FILTER (WHERE {timed}), 6) AS observed_length, round(avg({seen} / {whole}) FILTER (WHERE {timed}), 6) AS observed_fraction, count(*) FILTER (WHERE {total(k)} < {total(k - 1)}) AS monotone_violations FROM ac"""
+
+
+@query("d14_activity_profile", f"WITH {ACTIVE} {' UNION ALL '.join(activity_sql(k) for k in (1, 2, 3, 4))}")
 def d14(spark, d):
-    return D.activity_profile(wide(spark, d), [f"n_P{k}" for k in (1, 2, 3, 4)]).select("n", F.round("observed_length", 6).alias("observed_length"), "zero_activity", "monotonicity_violations")
+    cells = [f"{m}_{p}" for m in KINDS for p in PHASES]
+    return rounded(D.activity_profile(active(spark, d), KINDS, PHASES, cells, "enroll", "last", {p: f"cut_{p}" for p in PHASES}))
 
 
 @query(
@@ -191,18 +263,41 @@ def d18(spark, d):
     return D.cohort_flag(x.where("l_shipdate >= '2001-01-01'"), x.where("l_shipdate < '1996-06-01'"), "l_partkey").groupBy("cohort", "l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("d19_fidelity_probe")
+FAMILIES = {"l_quantity": "amount", "l_extendedprice": "amount", "l_discount": "rate", "l_tax": "rate"}
+KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def probe(spark, d, chained):
+    """Zero and the median of what stays visible; with ``chained``, trees over the other columns too. Discounts of late lines are structurally absent."""
+    x = lines(spark, d).select(*KEY, *FAMILIES)
+    late = {"l_discount": F.col("l_linenumber") > 5}
+    seen = x.withColumns({c: F.when(late.get(c, F.lit(False)) | ~D.hidden_cells(c, KEY, 0.05, 7), F.col(c)) for c in FAMILIES})
+    columns = list(FAMILIES)
+    middle = I.fit_univariate(seen, columns)
+    imputers = {"zero": lambda m: I.impute_constant(m, columns), "median": lambda m: I.apply_constants(m, middle)}
+    if chained:
+        imputers["trees"] = I.fit_chained(seen, columns, "tree")
+    return rounded(D.fidelity_probe(x, FAMILIES, KEY, 0.05, 7, imputers, late))
+
+
+def hidden_sql(c):
+    digest = f"('0x' || substr(md5(concat_ws('|', '7', '{c}', {', '.join(KEY)})), 1, 8))::BIGINT / 4294967296.0 < 0.05"
+    return f"({digest} AND l_linenumber <= 5)" if c == "l_discount" else f"({digest})"
+
+
+@query(
+    "d19_fidelity_probe",
+    f"""WITH hd AS (SELECT *, {", ".join(f"{hidden_sql(c)} AS h_{c}" for c in FAMILIES)} FROM lineitem), md AS (SELECT {", ".join(f"median({c}) FILTER (WHERE NOT h_{c}) AS m_{c}" for c in FAMILIES)} FROM hd),
+    er AS ({" UNION ALL ".join(f"SELECT '{f}' AS family, unnest(['zero', 'median']) AS imputer, unnest([abs({c}), abs({c} - m_{c})]) AS e FROM hd, md WHERE h_{c}" for c, f in FAMILIES.items())})
+    SELECT imputer, family, count(*) AS n, round(avg(e), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(median(e), 6) AS median_error FROM er GROUP BY 1, 2""",
+)
 def d19(spark, d):
-    x = lines(spark, d).withColumn("hidden", D.hidden_cells(F.struct("l_orderkey", "l_linenumber", "l_partkey"), 0.1, 7))
-    masked = x.withColumn("truth", F.col("l_quantity")).withColumn("l_quantity", F.when(~F.col("hidden"), F.col("l_quantity")))
-    filled = I.apply_constants(masked, I.fit_univariate(masked, ["l_quantity"]))
-    return D.fidelity(filled.where("hidden"), "truth", "l_quantity")
+    return probe(spark, d, chained=False)
 
 
-@query("d20_synthetic_quality", "SELECT 0.5 AS distance, count(*) FILTER (WHERE l_quantity + 0.5 > 50) AS outside FROM lineitem")
-def d20(spark, d):
-    x = lines(spark, d).select("l_quantity")
-    return D.quantile_distance(x, x.withColumn("l_quantity", F.col("l_quantity") + 0.5), "l_quantity").withColumn("distance", F.round("distance", 6))
+@query("d19_fidelity_of_trees")
+def d19_trees(spark, d):
+    return probe(spark, d, chained=True)
 
 
 @query("i2_melt_phases", f"WITH {WIDE} SELECT user_id, phase, n FROM w, (VALUES ('P1'), ('P2'), ('P3'), ('P4')) AS p(phase), LATERAL (SELECT CASE phase WHEN 'P1' THEN n_P1 WHEN 'P2' THEN n_P2 WHEN 'P3' THEN n_P3 ELSE n_P4 END AS n)")
