@@ -129,12 +129,13 @@ def smoothed_jsd(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [(part(a, b) + part(b, a)) / 2 for a, b in zip(p, q, strict=True)])
 
 
-def composite(df: DataFrame, keys: list[str], train_counts: dict[int, int] | None = None, effective: str | None = None, leak_free: float | None = None, classes=CLASSES, probs=PROBS, truth: str = "y_true") -> DataFrame:
+def composite(df: DataFrame, keys: list[str], train_counts: dict[int, int] | None = None, effective: str | None = None, leak_free: float | DataFrame | None = None, classes=CLASSES, probs=PROBS, truth: str = "y_true") -> DataFrame:
     """keys, s_perf, the six sanity parts, s_san and composite = s_perf ** 0.6 * s_san ** 0.4; parts are floored at 0.001.
 
     Performance: macro F1 over all classes, balanced accuracy, (mcc + 1) / 2, (kappa + 1) / 2. Sanity: finite rows that
     add up to one, predicted against true shares, median entropy near one half, predicted shares against those of
-    training (``train_counts``; else the true ones), the mean of ``effective``, and a probe's ``leak_free`` (1 where not given).
+    training (``train_counts``; else the true ones), the mean of ``effective``, and a probe's ``leak_free``: a number, or
+    a row a key with ``leak_free`` as of ``leak_probe`` (1 where not given or null).
     """
     finite = reduce(lambda a, b: a & b, [F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(F.col(p)) != float("inf")) for p in probs])
     fits = F.coalesce(finite & (F.abs(reduce(lambda a, b: a + b, [F.col(p) for p in probs]) - 1) <= 1e-4), F.lit(False))
@@ -147,7 +148,11 @@ def composite(df: DataFrame, keys: list[str], train_counts: dict[int, int] | Non
     middle = quantiles(x, {"e": entropy(probs)}, [0.5], keys).select(*keys, F.get("quantiles", F.lit(0)).alias("__middle"))
     rows = x.groupBy(*keys).agg(F.min("__fits").cast("double").alias("s_finite"), (F.lit(1.0) if effective is None else F.avg(effective)).alias("s_effective"))
     out = overall(each, keys).join(mcc_kappa(each, keys), keys).join(shares, keys).join(rows, keys).join(middle, keys)
-    out = out.withColumn("s_entropy", 1 - F.least(F.abs(F.col("__middle") - 0.5) / 0.5, F.lit(1.0))).withColumn("s_leak", F.lit(1.0 if leak_free is None else leak_free))
+    out = out.withColumn("s_entropy", 1 - F.least(F.abs(F.col("__middle") - 0.5) / 0.5, F.lit(1.0)))
+    if isinstance(leak_free, DataFrame):
+        out = out.join(leak_free.select(*keys, F.col("leak_free").alias("s_leak")), keys, "left").withColumn("s_leak", F.coalesce("s_leak", F.lit(1.0)))
+    else:
+        out = out.withColumn("s_leak", F.lit(1.0 if leak_free is None else leak_free))
     out = out.withColumn("s_perf", geometric([F.col("macro_f1_fixed"), F.col("balanced_accuracy"), (F.col("mcc") + 1) / 2, (F.col("kappa") + 1) / 2]))
     parts = ["s_finite", "s_majority", "s_entropy", "s_drift", "s_effective", "s_leak"]
     out = out.withColumn("s_san", geometric([F.least(F.col(p), F.lit(1.0)) for p in parts]))
@@ -160,21 +165,59 @@ def support_flags(classes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def probe(train: DataFrame, evaluate: DataFrame, features: list[str], label: str, weighted: bool = False) -> DataFrame:
-    """Multinomial logistic regression on few columns: evaluation rows with probabilities p0.. and argmax."""
+def probe(train: DataFrame, evaluate: DataFrame, features: list[str], label: str, weighted: bool = False, classes=CLASSES, penalty: float = 1.0) -> DataFrame:
+    """Multinomial logistic regression on few standardised columns: evaluation rows with probabilities p0.. and argmax.
+
+    The loss is summed over training rows, ``penalty`` times half the squared weights is added; ``weighted`` rows count so
+    that all classes weigh the same. Classes that training lacks get probability 0; without two of them every row gets
+    the shares of training.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    counts = {r[label]: r["n"] for r in train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
+    known, total = sorted(counts), sum(counts.values())
+    if len(known) < 2:
+        return evaluate.withColumns({f"p{k}": F.lit(float(c in counts)) for k, c in enumerate(classes)}).withColumn("argmax", F.lit(known[0] if known else classes[0]).cast("int"))
+    place = F.coalesce(*(F.when(F.col(label) == c, F.lit(float(k))) for k, c in enumerate(known)))
     assemble = VectorAssembler(inputCols=features, outputCol="__raw")
-    scaler = StandardScaler(inputCol="__raw", outputCol="__x").fit(assemble.transform(train))
-    rows = scaler.transform(assemble.transform(train))
-    learner = LogisticRegression(featuresCol="__x", labelCol=label, family="multinomial", maxIter=50, regParam=1e-4)
+    rows = assemble.transform(train.withColumn("__y", place).where("__y is not null"))
+    scaler = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(rows)
+    learner = LogisticRegression(featuresCol="__x", labelCol="__y", family="multinomial", maxIter=500, tol=1e-8, regParam=penalty / total, standardization=False)
+    rows = scaler.transform(rows)
     if weighted:
-        counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
-        total = sum(counts.values())
         weight = F.coalesce(*(F.when(F.col(label) == c, F.lit(total / (len(counts) * n))) for c, n in counts.items()))
         rows, learner = rows.withColumn("__w", weight), learner.setWeightCol("__w")
     model = learner.fit(rows)
     out = model.transform(scaler.transform(assemble.transform(evaluate))).withColumn("__p", vector_to_array("probability"))
-    return out.withColumns({f"p{k}": F.get("__p", F.lit(k)) for k in range(model.numClasses)}).withColumn("argmax", F.col("prediction").cast("int")).drop("__raw", "__x", "__p", "rawPrediction", "probability", "prediction")
+    shares = {f"p{k}": F.get("__p", F.lit(known.index(c))) if c in counts else F.lit(0.0) for k, c in enumerate(classes)}
+    best = F.get(F.array(*map(F.lit, known)), F.col("prediction").cast("int")).cast("int")
+    return out.withColumns(shares).withColumn("argmax", best).drop("__raw", "__x", "__p", "rawPrediction", "probability", "prediction")
+
+
+def leak_probe(train: DataFrame, evaluate: DataFrame, flags: list[str], label: str, keys: list[str], classes=CLASSES) -> DataFrame:
+    """keys, auc, leak_free: how far missing and availability flags alone tell the classes apart, in each slice.
+
+    A probe is fitted once on all training rows. auc: mean over classes of one against the rest; null where a slice lacks
+    a class. leak_free: 1 - 2 max(auc - 0.5, 0).
+    """
+    probs = tuple(f"p{k}" for k in range(len(classes)))
+    out = probe(train, evaluate, flags, label, classes=classes).withColumn("y_true", F.col(label)).select(*keys, "y_true", *probs)
+    each = roc_auc(one_vs_rest(out, keys, classes, probs), keys)
+    whole = each.groupBy(*keys).agg(F.when(F.count("auc") == len(classes), F.avg("auc")).alias("auc"))
+    return whole.withColumn("leak_free", F.when(F.col("auc").isNotNull(), 1 - 2 * F.greatest(F.col("auc") - 0.5, F.lit(0.0))))
+
+
+def static_probe(train: DataFrame, evaluate: DataFrame, sets: dict[str, list[str]], label: str, keys: list[str], classes=CLASSES) -> DataFrame:
+    """features, arm (plain or balanced), keys, balanced_accuracy, macro_f1 (absent classes count 0), macro_f1_present: what sets of static columns tell."""
+    facts = []
+    for name, columns in sets.items():
+        for arm in ("plain", "balanced"):
+            out = probe(train, evaluate, columns, label, arm == "balanced", classes).withColumn("y_true", F.col(label))
+            each = per_class(confusion(out, keys, "y_true", "argmax"), keys, classes, "y_true", "argmax")
+            present = F.col("support") > 0
+            facts.append(each.groupBy(*keys).agg(
+                F.avg(F.coalesce("recall", F.lit(0.0))).alias("balanced_accuracy"), F.avg(F.coalesce("f1", F.lit(0.0))).alias("macro_f1"), F.avg(F.when(present, F.coalesce("f1", F.lit(0.0)))).alias("macro_f1_present"),
+            ).select(F.lit(name).alias("features"), F.lit(arm).alias("arm"), *keys, "balanced_accuracy", "macro_f1", "macro_f1_present"))
+    return reduce(lambda a, b: a.unionByName(b), facts)

@@ -130,25 +130,39 @@ def m12(spark, d):
     return rounded(predictions(spark, d).groupBy("offering_id").agg(F.avg("strict").alias("effective_rate")))
 
 
-def _probe(spark, d, name, features, weighted):
-    """AUC and leak-free share of a probe fitted once on training rows, on each evaluation slice."""
-    x = labelled(spark, d).withColumn("flag", (F.col("n_chars") % 5 == 0).cast("int")).withColumn("size", F.log1p("n_chars")).withColumn("foreign", (F.col("course_id") != "en").cast("int"))
-    slice_ = F.when(F.col("toxic") == 1, "TOXIC").otherwise("CLEAN")
-    out = M.probe(x.where("doc_id % 3 > 0"), x.where("doc_id % 3 = 0"), features, "quality", weighted)
-    out = R.sliced(out, slice_).select(F.col("quality").alias("y_true"), "p0", "p1", "slice")
-    auc = M.roc_auc(M.one_vs_rest(out, ["slice"], (0, 1), ("p0", "p1")), ["slice"]).groupBy("slice").agg(F.avg("auc").alias("auc"))
-    return rounded(auc.select(F.lit(name).alias("features"), "slice", "auc", (1 - 2 * F.greatest(F.col("auc") - 0.5, F.lit(0.0))).alias("leak_free")))
+FLAGS = {"no_video": 5, "no_comment": 7, "no_problem": 3}
+
+
+def flagged(spark, d):
+    """Labelled rows with missing flags, of which one goes with the classes, and static columns; a third of them are evaluated."""
+    x = predictions(spark, d).join(labelled(spark, d).select("doc_id", "n_chars"), "doc_id")
+    x = x.withColumns({f: (F.col("n_chars") % m == 0).cast("int") for f, m in FLAGS.items()}).withColumn("no_video", F.greatest("no_video", ((F.col("y_true") == 1) & (F.col("doc_id") % 2 == 0)).cast("int")))
+    return x.withColumn("size", F.log1p("n_chars")).withColumn("foreign", (F.col("course_id") != "en").cast("int")).withColumn("train", F.col("doc_id") % 3 > 0)
+
+
+def probe_rows(spark, d):
+    x = flagged(spark, d)
+    return x.where("train"), R.sliced(x.where("not train"), strict_slice())
 
 
 @query("m13_missingness_probe")
 def m13(spark, d):
-    return _probe(spark, d, "missingness", ["flag"], False)
+    """Three classes, each slice of the rows that were held out."""
+    return rounded(M.leak_probe(*probe_rows(spark, d), list(FLAGS), "y_true", ["slice"]))
 
 
 @query("m14_static_probe")
 def m14(spark, d):
-    sets = {"static": ["foreign"], "missingness": ["flag", "size"], "both": ["foreign", "flag", "size"]}
-    return reduce(lambda a, b: a.unionByName(b), [_probe(spark, d, name, columns, True) for name, columns in sets.items()])
+    sets = {"static": ["foreign"], "missingness": [*FLAGS, "size"], "both": ["foreign", *FLAGS, "size"]}
+    return rounded(M.static_probe(*probe_rows(spark, d), sets, "y_true", ["slice"]))
+
+
+@query("m11_composite_with_probe")
+def m11_probe(spark, d):
+    """The composite of held-out slices, training counts from training rows, and the probe's part."""
+    train, rows = probe_rows(spark, d)
+    counts = {r["y_true"]: r["n"] for r in train.groupBy("y_true").agg(F.count("*").alias("n")).collect()}  # one row a class
+    return rounded(M.composite(rows, ["slice"], counts, "strict", M.leak_probe(train, rows, list(FLAGS), "y_true", ["slice"])))
 
 
 @query("m15_support_flags", f"WITH {CM} SELECT course_id, max(total) AS n, min(support) AS least_support, CASE WHEN max(total) < 30 THEN 'small_slice' WHEN min(support) = 0 THEN 'class_absent' WHEN min(support) < 5 THEN 'support_below_5' WHEN min(support) < 400 THEN 'support_below_400' ELSE 'ok' END AS flag FROM cl GROUP BY 1")
