@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import running_total
+from ..functions.ranking import quantiles, running_total
 from ..sources.tables import scratch_path
 
 
@@ -163,13 +164,15 @@ def label_drift(dist: DataFrame, order: str, classes: list, prefix: str = "n_")
     return shares.withColumn("drift", F.when(before[0].isNotNull(), F.sqrt(F.greatest(jsd, F.lit(0.0)))))
 
 
-def validate_manifest(manifest: DataFrame, unit: str, required: list[str]) -> DataFrame:
-    """Checks as rows: missing columns, units in several splits of one window, null units."""
-    lost = [c for c in required if c not in manifest.columns]
-    several = manifest.groupBy("window_id", unit).agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("violations"))
-    nulls = manifest.agg(F.count_if(F.col(unit).isNull()).alias("violations"))
-    spark = manifest.sparkSession
-    return spark.createDataFrame([("required_columns", len(lost))], "check string, violations long").unionByName(several.select(F.lit("one_split").alias("check"), "violations")).unionByName(nulls.select(F.lit("null_unit").alias("check"), "violations"))
+def validate_manifest(manifest: DataFrame, unit: str, required: list[str], versions: dict[str, str] | None = None) -> DataFrame:
+    """Checks as rows: missing columns, units in several splits of one window, null units, and rows of another version (column -> value)."""
+    lost = [c for c in [*required, *(versions or {})] if c not in manifest.columns]
+    several = manifest.where(F.col(unit).isNotNull()).groupBy("window_id", unit).agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("violations"))
+    stale = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.lit(v)) for c, v in (versions or {}).items() if c in manifest.columns], F.lit(False))
+    rows = manifest.agg(F.count_if(F.col(unit).isNull()).alias("null_unit"), F.count_if(stale).alias("other_version"))
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in ("null_unit", "other_version")))).alias("x")).select("x.*")
+    found = manifest.sparkSession.createDataFrame([("required_columns", len(lost))], "check string, violations long")
+    return found.unionByName(several.select(F.lit("one_split").alias("check"), "violations")).unionByName(each)
 
 
 def materialize_view(features: DataFrame, labels: DataFrame, manifest: DataFrame, id_col: str, unit: str, measures: dict[str, str]) -> DataFrame:
@@ -212,7 +215,9 @@ def assignment_qa(context: DataFrame, id_col: str, block: str) -> DataFrame:
 
 
 def unit_sizes(units: DataFrame, key: str, size: str) -> DataFrame:
-    return units.groupBy(key).agg(F.count(F.lit(1)).alias("units"), F.percentile(size, F.lit(0.5)).alias("p50"), F.percentile(size, F.lit(0.9)).alias("p90"), F.max(size).alias("largest"), F.count_if(F.col(size) <= 5).alias("tiny"))
+    middle = quantiles(units, {"size": F.col(size)}, [0.5, 0.9], [key]).select(key, F.get("quantiles", F.lit(0)).alias("p50"), F.get("quantiles", F.lit(1)).alias("p90"))
+    rows = units.groupBy(key).agg(F.count(F.lit(1)).alias("units"), F.max(size).alias("largest"), F.count_if(F.col(size) <= 5).alias("tiny"))
+    return rows.join(middle, key, "left").select(key, "units", "p50", "p90", "largest", "tiny")
 
 
 def lineage(records: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import audits as A
@@ -175,9 +177,23 @@ def v12(spark, d):
     return blocks(spark, d).groupBy("block").agg(F.max("unit_end").alias("boundary"))
 
 
-@query("v13_manifest_validation", """SELECT "check", CAST(v AS BIGINT) AS violations FROM (VALUES ('required_columns', 0), ('one_split', 0), ('null_unit', 0)) AS t("check", v)""")
+#: A manifest with faults: training units of W1 with n divisible by 3 stand in test too, some units are lost, some rows are of an old version.
+FAULTY = f"""{MANIFEST}, fa AS (SELECT unit, window_id, split, n FROM man UNION ALL SELECT unit, window_id, 'test', n FROM man WHERE window_id = 'W1' AND split = 'train' AND n % 3 = 0),
+  fb AS (SELECT CASE WHEN n % 11 > 0 THEN unit END AS unit, window_id, split, CASE WHEN n % 13 = 0 THEN 'v1' WHEN n % 17 > 0 THEN 'v2' END AS version FROM fa)"""
+
+
+@query(
+    "v13_manifest_validation",
+    f"""WITH {FAULTY} SELECT 'required_columns' AS "check", CAST(1 AS BIGINT) AS violations UNION ALL SELECT 'one_split', count(*) FROM (SELECT 1 FROM fb WHERE unit IS NOT NULL GROUP BY window_id, unit HAVING count(DISTINCT split) > 1)
+    UNION ALL SELECT 'null_unit', count(*) FROM fb WHERE unit IS NULL UNION ALL SELECT 'other_version', count(*) FROM fb WHERE version IS DISTINCT FROM 'v2'""",
+)
 def v13(spark, d):
-    return V.validate_manifest(manifest(spark, d), "unit", ["unit", "window_id", "split", "block"])
+    """Of a manifest with faults, without one of the columns that it needs."""
+    x = manifest(spark, d).select("unit", "window_id", "split", "n")
+    x = x.unionByName(x.where("window_id = 'W1' and split = 'train' and n % 3 = 0").withColumn("split", F.lit("test")))
+    version = F.when(F.col("n") % 13 == 0, "v1").when(F.col("n") % 17 > 0, "v2")
+    x = x.withColumn("version", version).withColumn("unit", F.when(F.col("n") % 11 > 0, F.col("unit"))).drop("n")
+    return V.validate_manifest(x, "unit", ["unit", "window_id", "split", "block"], {"version": "v2"})
 
 
 VIEW = f"""{MANIFEST}, vw AS (SELECT r.id, r.unit, r.label, o_totalprice AS price_P1, CASE WHEN o_orderpriority < '3' THEN o_totalprice END AS price_P2, m.window_id, m.split FROM rows_ r JOIN orders ON o_orderkey = r.id JOIN man m ON m.unit = r.unit)"""
@@ -200,10 +216,15 @@ def v15(spark, d):
     return V.attach_strict(view(spark, d), flags, ["id"]).groupBy("window_id").agg(F.count("*").alias("n"), F.count_if("is_strict").alias("strict"))
 
 
-@query("v16_prefix_view", f"WITH {VIEW} SELECT split, count(*) AS n, round(sum(price_P1), 2) AS p1, CAST(0 AS BIGINT) AS known_p2, CAST(0 AS BIGINT) AS available_p2 FROM vw GROUP BY 1")
+@query(
+    "v16_prefix_view",
+    f"WITH {VIEW} SELECT split, k, count(*) AS n, round(sum(price_P1), 2) AS p1, count(price_P2) FILTER (WHERE k = 2) AS known_p2, count(price_P2) FILTER (WHERE k = 2) AS available_p2 FROM vw, (VALUES (1), (2)) AS ks(k) GROUP BY 1, 2",
+)
 def v16(spark, d):
-    x = V.prefix_view(view(spark, d), ["P1", "P2"], 1)
-    return x.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("price_P1"), 2).alias("p1"), F.count("price_P2").alias("known_p2"), F.sum("phase_available_P2").cast("long").alias("available_p2"))
+    """Both prefixes: the first knows nothing of the second phase."""
+    whole = view(spark, d)
+    x = reduce(lambda a, b: a.unionByName(b), [V.prefix_view(whole, ["P1", "P2"], k).withColumn("k", F.lit(k)) for k in (1, 2)])
+    return x.groupBy("split", "k").agg(F.count("*").alias("n"), F.round(F.sum("price_P1"), 2).alias("p1"), F.count("price_P2").alias("known_p2"), F.sum("phase_available_P2").cast("long").alias("available_p2"))
 
 
 @query("v17_view_audit", f"WITH {VIEW} SELECT window_id, split, count(*) AS n_rows, count(DISTINCT id) AS ids, count(DISTINCT unit) AS units FROM vw GROUP BY 1, 2")
@@ -217,9 +238,14 @@ def v19(spark, d):
     return x.select(*V.visible_columns(x.columns, ["P1", "P2"], 1, ("label", "window_id", "split", "phase_available_")))
 
 
-@query("v20_assignment_qa", f"WITH {ROWS} SELECT count(*) AS ids, CAST(0 AS BIGINT) AS several_blocks, CAST(0 AS BIGINT) AS unmapped FROM rows_")
+@query(
+    "v20_assignment_qa",
+    f"WITH {ROWS}, x AS (SELECT id, CASE WHEN n % 5 > 0 THEN block END AS block FROM rows_ JOIN bl USING (unit) UNION ALL SELECT id, 'B' FROM rows_ WHERE id % 10 = 0), p AS (SELECT id, count(DISTINCT block) AS k FROM x GROUP BY 1) SELECT count(*) AS ids, count(*) FILTER (WHERE k > 1) AS several_blocks, count(*) FILTER (WHERE k = 0) AS unmapped FROM p",
+)
 def v20(spark, d):
-    return V.assignment_qa(rows(spark, d).join(blocks(spark, d).select("unit", "block"), "unit", "left"), "id", "block")
+    """Some units without a block, and every tenth row in a second one."""
+    x = rows(spark, d).join(blocks(spark, d).select("unit", F.when(F.col("n") % 5 > 0, F.col("block")).alias("block")), "unit").select("id", "block")
+    return V.assignment_qa(x.unionByName(rows(spark, d).where("id % 10 = 0").select("id", F.lit("B").alias("block"))), "id", "block")
 
 
 @query("v21_unit_sizes", f"WITH {ROWS} SELECT block, count(*) AS units, quantile_cont(n, 0.5) AS p50, round(quantile_cont(n, 0.9), 4) AS p90, max(n) AS largest, count(*) FILTER (WHERE n <= 5) AS tiny FROM bl GROUP BY 1")
