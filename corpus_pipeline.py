@@ -18,28 +18,38 @@ from tidemark.llm.quality import keep_quality
 from tidemark.llm.sentencepiece_codec import round_trip
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows from here on: a task's texts stand in JVM, transfer and Python memory, so few at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the longest original, then the smallest identifier."""
+    small_batches(spark)
     return keep_distinct(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8: the smallest identifier."""
+    small_batches(spark)
     return keep_one_of_group(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's tokens: their number and digest, and whether decoding gives the text again."""
+    small_batches(spark)
     return round_trip(docs)
 
 
