@@ -3,8 +3,8 @@
 Rules are hand-written regular expressions over lower-case words, in order of priority (``license_rules``). A keyword
 prefilter skips documents without any rule's keyword; in the others, each keyword's place yields a word window, as wide
 as the rule book needs, and an equi-join on the keyword picks the few rules to try there. Overlaps are resolved by
-intervals of words: a detection that lies inside a longer one is suppressed, of equal ones and of those that overlap in
-part the rule of higher priority stays. Base rules are always kept.
+intervals of words, in order of priority: a detection that overlaps one that stays is suppressed, but a longer one takes
+the place of those inside it. What is suppressed suppresses nothing. Base rules are always kept.
 
 Null and empty texts have no words and no detections (score 0). Repeated identifiers give one row per input row.
 Other columns of the input are ignored, whatever their names.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,12 +47,23 @@ def most_words(pattern: str) -> int:
     return pattern.count(" ") + 1
 
 
-def hides(other: Column) -> Column:
-    """Whether another detection suppresses the row's own."""
-    start, end, better = F.col("start"), F.col("end"), other["priority"] < F.col("priority")
-    inside, around = (other["start"] <= start) & (other["end"] >= end), (other["start"] >= start) & (other["end"] <= end)
-    longer = (other["end"] - other["start"]) > (end - start)
-    return (other["start"] < end) & (other["end"] > start) & F.when(inside, longer | better).when(around, False).otherwise(better)
+#: Detections in order of priority; one that overlaps a kept one is dropped, unless the kept ones it overlaps lie inside it and are shorter.
+KEPT = """aggregate(found, cast(array() as array<struct<priority:int,start:bigint,end:bigint>>), (kept, x) ->
+  if(exists(kept, k -> k.start < x.end and k.end > x.start and not (k.start >= x.start and k.end <= x.end and k.end - k.start < x.end - x.start)), kept,
+    array_append(filter(kept, k -> k.end <= x.start or k.start >= x.end), struct(x.priority as priority, x.start as start, x.end as end))))"""
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """rid, priority, start, end, label, weight, base, hidden: detections, and whether another one that stays suppresses them.
+
+    Detections that overlap, directly or through others, are one row: what is far apart does not matter to each other.
+    """
+    before = Window.partitionBy("rid").orderBy("start", "end", "priority").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("rid").orderBy("start", "end", "priority").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    apart = found.withColumn("apart", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")).withColumn("group", F.sum("apart").over(upto))
+    each = F.struct("priority", "start", "end", "label", "weight", "base")
+    groups = apart.groupBy("rid", "group").agg(F.array_sort(F.collect_list(each)).alias("found")).withColumn("kept", F.expr(KEPT))
+    return groups.select("rid", "kept", F.explode("found").alias("x")).select("rid", "x.*", (~F.exists("kept", lambda k: (k["priority"] == F.col("x.priority")) & (k["start"] == F.col("x.start")))).alias("hidden"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signature_rules: list[tuple] | None = None) -> DataFrame:
@@ -90,9 +101,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("rid", "priority", "label", "weight", "base", (F.col("at") - F.col("before")).cast("long").alias("start"), F.size(F.split("hit", " ")).cast("long").alias("len"))
         .withColumn("end", F.col("start") + F.col("len"))
     )
-    around = Window.partitionBy("rid").orderBy("start").rangeBetween(1 - most, most - 1)  # no detection is longer
-    ruled = found.withColumn("near", F.collect_list(F.struct("start", "end", "priority")).over(around)).withColumn("hidden", F.exists("near", hides))
-    kept = ruled.where("base or not hidden")
+    kept = resolved(found).where("base or not hidden")
     per = kept.groupBy("rid").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
