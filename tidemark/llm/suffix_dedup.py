@@ -228,7 +228,7 @@ def range_minima(common: np.ndarray, at: np.ndarray, label: np.ndarray) -> np.nd
 
 def surroundings(texts: DataFrame, places: DataFrame, length: int, seed: int) -> DataFrame:
     """h, doc_id, th, p, kind, back, around: the bytes of all windows over an anchor; ``back`` of them precede it."""
-    need = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "p", "kind")).alias("at"))
+    need = places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "p", "kind")).alias("at"))  # once, however many rows repeat the text
     joined = texts.join(need, ["doc_id", "th"]).select("id", "doc_id", "th", "text", "at")  # with id, so that the last join reuses this exchange of texts
     back = length - seed
 
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes): one row for each row of ``docs``."""
     texts = keyed(docs, id_col, text_col)
     runs = repeated_runs(texts, length, seed)
-    per = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    per = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("runs"))  # rows that repeat a text find the same runs
     joined = texts.join(per, ["doc_id", "th"], "left").select(
         F.col("id").alias("doc_id"), "text", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends")
     )
