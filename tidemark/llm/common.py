@@ -116,10 +116,14 @@ def joined_spans(spans: Column) -> Column:
     )
 
 
+BLOCK = 256
+
+
 def match_spans(text: Column, pattern: str, kind: str, order: int, group: int = 0, least: int = 0) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, ord, end, kind, value>>, offsets in code points.
 
-    The pieces between matches (``split``) and the matches themselves give the offsets by adding lengths.
+    The pieces between matches (``split``) and the matches themselves give the offsets by adding lengths, first over
+    blocks of matches, then inside each: a fold that appends copies what it has, so none runs over all matches.
     ``least``: shorter values (of ``group``) are dropped after matching, without a retry.
     """
     rx = F.lit(pattern)
@@ -129,6 +133,7 @@ def match_spans(text: Column, pattern: str, kind: str, order: int, group: int =
         F.regexp_extract_all(text, rx, F.lit(group)).alias("value"),
     )
     empty = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string>>)")
+    long = lambda n: F.lit(n).cast("long")
 
     def step(acc, x):
         start = acc["pos"] + F.length(x["gap"])
@@ -142,5 +147,8 @@ def match_spans(text: Column, pattern: str, kind: str, order: int, group: int =
         )
 
     hits = F.filter(zipped, lambda x: x["hit"].isNotNull())
-    folded = F.aggregate(hits, F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.slice(hits, b * BLOCK + 1, BLOCK))
+    lengths = F.transform(blocks, lambda h: F.aggregate(h, long(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
+    starts = F.aggregate(lengths, F.array(long(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    spans = F.transform(F.arrays_zip(blocks.alias("hits"), starts.alias("pos")), lambda z: F.when(z["hits"].isNotNull(), F.aggregate(z["hits"], F.struct(z["pos"].alias("pos"), empty.alias("out")), step)["out"]).otherwise(empty))
+    return F.when(text.rlike(pattern), F.flatten(spans)).otherwise(empty)

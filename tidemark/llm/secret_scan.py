@@ -26,7 +26,7 @@ BASE = (
 #: Further formats, same form.
 MORE = (
     ("vendor", r"\b(?:gh[opsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+", 0, 1),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*Proc-Type:[^\n]*\n\s*DEK-Info:[^\n]*)?\s*([A-Za-z0-9+/=\\][A-Za-z0-9+/=\\\s]*+)", 1, 1),
     ("login", r"://[^\s/:@]+:[^\s/:@]+@", 0, 1),
 )
