@@ -9,7 +9,8 @@ the item has no rarer ones. Then all windows of the pairs are counted. For pairs
 stand in aligned slots are compared: an item's value must map to one document value throughout (its most frequent one,
 nearly always), which holds for verbatim copies and for re-parameterised questions, not for chance. One occurrence of the
 item suffices: windows at one distance from their place in the item, or at distances no more than half an item apart
-(words put in or left out), or all of the document's windows together.
+(words put in or left out), or all of the document's windows together. A template window that an item repeats, as a table
+of numbers does, counts once there and has its first place.
 
 Null and empty texts match nothing, on either side; an item with fewer words than a window is one window of all of
 them. Rows that repeat identifier and text share one decision; repeated items count once each under their own id. Empty
@@ -87,14 +88,13 @@ def slotted_windows(table: DataFrame, key: list[str], window: int) -> DataFrame:
 
 
 def occurrences(own: DataFrame, pairs: DataFrame, slots: DataFrame) -> DataFrame:
-    """th, item_id, variant, place, w, slots, own: matching windows of pairs by the occurrences they can belong to.
+    """th, item_id, variant, place, w, slots, own: matching windows of pairs by the occurrences they can belong to; slots: as of ``first_places``.
 
     place: (0, distance), (1 or 2, band of distances as wide as the item; the two kinds overlap by half), (3, null) for
     the whole document. An occurrence has one match for each place in the item, at the distance that most windows have.
     """
-    wide = slots.groupBy("item_id").agg((F.max("at") + F.lit(WINDOW)).alias("wide"))
     met = own.join(pairs.select("th", "item_id", "variant"), ["th", "variant"]).join(slots.withColumnRenamed("at", "item_at"), ["item_id", "variant", "w"])
-    met = met.join(wide, "item_id").withColumn("far", F.col("at") - F.col("item_at"))
+    met = met.withColumn("far", F.col("at") - F.col("item_at"))
     met = met.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("th", "item_id", "variant", "far")))
     place = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
     places = F.array(
@@ -106,6 +106,15 @@ def occurrences(own: DataFrame, pairs: DataFrame, slots: DataFrame) -> DataFrame
     return met.groupBy(*key, "item_at", "alone").agg(best).select(*key, "x.w", "x.slots", "x.own")
 
 
+def first_places(windows: DataFrame) -> DataFrame:
+    """item_id, variant, w, at, slots, wide: each different window of an item where it stands first, and the item's width in words.
+
+    So a document's window meets one place of an item, and matches are no more than the windows of documents.
+    """
+    wide = windows.groupBy("item_id").agg((F.max("at") + F.lit(WINDOW)).alias("wide"))
+    return windows.groupBy("item_id", "variant", "w").agg(F.min_by(F.struct("at", "slots"), "at").alias("x")).select("item_id", "variant", "w", "x.*").join(wide, "item_id")
+
+
 def covered_items(texts: DataFrame, book: DataFrame, sizes: DataFrame, small: bool, window: int, least: float) -> DataFrame:
     """th, item_id, variant, coverage of all documents and items with coverage ``least`` or more in a variant."""
     item = ["item_id", "variant"]
@@ -142,7 +151,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_c
     found = spill(covered_items(texts, book, sizes, slots.count() <= BROADCAST_WINDOWS, window, least), "benchmark-candidates")
     some = maybe_in(texts, [F.col("th")], slot_filter(found, ["th"])).where("maybe").join(found.select("th").distinct(), "th", "left_semi")
     own = slotted_windows(some.dropDuplicates(["th"]), ["th"], window).withColumnRenamed("slots", "own")
-    met = spill(occurrences(own, found, slots), "benchmark-occurrences")
+    met = spill(occurrences(own, found, first_places(slots)), "benchmark-occurrences")
     key = ["th", *item, "place"]
     whole = met.groupBy(*key).agg(F.count_distinct("w").alias("n")).join(sizes, item).where(F.col("n") / F.col("size") >= least).select(*key)
     votes = met.select(*key, F.explode(F.arrays_zip("slots", "own")).alias("x")).where("x.slots is not null")
