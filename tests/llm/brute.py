@@ -247,6 +247,7 @@ def leaks(docs, items, common, units, window=5, least=0.8, agree=0.8):
             theirs = template(question, common, units, names)
             book = windows(theirs)
             size, wide = len(set(book.values())), max(book, default=0) + window
+            book = {k: v for v, k in {v: k for k, v in sorted(book.items(), reverse=True)}.items()}  # a window's first place
             met = [(i, k) for k, v in book.items() for i, u in mine.items() if u == v]
             if not size or len({book[k] for _, k in met}) < least * size - 1e-9:
                 continue
@@ -281,14 +282,10 @@ def license_detections(text, rules):
         for priority, label, key, before, pattern, weight, base in rules:
             if words[i + before : i + before + 1] == [key] and (m := re.match(f"({pattern})(?: |$)", rest)):
                 found.append((i, i + len(m[1].split(" ")), priority, label, weight, base))
-    kept, n = [], 0
-    for a, b, p, label, weight, base in found:
-        hidden = False
-        for c, d, q, *_ in found:
-            if c < b and d > a:
-                inside, around = c <= a and d >= b, c >= a and d <= b
-                hidden |= (d - c > b - a or q < p) if inside else not around and q < p
-        n += not hidden
-        if base or not hidden:
-            kept.append((label, weight))
+    stay = []
+    for d in sorted(found, key=lambda d: (d[2], d[0])):
+        near = [k for k in stay if k[0] < d[1] and k[1] > d[0]]
+        if all(d[0] <= k[0] and k[1] <= d[1] and k[1] - k[0] < d[1] - d[0] for k in near):
+            stay = [k for k in stay if k not in near] + [d]
+    kept, n = [(d[3], d[4]) for d in found if d[5] or d in stay], len(stay)
     return ",".join(sorted({x for x, _ in kept})), max((w for _, w in kept), default=0.0), n
