@@ -58,7 +58,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(lo, first, "right") - 1
         total = np.bincount(place, minlength=len(lo)).astype(np.float32)
         distinct = np.bincount(_distinct(place, words), minlength=len(lo)).astype(np.float32)
-        same = np.bincount(place[1:], weights=words[1:] == words[:-1], minlength=len(lo)).astype(np.float32) if len(words) > 1 else np.zeros(len(lo), np.float32)
+        again = (words[1:] == words[:-1]) & (which[place[1:]] == which[place[:-1]])  # of the same text
+        same = np.bincount(place[1:], weights=again, minlength=len(lo)).astype(np.float32) if len(words) > 1 else np.zeros(len(lo), np.float32)
         upper, digit = counted[:, 65:91].sum(axis=1), counted[:, 48:58].sum(axis=1)
         letters = counted[:, 97:123].sum(axis=1) + upper + counted[:, 128:].sum(axis=1)
         some = np.maximum(total, 1)
