@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join with signature trees, and the groups its links form.
 
 A node is a distinct shingle set, so exact copies are one node. Sets that can reach the similarity differ in at most
-``bound`` shingles; cut into more non-empty parts than that, they share a whole part. Sets that share a part form
-candidate clusters. In each cluster, signature trees (nodes with OR-combined token bitmaps and size ranges) are
+``bound`` shingles; cut into more non-empty parts than that, they share a whole part. A first pass only counts the
+parts that a set shares with any other; sets that share fewer than a link takes have none, and a second pass leaves them
+out, so that chance parts of unlike texts no longer join them. Sets of the second pass that share a part form candidate
+clusters. In each cluster, signature trees (nodes with OR-combined token bitmaps and size ranges) are
 traversed in pairs: a pair of tree nodes is dropped if the largest possible overlap cannot reach the similarity, or if
 all below it is linked already; what remains is counted exactly. Large clusters are cut into blocks of bounded bytes,
 and pairs of blocks are the units of work, so no task holds more than two blocks and their bitmaps, which are bounded too
@@ -123,7 +125,7 @@ def fold(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, l
     return sig[new], member[new], [(LINK, links[0], links[1]), (SHARED, who, count)]
 
 
-def signatures(docs: DataFrame, width: int, percent: int, buckets: int, remembered: int = 1 << 18) -> DataFrame:
+def signatures(docs: DataFrame, width: int, percent: int, buckets: int, with_links: bool = True, remembered: int = 1 << 18) -> DataFrame:
     """bucket, sigs, owner, members, facts: packed signatures, dealt out by their value.
 
     A task folds what it holds first: sets it has just seen are skipped, and of the sets that share a signature only the
@@ -160,7 +162,7 @@ def signatures(docs: DataFrame, width: int, percent: int, buckets: int, remember
                 own, owner = np.unique(member[rows], return_inverse=True)
                 low = np.ascontiguousarray(sig[rows]).view(np.uint8).reshape(-1, 8)[:, :5]
                 out.append((int(bucket[rows[0]]), low.tobytes(), owner.astype(np.uint16).tobytes(), own.tobytes(), b""))
-            facts.append((NEED, names, needs))
+            facts = [*(f for f in facts if with_links or f[0] != LINK), (NEED, names, needs)]
             told = np.concatenate([np.stack([np.full(len(a), k), a, b]) for k, a, b in facts], axis=1).astype(np.int64)
             out.append((int(fresh[0][0] % buckets), b"", b"", b"", told.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "sigs", "owner", "members", "facts"])
@@ -168,8 +170,8 @@ def signatures(docs: DataFrame, width: int, percent: int, buckets: int, remember
     return docs.select("text").mapInArrow(run, "bucket int, sigs binary, owner binary, members binary, facts binary")
 
 
-def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
-    """kind, a, b: links of sets that share a part (each with the smallest), parts a member shares, and its need."""
+def shared_parts(packed: DataFrame, buckets: int, with_links: bool = True) -> DataFrame:
+    """kind, a, b: links of sets that share a part (each with the smallest; if asked for), parts a member shares, and its need."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -178,7 +180,7 @@ def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
         def flushed() -> pd.DataFrame:
             facts = fold(np.concatenate([s for s, _ in held]), np.concatenate([m for _, m in held]))[2]
             held.clear()
-            return pd.concat([pd.DataFrame({"kind": np.int32(k), "a": a, "b": b}) for k, a, b in facts])
+            return pd.concat([pd.DataFrame({"kind": np.int32(k), "a": a, "b": b}) for k, a, b in facts if with_links or k != LINK] or [pd.DataFrame({"kind": [], "a": [], "b": []}, dtype=np.int64)])
 
         for x in batches:
             for key, sigs, owner, members, facts in x.itertuples(index=False):
@@ -199,6 +201,11 @@ def shared_parts(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "kind int, a long, b long")
 
 
+def signature_buckets(shingles: int | None, percent: int) -> int:
+    """So many buckets that the signatures of one fit in a task, whatever the input."""
+    return int((shingles or 0) * 5 * (100 - percent) // (100 + percent) // BUCKET_SIGNATURES) + 8
+
+
 def sets_with_enough_shared(facts: DataFrame) -> DataFrame:
     """node: sets that share as many parts, with all others together, as one link would take."""
     per = facts.where(F.col("kind") != LINK).groupBy(F.col("a").alias("member")).agg(
@@ -335,9 +342,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     ids = spill(ids, "shingle-sets")
     sums = known.agg(F.sum("n_shingles").alias("shingles"), F.count("node").alias("rows")).first()
-    expected = (sums["shingles"] or 0) * 5 * (100 - percent) // (100 + percent)
-    buckets = int(expected // BUCKET_SIGNATURES) + 8  # so that a bucket's signatures fit in a task whatever the input
-    facts = spill(shared_parts(signatures(texts, width, percent, buckets), buckets), "shared-parts")
+    buckets = signature_buckets(sums["shingles"], percent)
+    likely = sets_with_enough_shared(shared_parts(signatures(texts, width, percent, buckets, with_links=False), buckets, with_links=False))
+    likely = spill(ids.join(likely, "node", "left_semi").select("th", "n"), "near-candidates")
+    few = maybe_in(texts, [F.col("th")], slot_filter(likely, ["th"])).where("maybe").drop("maybe")
+    buckets = signature_buckets(likely.agg(F.sum("n")).first()[0], percent)  # one row
+    facts = spill(shared_parts(signatures(few, width, percent, buckets), buckets), "shared-parts")
     clusters = connected_components(facts.where(F.col("kind") == LINK).select("a", "b"))
     clusters = clusters.join(sets_with_enough_shared(facts), "node", "left_semi")
     links = verified_links(units(texts, ids, clusters, width), percent).unionByName(links_of_repeated_ids(known))
