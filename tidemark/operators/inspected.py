@@ -49,7 +49,8 @@ def visible(near: DataFrame, df: DataFrame, id_col: str, vector: str) -> DataFra
 def inspectors(df: DataFrame, label: str, value, vector: str, id_col: str, most: int, trees: int, seed: int) -> list:
     """Forests that tell one class from the others: each learns all its rows and an own draw of about as many others.
 
-    As many as it takes to draw all other rows once, ``most`` at most.
+    As many as it takes to draw all other rows once, ``most`` at most. Draws are by digest; a forest's own bags are
+    drawn by ``pyspark.ml`` partition by partition, so votes can differ between layouts of the same rows.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector

@@ -94,7 +94,7 @@ def visits(index: Cells, seekers: DataFrame, k: int) -> DataFrame:
     """Seekers (c, id, v, reach, pivot, ...) once for each ring that can hold a row within ``reach``; a null reach stands for a bound that holds ``k`` other rows."""
     pivots, rings = index.pivots, index.rings
     between = {c: gaps(p, p) for c, p in pivots.items()}
-    names = [n for n in seekers.columns]
+    names = seekers.columns
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,9 +104,8 @@ def visits(index: Cells, seekers: DataFrame, k: int) -> DataFrame:
                 home = own["pivot"].to_numpy()
                 slack = 1e-6 * (np.sqrt((x**2).sum(axis=1)) + np.sqrt((pivots[c] ** 2).sum(axis=1).max()))  # rounding of distances
                 to, low, high = r["pivot"].to_numpy(), r["low"].to_numpy(), r["high"].to_numpy()
-                out = []
-                for i in range(len(own)):
-                    reach = own["reach"].iat[i]
+                out, reaches = [], own["reach"].to_numpy(dtype=float).copy()
+                for i, reach in enumerate(reaches):
                     if np.isnan(reach):
                         upper = d[i, to] + high
                         order = np.argsort(upper)
@@ -115,10 +114,10 @@ def visits(index: Cells, seekers: DataFrame, k: int) -> DataFrame:
                     plane = (d[i] ** 2 - d[i, home[i]] ** 2) / np.where(between[c][home[i]] > 0, 2 * between[c][home[i]], np.inf)
                     least = np.maximum(np.maximum(d[i, to] - high, low - d[i, to]), plane[to])
                     out.append(np.flatnonzero(least <= reach + slack[i]))
-                    own.iloc[i, own.columns.get_loc("reach")] = reach
+                    reaches[i] = reach
                 at = np.repeat(np.arange(len(own)), [len(o) for o in out])
                 hit = np.concatenate(out) if out else np.empty(0, int)
-                yield own.iloc[at].assign(to=to[hit], ring=r["ring"].to_numpy()[hit], blocks=r["blocks"].to_numpy()[hit])[[*names, "to", "ring", "blocks"]]
+                yield own.assign(reach=reaches).iloc[at].assign(to=to[hit], ring=r["ring"].to_numpy()[hit], blocks=r["blocks"].to_numpy()[hit])[[*names, "to", "ring", "blocks"]]
 
     schema = ", ".join(f"{n} {t}" for n, t in seekers.dtypes) + ", to int, ring int, blocks long"
     return seekers.mapInPandas(go, schema).withColumn("pivot", F.col("to")).drop("to")
