@@ -30,8 +30,8 @@ from .bytehash import mix, shingle_sets
 from .common import heavy_join, maybe_in, slot_filter, spill, text_of, without
 from .components import connected_components
 
-BLOCK_BYTES = 12 << 20
-MAP_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+MAP_BYTES = 12 << 20
 BUCKET_SIGNATURES = 150_000
 
 
