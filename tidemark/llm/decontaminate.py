@@ -67,8 +67,26 @@ def templates(table: DataFrame) -> DataFrame:
     return out.withColumn("plain", words_of(F.lower("__shaped"))).drop("__shaped")
 
 
-def hashed(form: str, at: Column, window: int) -> Column:
-    return F.xxhash64(*(F.get(form, at + k) for k in range(window)))
+def with_windows(table: DataFrame, window: int) -> DataFrame:
+    """Adds form_w and plain_w: the hash of each window of a variant's words, at its start; shorter texts are one window.
+
+    Words are hashed once; hashes of 2, 4, ... words join neighbouring ones, and those of ``window`` words the sizes it takes.
+    """
+    joined = lambda a, b, after: F.zip_with(a, F.slice(b, after + 1, 1 << 30), lambda x, y: F.xxhash64(x, y))
+    for variant in ("form", "plain"):
+        width, sizes = 1, [1]
+        table = table.withColumn(f"{variant}_1", F.transform(variant, lambda w: F.xxhash64(w)))
+        while 2 * width <= window:
+            table = table.withColumn(f"{variant}_{2 * width}", joined(f"{variant}_{width}", f"{variant}_{width}", width))
+            width *= 2
+            sizes.append(width)
+        whole, done = f"{variant}_{width}", width
+        for size in reversed(sizes[:-1]):
+            if done + size <= window:
+                table = table.withColumn(f"{variant}_to{done + size}", joined(whole, f"{variant}_{size}", done))
+                whole, done = f"{variant}_to{done + size}", done + size
+        table = table.withColumn(f"{variant}_w", F.slice(whole, 1, F.greatest(F.size(variant) - (window - 1), F.lit(1))))
+    return table
 
 
 def starts(window: int) -> Column:
@@ -81,10 +99,10 @@ def slotted_windows(table: DataFrame, key: list[str], window: int) -> DataFrame:
     def windows(form: str, variant: int) -> Column:
         value = lambda at, k: F.when(F.get(form, at + k).isin(NUMBER, NAME, UNIT), F.lower(F.get("words", at + k)))
         slots = lambda at: F.array(*(value(at, k) for k in range(window)))
-        return F.transform(starts(window), lambda at: F.struct(F.lit(variant).alias("variant"), hashed(form, at, window).alias("w"), at.alias("at"), slots(at).alias("slots")))
+        return F.transform(starts(window), lambda at: F.struct(F.lit(variant).alias("variant"), F.get(f"{form}_w", at).alias("w"), at.alias("at"), slots(at).alias("slots")))
 
     each = F.explode(F.concat(windows("form", 0), windows("plain", 1))).alias("x")
-    return templates(table).withColumn("words", words_of(F.col("bare"))).select(*key, each).select(*key, "x.*")
+    return with_windows(templates(table), window).withColumn("words", words_of(F.col("bare"))).select(*key, each).select(*key, "x.*")
 
 
 def occurrences(own: DataFrame, pairs: DataFrame, slots: DataFrame) -> DataFrame:
@@ -120,7 +138,7 @@ def covered_items(texts: DataFrame, book: DataFrame, sizes: DataFrame, small: bo
     item = ["item_id", "variant"]
     wanted = book.select(F.col("w").alias("bw")).distinct()
     wanted = F.broadcast(wanted) if small else wanted  # its size has been checked
-    held = templates(texts).select("th", F.explode(F.array_distinct(F.flatten(F.transform(starts(window), lambda at: F.array(hashed("form", at, window), hashed("plain", at, window)))))).alias("w"))
+    held = with_windows(templates(texts), window).select("th", F.explode(F.array_distinct(F.concat("form_w", "plain_w"))).alias("w"))
     held = spill(held.join(wanted, F.col("w") == F.col("bw"), "left_semi").distinct(), "benchmark-held")
     documents = held.groupBy("w").agg(F.count(F.lit(1)).alias("documents"))
     in_item = Window.partitionBy(*item).orderBy(F.coalesce("documents", F.lit(0)), "w")  # an item's windows, as many as it has words
