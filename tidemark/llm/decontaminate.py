@@ -43,15 +43,25 @@ WINDOW = 5
 #: Benchmark windows up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
-EDGES = rf"(?<!\S){PUNCTUATION}++|(?<!{PUNCTUATION}){PUNCTUATION}++(?!\S)"
-SPELLED = rf"(?i:(?:{'|'.join(TENS)})(?:-(?:{'|'.join(ONES[1:10])}))?|{'|'.join(ONES)})(?!\S)"
-NUMBERS = rf"(?<!\S)(?:[-+\u2212\u2013~\u20AC\u00A3]{{0,2}}[0-9]\S*|{SPELLED})"
-UNITS_AFTER = rf"(\x01n\s+)(?i:{'|'.join(UNITS)})(?!\S)"
-NAMES = rf"(?<!\S)(?!(?:{'|'.join(COMMON)})(?!\S))(?=[A-Z\u00C0-\u00DE])(?=\S*\p{{Ll}})\S+"
+
+
+def by_letter(words: list[str]) -> str:
+    """Alternatives in groups of one first letter, so that a word meets few of them."""
+    return "|".join(f"{a}(?:{'|'.join(w[1:] for w in words if w[0] == a)})" for a in dict.fromkeys(w[0] for w in words))
+
+
+# Each pattern first looks at one character, so most places of a text fail at once; texts begin with a blank (see ``templates``).
+EDGES = rf"(?={PUNCTUATION})(?:(?<!\S){PUNCTUATION}++|(?<!{PUNCTUATION}){PUNCTUATION}++(?!\S))"
+SIGNS = r"-+\u2212\u2013~\u20AC\u00A3"
+SPELLED = rf"(?i:(?:{by_letter(TENS)})(?:-(?:{by_letter(ONES[1:10])}))?|{by_letter(ONES)})(?!\S)"
+SPELLED_STARTS = "".join(a + a.upper() for a in dict.fromkeys(w[0] for w in ONES + TENS))
+NUMBERS = rf"(\s)(?=[{SIGNS}0-9{SPELLED_STARTS}])(?:[{SIGNS}]{{0,2}}[0-9]\S*|{SPELLED})"
+UNITS_AFTER = rf"(\x01n\s+)(?i:{by_letter(UNITS)})(?!\S)"
+NAMES = rf"(\s)(?=[A-Z\u00C0-\u00DE])(?!(?:{by_letter(COMMON)})(?!\S))(?=\S*\p{{Ll}})\S+"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+", -1), "")
 
 
 def templates(table: DataFrame) -> DataFrame:
@@ -60,32 +70,25 @@ def templates(table: DataFrame) -> DataFrame:
 
     Whole texts are rewritten by a few patterns, which takes less time than any work on single words.
     """
-    bare = F.regexp_replace("text", EDGES, "")
-    shaped = F.regexp_replace(F.col("bare"), NUMBERS, NUMBER)
+    bare = F.regexp_replace(F.concat(F.lit(" "), "text"), EDGES, "")  # every word follows a blank
+    shaped = F.regexp_replace(F.col("bare"), NUMBERS, f"$1{NUMBER}")
     out = table.withColumn("bare", bare).withColumn("__shaped", F.regexp_replace(shaped, UNITS_AFTER, f"$1{UNIT}"))
-    out = out.withColumn("form", words_of(F.lower(F.regexp_replace("__shaped", NAMES, NAME))))
+    out = out.withColumn("form", words_of(F.lower(F.regexp_replace("__shaped", NAMES, f"$1{NAME}"))))
     return out.withColumn("plain", words_of(F.lower("__shaped"))).drop("__shaped")
 
 
 def with_windows(table: DataFrame, window: int) -> DataFrame:
     """Adds form_w and plain_w: the hash of each window of a variant's words, at its start; shorter texts are one window.
 
-    Words are hashed once; hashes of 2, 4, ... words join neighbouring ones, and those of ``window`` words the sizes it takes.
+    Words are hashed once; a window's hash is that of its words' hashes (past the end there are none, which adds nothing).
     """
-    joined = lambda a, b, after: F.zip_with(a, F.slice(b, after + 1, 1 << 30), lambda x, y: F.xxhash64(x, y))
+
+    def joined(hashes: str) -> Column:
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, window))))
+
     for variant in ("form", "plain"):
-        width, sizes = 1, [1]
         table = table.withColumn(f"{variant}_1", F.transform(variant, lambda w: F.xxhash64(w)))
-        while 2 * width <= window:
-            table = table.withColumn(f"{variant}_{2 * width}", joined(f"{variant}_{width}", f"{variant}_{width}", width))
-            width *= 2
-            sizes.append(width)
-        whole, done = f"{variant}_{width}", width
-        for size in reversed(sizes[:-1]):
-            if done + size <= window:
-                table = table.withColumn(f"{variant}_to{done + size}", joined(whole, f"{variant}_{size}", done))
-                whole, done = f"{variant}_to{done + size}", done + size
-        table = table.withColumn(f"{variant}_w", F.slice(whole, 1, F.greatest(F.size(variant) - (window - 1), F.lit(1))))
+        table = table.withColumn(f"{variant}_w", F.slice(joined(f"{variant}_1"), 1, F.greatest(F.size(variant) - (window - 1), F.lit(1))))
     return table
 
 
