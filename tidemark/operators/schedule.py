@@ -72,10 +72,16 @@ def interval_match(points: DataFrame, intervals: DataFrame, key: str, time: str,
     """Points with the number of intervals of their key that contain them, and a status.
 
     A point meets only the intervals that touch its month, so a key with many points and intervals is spread over months.
+    A key's different intervals of a month stand with their numbers in one row, so a point meets one row at most: points
+    are read once and not grouped again. ``ids`` name the points.
     """
     spans = intervals.where(F.col(start) <= F.col(end)).select(key, F.col(start).alias("__s"), F.col(end).alias("__e"), F.explode(months_of(start, end)).alias("__m"))
-    hits = points.withColumn("__m", F.trunc(time, "month")).join(spans, [key, "__m"]).where((F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e"))).groupBy(*ids).agg(F.count(F.lit(1)).alias("matches"))
-    out = points.join(hits, ids, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+    spans = spans.groupBy(key, "__m", "__s", "__e").agg(F.count(F.lit(1)).alias("__n"))
+    spans = spans.groupBy(key, "__m").agg(F.collect_list(F.struct("__s", "__e", "__n")).alias("__spans"))
+    inside = F.filter("__spans", lambda x: (F.col(time) >= x["__s"]) & (F.col(time) <= x["__e"]))
+    matches = F.aggregate(inside, F.lit(0).cast("long"), lambda n, x: n + x["__n"])
+    met = points.withColumn("__m", F.trunc(time, "month")).join(spans, [key, "__m"], "left")
+    out = met.select(*points.columns, F.coalesce(matches, F.lit(0).cast("long")).alias("matches"))
     return out.withColumn("status", F.when(F.col("matches") == 0, "unmatched").when(F.col("matches") == 1, "one").otherwise("multiple"))
 
 
