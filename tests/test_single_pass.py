@@ -16,3 +16,7 @@ def test_interval_match_counts_points_without_identifier(spark):
     spans = spark.createDataFrame([("a", day(1), day(9)), ("a", day(1), day(9)), ("a", day(9), day(1)), ("a", day(4), datetime(2020, 3, 1))], "k string, s timestamp, e timestamp")
     out = {r.u: (r.matches, r.status) for r in interval_match(points, spans, "k", "t", "s", "e", ["u"]).collect()}
     assert out == {None: (3, "multiple"), 1: (3, "multiple"), 2: (1, "one"), 3: (0, "unmatched"), 4: (0, "unmatched")}
+
+
+def test_population_joins_lines_once(spark, sf_dir):
+    assert scans(load().QUERIES["l4_population"](spark, sf_dir), "l_orderkey") and scans(load().QUERIES["l4_population"](spark, sf_dir), "Join ") == 1

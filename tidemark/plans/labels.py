@@ -53,11 +53,9 @@ def l3(spark, d):
     f"WITH {ENROLLMENTS}, act AS (SELECT DISTINCT user_id, course_id FROM ev WHERE flag = 'R') SELECT source, count(*) AS n FROM (SELECT 'timeline' AS source FROM enr WHERE n_events > 1 UNION ALL SELECT 'proxy' FROM enr JOIN act USING (user_id, course_id) WHERE n_events = 1) GROUP BY 1",
 )
 def l4(spark, d):
-    enr = enrollments(spark, d)
-    active = events(spark, d).where("flag = 'R'").select("user_id", "course_id").distinct()
-    own = enr.where("n_events > 1").select(F.lit("timeline").alias("source"))
-    proxy = enr.where("n_events = 1").join(active, ["user_id", "course_id"], "left_semi").select(F.lit("proxy").alias("source"))
-    return own.unionByName(proxy).groupBy("source").agg(F.count("*").alias("n"))
+    pairs = events(spark, d).groupBy("user_id", "course_id").agg(F.count(F.lit(1)).alias("n_events"), F.max(F.col("flag") == "R").alias("active"))
+    source = F.when(F.col("n_events") > 1, "timeline").when(F.col("active"), "proxy")
+    return pairs.select(source.alias("source")).where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(
