@@ -24,3 +24,7 @@ def test_population_joins_lines_once(spark, sf_dir):
 
 def test_template_needs_no_rows_for_months(spark, sf_dir):
     assert scans(load().QUERIES["t28_global_template"](spark, sf_dir), "Generate explode(sequence") == 0
+
+
+def test_summary_reads_written_progress(spark, sf_dir):
+    assert not any("lineitem" in f for f in load().QUERIES["l18_metric_summary"](spark, sf_dir).inputFiles())
