@@ -235,19 +235,21 @@ def fidelity_probe(df: DataFrame, families: dict[str, str], key: list[str], rate
     """imputer, family, n, mae, rmse, median_error: how far imputed values are from observed ones that were hidden.
 
     A share ``rate`` of each column's cells, observed and not structurally absent (``unavailable``: column -> condition), is
-    hidden once; every imputer (name -> function that fills a frame, fitted before on other rows or on the masked ones)
-    fills the same frame, and one pass takes all errors. families: column -> family.
+    hidden once; every imputer (name -> function that fills a row, fitted before on other rows or on the masked ones)
+    fills the same rows, those with a hidden cell, and one pass takes all errors, written once. families: column -> family.
     """
     path = scratch_path(df.sparkSession, "masked")
     chosen = {c: F.col(c).isNotNull() & ~(unavailable or {}).get(c, F.lit(False)) & hidden_cells(c, key, rate, seed) for c in families}
     marked = df.withColumns({f"__truth_{c}": F.when(chosen[c], F.col(c).cast("double")) for c in families})
     marked.withColumns({c: F.when(F.col(f"__truth_{c}").isNull(), F.col(c)) for c in families}).write.parquet(path)
-    masked = df.sparkSession.read.parquet(path)
+    masked = df.sparkSession.read.parquet(path).where(F.coalesce(*(F.col(f"__truth_{c}") for c in families)).isNotNull())
     errors = []
     for name, fill in imputers.items():
         off = F.array(*(F.struct(F.lit(f).alias("family"), F.abs(F.col(c).cast("double") - F.col(f"__truth_{c}")).alias("error")) for c, f in families.items()))
         errors.append(fill(masked).select(F.lit(name).alias("imputer"), F.explode(off).alias("x")).select("imputer", "x.*").where("error is not null"))
-    every = reduce(lambda a, b: a.unionByName(b), errors)
+    held = scratch_path(df.sparkSession, "errors")
+    reduce(lambda a, b: a.unionByName(b), errors).write.parquet(held)
+    every = df.sparkSession.read.parquet(held)
     own = ["imputer", "family"]
     middle = quantiles(every, {"e": F.col("error")}, [0.5], own).select(*own, F.get("quantiles", F.lit(0)).alias("median_error"))
     return every.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")).join(middle, own)
