@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.dealing import PART_ROWS, dealt
 from ..functions.ranking import top_by
 
 #: Phases and the share of the window that each has seen.
@@ -122,10 +123,15 @@ def widen_phases(long: DataFrame, keys: list[str], features: list[str], phases:
     return long.groupBy(*keys).agg(*(F.max(F.when(F.col("phase") == p, F.col(f))).alias(f"{f}_{p}") for p in phases for f in features))
 
 
-def grain_audit(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, exact copies and keys that keep several different rows: one audit row."""
-    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    per = distinct.groupBy(*keys).agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("different"))
+def grain_audit(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Rows, exact copies and keys that keep several different rows: one audit row. Reads ``df`` up to four times."""
+
+    def by_key(x: DataFrame) -> DataFrame:
+        distinct = x.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+        return distinct.groupBy(*keys).agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("different"))
+
+    rows, hot = dealt(df, keys, part_rows)
+    per = by_key(rows) if hot is None else by_key(rows).unionByName(by_key(hot))
     return per.agg(F.sum("rows").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("rows") - F.col("different")).alias("exact_copies"), F.count_if(F.col("different") > 1).alias("conflicting_keys"))
 
 
