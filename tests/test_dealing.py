@@ -37,3 +37,31 @@ def test_grain_audit_with_hot_keys(spark):
 def test_grain_audit_deals_rows_once(spark, sf_dir):
     plan = load().QUERIES["f16_grain_audit"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_activity_features_with_hot_keys(spark):
+    day = F.timestamp_seconds(F.col("id") % 11 * 40_000)
+    df = rows(spark).select("k", day.alias("t"), F.timestamp_seconds(F.lit(0)).alias("s"), F.when(F.col("v") > 0, F.col("v")).alias("v"), (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3 + 1.0).alias("w"))
+    seen = df.withColumn("day", F.to_date("t").cast("string")).collect()
+    want = {}
+    for key in {r.k for r in seen}:
+        own = [r for r in seen if r.k == key]
+        real = sum(r.a / r.w for r in own) / len(own)
+        want[key] = (len(own), len({r.v for r in own} - {None}), len({r.day for r in own}), round(real, 9))
+    for part in (250, 500, 100_000):
+        out = X.activity_features(df, ["k"], "t", "s", "v", "a", X.playback("a", "w"), part).collect()
+        assert len(out) == len(want) and {r.k: (r.event_count, r.unique_items, r.active_days, round(r.mean_real_time, 9)) for r in out} == want
+
+
+def test_activity_keeps_events_without_user(spark, tmp_path):
+    lines = spark.sql("select l_orderkey, 5L l_suppkey, l_partkey, 1 l_linenumber, q l_quantity, 10D l_extendedprice, 0.05D l_discount, 'R' l_returnflag, 'O' l_linestatus, timestamp'2024-03-05' l_shipdate from values (1L, 7L, 3D), (1L, 7L, 4D), (2L, null, 5D), (3L, 8L, 6D) as x(l_orderkey, l_partkey, q)")
+    orders = spark.sql("select o_orderkey, o_custkey, timestamp'2024-03-01' o_orderdate from values (1L, null), (2L, null), (3L, 9L) as x(o_orderkey, o_custkey)")
+    for name, df in (("lineitem", lines), ("orders", orders)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.user_id: (r.event_count, r.unique_items, r.active_days) for r in load().QUERIES["f3_activity_features"](spark, str(tmp_path)).collect()}
+    assert got == {None: (3, 1, 1), 9: (1, 1, 1)}
+
+
+def test_activity_deals_rows_once(spark, sf_dir):
+    plan = load().QUERIES["f3_activity_features"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan and "Join" not in plan

@@ -34,26 +34,43 @@ def spread(column: str | Column, name: str, what: str = "sum mean std min max")
     return [how[w](column).alias(f"{name}_{w}") for w in what.split()]
 
 
-def activity_features(x: DataFrame, keys: list[str], time: str, start: str, item: str, amount: str) -> DataFrame:
-    """Volume, distinct items and days, repeats, and day offsets of one kind of event."""
-    offset = F.date_diff(time, start).cast("double")
-    out = x.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_distinct(item).alias("unique_items"), F.count_distinct(F.to_date(time)).alias("active_days"),
-        *spread(amount, amount), *spread(offset, "day_offset", "mean std min max"), F.avg(F.dayofweek(time)).alias("mean_weekday"),
-    )
+def activity_features(x: DataFrame, keys: list[str], time: str, start: str, item: str, amount: str, also: tuple[Column, ...] = (), part_rows: int = PART_ROWS) -> DataFrame:
+    """Volume, distinct items and days, repeats, and day offsets of one kind of event, with further aggregates in ``also``.
+
+    Rows dealt by key mark the first one of each item and day by two sorts inside a task; rows of hot keys are left to
+    Spark's distinct counts, which spread them. Reads ``x`` up to five times.
+    """
+    offset, day = F.date_diff(time, start).cast("double"), F.to_date(time)
+
+    def by_key(rows: DataFrame, items: Column, days: Column) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("event_count"), items.alias("unique_items"), days.alias("active_days"),
+            *spread(amount, amount), *spread(offset, "day_offset", "mean std min max"), F.avg(F.dayofweek(time)).alias("mean_weekday"), *also,
+        )
+
+    first = lambda c: F.row_number().over(Window.partitionBy(*keys, c).orderBy(c)) == 1
+    rows, hot = dealt(x, keys, part_rows)
+    marked = rows.withColumn("__day", day).withColumn("__item", F.when(first(item), F.col(item))).withColumn("__day", F.when(first("__day"), F.col("__day")))
+    out = by_key(marked, F.count("__item"), F.count("__day"))
+    if hot is not None:
+        out = out.unionByName(by_key(hot, F.count_distinct(item), F.count_distinct(day)))
     return out.withColumn("repeat_ratio", F.try_divide(F.col("event_count") - F.col("unique_items"), "event_count")).withColumn(
         "events_per_day", F.try_divide("event_count", "active_days")
     )
 
 
-def playback_features(x: DataFrame, keys: list[str], amount: str, speed: str) -> DataFrame:
-    real = F.try_divide(amount, speed)
-    return x.groupBy(*keys).agg(
-        F.avg(real).alias("mean_real_time"), F.avg(speed).alias("mean_speed"), F.coalesce(F.variance(speed), F.lit(0.0)).alias("speed_variance"),
+def playback(amount: str, speed: str) -> tuple[Column, ...]:
+    """Aggregates of playback: real time and speed."""
+    return (
+        F.avg(F.try_divide(amount, speed)).alias("mean_real_time"), F.avg(speed).alias("mean_speed"), F.coalesce(F.variance(speed), F.lit(0.0)).alias("speed_variance"),
         F.avg((F.col(speed) > 0.95).cast("double")).alias("fast_ratio"),
     )
 
 
+def playback_features(x: DataFrame, keys: list[str], amount: str, speed: str) -> DataFrame:
+    return x.groupBy(*keys).agg(*playback(amount, speed))
+
+
 def score_features(x: DataFrame, keys: list[str], score: str, full: str, correct: Column, attempts: Column) -> DataFrame:
     clean = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
     right = F.coalesce(correct, F.lit(False)).cast("double")

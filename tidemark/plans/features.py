@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators.labels import band
-from ..sources.tables import read_table
+from ..sources.tables import read_table, scratch_path
 from .base import EVENTS, events
 from .registry import query
 
@@ -48,10 +48,11 @@ def f2(spark, d):
     round((count(*) - count(DISTINCT resource_id)) / count(*), 6) AS repeat_ratio, round(avg(dayofweek(event_time) + 1), 4) AS mean_weekday FROM ev GROUP BY 1""",
 )
 def f3(spark, d):
-    x = events(spark, d)
-    a, b = X.activity_features(x, ["user_id"], "event_time", "enroll_time", "resource_id", "duration"), X.playback_features(x, ["user_id"], "duration", "speed")
+    path = scratch_path(spark, "activity")  # counted, searched for hot users, then grouped
+    events(spark, d).select("user_id", "event_time", "enroll_time", "resource_id", "duration", "speed").write.parquet(path)
+    out = X.activity_features(spark.read.parquet(path), ["user_id"], "event_time", "enroll_time", "resource_id", "duration", X.playback("duration", "speed"))
     r = lambda c, n=4: F.round(c, n).alias(c)
-    return a.join(b, "user_id").select("user_id", "event_count", "unique_items", "active_days", r("duration_std"), r("day_offset_std"), r("mean_real_time"), r("speed_variance", 10), r("repeat_ratio", 6), r("mean_weekday"))
+    return out.select("user_id", "event_count", "unique_items", "active_days", r("duration_std"), r("day_offset_std"), r("mean_real_time"), r("speed_variance", 10), r("repeat_ratio", 6), r("mean_weekday"))
 
 
 @query(
