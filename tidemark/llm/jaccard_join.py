@@ -3,8 +3,9 @@
 A node is a distinct shingle set, so exact copies are one node. Sets that can reach the similarity differ in at most
 ``bound`` shingles; cut into more non-empty parts than that, they share a whole part. A first pass only counts the
 parts that a set shares with any other; sets that share fewer than a link takes have none, and a second pass leaves them
-out, so that chance parts of unlike texts no longer join them. Sets of the second pass that share a part form candidate
-clusters. In each cluster, signature trees (nodes with OR-combined token bitmaps and size ranges) are
+out. In the second pass each set leaves out its most frequent shared parts, one fewer than a link takes: linked sets
+still share one of the others, while the parts that unlike texts share by chance are frequent ones and no longer join
+them. Sets that share one of these rarer parts form candidate clusters. In each cluster, signature trees (nodes with OR-combined token bitmaps and size ranges) are
 traversed in pairs: a pair of tree nodes is dropped if the largest possible overlap cannot reach the similarity, or if
 all below it is linked already; what remains is counted exactly. Large clusters are cut into blocks of bounded bytes,
 and pairs of blocks are the units of work, so no task holds more than two blocks and their bitmaps, which are bounded too
@@ -18,7 +19,7 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,7 +104,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_shingles long, node long")
 
 
-LINK, SHARED, NEED = 0, 1, 2
+LINK, SHARED, NEED, NODE, PART = range(5)
 
 
 def fold(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -125,15 +126,44 @@ def fold(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, l
     return sig[new], member[new], [(LINK, links[0], links[1]), (SHARED, who, count)]
 
 
-def signatures(docs: DataFrame, width: int, percent: int, buckets: int, with_links: bool = True, remembered: int = 1 << 18) -> DataFrame:
-    """bucket, sigs, owner, members, facts: packed signatures, dealt out by their value.
+PACKED = "bucket int, sigs binary, owner binary, members binary, facts binary"
 
-    A task folds what it holds first: sets it has just seen are skipped, and of the sets that share a signature only the
-    smallest is sent on, the others are linked with it at once. sigs: 40-bit (the bucket tells more); owner: 16-bit
-    places in members (64-bit); facts: kind, a and b as 64-bit rows.
-    """
 
+def packed_by_bucket(sig: np.ndarray, member: np.ndarray, facts: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, base: int | None = None) -> pa.RecordBatch:
+    """Signatures with their members, a row for each bucket, and a row with facts.
+
+    sigs: 40-bit (the bucket tells more); owner: 16-bit places in members (64-bit), or, with one member, what is to be added
+    to it; facts: kind, a and b as 64-bit rows.
+    """
+    bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else []
+    out = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        rows = order[lo:hi]
+        own, owner = (np.array([base]), member[rows] - base) if base is not None else np.unique(member[rows], return_inverse=True)
+        low = np.ascontiguousarray(sig[rows]).view(np.uint8).reshape(-1, 8)[:, :5]
+        out.append((int(bucket[rows[0]]), low.tobytes(), owner.astype(np.uint16).tobytes(), own.tobytes(), b""))
+    if facts:
+        told = np.concatenate([np.stack([np.full(len(a), k), a, b]) for k, a, b in facts], axis=1).astype(np.int64)
+        out.append((int(abs(told[1:].sum()) % buckets), b"", b"", b"", told.tobytes()))
     kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "sigs", "owner", "members", "facts"])
+
+
+def slice_name(nodes: np.ndarray) -> int:
+    """A name of a slice of at most 2,048 sets; the next 4,095 numbers are those of its members."""
+    salted = mix(nodes.view(np.uint64) + mix(np.arange(len(nodes), dtype=np.uint64)))
+    return int(mix(salted.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) & ~4095
+
+
+def signatures(docs: DataFrame, width: int, percent: int, buckets: int, folded: bool, remembered: int = 1 << 18) -> DataFrame:
+    """Packed signatures, dealt out by their value, and what a link of each member takes.
+
+    Sets that a task has just seen are skipped. ``folded``: it also folds what it holds, so that of the sets that share a
+    signature only the smallest is sent on, and the shared parts of the others are counted at once; members are then numbers
+    in their slice, of two bytes beside a signature (NODE tells the sets), and a set that several tasks hold counts as sharing its parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,56 +179,96 @@ def signatures(docs: DataFrame, width: int, percent: int, buckets: int, with_lin
             if not fresh:
                 continue
             sigs = part_signatures([s for _, s in fresh], percent)
-            names = np.array([n + k for (n, _), both in zip(fresh, sigs, strict=True) for k in range(len(both))], dtype=np.int64)
+            nodes = np.array([n for n, _ in fresh], dtype=np.int64)
+            base = slice_name(nodes) if folded else None
+            names = np.repeat(base + 2 * np.arange(len(nodes)) if folded else nodes, 2) + np.tile([0, 1], len(nodes))
             needs = np.array([need for both in sigs for _, need in both], dtype=np.int64)
-            members = np.repeat(names, [len(s) for both in sigs for s, _ in both])
-            sig, member, facts = fold(np.concatenate([s for both in sigs for s, _ in both]), members)
-            bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-            out = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                rows = order[lo:hi]
-                own, owner = np.unique(member[rows], return_inverse=True)
-                low = np.ascontiguousarray(sig[rows]).view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((int(bucket[rows[0]]), low.tobytes(), owner.astype(np.uint16).tobytes(), own.tobytes(), b""))
-            facts = [*(f for f in facts if with_links or f[0] != LINK), (NEED, names, needs)]
-            told = np.concatenate([np.stack([np.full(len(a), k), a, b]) for k, a, b in facts], axis=1).astype(np.int64)
-            out.append((int(fresh[0][0] % buckets), b"", b"", b"", told.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "sigs", "owner", "members", "facts"])
-
-    return docs.select("text").mapInArrow(run, "bucket int, sigs binary, owner binary, members binary, facts binary")
-
-
-def shared_parts(packed: DataFrame, buckets: int, with_links: bool = True) -> DataFrame:
-    """kind, a, b: links of sets that share a part (each with the smallest; if asked for), parts a member shares, and its need."""
+            member = np.repeat(names, [len(s) for both in sigs for s, _ in both])
+            sig, facts = np.concatenate([s for both in sigs for s, _ in both]), [(NEED, names, needs)]
+            if folded:
+                sig, member, more = fold(sig, member)
+                facts += [(NODE, names, np.repeat(nodes, 2)), *(f for f in more if f[0] == SHARED)]
+            yield packed_by_bucket(sig, member, facts, buckets, base)
+
+    return docs.select("text").mapInArrow(run, PACKED)
+
+
+def by_bucket(packed: DataFrame, buckets: int, told: Callable[[int, np.ndarray, np.ndarray], list[tuple[int, np.ndarray, np.ndarray, np.ndarray | int]]]) -> DataFrame:
+    """kind, a, b, n: the facts that are packed already, and what ``told`` finds in each bucket's signatures and members."""
+
+    def frame(facts: list[tuple]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"kind": np.int32(k), "a": a, "b": b, "n": n}) for k, a, b, n in facts] or [pd.DataFrame({"kind": [], "a": [], "b": [], "n": []}, dtype=np.int64)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         bucket = None
-
-        def flushed() -> pd.DataFrame:
-            facts = fold(np.concatenate([s for s, _ in held]), np.concatenate([m for _, m in held]))[2]
-            held.clear()
-            return pd.concat([pd.DataFrame({"kind": np.int32(k), "a": a, "b": b}) for k, a, b in facts if with_links or k != LINK] or [pd.DataFrame({"kind": [], "a": [], "b": []}, dtype=np.int64)])
-
         for x in batches:
             for key, sigs, owner, members, facts in x.itertuples(index=False):
                 if facts:
-                    told = np.frombuffer(facts, dtype=np.int64).reshape(3, -1)
-                    yield pd.DataFrame({"kind": told[0].astype(np.int32), "a": told[1], "b": told[2]})
+                    kind, a, b = np.frombuffer(facts, dtype=np.int64).reshape(3, -1)
+                    yield pd.DataFrame({"kind": kind.astype(np.int32), "a": a, "b": b, "n": 0})
                 if not sigs:
                     continue
                 if key != bucket and held:
-                    yield flushed()
+                    yield frame(told(bucket, *map(np.concatenate, zip(*held, strict=True))))
+                    held.clear()
                 bucket = key
                 wide = np.zeros((len(sigs) // 5, 8), dtype=np.uint8)
                 wide[:, :5] = np.frombuffer(sigs, dtype=np.uint8).reshape(-1, 5)
-                held.append((wide.view(np.uint64).ravel(), np.frombuffer(members, dtype=np.int64)[np.frombuffer(owner, dtype=np.uint16)]))
+                own, place = np.frombuffer(members, dtype=np.int64), np.frombuffer(owner, dtype=np.uint16)
+                held.append((wide.view(np.uint64).ravel(), own[0] + place if len(own) == 1 else own[place]))
         if held:
-            yield flushed()
+            yield frame(told(bucket, *map(np.concatenate, zip(*held, strict=True))))
+
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "kind int, a long, b long, n int")
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "kind int, a long, b long")
+
+def shared_parts(packed: DataFrame, buckets: int, kind: int) -> DataFrame:
+    """kind, a, b: links of sets that share a part, each with the smallest (LINK), or the number of parts a member shares (SHARED); and its need."""
+    return by_bucket(packed, buckets, lambda _, sig, member: [(*f, 0) for f in fold(sig, member)[2] if f[0] == kind]).select("kind", "a", "b")
+
+
+def every_shared_part(packed: DataFrame, buckets: int) -> DataFrame:
+    """kind, a, b, n: a member, a part of it that another set has too, and the number of members with that part; and its need."""
+
+    def told(bucket: int, sig: np.ndarray, member: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray | int]]:
+        order = np.lexsort((member, sig))
+        sig, member = sig[order], member[order]
+        once = np.append(True, (sig[1:] != sig[:-1]) | (member[1:] != member[:-1]))
+        sig, member = sig[once], member[once]
+        new = np.append(True, sig[1:] != sig[:-1])
+        n = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        part = (sig | np.uint64(bucket << 40)).view(np.int64)
+        return [(PART, member[n > 1], part[n > 1], n[n > 1].astype(np.int32))]
+
+    return by_bucket(packed, buckets, told)
+
+
+def rare_parts(facts: DataFrame) -> DataFrame:
+    """member, parts: of the members that share as many parts as a link takes (``need``), all shared parts but the ``need`` - 1 most frequent ones.
+
+    Linked sets share ``need`` parts. Both order them alike, so the rarest part that they share is among those kept by both.
+    """
+    per = facts.groupBy(F.col("a").alias("member")).agg(
+        F.collect_list(F.when(F.col("kind") == PART, F.struct("n", "b"))).alias("parts"), F.max(F.when(F.col("kind") == NEED, F.col("b"))).cast("int").alias("need")
+    )
+    rarest = F.slice(F.sort_array("parts"), F.lit(1), F.size("parts") - F.col("need") + 1)
+    return per.where(F.size("parts") >= F.col("need")).select("member", F.transform(rarest, lambda x: x["b"]).alias("parts"))
+
+
+def links_by_parts(rare: DataFrame, buckets: int) -> DataFrame:
+    """a, b: sets that share a rare part, each with the smallest that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                x = batch.slice(k, 2000)
+                parts = x.column(1)
+                member = np.repeat(x.column(0).to_numpy(), parts.value_lengths().to_numpy())
+                sig, member, facts = fold(parts.flatten().to_numpy().view(np.uint64), member)
+                yield packed_by_bucket(sig, member, [f for f in facts if f[0] == LINK], buckets)
+
+    return shared_parts(rare.select("member", "parts").mapInArrow(run, PACKED), buckets, LINK).select("a", "b")
 
 
 def signature_buckets(shingles: int | None, percent: int) -> int:
@@ -208,10 +278,9 @@ def signature_buckets(shingles: int | None, percent: int) -> int:
 
 def sets_with_enough_shared(facts: DataFrame) -> DataFrame:
     """node: sets that share as many parts, with all others together, as one link would take."""
-    per = facts.where(F.col("kind") != LINK).groupBy(F.col("a").alias("member")).agg(
-        F.sum(F.when(F.col("kind") == SHARED, F.col("b"))).alias("shared"), F.max(F.when(F.col("kind") == NEED, F.col("b"))).alias("need")
-    )
-    return per.where("shared >= need").select((F.col("member") - F.pmod("member", F.lit(2))).alias("node")).distinct()
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("b"))
+    per = facts.groupBy("a").agg(F.sum(of(SHARED)).alias("shared"), F.max(of(NEED)).alias("need"), F.max(of(NODE)).alias("node"))
+    return per.where("shared >= need").select("node").distinct()
 
 
 class Forest:
@@ -343,13 +412,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = spill(ids, "shingle-sets")
     sums = known.agg(F.sum("n_shingles").alias("shingles"), F.count("node").alias("rows")).first()
     buckets = signature_buckets(sums["shingles"], percent)
-    likely = sets_with_enough_shared(shared_parts(signatures(texts, width, percent, buckets, with_links=False), buckets, with_links=False))
+    likely = sets_with_enough_shared(shared_parts(signatures(texts, width, percent, buckets, folded=True), buckets, SHARED))
     likely = spill(ids.join(likely, "node", "left_semi").select("th", "n"), "near-candidates")
     few = maybe_in(texts, [F.col("th")], slot_filter(likely, ["th"])).where("maybe").drop("maybe")
     buckets = signature_buckets(likely.agg(F.sum("n")).first()[0], percent)  # one row
-    facts = spill(shared_parts(signatures(few, width, percent, buckets), buckets), "shared-parts")
-    clusters = connected_components(facts.where(F.col("kind") == LINK).select("a", "b"))
-    clusters = clusters.join(sets_with_enough_shared(facts), "node", "left_semi")
+    rare = rare_parts(every_shared_part(signatures(few, width, percent, buckets, folded=False), buckets))
+    clusters = connected_components(links_by_parts(rare, buckets))
     links = verified_links(units(texts, ids, clusters, width), percent).unionByName(links_of_repeated_ids(known))
     reach = connected_components(spill(links, "near-links"))
     low = spill(ids.join(reach, "node", "left").select("node", "low", "rows", F.coalesce("root", "node").alias("root")), "near-roots")
